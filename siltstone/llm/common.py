@@ -64,3 +64,8 @@ def share_of(docs: DataFrame, rows: int) -> float:
 def sampled(share: float, column: str = "doc_id") -> Column:
     """Keeps that share of ids, by hash: the same rows on every run."""
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(column)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows, so that Python workers hold little text at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -41,7 +41,7 @@ class LibraryEncoder:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         between, number = self.divider
         plain = [x for x in pieces if self.opens not in x]
-        ids = np.array(self.library.encode(between.join([*plain, ""]), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.library.encode_batch_fast([between.join([*plain, ""])], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.flatnonzero(ids == number)
         raw, size = ids.tobytes(), self.dtype.itemsize
         stops = (ends * size).tolist()
@@ -57,11 +57,14 @@ class LibraryEncoder:
         cut = [CUT.split(x) for x in texts]
         if len(self.spaced) > MEMO:
             self.older, self.spaced = self.spaced, {}
-        met = {piece for pieces in cut for piece in pieces[1:]}.difference(self.spaced)
-        self.spaced.update((x, self.older[x]) for x in met.intersection(self.older))
-        missing = list(met.difference(self.spaced))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
+        missing = set()
+        for pieces in cut:
+            if None in (got := [*map(self.spaced.get, pieces)]):
+                missing.update(x for x, ids in zip(pieces[1:], got[1:], strict=True) if ids is None)
+        self.spaced.update((x, self.older[x]) for x in missing.intersection(self.older))
+        new = list(missing.difference(self.spaced))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             self.spaced.update(zip(part, self._new([f" {x}" for x in part]), strict=True))
         heads = self._new([pieces[0] for pieces in cut])
         known = self.spaced.__getitem__
