@@ -1,0 +1,29 @@
+"""Connected components of links by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.llm.common import dropped, written
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links (a, b) that isn't the least of its component: the least is its root. Each step
+    is two groupings and two joins on nodes; a round's links are written to the shared folder, and only a count and a sum
+    of hashes come to the driver. A hub's links are many rows of one key in a join that Spark may split."""
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
+    seen = None
+    while True:
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)")).alias("h")).first()
+        if state == seen:
+            return now
+        seen = state
+        both = now.select("node", F.col("root").alias("other")).unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("other")))
+        least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("least"))
+        large = both.where("other > node").join(least, "node").select(F.col("other").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
+        least = large.groupBy("node").agg(F.min("root").alias("least"))
+        small = large.join(least, "node")
+        new = small.select("node", F.col("least").alias("root")).unionByName(small.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))).distinct()
+        before, now = now, written(new, "links")
+        dropped(before)
