@@ -10,7 +10,8 @@ from siltstone.llm.language_id import op5_language_id
 from siltstone.llm.packing import op3_packing
 from siltstone.llm.quality_rules import op6_quality_rules
 from siltstone.llm.rule_ensemble import op9_rule_ensemble
+from siltstone.llm.secret_scan import op1_secret_scan
 from siltstone.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
