@@ -136,5 +136,18 @@ def across_chunks(dealt: DataFrame, sizes: DataFrame, roots: DataFrame, words: i
     return tree_join(lefts.unionByName(rights), words, percent)
 
 
+def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, without those that are linked to one of smaller doc_id, directly or through others.
+    Rows equal in every column count as one; rows without doc_id stay. Ids that go are broadcast while they are few."""
+    found = similarity_components(docs, words, percent)
+    gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "linked")
+    few = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
+    repeated = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").select(left.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(left.columns).distinct())
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_components(documents(spark, sf_dir))

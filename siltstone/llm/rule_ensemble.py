@@ -126,10 +126,9 @@ def score(docs: DataFrame, rules: list[tuple[Rule, float]], intercept: float) ->
 
 
 def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, whose score is at least ACCEPT. Other columns are carried as they are."""
+    """The documents, all columns, whose score is at least ACCEPT."""
     rules, intercept = fit(docs, labels)
-    names = docs.columns
-    carried = docs.select("doc_id", "text", F.struct(*names).alias("kept_row"))
+    carried = docs.select("doc_id", "text", F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("kept_row"))
     counted = with_counts(carried, ["kept_row"])
     scored = counted.select("kept_row", *(x.alias(name) for name, x in feature_columns().items()))
     return scored.where(score_column(rules, intercept) >= ACCEPT).select("kept_row.*")

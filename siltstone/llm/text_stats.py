@@ -8,9 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, small_batches
+from siltstone.llm.common import small_batches
 
 #: White space, and the characters that count as symbols (fixed values of the rules).
 WHITE, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -85,17 +87,16 @@ def features(x: pd.DataFrame) -> np.ndarray:
 
 
 def with_counts(docs: DataFrame, also: list[str] | None = None) -> DataFrame:
-    """doc_id, any other columns named, and the COUNTS of every whole text (null: empty). Repeated rows stay."""
+    """doc_id, any other columns named, and the COUNTS of every whole text (null: empty). Repeated rows stay. The column
+    `text` may be named too, and other columns of docs, whatever their names, stay out."""
     kept = ["doc_id", *(also or [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([counts(x or "") for x in batch["text"]], columns=COUNTS)
-            for at, name in enumerate(kept):
-                out.insert(at, name, batch[name].array)
-            yield out
+            found = list(zip(*(counts(x or "") for x in batch.column("counted_text").to_pylist()), strict=True)) or [()] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(x, pa.int64()) for x in found)], [*kept, *COUNTS])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(*kept, "text") if also else doc_texts(docs)
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema if x.name != "text"] + [f"{x} long" for x in COUNTS]
-    return rows.mapInPandas(run, ", ".join(fields))
+    rows = docs.select(*kept, F.col("text").alias("counted_text"))
+    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]] + [f"{x} long" for x in COUNTS]
+    return rows.mapInArrow(run, ", ".join(fields))
