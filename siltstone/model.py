@@ -21,7 +21,13 @@ def now() -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumns({x.name: instant(x.name) for x in df.schema if x.dataType.simpleString() == "timestamp_ntz"})
+
+
+def instant(column: str) -> Column:
+    """A time without zone, taken as UTC whatever the session's zone."""
+    return F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone())
 
 
 def kb_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +137,7 @@ kb_edges AS (
     CASE claim_id % 6 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'causes' WHEN 2 THEN 'cites' ELSE 'supports' END AS type,
     1.0::DOUBLE + claim_id % 10 AS strength, 1685577600 + claim_id % 200 * 86400 AS made_at FROM kb_claims) WHERE to_id IS NOT NULL),
 kb_verdicts AS (
-  SELECT claim_id, 'validates' AS kind, 1685577600 + (claim_id * 3) % 230 * 86400 AS at FROM kb_claims WHERE claim_id % 5 = 1
+  SELECT claim_id, 'validates' AS kind, 1685577600 + (claim_id * 3) % 230 * 86400 AS decided FROM kb_claims WHERE claim_id % 5 = 1
   UNION ALL SELECT claim_id, 'refutes', 1685577600 + (claim_id * 5) % 230 * 86400 FROM kb_claims WHERE claim_id % 7 = 1),
 kb_actions AS (
   SELECT event_id AS action_id, 's' || (user_id % 7) AS subject, event_type AS kind, user_id, value, epoch_us(ts) AS us,

@@ -1 +1,6 @@
-"""plans."""
+"""Whole queries, by name."""
+
+from siltstone.plans import catalog_more
+from siltstone.plans.catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog_more"]
