@@ -118,7 +118,7 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         roots = stars(links.unionByName(across_chunks(dealt, sizes, stars(links), words, percent)))
     found = roots.select(F.col("node").alias("rep"), "root")
     joined = known.select("doc_id", "n_shingles", "rep").join(found, "rep", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
 
 
 def across_chunks(dealt: DataFrame, sizes: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
