@@ -142,3 +142,28 @@ def evict_to_limit(text: Column, limit: int) -> Column:
     """The last characters, at most limit, from a line's start if a line starts in them."""
     tail = F.right(text, F.lit(limit))
     return F.when(F.char_length(text) <= limit, text).when(F.instr(tail, "\n") > 0, F.substring(tail, F.instr(tail, "\n") + 1, F.lit(limit))).otherwise(tail)
+
+
+# Patterns of event observations.
+OBSERVED = {
+    "deployment": r"(?i)\b(?:deployed|rolled\s+out|rolled\s+back|promoted|provisioned|scaled(?:\s+up|\s+down)?)\b",
+    "release": r"(?i)\b(?:released|published|shipped|cut|tagged|bumped)\b",
+    "change": r"(?i)\b(?:merged|pushed|reverted|reved|cherry-picked|squash-merged|force-pushed)\b",
+}
+INCIDENT = r"(?i)\b(?:outage|incident|downtime|regression|breakage)\b"
+OCCURRED = r"(?i)\b(?:started|occurred|happened|hit|struck|took\s+down|brought\s+down|caused|broke|crashed|went\s+down|at\s+\d)\b"
+ARTIFACT = r"(?i)(?:\bv?\d+\.\d+(?:\.\d+)?\b|#\d+\b|\bPR\s*#?\d+\b|\brelease\b|\bbuild\b|\bcommit\b|\b[0-9a-f]{7,40}\b)"
+NOT_OBSERVED = (
+    r"(?i)(?:\?|\b(?:should|shall|must|will|would|could|might|want\s+me|happy\s+to|shall\s+i|whether|rather|instead|worth|plan(?:ned)?\s+to|going\s+to|about\s+to|because|in\s+order\s+to|"
+    r"so\s+that|decided|the\s+reason|policy|always|never|by\s+design|prefer|recommend|i'?d|we'?d|let'?s|next\s+release|until\s+a\s+release)\b)"
+)
+
+
+def event_kind(kind: Column, text: Column) -> Column:
+    """What a statement reports as having happened; '' for nothing."""
+    plain = F.translate(text, "’‘ʼ`", "''' ")
+    seen = F.coalesce(*[F.when(plain.rlike(p), k) for k, p in OBSERVED.items()], F.lit(""))
+    return (
+        F.when((F.lower(kind) == "decision") | (F.trim(plain) == "") | plain.rlike(NOT_OBSERVED), "").when(plain.rlike(INCIDENT) & plain.rlike(OCCURRED), "incident")
+        .when(~plain.rlike(ARTIFACT), "").otherwise(seen)
+    )

@@ -83,3 +83,23 @@ def hypercorrections(edges: DataFrame, claims: DataFrame, min_trust: float = 0.7
     x = contradictions(edges, claims).select(
         of("id", True).alias("challenged"), of("id", False).alias("challenger"), of("trust", True).alias("challenged_trust"), of("trust", False).alias("challenger_trust"), of("lifecycle", True).alias("lifecycle"))
     return x.where((F.col("lifecycle") == "promoted") | (F.col("challenged_trust") >= min_trust))
+
+
+def resolved(edges: DataFrame, claims: DataFrame) -> DataFrame:
+    """Contradictions of live claims with a winner and how it was found: by test results, then by confidence, then by
+    trust; else none, to escalate. Fixed values: margins of 0.2, 0.2 and 0.05, and confidence of at least 0.7."""
+    ends = claims.select("claim_id", "confidence", F.coalesce(scoring.pass_ratio(F.col("pass_count"), F.col("fail_count")), F.lit(0.0)).alias("ratio"))
+    x = contradictions(edges, claims)
+    for end in ("from", "to"):
+        x = x.join(ends.select(F.col("claim_id").alias(f"{end}_id"), F.col("confidence").alias(f"{end}_confidence"), F.col("ratio").alias(f"{end}_ratio")), f"{end}_id")
+
+    def gap(name: str) -> Column:
+        return F.abs(F.col(f"from_{name}") - F.col(f"to_{name}"))
+
+    def better(name: str) -> Column:
+        return F.when(F.col(f"from_{name}") >= F.col(f"to_{name}"), F.col("from_id")).otherwise(F.col("to_id"))
+
+    sure = (F.col("from_confidence") >= 0.7) & (F.col("to_confidence") >= 0.7) & (gap("confidence") >= 0.2 - 1e-12)
+    how = F.when(gap("ratio") >= 0.2 - 1e-12, "tests").when(sure, "confidence").when(gap("trust") >= 0.05, "trust").otherwise("escalate")
+    winner = F.when(F.col("how") == "tests", better("ratio")).when(F.col("how") == "confidence", better("confidence")).when(F.col("how") == "trust", better("trust"))
+    return x.withColumn("how", how).withColumn("winner", winner)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
+from siltstone.functions.text import token_set
 from siltstone.sources.shared import written
 
 
@@ -74,3 +75,23 @@ def winners(claims: DataFrame, roots: DataFrame) -> DataFrame:
     w = Window.partitionBy("root").orderBy(F.desc("trust"), "created_at", "claim_id")
     best = members.select("claim_id", F.first("claim_id").over(w).alias("new_id"))
     return best.where("claim_id <> new_id").select(F.col("claim_id").alias("old_id"), "new_id")
+
+
+def jaccard(a: str, b: str) -> Column:
+    """Of two sets; 0 if either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
+def recombinations(claims: DataFrame, edges: DataFrame, least: float = 0.34, worth: float = 0.5, candidates: int = 400) -> DataFrame:
+    """a, b, similarity of live claims of worth that share words but no edge: among the most salient ones, whose number is
+    the feature's bound, so that their pairs are few."""
+    sal = scoring.salience(F.col("confidence"), F.col("event_count"), F.col("type"), F.col("source_authority"), F.col("verify_count"))
+    best = claims.where(F.col("valid_to").isNull()).select("claim_id", token_set(F.col("text")).alias("words"), sal.alias("salience")).where(F.col("salience") >= worth)
+    best = written(best.orderBy(F.desc(F.round("salience", 9)), "claim_id").limit(candidates).drop("salience"), "candidates")
+    tokens = best.select("claim_id", "words", F.explode("words").alias("word"))
+    a = tokens.select(F.col("claim_id").alias("a"), F.col("words").alias("x"), "word")
+    b = tokens.select(F.col("claim_id").alias("b"), F.col("words").alias("y"), "word")
+    pairs = a.join(b, "word").where("a < b").dropDuplicates(["a", "b"]).select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= least)
+    known = edges.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"))
+    return pairs.join(known, ["a", "b"], "left_anti")

@@ -71,3 +71,48 @@ def classified(rows: DataFrame, column: str, table: list[tuple[str, str]], other
     """Rows with the kind of the first part of the table that their text has."""
     q = F.lower(column)
     return rows.withColumn("kind", F.coalesce(*[F.when(F.contains(q, F.lit(part)), kind) for part, kind in table], F.lit(otherwise)))
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their rank from 1 in a global order: positions within ordered ranges plus the rows of the ranges before,
+    so no task gets all rows."""
+    from siltstone.sources.shared import written
+
+    names = [f"order_{i}" for i in range(len(order))]
+    part = F.spark_partition_id()
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("in_range", part).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    sizes = dealt.groupBy("in_range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(F.broadcast(before), "in_range").withColumn("rank", F.col("before") + F.col("at") - F.col("first") + 1).drop("in_range", "at", "n", "first", "before", *names)
+
+
+def curiosity(claims: DataFrame, degrees: DataFrame, limit: int) -> DataFrame:
+    """Live claims worth asking about, most urgent first, with the reason: contested, little trusted or stale."""
+    worth = scoring.salience(F.col("confidence"), F.coalesce("event_count", F.lit(0)), F.col("type"), F.col("source_authority"), F.col("verify_count"))
+    x = claims.where(F.col("valid_to").isNull()).join(degrees, "claim_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    priority = worth * scoring.clamp01(1 - F.col("trust")) * (0.3 + 0.7 * scoring.clamp01(F.col("staleness"))) * (1 + 0.15 * F.least(F.col("degree"), F.lit(4)))
+    reason = F.when(F.col("degree") > 0, "contested").when(F.col("trust") <= 0.4, "low_trust").when(F.col("staleness") >= 0.7 - 1e-9, "stale")
+    return x.select("claim_id", reason.alias("reason"), priority.alias("priority")).where("reason is not null").orderBy(F.desc(F.round("priority", 9)), "claim_id").limit(limit)
+
+
+def consolidate(claims: DataFrame, links: DataFrame, events: DataFrame, edges: DataFrame, verdicts: DataFrame, now: Column, below: float) -> DataFrame:
+    """One pass in its fixed order: trust, forgetting of stale and of refuted claims, decay of edges. One row of what it
+    did; the steps are operators of their own, whose results a caller writes as new tables."""
+    from siltstone.operators import evidence
+
+    trusted = evidence.with_trust(claims, evidence.trust_inputs(claims, links, events), now)
+    stale = to_forget(trusted, below).agg(F.count("*").alias("stale"))
+    judged = evidence.latest_verdict(verdicts).where("kind = 'refutes'").select("claim_id")
+    refuted = trusted.where(F.col("valid_to").isNull()).join(judged, "claim_id", "left_semi").agg(F.count("*").alias("refuted"))
+    nothing = trusted.limit(0).select("claim_id")
+    decayed = strengthened(edges, nothing, 1.0).agg(F.sum("strength").alias("strength"))
+    return trusted.agg(F.count("*").alias("claims")).join(refuted, F.lit(True)).join(stale, F.lit(True)).join(decayed, F.lit(True))
+
+
+def cleaned(rows: DataFrame, column: str, blocks: list[str], prefixes: list[str]) -> DataFrame:
+    """Texts without tagged blocks and without the content of lines that begin with a prefix."""
+    out = F.col(column)
+    for tag in blocks:
+        out = F.regexp_replace(out, rf"(?s)<{tag}>.*?</{tag}>", "")
+    out = F.regexp_replace(out, "(?m)^(" + "|".join(prefixes) + ").*$", "")
+    return rows.withColumn("cleaned", F.trim(out))

@@ -71,3 +71,15 @@ def plasticity(rows: DataFrame, key: str, order: list[str], value: str, last: in
     w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
     x = rows.withColumn("rn", F.row_number().over(w)).groupBy(key).agg(F.avg(F.when(F.col("rn") <= last, F.col(value))).alias("recent"), F.avg(value).alias("usual"))
     return x.withColumn("plasticity", F.when(F.col("usual") == 0, 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.col("recent") / F.col("usual")))))
+
+
+def changes(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Rows whose value differs from the one before in their key's order, the first included."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col(value))).drop("before")
+
+
+def narrative(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """key, narrative: the changes of a value in order, as one line."""
+    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("step"))))
+    return changes(rows, key, order, value).groupBy(key).agg(F.array_join(F.transform(steps, lambda s: s["step"]), " > ").alias("narrative"))

@@ -55,12 +55,16 @@ def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").select("event_type", "n")
 
 
+def related(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Relations of new claims with one another and with stored ones."""
+    return relations(new, new).unionByName(relations(new, stored, incremental=True))
+
+
 def relate_batch(stored: DataFrame, path: str):
     """A foreachBatch function: relations of each batch of claims (claim_id, text) with one another and with stored ones,
     written under the batch's number, so that a batch that is delivered again replaces its own rows."""
 
     def run(rows: DataFrame, number: int) -> None:
-        found = relations(rows, rows).unionByName(relations(rows, stored, incremental=True))
-        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        related(rows, stored).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return run
