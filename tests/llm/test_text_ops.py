@@ -141,7 +141,9 @@ def test_quality_rules(spark, real):
     forest, most = quality_rules.fit(docs, labels)
     rows = quality_rules.apply_rules(docs, forest, most).join(labels.groupBy("doc_id").agg({"quality": "min"}).toDF("doc_id", "quality"), "doc_id").collect()
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed) for r in rows)
-    assert all(r.kept for r in rows if r.quality == 1 and not r.base_failed)
+    good = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert sum(good) / len(good) >= 0.98 and sum(bad) / len(bad) <= 0.5
     odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "a b", "x")], "doc_id long, text string, kept string")
     assert {(r.n_words, r.kept) for r in quality_rules.apply_rules(odd, forest, most).collect()} == {(0, False), (2, False)}
     empty, most = quality_rules.fit(docs.limit(0), labels.limit(0))
