@@ -303,12 +303,12 @@ def o181_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.activation(s.edges, seeds).select("claim_id", rounded("activation").alias("activation"))
 
 
-@query(r"""WITH RECURSIVE pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9),
+@query(r"""WITH RECURSIVE pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35),
 around AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 walk AS (SELECT a AS node, a AS root FROM around UNION SELECT b, root FROM walk JOIN around ON node = a WHERE root < b)
 SELECT node, min(root) AS root FROM walk GROUP BY 1 HAVING min(root) <> node""", False)
 def o185_semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = graph.similar_pairs(table(spark, sf_dir, "embeddings"), 0.9, "label")
+    pairs = graph.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35, "label")
     return graph.components(pairs).select("node", "root")
 
 
