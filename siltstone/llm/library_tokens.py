@@ -7,10 +7,19 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space before one of these characters starts a pre-token under both public vocabularies, so a text may be cut there:
 #: byte-level patterns give the space to what follows, the word vocabulary drops it. None of them is white space.
-CUT = re.compile("[ ](?=[\x21-\x7e\xa1-ᙿ])")
+SAFE = "[\x21-\x7e\xa1-ᙿ]"
+CUT = re.compile(f"[ ](?={SAFE})")
+#: A space before another character, or a line end that isn't between two characters that are no white space.
+ODD = re.compile(rf" (?!{SAFE})|\n(?!{SAFE})|\s\n|\A[ \n]|\x1f")
+#: A mark at the end of a word is a pre-token of its own; GLUED stands in its piece for the space that it lacks.
+MARK, GLUED = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,])(?=[ \n]|\\Z)"), "\x1f"
+#: Words that every public vocabulary keeps whole before its merges, and the letter that stands for a space in byte-level ones.
+LETTERS, SPACE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), "\u0120"
 #: Pieces in the younger of a worker's two memos; beyond them it becomes the older one, whose pieces come back when met.
 MEMO = 500_000
 
@@ -31,10 +40,17 @@ class LibraryEncoder:
         self.opens = os.path.commonprefix(list(added)) if added else ""
         if not self.opens:
             self.divider = None
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        marked = [t for x, t in vocabulary.items() if (x.endswith(suffix) if suffix else x.startswith(SPACE))]
+        self.begins, self.edge = not suffix, None
+        if marked:
+            self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.edge[marked] = True
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _new(self, pieces: list[str]) -> list[bytes]:
+    def _divided(self, pieces: list[str]) -> list[bytes]:
         """The library's ids of each piece. Pieces go to it in one text, divided by a special token, which splits a text
         before anything else is done to it; a piece that holds a special token's characters goes alone."""
         if self.divider is None:
@@ -52,23 +68,78 @@ class LibraryEncoder:
                 known[x] = np.array(self.library.encode(x, add_special_tokens=False).ids, self.dtype).tobytes()
         return [known[x] for x in pieces]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, in self.dtype."""
-        cut = [CUT.split(x) for x in texts]
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """Ids of pieces of a space and Latin letters, all in one text: such a piece is one word to the library, and the
+        tokens that begin a word, or end it, tell the words apart."""
+        ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        at = np.flatnonzero(self.edge[ids])
+        if len(at) != len(words):
+            return None
+        places = [*at.tolist(), len(ids)] if self.begins else [0, *(at + 1).tolist()]
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        return [raw[i * size : j * size] for i, j in zip(places, places[1:], strict=False)]
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces as they stand in a text: after a space, or from a line's end on."""
+        words = [x for x in pieces if LETTERS.fullmatch(x)] if self.edge is not None else []
+        found = self._words([f" {x}" for x in words]) if words else []
+        known = dict(zip(words, found, strict=True)) if found else {}
+        rest = [x for x in pieces if x not in known]
+        return known | dict(zip(rest, self._divided([x if x[0] == "\n" else x[1:] if x[0] == GLUED else f" {x}" for x in rest]), strict=True)) if rest else known
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, from the memo or new."""
         if len(self.spaced) > MEMO:
             self.older, self.spaced = self.spaced, {}
-        missing = set()
-        for pieces in cut:
-            if None in (got := [*map(self.spaced.get, pieces)]):
-                missing.update(x for x, ids in zip(pieces[1:], got[1:], strict=True) if ids is None)
-        self.spaced.update((x, self.older[x]) for x in missing.intersection(self.older))
-        new = list(missing.difference(self.spaced))
+        found = [*map(self.spaced.get, pieces)]
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        fresh = {x: ids for x in map(pieces.__getitem__, gaps) if (ids := self.older.get(x)) is not None}
+        new = [x for x in map(pieces.__getitem__, gaps) if x not in fresh]
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.spaced.update(zip(part, self._new([f" {x}" for x in part]), strict=True))
-        heads = self._new([pieces[0] for pieces in cut])
-        known = self.spaced.__getitem__
-        return [head + b"".join(map(known, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
+            fresh |= self._new(new[at : at + 20_000])
+        self.spaced |= fresh
+        for i in gaps:
+            found[i] = fresh[pieces[i]]
+        return found
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Texts whose every space stands before a safe character and every line end between two others: all are cut at
+        spaces, line ends and marks at words' ends at once, each distinct piece is looked up once, and ids are gathered by piece numbers."""
+        cut = pc.split_pattern(pa.array([MARK.sub(rf" {GLUED}\1", x).replace("\n", " \n") for x in texts], pa.large_string()), " ")
+        codes = pc.dictionary_encode(cut.flatten())
+        offsets = cut.offsets.to_numpy()
+        pieces, number = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64)
+        heads = [pieces[i] for i in number[offsets[:-1]].tolist()]
+        used = np.ones(len(number), bool)
+        used[offsets[:-1]] = False
+        inner = np.zeros(len(pieces), bool)
+        inner[number[used]] = True
+        at = np.flatnonzero(inner)
+        place = np.zeros(len(pieces), np.int64)
+        place[at] = np.arange(len(at))
+        number = place[number]
+        number[offsets[:-1]] = len(at) + np.arange(len(texts))
+        raw = [*self._known([pieces[i] for i in at.tolist()]), *self._divided(heads)]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
+        pool, starts = np.frombuffer(b"".join(raw), self.dtype), np.cumsum(sizes) - sizes
+        each = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(starts[number] - ends[:-1], each) + np.arange(ends[-1])]
+        stops = ends[offsets].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(stops, stops[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, in self.dtype."""
+        plain = [i for i, x in enumerate(texts) if x and not ODD.search(x)]
+        out = dict(zip(plain, self._whole([texts[i] for i in plain]), strict=True)) if plain else {}
+        odd = [i for i in range(len(texts)) if i not in out]
+        if odd:
+            cut = [CUT.split(texts[i]) for i in odd]
+            distinct = list({x for pieces in cut for x in pieces[1:]})
+            known = dict(zip(distinct, self._known(distinct), strict=True))
+            heads = self._divided([pieces[0] for pieces in cut])
+            out |= {i: head + b"".join(map(known.__getitem__, pieces[1:])) for i, head, pieces in zip(odd, heads, cut, strict=True)}
+        return [out[i] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)

@@ -125,3 +125,13 @@ def test_null_ids(spark):
     folder = scratch_path(spark, "files")
     assert [r.doc_id for r in token_files.read_token_files(token_files.write_token_files(docs, BYTES, folder), folder).orderBy("start").collect()] == [None, 3]
     assert {r.doc_id for r in bpe_automaton.bpe_round_trip(docs, BYTES).collect()} == {None, 3}
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_line_ends_and_letters(path):
+    encode, _ = library(path)
+    e = encoder(path)
+    parts = ["the", "Thing", "één", "ßa", "İx", "ǅ", "a.", ".b", "1", "'s", "don't", "\n", " ", "\t", "\x85", "<|endoftext|>", "ﬁn", "é", "한글"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", "\n\n", " \n", "\n "]) for _ in range(rng.randint(1, 12))) for _ in range(2500)]
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [encode(x) for x in texts]
