@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
 from siltstone.functions.text import alnum_key
+from siltstone.operators import evidence
+from siltstone.sources.shared import written
 
 # What forgetting spares, the cap of a belief's credit, and float-back.
 SPARED_SALIENCE, CREDIT_CAP = 0.66, 0.3
@@ -76,14 +78,10 @@ def classified(rows: DataFrame, column: str, table: list[tuple[str, str]], other
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their rank from 1 in a global order: positions within ordered ranges plus the rows of the ranges before,
     so no task gets all rows."""
-    from siltstone.sources.shared import written
-
-    names = [f"order_{i}" for i in range(len(order))]
-    part = F.spark_partition_id()
-    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("in_range", part).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("in_range", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "ranked")
     sizes = dealt.groupBy("in_range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(F.broadcast(before), "in_range").withColumn("rank", F.col("before") + F.col("at") - F.col("first") + 1).drop("in_range", "at", "n", "first", "before", *names)
+    return dealt.join(F.broadcast(before), "in_range").withColumn("rank", F.col("before") + F.col("at") - F.col("first") + 1).drop("in_range", "at", "n", "first", "before")
 
 
 def curiosity(claims: DataFrame, degrees: DataFrame, limit: int) -> DataFrame:
@@ -98,8 +96,6 @@ def curiosity(claims: DataFrame, degrees: DataFrame, limit: int) -> DataFrame:
 def consolidate(claims: DataFrame, links: DataFrame, events: DataFrame, edges: DataFrame, verdicts: DataFrame, now: Column, below: float) -> DataFrame:
     """One pass in its fixed order: trust, forgetting of stale and of refuted claims, decay of edges. One row of what it
     did; the steps are operators of their own, whose results a caller writes as new tables."""
-    from siltstone.operators import evidence
-
     trusted = evidence.with_trust(claims, evidence.trust_inputs(claims, links, events), now)
     stale = to_forget(trusted, below).agg(F.count("*").alias("stale"))
     judged = evidence.latest_verdict(verdicts).where("kind = 'refutes'").select("claim_id")
