@@ -110,3 +110,16 @@ def cosine(a: Column, b: Column) -> Column:
 def short_id(prefix: str, *parts: Column, size: int = 16) -> Column:
     """A prefix and the first characters of the SHA-256 of the parts joined by `|`."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, size))
+
+
+def resistance(age: Column, verified: Column, since_verified: Column) -> Column:
+    """How far a belief may still move: 1 for a new one, down to 0.25 for one that is old, often and lately verified."""
+    a, r = F.greatest(age, F.lit(0.0)), F.greatest(since_verified, F.lit(0.0))
+    return 1 - 0.75 * (a / (a + 30.0)) * (verified / (verified + 3.0)) * (30.0 / (r + 30.0))
+
+
+def modulated(delta: Column, resists: Column, gain: Column) -> Column:
+    """A credit scaled by gain (0.5 to 2) and by resistance, to which blame yields by 0.6 more."""
+    r = F.greatest(F.lit(0.25), F.least(F.lit(1.0), resists))
+    d = delta * F.greatest(F.lit(0.5), F.least(F.lit(2.0), gain))
+    return F.when(d >= 0, d * r).otherwise(d * (r + (1 - r) * 0.6))

@@ -167,3 +167,44 @@ def event_kind(kind: Column, text: Column) -> Column:
         F.when((F.lower(kind) == "decision") | (F.trim(plain) == "") | plain.rlike(NOT_OBSERVED), "").when(plain.rlike(INCIDENT) & plain.rlike(OCCURRED), "incident")
         .when(~plain.rlike(ARTIFACT), "").otherwise(seen)
     )
+
+
+# Signals of claim types and of confidence.
+DECISION_SIGNALS = ["decide", "decision", "we will", "approved", "chosen", "plan is", "we should"]
+HYPOTHESIS_SIGNALS = ["might", "maybe", "hypothesis", "assume", "could", "possibly", "likely", "expected"]
+HEDGES = ["approximately", "about", "around", "maybe", "might", "likely"]
+CONFIRMATIONS = ["confirmed", "observed", "measured", "reported"]
+BASE_CONFIDENCE = {"decision": 0.88, "hypothesis": 0.62}
+OTHER_CONFIDENCE = 0.8
+
+
+def claim_type(text: Column) -> Column:
+    """decision if it has signals of one, at least as many as of a hypothesis; else hypothesis if it has any; else fact."""
+    lower = F.lower(text)
+
+    def score(words: list[str]) -> Column:
+        out = F.lit(0)
+        for w in words:
+            out = out + F.contains(lower, F.lit(w)).cast("int")
+        return out
+
+    decision, hypothesis = score(DECISION_SIGNALS), score(HYPOTHESIS_SIGNALS)
+    return F.when((decision > 0) & (decision >= hypothesis), "decision").when(hypothesis > 0, "hypothesis").otherwise("fact")
+
+
+def claim_confidence(text: Column, kind: Column) -> Column:
+    """By type, less for hedges, more for digits and words of confirmation, from 0.5 to 0.95."""
+    lower = F.lower(text)
+    base = F.coalesce(*[F.when(kind == k, v) for k, v in BASE_CONFIDENCE.items()], F.lit(OTHER_CONFIDENCE))
+    value = base - F.when(_has_any(lower, HEDGES), 0.08).otherwise(0.0) + F.when(lower.rlike("[0-9]"), 0.05).otherwise(0.0) + F.when(_has_any(lower, CONFIRMATIONS), 0.04).otherwise(0.0)
+    return F.greatest(F.lit(0.5), F.least(F.lit(0.95), value))
+
+
+def entity_key(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+
+
+def names_match(a: Column, b: Column) -> Column:
+    """Equal after normalising, or one contains the other; empty names match nothing."""
+    x, y = entity_key(a), entity_key(b)
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))

@@ -372,3 +372,41 @@ def o245_incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _leads(Store(spark, sf_dir))
     odd = F.floor(F.col("claim_id") / model.ROOM) % 2
     return signals.related(c.where(odd == 1), c.where(odd == 0))
+
+
+# --- extraction
+
+
+def _any_sql(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
+
+
+def _score_sql(words: list[str]) -> str:
+    return "(" + " + ".join(f"contains(l, '{w}')::INT" for w in words) + ")"
+
+
+TYPED_SQL = f""", low AS (SELECT claim_id, lower(text) AS l FROM kb_claims), typed0 AS (SELECT *, {_score_sql(text.DECISION_SIGNALS)} AS d, {_score_sql(text.HYPOTHESIS_SIGNALS)} AS h FROM low),
+typed1 AS (SELECT claim_id, l, CASE WHEN d > 0 AND d >= h THEN 'decision' WHEN h > 0 THEN 'hypothesis' ELSE 'fact' END AS kind FROM typed0)
+"""
+
+
+@query(TYPED_SQL + f"SELECT claim_id, kind, round(greatest(0.5, least(0.95, CASE kind WHEN 'decision' THEN 0.88 WHEN 'hypothesis' THEN 0.62 ELSE 0.8 END - CASE WHEN {_any_sql(text.HEDGES)} THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(l, '[0-9]') THEN 0.05 ELSE 0 END + CASE WHEN {_any_sql(text.CONFIRMATIONS)} THEN 0.04 ELSE 0 END))::DOUBLE, 6) AS confidence FROM typed1")
+def o112_extracted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    kind = text.claim_type(t)
+    return Store(spark, sf_dir).claims.select("claim_id", kind.alias("kind"), rounded(text.claim_confidence(t, kind)).alias("confidence"))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE contains(lower(a.p_name), lower(b.p_name)) OR contains(lower(b.p_name), lower(a.p_name)) OR contains(lower(a.p_type), lower(b.p_type))", False)
+def o107_names_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    b = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_partkey").alias("b"), F.col("p_name").alias("other"), F.col("p_type").alias("other_type"))
+    x = p.join(b, "p_partkey").where(text.names_match(F.col("p_name"), F.col("other")) | F.contains(F.lower("p_type"), F.lower("other_type")))
+    return x.select(F.col("p_partkey").alias("a"), "b")
+
+
+@query("SELECT claim_id, round(r, 6) AS resistance, round(CASE WHEN d >= 0 THEN d * r ELSE d * (r + (1 - r) * 0.6) END, 6) + 0.0::DOUBLE AS credit FROM (SELECT claim_id, ((claim_id % 7) - 3) / 10.0::DOUBLE AS d, 1 - 0.75 * (a / (a + 30)) * (verify_count / (verify_count + 3.0)) * (30 / (v + 30)) AS r FROM (SELECT *, greatest((1706745600 - created_at) / 86400.0::DOUBLE, 0) AS a, greatest((1706745600 - coalesce(last_verified, created_at)) / 86400.0::DOUBLE, 0) AS v FROM kb_claims))")
+def o141_resistance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    age, since = (scoring.days_between(F.col(c) if c == "created_at" else F.coalesce(c, "created_at"), now()) for c in ("created_at", "last_verified"))
+    x = Store(spark, sf_dir).claims.select("claim_id", scoring.resistance(age, F.col("verify_count"), since).alias("r"), ((F.col("claim_id") % 7 - 3) / 10.0).alias("d"))
+    return x.select("claim_id", rounded("r").alias("resistance"), rounded(scoring.modulated(F.col("d"), F.col("r"), F.lit(1.0))).alias("credit"))
