@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, documents, id_crc, small_batches
+from siltstone.llm.common import doc_texts, documents, id_crc, small_batches, written
 
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOC_PROFILE = 400, 300
 #: Training documents of a language, at most about so many: all if there are no more, else a share by hash.
 TRAIN_DOCS = 4000
+#: Up to so many languages, their shares are broadcast.
+BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
 SPACE = 32
 #: A document whose n-grams are all but absent from the nearest profile is in none of the learned languages.
@@ -56,11 +58,13 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
-    """lang, text of at most about TRAIN_DOCS documents of each language, never held-out ones."""
+    """lang, text of at most about TRAIN_DOCS documents of each language, never held-out ones. A language's share goes to
+    the documents by a broadcast while there are few languages."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~(F.lit(False) if held_out is None else held_out))
-    shares = rows.groupBy("lang").agg((F.lit(1.0) * TRAIN_DOCS / F.count("*")).alias("train_share"))
+    shares = written(rows.groupBy("lang").agg((F.lit(1.0) * TRAIN_DOCS / F.count("*")).alias("train_share")), "language-shares")
+    few = shares.count() <= BROADCAST_LANGS
     part = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    return rows.select("lang", "text", part.alias("at_share")).join(shares, "lang").where("at_share < train_share").select("lang", "text")
+    return rows.select("lang", "text", part.alias("at_share")).join(F.broadcast(shares) if few else shares, "lang").where("at_share < train_share").select("lang", "text")
 
 
 def train(rows: DataFrame) -> dict[str, list[int]]:
