@@ -20,8 +20,10 @@ ODD = re.compile(rf" (?!{SAFE})|\n(?!{SAFE})|\s\n|\A[ \n]|\x1f")
 MARK, GLUED = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,])(?=[ \n]|\\Z)"), "\x1f"
 #: Words that every public vocabulary keeps whole before its merges, and the letter that stands for a space in byte-level ones.
 LETTERS, SPACE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), "\u0120"
+#: Beyond Latin-1, lower case may depend on what stands around; within it, a vocabulary of lower case may as well get it so.
+FAR = re.compile("[^\x00-\xff]")
 #: Pieces in the younger of a worker's two memos; beyond them it becomes the older one, whose pieces come back when met.
-MEMO = 500_000
+MEMO = 800_000
 
 
 class LibraryEncoder:
@@ -47,6 +49,7 @@ class LibraryEncoder:
         if marked:
             self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
             self.edge[marked] = True
+        self.lowers = self.library.encode("Aé É", add_special_tokens=False).ids == self.library.encode("aé é", add_special_tokens=False).ids
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -130,6 +133,8 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, in self.dtype."""
+        if self.lowers:
+            texts = [x if FAR.search(x) else x.lower() for x in texts]
         plain = [i for i, x in enumerate(texts) if x and not ODD.search(x)]
         out = dict(zip(plain, self._whole([texts[i] for i in plain]), strict=True)) if plain else {}
         odd = [i for i in range(len(texts)) if i not in out]
@@ -148,7 +153,7 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def in_bounds(texts: list[str], most: int = 4_000_000):
+def in_bounds(texts: list[str], most: int = 8_000_000):
     """Slices of a batch with at most so many characters, or one text."""
     start = size = 0
     for i, x in enumerate(texts):

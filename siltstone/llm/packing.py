@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = EN
                 out.insert(1, "doc_id", batch["doc_id"].iloc[part].array)
                 yield out
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     return doc_texts(docs).mapInPandas(run, "row_key long, doc_id long, doc_tokens long, crcs array<long>, ids binary")
 
 

@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int =
         yield pd.DataFrame([(shard, len(ids), offsets[-1], e.dtype.itemsize)], columns=["shard", "docs", "tokens", "width"])
 
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000)
     shards = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(run, SHARDS).collect()
     rows, base = [], 0
     for x in sorted(shards):
