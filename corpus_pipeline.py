@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm import jaccard_join, language_id, packing, rule_ensemble, secret_scan
 from siltstone.llm.common import documents, written
 
+#: Near copies: shingles of so many words, and the least Jaccard similarity of their sets.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rule_ensemble.kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each_group(docs)
+    return jaccard_join.one_of_each_group(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Documents linked by the Jaccard similarity of their word shingles, through signature trees.
 
 Equal sets are one class. Class representatives meet by equal part signatures (shingle_sets), which miss no pair of the
-similarity asked for; what meets, directly or through others, is a block. A signature tree over each block's sets finds
+similarity asked for, and each leaves out its most frequent ones as far as its linked sets share others; what meets,
+directly or through others, is a block. A signature tree over each block's sets finds
 the links by a dual traversal with exact checks. A block of more than CHUNK sets is split: each chunk is joined with
 itself and with the block's first set; then the sets that are not in the block's largest component meet all chunks.
 """
@@ -13,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, documents, small_batches, written
+from siltstone.llm.common import doc_texts, documents, dropped, small_batches, written
 from siltstone.llm.components import stars
-from siltstone.llm.shingle_sets import part_signatures, set_digest, shingles
+from siltstone.llm.shingle_sets import set_digest, shingles, signature_groups
 from siltstone.llm.signature_tree import Components, build, join_trees, width
 
 WORDS, PERCENT = 3, 90
@@ -26,7 +27,7 @@ BROADCAST_ROWS = 500_000
 
 
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (digest of the set), signatures of every whole text."""
+    """doc_id, n_shingles, h1 and h2 (digest of the set), signatures (spare, hashes) by size class of every whole text."""
 
     def run(batches):
         for batch in batches:
@@ -37,30 +38,42 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 sizes.append(len(s))
                 first.append(a)
                 second.append(b)
-                rows.append(part_signatures(s, percent))
-            lists = pa.array(rows, pa.list_(pa.int64()))
+                rows.append([{"spare": spare, "hashes": x} for spare, x in signature_groups(s, percent)])
+            lists = pa.array(rows, pa.list_(pa.struct([("spare", pa.int32()), ("hashes", pa.list_(pa.int64()))])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["doc_id", "n_shingles", "h1", "h2", "signatures"])
 
     small_batches(docs.sparkSession)
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signatures array<long>")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signatures array<struct<spare:int,hashes:array<long>>>")
 
 
-def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, rep (least doc_id with an equal set; its own if the set is empty), and the signatures of
-    representatives. Written to the shared folder."""
-    table = written(shingle_table(docs, words, percent), "shingles")
+def classes(table: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and rep (least doc_id with an equal set; its own if the set is empty) of a shingle table. Written
+    to the shared folder."""
     keys = ["n_shingles", "h1", "h2"]
     copies = table.where("n_shingles > 0").groupBy(keys).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     rep = F.coalesce("least", "doc_id")
-    own = F.when(F.col("doc_id") == rep, F.col("signatures"))
-    return written(table.join(copies, keys, "left").select("doc_id", "n_shingles", rep.alias("rep"), own.alias("signatures")), "classes")
+    return written(table.drop("signatures").join(copies, keys, "left").select("doc_id", "n_shingles", rep.alias("rep")), "classes")
+
+
+def met(table: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): each representative b and the least one, a, that has a signature in common with it. Of each size class a set
+    leaves out as many of its most frequent signatures as it has to spare: what linked sets share most rarely stays in
+    both. Signatures of one set meet nothing and go first, after the only shuffle of all signatures."""
+    copies = written(known.groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy")).where("copy").select("doc_id"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    reps = table.where("doc_id is not null").select("doc_id", "signatures").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    groups = reps.select("doc_id", F.posexplode("signatures").alias("place", "g"))
+    rows = groups.select("doc_id", (2 * F.col("g.spare") + F.col("place")).alias("spare"), F.explode("g.hashes").alias("signature"))
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).where("n > 1")
+    commonest = Window.partitionBy("doc_id", "spare").orderBy(F.desc("n"), F.desc("signature"))
+    left = shared.withColumn("at", F.row_number().over(commonest)).where("at > shiftright(spare, 1)").select("doc_id", "signature")
+    first = F.min("doc_id").over(Window.partitionBy("signature").orderBy("doc_id"))
+    return left.select(first.alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
 
 
-def blocks(known: DataFrame) -> DataFrame:
+def blocks(table: DataFrame, known: DataFrame) -> DataFrame:
     """(node, root) of representatives that meet by signatures, directly or through others; a block's root has no row."""
-    rows = known.where("signatures is not null").select(F.explode("signatures").alias("signature"), "doc_id")
-    first = F.min("doc_id").over(Window.partitionBy("signature").orderBy("doc_id"))
-    return stars(rows.select("doc_id", first.alias("first")).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct())
+    return stars(met(table, known))
 
 
 def tree_join(members: DataFrame, words: int, percent: int) -> DataFrame:
@@ -102,8 +115,10 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every document, one row for each row of docs.
     Two documents link when their shingle sets' Jaccard similarity is at least percent / 100. A null or empty text, or one
     without words, has no shingles and no links; a doc_id on several rows is one document in links; null ids have none."""
-    known = classes(docs, words, percent)
-    block = blocks(known)
+    table = written(shingle_table(docs, words, percent), "shingles")
+    known = classes(table)
+    block = blocks(table, known)
+    dropped(table)
     members = written(block.select(F.col("node").alias("doc_id"), F.col("root").alias("task")).unionByName(block.select(F.col("root").alias("doc_id"), F.col("root").alias("task")).distinct()), "members")
     sizes = members.groupBy("task").count().where(F.col("count") > CHUNK).select("task", F.ceil(F.col("count") / CHUNK).alias("chunks"))
     sizes = written(sizes, "large-blocks")

@@ -1,8 +1,8 @@
 """Shingle sets of texts, and the part signatures by which similar sets meet.
 
 Sets of Jaccard similarity t or more differ in at most (1 - t) / (1 + t) of their summed sizes. A set's hashes are cut by
-value into one part more than that bound for its size class, so two linked sets have an equal part: each part's hash is a
-signature. Classes are ranges of sizes; a set whose partner may be in the next class has that class's signatures too.
+value into more parts than that bound for its size class (half as many again), so two linked sets have equal parts: each
+part's hash is a signature. Classes are ranges of sizes; a set whose partner may be in the next class has that class's signatures too.
 """
 
 from __future__ import annotations
@@ -64,24 +64,33 @@ def edges(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
 
 
-def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set, as signed 64-bit numbers. An empty part is no signature unless the set has so many of them
-    that it might share none but empty parts."""
+def signature_groups(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """For each size class that a set meets others in: spare, and its signatures as signed 64-bit numbers. The set shares
+    more than `spare` of these with every linked set, so each set may leave out that many of its own, if all sets leave out
+    by one order of all signatures. Empty parts are no signatures where the others are more than the bound of differing
+    elements; otherwise they are, and none may be left out."""
     n = len(s)
     if not n:
-        return np.zeros(0, np.int64)
+        return []
     ends = class_ends()
     own = int(np.searchsorted(ends, n))
     out = []
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ C), dtype=np.uint64)])
     for c in (own, own + 1) if 100 * n >= percent * (ends[own] + 1) else (own,):
         most = differing(ends[c], percent)
-        parts = most + 2
+        parts = most + most // 2 + 2
         at = np.concatenate([[0], np.searchsorted(s, edges(parts)), [n]])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ C), dtype=np.uint64)])
         values = sums[at[1:]] - sums[at[:-1]]
         tags = mixed(np.arange(parts, dtype=np.uint64) ^ np.uint64(c << 40))
         filled = at[1:] > at[:-1]
-        if parts - int(filled.sum()) < parts - most:
+        partner = min(ends[c], 100 * n // percent)
+        spare = int(filled.sum()) - (n + partner) * (100 - percent) // (100 + percent) - 1
+        if spare >= 0:
             values, tags = values[filled], tags[filled]
-        out.append(mixed(values ^ tags))
-    return np.concatenate(out).astype(np.int64)
+        out.append((max(0, spare), mixed(values ^ tags).astype(np.int64)))
+    return out
+
+
+def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """All signatures of a set."""
+    return np.concatenate([np.zeros(0, np.int64), *(x for _, x in signature_groups(s, percent))])

@@ -130,3 +130,56 @@ def test_pipeline_stages(spark):
     assert good.join(docs.select("doc_id"), "doc_id").count() - good.join(kept, "doc_id").count() <= 1
     packed = corpus_pipeline.pack(spark, before, sf)
     assert packed.select("doc_id").distinct().count() == before.count()
+
+
+def plain_kept(rows, words, percent):
+    sets = {}
+    for i, x in rows:
+        w = WORD.findall(x.translate(LOWER))
+        k = min(words, len(w))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) > 0:
+                x, y = find(i), find(j)
+                up[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def test_near_duplicates_of_the_pipeline(spark):
+    """Copies with a fifth of the text added or cut go; those with a third added stay. Common passages link nothing."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        x = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 150, 400]))] + passage * (i % 2)
+        more = [f"x{rng.randrange(5000)}" for _ in range(len(x))]
+        rows += [(10 * i, x), (10 * i + 1, x + more[: len(x) // 6]), (10 * i + 2, x[: len(x) * 6 // 7]), (10 * i + 3, more[: len(x) // 3] + x)]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == plain_kept(rows, 5, 80)
+    assert not any(i % 10 in (1, 2) for i in kept)
+    table = jaccard_join.written(jaccard_join.shingle_table(docs, 5, 80), "shingles")
+    assert jaccard_join.blocks(table, jaccard_join.classes(table)).groupBy("root").count().agg({"count": "max"}).first()[0] < 24
+
+
+def test_rarest_signatures_miss_no_pair():
+    rng = np.random.default_rng(17)
+    for percent in (80, 90):
+        for n in [1, 2, 4, 5, 9, 10, 19, 40, 100, 150, 500]:
+            for _ in range(60):
+                a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+                most = n * (100 - percent) // 100
+                drop, add = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+                b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+                if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    left = [{x for spare, g in shingle_sets.signature_groups(s, percent) for x in sorted(g.tolist())[: len(g) - spare]} for s in (a, b)]
+                    assert left[0] & left[1]
