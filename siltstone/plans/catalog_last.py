@@ -81,11 +81,18 @@ def o050_incident_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RELATE_SQL + "SELECT a, b, shared FROM pairs JOIN cl x ON x.claim_id = a JOIN cl y ON y.claim_id = b WHERE shared / least(len(x.words), len(y.words)) >= 0.3")
-def o052_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o052_lead_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _leads(Store(spark, sf_dir))
     return relate.overlap_pairs(c, c).where("a < b").select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
+@query(None)
+def o052_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all claims; a test compares it with brute force."""
+    c = Store(spark, sf_dir).claims.select("claim_id", "text")
+    return relate.overlap_pairs(c, c).where("a < b").select("a", "b", F.col("shared").cast("long").alias("shared"))
+
+
 @query(r""", cand AS (SELECT claim_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: length(w) >= 3)) AS words FROM (
   SELECT claim_id, text, """ + GAP_SQL.replace("event_count", "n_ev") + r""" AS sal FROM kb_claims JOIN (SELECT claim_id, count(*) AS n_ev FROM kb_evidence GROUP BY 1) USING (claim_id) WHERE valid_to IS NULL)
   WHERE sal >= 0.5 ORDER BY round(sal, 9) DESC, claim_id LIMIT 400),
@@ -368,12 +375,20 @@ def o243_weekly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(RELATE_SQL + "SELECT a AS from_id, b AS to_id, type FROM typed WHERE type IS NOT NULL AND (a // 100000) % 2 = 1 AND (b // 100000) % 2 = 1 UNION ALL SELECT CASE WHEN (a // 100000) % 2 = 1 THEN a ELSE b END, CASE WHEN (a // 100000) % 2 = 1 THEN b ELSE a END, type FROM typed WHERE type IS NOT NULL AND (a // 100000) % 2 <> (b // 100000) % 2")
-def o245_incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o245_lead_incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _leads(Store(spark, sf_dir))
     odd = F.floor(F.col("claim_id") / model.ROOM) % 2
     return signals.related(c.where(odd == 1), c.where(odd == 0))
 
 
+@query(None)
+def o245_incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all claims; a test compares it with brute force."""
+    c = Store(spark, sf_dir).claims.select("claim_id", "text")
+    odd = F.floor(F.col("claim_id") / model.ROOM) % 2
+    return signals.related(c.where(odd == 1), c.where(odd == 0))
+
+
 # --- extraction
 
 

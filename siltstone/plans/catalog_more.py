@@ -350,11 +350,18 @@ def _leads(s: Store) -> DataFrame:
 
 
 @query(RELATE_SQL + "SELECT a AS from_id, b AS to_id, type FROM typed WHERE type IS NOT NULL")
-def o200_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o200_lead_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _leads(Store(spark, sf_dir))
     return relate.relations(c, c)
 
 
+@query(None)
+def o200_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all claims; a test compares it with brute force."""
+    c = Store(spark, sf_dir).claims.select("claim_id", "text")
+    return relate.relations(c, c)
+
+
 @query(r"SELECT least(a, b) AS a, greatest(a, b) AS b, type FROM (SELECT a.claim_id AS a, b.claim_id AS b, CASE WHEN sign(a.pass_count - a.fail_count) = sign(b.pass_count - b.fail_count) THEN 'supports' ELSE 'contradicts' END AS type FROM kb_claims a JOIN kb_claims b ON a.scope_service = b.scope_service AND a.created_by = b.created_by AND a.claim_id // 100000 = b.claim_id // 100000 AND a.claim_id < b.claim_id WHERE a.pass_count <> a.fail_count AND b.pass_count <> b.fail_count)")
 def o207_test_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Store(spark, sf_dir).claims.withColumn("requirement", F.concat_ws("/", "scope_service", "created_by", F.floor(F.col("claim_id") / model.ROOM).cast("string")))
