@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from siltstone.functions import scoring
 from siltstone.functions.text import token_set
 from siltstone.sources.shared import written
 
+#: Cosine from which two vectors say the same, and rows in a block of the comparison of all pairs.
+LEAST_COSINE, BLOCK = 0.92, 2000
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     cols = [c for c in edges.columns if c not in ("from_id", "to_id")]
@@ -58,15 +63,35 @@ def components(links: DataFrame) -> DataFrame:
         now = written(new.distinct(), "links")
 
 
-def similar_pairs(vectors: DataFrame, least: float, group: str | None = None) -> DataFrame:
-    """a, b, score of vectors (vec_id, embedding) with cosine at least so much. Blocks: vectors of one group are compared
-    with each other; without a group, random hyperplane bands bring near ones together, and pairs that share none are
-    missed."""
-    if group is None:
-        raise ValueError("name the column whose values block the comparison")
-    a = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), group)
-    b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), group)
-    return a.join(b, group).where("a < b").select("a", "b", scoring.cosine(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+def similar_pairs(vectors: DataFrame, least: float = LEAST_COSINE, group: str | None = None, block: int = BLOCK) -> DataFrame:
+    """a, b, score of vectors (vec_id, embedding) with cosine at least so much: all pairs, or with a group those within it.
+    Rows are dealt to numbered blocks of about `block`, and each pair of blocks is one task's matrix product."""
+    if group is not None:
+        a = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), group)
+        b = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), group)
+        return a.join(b, group).where("a < b").select("a", "b", scoring.cosine(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least)
+    n = -(-max(1, vectors.count()) // block)
+    own = vectors.where("embedding is not null and vec_id is not null").select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("own"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    dealt = dealt.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "vec_id", "embedding")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        sides = []
+        for side in (p, q):
+            rows = part[part["own"] == side]
+            m = np.array(rows["embedding"].tolist(), np.float64).reshape(len(rows), -1)
+            size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            sides.append((rows["vec_id"].to_numpy(np.int64), np.divide(m, size, out=np.zeros_like(m), where=size > 0)))
+        (x, u), (y, v) = sides
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": x[:0], "b": x[:0], "score": np.zeros(0)})
+        scores = u @ v.T
+        hit = (scores >= least) & ((x[:, None] < y[None, :]) if p == q else (x[:, None] != y[None, :]))
+        i, j = np.nonzero(hit)
+        return pd.DataFrame({"a": np.minimum(x[i], y[j]), "b": np.maximum(x[i], y[j]), "score": scores[i, j]})
+
+    return dealt.groupBy("p", "q").applyInPandas(run, "a long, b long, score double")
 
 
 def winners(claims: DataFrame, roots: DataFrame) -> DataFrame:

@@ -307,11 +307,17 @@ def o181_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 around AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 walk AS (SELECT a AS node, a AS root FROM around UNION SELECT b, root FROM walk JOIN around ON node = a WHERE root < b)
 SELECT node, min(root) AS root FROM walk GROUP BY 1 HAVING min(root) <> node""", False)
-def o185_semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o185_label_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = graph.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35, "label")
     return graph.components(pairs).select("node", "root")
 
 
+@query(None)
+def o185_semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all pairs of vectors; a test compares it with brute force."""
+    return graph.components(graph.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35)).select("node", "root")
+
+
 @query("SELECT claim_id AS old_id, first_id AS new_id FROM (SELECT claim_id, min(claim_id) OVER (PARTITION BY created_by, type, scope_service, citation_count) AS first_id FROM kb_claims) WHERE claim_id <> first_id")
 def o093_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Store(spark, sf_dir).claims
