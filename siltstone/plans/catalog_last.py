@@ -306,7 +306,7 @@ def o191_auto_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r""", g AS (SELECT trim(regexp_replace(translate(lower(text), ',.;:!?', ''), '\s+', ' ', 'g')) AS k, count(DISTINCT created_by) AS tenants FROM (SELECT s.text, e.created_by FROM statements s JOIN kb_events e USING (event_id)) GROUP BY 1)
 SELECT k AS statement, tenants FROM g WHERE tenants >= 3""")
-def o230_promotable(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o230_statement_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     x = model._statements(s.events).join(s.events.select("event_id", "created_by"), "event_id")
     by_tenant = x.groupBy("key", "created_by").agg(F.count("*").alias("n"))
