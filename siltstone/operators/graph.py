@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
 from siltstone.functions.text import token_set
-from siltstone.sources.shared import written
+from siltstone.sources.shared import Scratch, written
 
 #: Cosine from which two vectors say the same, and rows in a block of the comparison of all pairs.
 LEAST_COSINE, BLOCK = 0.92, 2000
@@ -46,21 +46,23 @@ def activation(edges: DataFrame, seeds: DataFrame, rounds: int = 2, decay: float
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b) but the least of each component, which is the root: large-star and
-    small-star steps until nothing changes. Each round is written to the shared folder."""
-    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return now
-        seen = state
-        both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("least"))
-        large = both.where("root > node").join(least, "node").select(F.col("root").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
-        low = large.groupBy("node").agg(F.min("root").alias("least"))
-        small = large.join(low, "node")
-        new = small.select("node", F.col("least").alias("root")).unionByName(small.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root")))
-        now = written(new.distinct(), "links")
+    small-star steps until nothing changes. A round's links are written to the shared folder and the round before is
+    deleted; only a count and a sum of hashes come to the driver."""
+    with Scratch(links.sparkSession, "links") as scratch:
+        now = scratch.written(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
+        seen = None
+        while True:
+            state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
+            if state == seen:
+                return written(now, "components")
+            seen = state
+            both = now.select("node", F.col("root").alias("other")).unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("other")))
+            least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("least"))
+            large = both.where("other > node").join(least, "node").select(F.col("other").alias("node"), F.col("least").alias("root")).where("node <> root").distinct()
+            low = large.groupBy("node").agg(F.min("root").alias("least"))
+            small = large.join(low, "node")
+            new = small.select("node", F.col("least").alias("root")).unionByName(small.where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root")))
+            now = scratch.replaced(new.distinct(), "links")
 
 
 def similar_pairs(vectors: DataFrame, least: float = LEAST_COSINE, group: str | None = None, block: int = BLOCK) -> DataFrame:

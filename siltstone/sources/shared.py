@@ -19,7 +19,43 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
+    return written_to(df, scratch_path(df.sparkSession, name))
+
+
+class Scratch:
+    """Tables that one operation needs on its way, in a folder of their own that is deleted when the operation ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, scratch_path(spark, name), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.delete(self.path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return written_to(df, f"{self.path}/{self.n}-{name}")
+
+    def replaced(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table in place of the one of that name before, which df may still read."""
+        before = f"{self.path}/{self.n}-{name}"
+        out = self.written(df, name)
+        self.delete(before)
+        return out
+
+    def delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
