@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import jaccard_join, language_id, packing, rule_ensemble, secret_scan
-from siltstone.llm.common import documents, written
+from siltstone.llm.common import documents
+from siltstone.sources.shared import written
 
 #: Near copies: shingles of so many words, and the least Jaccard similarity of their sets.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
