@@ -12,12 +12,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches
-
 #: The template's control strings, in the order of a turn: <s>role[INST]text[/INST]</s>.
 OPEN, BODY, END_BODY, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
 CONTROL = "|".join(re.escape(x) for x in ("\\", OPEN, BODY, END_BODY, CLOSE))
@@ -30,14 +28,18 @@ def fold_log(log: DataFrame) -> DataFrame:
     of the same sequence number are taken by kind, role and text; repeated messages stay; a delta, edit or regeneration
     without a message opens one. Extra columns are dropped."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = zip(*out, strict=True) if out else ((),) * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["conv_id", "turn", "role", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv = turn = role = None
         text: list[str] | None = None
         void = pending = None
         for batch in batches:
             out = []
-            for c, t, seq, kind, r, x in batch[LOG].itertuples(index=False, name=None):
-                c, t, seq = (None if pd.isna(v) else int(v) for v in (c, t, seq))
+            for c, t, seq, kind, r, x in zip(*(batch.column(name).to_pylist() for name in LOG), strict=True):
                 if (c, t) != (conv, turn):
                     if text is not None:
                         out.append((conv, turn, role, "".join(text)))
@@ -57,14 +59,13 @@ def fold_log(log: DataFrame) -> DataFrame:
                     pending = seq if pending is None else max(pending, seq or 0)
                 else:
                     text.append(x)
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+            yield rows_of(out)
         if text is not None:
-            yield pd.DataFrame([(conv, turn, role, "".join(text))], columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+            yield rows_of([(conv, turn, role, "".join(text))])
 
-    small_batches(log.sparkSession)
     empty = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
     ordered = log.select("conv_id", "turn", "seq", "kind", *empty).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
-    return ordered.mapInPandas(run, "conv_id long, turn long, role string, text string")
+    return ordered.mapInArrow(run, "conv_id long, turn long, role string, text string")
 
 
 def escaped(text: Column | str) -> Column:
@@ -102,8 +103,12 @@ def digests(rendered: DataFrame) -> DataFrame:
     """What is read back from the rendered turns of each conversation: conv_id, n_turns, turns_sha256, loss_chars,
     loss_sha256, formatted_chars. Takes render()'s rows as they come, and holds one turn."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    def rows_of(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        columns = zip(*out, strict=True) if out else ((),) * 6
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, state = None, None
 
         def row() -> tuple:
@@ -112,8 +117,7 @@ def digests(rendered: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for c, x, i, j in batch[["conv_id", "formatted", "loss_start", "loss_end"]].itertuples(index=False, name=None):
-                c = None if pd.isna(c) else int(c)
+            for c, x, i, j in zip(*(batch.column(name).to_pylist() for name in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
                 if state is None or c != conv:
                     if state is not None:
                         out.append(row())
@@ -125,11 +129,11 @@ def digests(rendered: DataFrame) -> DataFrame:
                 state[2].update(learned.encode())
                 state[3] += len(learned)
                 state[4] += len(x)
-            yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
+            yield rows_of(out)
         if state is not None:
-            yield pd.DataFrame([row()], columns=columns).astype({"conv_id": "Int64"})
+            yield rows_of([row()])
 
-    return rendered.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rendered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
@@ -138,6 +142,7 @@ def log_of(conversations: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1; null roles and texts are empty, turns repeated or null stay, in order."""
     words = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", words), (-1, 1, ASSISTANT, words)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)

@@ -1,13 +1,18 @@
-"""What the training-data operators share: reading tables, and tables written to the shared folder."""
+"""What the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of texts that a Python worker handles at a time, or one text.
+MOST_CHARS = 4_000_000
+#: Rows of a batch that a Python worker gives back at a time.
+MOST_ROWS = 2000
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -18,42 +23,29 @@ def doc_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def id_crc(column: str = "doc_id") -> Column:
-    """crc32 of the decimal id, by which rows are held out."""
-    return F.crc32(F.col(column).cast("string").cast("binary"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+def in_bounds(texts: list[str | None], most: int = MOST_CHARS, rows: int = MOST_ROWS) -> Iterator[slice]:
+    """Slices of a batch with at most so many characters, or one text, and at most so many rows."""
+    start = size = 0
+    for i, x in enumerate(texts):
+        n = len(x or "")
+        if i > start and (size + n > most or i - start >= rows):
+            yield slice(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+def bounded(batch: pa.RecordBatch, column: str = "text", also: str = "doc_id") -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """The batch in bounded parts: another column as Arrow has it, so that no number or null in it changes, and the texts."""
+    texts = batch.column(column).to_pylist()
+    for part in in_bounds(texts):
+        yield batch.column(also).slice(part.start, part.stop - part.start), texts[part]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+def id_crc(column: str = "doc_id") -> Column:
+    """crc32 of the decimal id, by which rows are held out."""
+    return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
 def share_of(docs: DataFrame, rows: int) -> float:
@@ -64,8 +56,3 @@ def share_of(docs: DataFrame, rows: int) -> float:
 def sampled(share: float, column: str = "doc_id") -> Column:
     """Keeps that share of ids, by hash: the same rows on every run."""
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(column)), F.lit(1_000_000)) < int(share * 1_000_000)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that Python workers hold little text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -14,12 +14,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, documents, small_batches, written
+from siltstone.llm.common import bounded, doc_texts, documents
+from siltstone.sources.shared import written
 
 WIDE, BLOCK, LONGEST = 7, 3, 64
 LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -134,46 +135,55 @@ def neighbours(docs: DataFrame) -> DataFrame:
     last one: the first). Texts are dealt out by ranges of doc_id, and each range is compared in one ordered pass that
     holds two texts; the first and last text of each range then meet those of its neighbours."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    edge_types = [pa.int64(), pa.string(), pa.string()]
+
+    def batch_of(ids: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        arrays = [pa.array(x, t) for x, t in zip(columns, [*types, *edge_types], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *arrays], ["doc_id", *RESULT, "part", "head", "tail"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        names = ["doc_id", *RESULT, "part", "head", "tail"]
-        previous = None
-        rows: list[tuple] = []
         nothing = (None,) * len(RESULT)
+        none = pa.nulls(1, pa.int64())
+        previous = None
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
-                own = fingerprint(text) if previous is None or text != previous[1] else previous[2]
-                if previous is None:
-                    rows.append((None, *nothing, part, text, None))
-                else:
-                    rows.append((previous[0], *compared(previous[1], previous[2], text, own), None, None, None))
-                previous = (doc_id, text, own)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_chars": "Int64", "part": "Int64"})
-            rows = []
+            for ids, texts in bounded(batch):
+                rows, of = [], []
+                for i, text in enumerate(texts):
+                    own = fingerprint(text) if previous is None or text != previous[1] else previous[2]
+                    if previous is None:
+                        rows.append((*nothing, part, text, None))
+                        of.append(none)
+                    else:
+                        rows.append((*compared(previous[1], previous[2], text, own), None, None, None))
+                        of.append(previous[0])
+                    previous = (ids.slice(i, 1), text, own)
+                yield batch_of(of, rows)
         if previous is not None:
-            rows.append((previous[0], *nothing, part, None, previous[1]))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "n_chars": "Int64", "part": "Int64"})
+            yield batch_of([previous[0]], [(*nothing, part, None, previous[1])])
 
     result = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     spark = docs.sparkSession
-    small_batches(spark)
     ordered = doc_texts(docs).repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
-    seen = written(ordered.mapInPandas(run, f"doc_id long, {result}, part long, head string, tail string"), "fingerprints")
+    seen = written(ordered.mapInArrow(run, f"doc_id long, {result}, part long, head string, tail string"), "fingerprints")
     parts = sorted(x.part for x in seen.where("head is not null").select("part").collect())
     after = spark.createDataFrame([(p, q) for p, q in zip(parts, parts[1:] + parts[:1], strict=True)], "part long, next_part long")
     heads = seen.where("head is not null").select(F.col("part").alias("next_part"), "head")
     edges = seen.where("tail is not null").select("part", "doc_id", "tail").join(after, "part").join(heads, "next_part")
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([compared(a, fingerprint(a), b, fingerprint(b)) for a, b in zip(batch["tail"], batch["head"], strict=True)], columns=RESULT)
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
+            for i in range(batch.num_rows):
+                a, b = batch.column("tail")[i].as_py(), batch.column("head")[i].as_py()
+                found = compared(a, fingerprint(a), b, fingerprint(b))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in zip(found, types, strict=True))], ["doc_id", *RESULT])
 
     inner = seen.where("part is null").select("doc_id", *RESULT)
-    return inner.unionByName(edges.select("doc_id", "tail", "head").mapInPandas(joined, f"doc_id long, {result}"))
+    return inner.unionByName(edges.select("doc_id", "tail", "head").mapInArrow(joined, f"doc_id long, {result}"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty and repeated texts as in neighbours (null: empty; equal ids: descending text)."""
     return neighbours(documents(spark, sf_dir))

@@ -11,18 +11,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, documents, id_crc, small_batches, written
+from siltstone.llm.common import bounded, doc_texts, documents, id_crc, in_bounds
 
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOC_PROFILE = 400, 300
 #: Training documents of a language, at most about so many: all if there are no more, else a share by hash.
 TRAIN_DOCS = 4000
-#: Up to so many languages, their shares are broadcast.
-BROADCAST_LANGS = 10_000
+#: Languages that are learned, at most: of more values of lang, the most frequent ones, ties by name.
+MOST_LANGS = 1000
 UNKNOWN = "und"
 SPACE = 32
 #: A document whose n-grams are all but absent from the nearest profile is in none of the learned languages.
@@ -58,31 +58,31 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
-    """lang, text of at most about TRAIN_DOCS documents of each language, never held-out ones. A language's share goes to
-    the documents by a broadcast while there are few languages."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~(F.lit(False) if held_out is None else held_out))
-    shares = written(rows.groupBy("lang").agg((F.lit(1.0) * TRAIN_DOCS / F.count("*")).alias("train_share")), "language-shares")
-    few = shares.count() <= BROADCAST_LANGS
+    """lang, text of at most about TRAIN_DOCS documents of each language, never held-out ones. Rows without lang or text
+    teach nothing. The languages' shares, MOST_LANGS at most, go to the documents by a broadcast."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~(F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("lang_rows")).orderBy(F.desc("lang_rows"), "lang").limit(MOST_LANGS).collect()
+    shares = docs.sparkSession.createDataFrame([(x["lang"], min(1.0, TRAIN_DOCS / x["lang_rows"])) for x in counted], "lang string, train_share double")
     part = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    return rows.select("lang", "text", part.alias("at_share")).join(F.broadcast(shares) if few else shares, "lang").where("at_share < train_share").select("lang", "text")
+    return rows.select("lang", "text", part.alias("at_share")).join(F.broadcast(shares), "lang").where("at_share < train_share").select("lang", "text")
 
 
 def train(rows: DataFrame) -> dict[str, list[int]]:
     """Each language's profile from rows (lang, text): a few hundred packed n-grams, most frequent first, ties by code
-    points. Their number is bounded by the languages times PROFILE; counts are summed where the texts are."""
+    points. Their number is bounded by the languages times PROFILE; counts are summed where the texts are. No rows: no
+    profiles; repeated rows count again."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = sums.setdefault(lang, {})
                 for gram, n in zip(*(x.tolist() for x in ngrams(text)), strict=True):
                     own[gram] = own.get(gram, 0) + n
         for lang, own in sums.items():
-            yield pd.DataFrame({"lang": lang, "gram": list(own), "n": list(own.values())})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([*own], pa.int64()), pa.array([*own.values()], pa.int64())], ["lang", "gram", "n"])
 
-    small_batches(rows.sparkSession)
-    counts = rows.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     profiles: dict[str, list[int]] = {}
     for x in sorted(counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= PROFILE).collect(), key=lambda x: (x.lang, x.rank)):
@@ -116,15 +116,14 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
     """doc_id, lang_pred, score (1: the document's profile is the language's, 0: nothing in common) of every whole text;
     `und` and 0 if it is null or has no letter. Ties go to the first language by name; repeated rows stay."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles)
         for batch in batches:
-            out = pd.DataFrame([model.predict(x) for x in batch["text"]], columns=["lang_pred", "score"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            yield out
+            for ids, texts in bounded(batch):
+                found = [model.predict(x) for x in texts]
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
-    return doc_texts(docs).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -132,19 +131,26 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def kept_by_language(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, but for those without a letter and those in none of the learned languages."""
+    """The documents, all columns, but for those without a letter and those in none of the learned languages: null and
+    empty texts go, repeated rows are judged alike. Rows go through whole, as Arrow has them, so no value changes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles)
         for batch in batches:
-            found = [model.predict(x) for x in batch["text"]]
-            yield batch[[lang != UNKNOWN and score >= REJECT_BELOW for lang, score in found]]
+            texts = batch.column(0).field(at).to_pylist()
+            for part in in_bounds(texts):
+                found = [model.predict(x) for x in texts[part]]
+                kept = pa.array([lang != UNKNOWN and score >= REJECT_BELOW for lang, score in found], pa.bool_())
+                yield batch.slice(part.start, part.stop - part.start).filter(kept)
 
+    at = docs.columns.index("text")
     profiles = train(training_rows(docs, held_out()))
-    return docs.mapInPandas(run, docs.schema)
+    rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("kept_row"))
+    return rows.mapInArrow(run, rows.schema).select("kept_row.*")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty and repeated texts as in identify. A null doc_id is held out by no rule: null."""
     docs = documents(spark, sf_dir)
     found = identify(docs, train(training_rows(docs, held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -22,8 +22,9 @@ MARK, GLUED = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,])(?=[ \n]
 LETTERS, SPACE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), "\u0120"
 #: Beyond Latin-1, lower case may depend on what stands around; within it, a vocabulary of lower case may as well get it so.
 FAR = re.compile("[^\x00-\xff]")
-#: Pieces in the younger of a worker's two memos; beyond them it becomes the older one, whose pieces come back when met.
-MEMO = 800_000
+#: Bytes of pieces and ids, about, in the younger of a worker's two memos; beyond them it becomes the older one, whose
+#: pieces come back when met. What an entry takes besides, and the longest piece that is kept.
+MEMO, ENTRY, SHORT = 96 << 20, 150, 200
 
 
 class LibraryEncoder:
@@ -50,6 +51,7 @@ class LibraryEncoder:
             self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
             self.edge[marked] = True
         self.lowers = self.library.encode("Aé É", add_special_tokens=False).ids == self.library.encode("aé é", add_special_tokens=False).ids
+        self.held = 0
         self.spaced: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -92,15 +94,17 @@ class LibraryEncoder:
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the memo or new."""
-        if len(self.spaced) > MEMO:
-            self.older, self.spaced = self.spaced, {}
+        if self.held > MEMO:
+            self.older, self.spaced, self.held = self.spaced, {}, 0
         found = [*map(self.spaced.get, pieces)]
         gaps = [i for i, ids in enumerate(found) if ids is None]
         fresh = {x: ids for x in map(pieces.__getitem__, gaps) if (ids := self.older.get(x)) is not None}
         new = [x for x in map(pieces.__getitem__, gaps) if x not in fresh]
         for at in range(0, len(new), 20_000):
             fresh |= self._new(new[at : at + 20_000])
-        self.spaced |= fresh
+        kept = {x: ids for x, ids in fresh.items() if len(x) <= SHORT}
+        self.held += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
+        self.spaced |= kept
         for i in gaps:
             found[i] = fresh[pieces[i]]
         return found
@@ -151,15 +155,3 @@ class LibraryEncoder:
 def encoder(path: str) -> LibraryEncoder:
     """One per worker and vocabulary."""
     return LibraryEncoder(path)
-
-
-def in_bounds(texts: list[str], most: int = 8_000_000):
-    """Slices of a batch with at most so many characters, or one text."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > most:
-            yield slice(start, i)
-            start, size = i, 0
-        size += len(x)
-    if start < len(texts):
-        yield slice(start, len(texts))

@@ -14,13 +14,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, documents, small_batches, written
-from siltstone.llm.library_tokens import encoder, in_bounds
+from siltstone.llm.common import bounded, doc_texts, documents
+from siltstone.llm.library_tokens import encoder
+from siltstone.sources.shared import written
 
 END, WINDOW = 2, 4096
 #: Documents in a group. Its windows are near full whatever the number of groups; memory in a task is bounded by it.
@@ -94,25 +95,24 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = EN
     """A row for each document: row_key (unique), doc_id, doc_tokens (with the end id), crcs (of each piece's ids as
     little-endian unsigned 32-bit integers) and, if asked for, ids (all of them so). Null text: the end id alone."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         tail = np.array([end], "<u4").tobytes()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in in_bounds(texts):
-                rows = []
-                for raw in e.encode(texts[part]):
+            for doc_ids, texts in bounded(batch):
+                sizes, crcs, kept = [], [], []
+                for raw in e.encode(texts):
                     ids = np.frombuffer(raw, e.dtype).astype("<u4").tobytes() + tail
                     n = len(ids) // 4
-                    rows.append((key, n, [zlib.crc32(ids[4 * s : 4 * (s + m)]) for s, m in cuts(n, window)], ids if with_ids else b""))
-                    key += 1
-                out = pd.DataFrame(rows, columns=["row_key", "doc_tokens", "crcs", "ids"])
-                out.insert(1, "doc_id", batch["doc_id"].iloc[part].array)
-                yield out
+                    sizes.append(n)
+                    crcs.append([zlib.crc32(ids[4 * s : 4 * (s + m)]) for s, m in cuts(n, window)])
+                    kept.append(ids if with_ids else b"")
+                keys = pa.array(range(key, key + len(texts)), pa.int64())
+                key += len(texts)
+                yield pa.RecordBatch.from_arrays([keys, doc_ids, pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(kept, pa.binary())], ["row_key", "doc_id", "doc_tokens", "crcs", "ids"])
 
-    small_batches(docs.sparkSession, 2000)
-    return doc_texts(docs).mapInPandas(run, "row_key long, doc_id long, doc_tokens long, crcs array<long>, ids binary")
+    return doc_texts(docs).mapInArrow(run, "row_key long, doc_id long, doc_tokens long, crcs array<long>, ids binary")
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -122,34 +122,47 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_
     tokens = written(token_pieces(docs, path, window, end, with_ids), "tokens")
     groups = max(1, math.ceil(tokens.count() / GROUP))
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_key")
-        base = int(key[0]) << 32
-        rows = []
-        for row in part.itertuples(index=False):
-            rows += [(row.doc_id, s, m, crc, row.doc_tokens, row.ids[4 * s : 4 * (s + m)]) for (s, m), crc in zip(cuts(row.doc_tokens, window), row.crcs, strict=True)]
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-        length = out["length"].to_numpy()
-        small = length < window
-        sequence = np.zeros(len(out), np.int64)
-        sequence[small] = near_equal_windows(length[small], window)
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("row_key")
+        tokens_of, crcs, ids = part.column("doc_tokens").to_pylist(), part.column("crcs").to_pylist(), part.column("ids").to_pylist()
+        row, start, length, crc, piece = [], [], [], [], []
+        for i, n in enumerate(tokens_of):
+            for (s, m), c in zip(cuts(n, window), crcs[i], strict=True):
+                row.append(i)
+                start.append(s)
+                length.append(m)
+                crc.append(c)
+                piece.append(ids[i][4 * s : 4 * (s + m)])
+        size = np.array(length, np.int64)
+        small = size < window
+        sequence = np.zeros(len(size), np.int64)
+        sequence[small] = near_equal_windows(size[small], window)
         taken = int(sequence[small].max()) + 1 if small.any() else 0
         sequence[~small] = taken + np.arange((~small).sum())
-        out["sequence_id"] = base + sequence
-        out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
-        return out
-
-    out = tokens.withColumn("pack_group", F.pmod(F.xxhash64("row_key"), F.lit(groups))).groupBy("pack_group").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
+        order = np.argsort(sequence, kind="stable")
+        ends = np.cumsum(size[order])
+        first = np.concatenate([[True], np.diff(sequence[order]) != 0])
+        offset = np.zeros(len(size), np.int64)
+        offset[order] = ends - size[order] - np.repeat((ends - size[order])[first], np.diff(np.flatnonzero(np.append(first, True))))
+        at = pa.array(row, pa.int64())
+        return pa.table({
+            "doc_id": part.column("doc_id").take(at), "start": pa.array(start, pa.int64()), "length": pa.array(size), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": part.column("doc_tokens").take(at),
+            "ids": pa.array(piece, pa.binary()), "sequence_id": pa.array((key[0].as_py() << 32) + sequence), "offset": pa.array(offset),
+        })
+
+    out = tokens.withColumn("pack_group", F.pmod(F.xxhash64("row_key"), F.lit(groups))).groupBy("pack_group").applyInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long")
     return out if with_ids else out.drop("ids")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id, ids array of pieces' bytes in order, length; packed: by pack(with_ids=True)."""
+    """sequence_id, ids (the bytes of its pieces in order), length of every sequence of pack(with_ids=True), at most a window
+    each; documents' nulls and repeats don't matter here, and an empty table gives none."""
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids", "length")))
     return packed.groupBy("sequence_id").agg(ordered.alias("p")).select("sequence_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"), F.expr("aggregate(p, 0L, (a, x) -> a + x.length)").alias("length"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty, repeated and very long texts as in pack."""
     import public_tokenizers
 
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -112,7 +112,8 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[Rule, float]], float]:
-    """Learns from labelled rows that aren't held out, at most about LABELLED_ROWS; the sample's ids are broadcast."""
+    """Learns from labelled rows that aren't held out, at most about LABELLED_ROWS; the sample's ids are broadcast. Null
+    labels teach nothing, of two labels of a document the lesser counts, and without labels every score is a half."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out())
     known = known.where(sampled(share_of(known, LABELLED_ROWS))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = with_counts(docs.join(F.broadcast(known), "doc_id"), ["quality"]).toPandas().sort_values("doc_id")
@@ -126,7 +127,8 @@ def score(docs: DataFrame, rules: list[tuple[Rule, float]], intercept: float) ->
 
 
 def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, whose score is at least ACCEPT."""
+    """The documents, all columns, whose score is at least ACCEPT: null and empty texts as texts without words, repeated
+    rows alike. Rows go through whole."""
     rules, intercept = fit(docs, labels)
     carried = docs.select("doc_id", "text", F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("kept_row"))
     counted = with_counts(carried, ["kept_row"])
@@ -135,6 +137,7 @@ def kept_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and empty texts are scored as texts without words, repeated rows alike."""
     docs = documents(spark, sf_dir)
     scored = score(docs, *fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

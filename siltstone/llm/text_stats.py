@@ -11,8 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from siltstone.llm.common import small_batches
+from siltstone.llm.common import in_bounds
 
 #: White space, and the characters that count as symbols (fixed values of the rules).
 WHITE, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -93,10 +94,12 @@ def with_counts(docs: DataFrame, also: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*(counts(x or "") for x in batch.column("counted_text").to_pylist()), strict=True)) or [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), *(pa.array(x, pa.int64()) for x in found)], [*kept, *COUNTS])
+            texts = batch.column("counted_text").to_pylist()
+            for part in in_bounds(texts):
+                found = zip(*(counts(x or "") for x in texts[part]), strict=True)
+                rows = batch.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in range(len(kept))), *(pa.array(x, pa.int64()) for x in found)], [*kept, *COUNTS])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(*kept, F.col("text").alias("counted_text"))
-    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]] + [f"{x} long" for x in COUNTS]
-    return rows.mapInArrow(run, ", ".join(fields))
+    schema = StructType([*rows.schema.fields[:-1], *(StructField(x, LongType()) for x in COUNTS)])
+    return rows.mapInArrow(run, schema)

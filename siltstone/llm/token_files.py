@@ -2,7 +2,7 @@
 
 A shard is the ids of a range of doc_ids, in ascending order: <shard>.bin holds unsigned ids one after another (2 bytes
 each if the vocabulary allows, else 4), <shard>.idx the n + 1 offsets of its n documents in ids, <shard>.doc their
-doc_ids; both are 64-bit little-endian. Bases (ids in all shards before) are prefix sums over the shards' totals.
+doc_ids (null ones stand first, as 0, and are counted); both are 64-bit little-endian. Bases (ids in all shards before) are prefix sums over the shards' totals.
 """
 
 from __future__ import annotations
@@ -11,57 +11,58 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as files
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import doc_texts, documents, scratch_path, small_batches
-from siltstone.llm.library_tokens import encoder, in_bounds
+from siltstone.llm.common import bounded, doc_texts, documents
+from siltstone.llm.library_tokens import encoder
+from siltstone.sources.shared import scratch_path
 
 END = 2
-#: Stands for a null doc_id in a .doc file.
-NO_ID = -(2**63)
-SHARDS = "shard long, docs long, tokens long, width int"
+SHARDS = "shard long, docs long, nulls long, tokens long, width int"
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end: int = END) -> DataFrame:
-    """Writes the shards to a folder that all executors share; a row for each: shard, docs, tokens, width (bytes of an
-    id), token_base. A task writes under a name of its own and renames at its end, so one that is lost or repeated leaves
+    """Writes the shards to a folder that all executors share; a row for each: shard, docs, nulls (of its doc_ids),
+    tokens, width (bytes of an id), token_base. A task writes under a name of its own and renames at its end, so one that is lost or repeated leaves
     a whole file. Rows of one doc_id stand in the order of their texts; null ids come first; null text: the end id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary)
         tail = np.array([end], e.dtype).tobytes()
         task = TaskContext.get()
         shard, store, top = task.partitionId(), *files.FileSystem.from_uri(folder)
         own = f"{top}/{shard:08d}.{task.taskAttemptId()}"
-        out, offsets, ids = None, [0], []
+        out, offsets, ids, nulls = None, [np.zeros(1, np.int64)], [], 0
         for batch in batches:
             if out is None:
                 store.create_dir(top, recursive=True)
                 out = store.open_output_stream(f"{own}.bin")
-            texts = batch["text"].tolist()
-            ids += batch["doc_id"].fillna(NO_ID).astype("int64").tolist()
-            for part in in_bounds(texts):
-                for raw in e.encode(texts[part]):
+            for doc_ids, texts in bounded(batch):
+                nulls += doc_ids.null_count
+                ids.append(doc_ids.fill_null(0).to_numpy(zero_copy_only=False))
+                sizes = []
+                for raw in e.encode(texts):
                     out.write(raw)
                     out.write(tail)
-                    offsets.append(offsets[-1] + (len(raw) + len(tail)) // len(tail))
+                    sizes.append((len(raw) + len(tail)) // len(tail))
+                offsets.append(offsets[-1][-1] + np.cumsum(np.array(sizes, np.int64)))
         if out is None:
             return
         out.close()
-        for kind, numbers in (("idx", offsets), ("doc", ids)):
+        numbers = {"idx": np.concatenate(offsets), "doc": np.concatenate(ids)}
+        for kind, x in numbers.items():
             with store.open_output_stream(f"{own}.{kind}") as f:
-                f.write(np.array(numbers, "<i8").tobytes())
+                f.write(x.astype("<i8").tobytes())
         for kind in ("bin", "idx", "doc"):
             store.move(f"{own}.{kind}", f"{top}/{shard:08d}.{kind}")
-        yield pd.DataFrame([(shard, len(ids), offsets[-1], e.dtype.itemsize)], columns=["shard", "docs", "tokens", "width"])
+        row = [shard, len(numbers["doc"]), nulls, int(numbers["idx"][-1]), e.dtype.itemsize]
+        yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in row[:4]), pa.array(row[4:], pa.int32())], ["shard", "docs", "nulls", "tokens", "width"])
 
     spark = docs.sparkSession
-    small_batches(spark, 2000)
-    shards = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(run, SHARDS).collect()
+    shards = doc_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS).collect()
     rows, base = [], 0
     for x in sorted(shards):
         rows.append((*x, base))
@@ -79,25 +80,26 @@ def read_token_files(shards: DataFrame, folder: str, with_ids: bool = False) ->
         with store.open_input_file(path) as f:
             return f.read_buffer()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = files.FileSystem.from_uri(folder)
         for batch in batches:
-            for x in batch.itertuples(index=False):
-                ids = np.frombuffer(mapped(store, f"{top}/{x.shard:08d}.bin"), f"<u{x.width}")
-                offsets = np.frombuffer(mapped(store, f"{top}/{x.shard:08d}.idx"), "<i8")
-                docs = np.frombuffer(mapped(store, f"{top}/{x.shard:08d}.doc"), "<i8")
-                for at in range(0, len(docs), 1000):
-                    to = min(len(docs), at + 1000)
-                    parts = [ids[i:j].astype("<u4").tobytes() for i, j in zip(offsets[at:to].tolist(), offsets[at + 1 : to + 1].tolist(), strict=True)]
-                    out = pd.DataFrame({"doc_id": pd.array(docs[at:to], "Int64"), "start": x.token_base + offsets[at:to], "n_tokens": np.diff(offsets[at : to + 1]), "ids_crc32": [zlib.crc32(p) for p in parts], "ids": parts if with_ids else b""})
-                    out.loc[docs[at:to] == NO_ID, "doc_id"] = pd.NA
-                    yield out
-
-    out = shards.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+            for x in batch.to_pylist():
+                at = f"{top}/{x['shard']:08d}"
+                ids = np.frombuffer(mapped(store, f"{at}.bin"), f"<u{x['width']}")
+                offsets, docs = (np.frombuffer(mapped(store, f"{at}.{kind}"), "<i8") for kind in ("idx", "doc"))
+                for i in range(0, len(docs), 1000):
+                    j = min(len(docs), i + 1000)
+                    parts = [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)]
+                    missing = np.arange(i, j) < x["nulls"]
+                    arrays = [pa.array(docs[i:j], pa.int64(), mask=missing), pa.array(x["token_base"] + offsets[i:j]), pa.array(np.diff(offsets[i : j + 1])), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(parts if with_ids else [b""] * (j - i), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+
+    out = shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty and repeated texts as in write_token_files."""
     import public_tokenizers
 
     folder = scratch_path(spark, "token-files")
