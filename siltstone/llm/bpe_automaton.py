@@ -1,13 +1,14 @@
-"""Byte-level BPE as a deterministic automaton built from the merges, encoding by its arcs and decoding by their labels.
+"""Byte-level BPE as a deterministic automaton built from the merges, encoding by its table and decoding by its labels.
 
-The automaton starts with one state and an arc for every byte. Each merge (a, b), in order, applies a gadget: the state
-behind an arc a loses its arc b (the two are one token now); every state that still has an arc a gets an arc ab; and ab
-leads to a copy of the state behind b. All arcs of one label lead to one state, so a state is named by the token that
-reaches it, and a copy is a reference to the copied state with the step of copying. Of the arcs, those taken away are
-stored, as the rest is there: a lookup walks the copies, and its answer is kept in the transition table.
+The automaton over tokens starts with one state and an arc for every byte. Each merge (a, b), in order, applies a gadget:
+the state behind an arc a loses its arc b (the two are one token now), every state that still has an arc a gets an arc ab,
+and ab leads to a copy of the state behind b. All arcs of one label lead to one state, so a state is numbered as the token
+that reaches it, and the table has for each state the arcs that it or the states it copies have lost, with the step. An
+arc ab stands where an arc a stood when it was made, so it is lost with any loss of a before that step, and so on for a.
 
-The accepted path that spells a word is its BPE encoding. Each prefix has exactly one accepted path, so one pass from
-left to right finds it, stepping back only where an arc was taken away.
+Each prefix of a word has exactly one accepted path, so exactly one token ends it. One pass from left to right finds that
+token at every byte: a second table, over bytes, gives the longest token that ends there and those within it, and the first
+whose arc the state before it still has is the one. The labels are then read back from the end.
 """
 
 from __future__ import annotations
@@ -17,16 +18,17 @@ import json
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import doc_texts, documents
-from siltstone.llm.library_tokens import CUT, in_bounds
+from siltstone.llm.common import bounded, doc_texts, documents
+from siltstone.llm.library_tokens import CUT
 
 #: The pre-split of byte-level vocabularies (a fixed value of the file format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker keeps in each memo, and in the transition table, before it starts anew.
-MEMO, ARCS = 400_000, 1_000_000
+#: Entries that a worker keeps in each memo of pieces, none longer than SHORT, and of arcs, before it starts anew.
+MEMO, SHORT, ARCS = 300_000, 64, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,91 +42,107 @@ class Automaton:
     """States are numbered as the tokens whose arcs reach them; label[t] is the text that an arc t spells."""
 
     def __init__(self, labels: dict[bytes, int], merges: list[tuple[int, int, int]]):
-        self.token = labels
-        self.label = [b""] * (max(labels.values(), default=-1) + 1)
+        n = max(labels.values(), default=-1) + 1
+        self.label = [b""] * n
+        self.first, self.step = [-1] * n, [-1] * n
+        rows: list[list[int] | None] = [None] * n
         for text, t in labels.items():
             self.label[t] = text
-        n = len(self.label)
-        self.first, self.copied, self.step = [-1] * n, [-1] * n, [-1] * n
-        self.lost: dict[tuple[int, int], int] = {}
-        self.arcs: dict[tuple[int, int], bool] = {}
+            if len(text) == 1:
+                rows[t] = []
         for step, (a, b, ab) in enumerate(merges):
-            self.gadget(step, a, b, ab)
-        self.spell()
-
-    def gadget(self, step: int, a: int, b: int, ab: int) -> None:
-        self.lost[a, b] = step
-        self.first[ab], self.copied[ab], self.step[ab] = a, b, step
-
-    def spell(self) -> None:
-        """The byte table that finds an arc by its label (move: node and byte to node; ends: node to arc), and for each
-        arc the one that spells its longest proper prefix."""
+            # the gadget: ab leads to a copy of the state behind b, and the state behind a loses its arc b
+            rows[ab] = rows[b].copy()
+            rows[a].append(b << 32 | step)
+            self.first[ab], self.step[ab] = a, step
+        self.steps = len(merges)
+        sizes = [len(r or ()) for r in rows]
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        lost = np.fromiter((x for r in rows for x in r or ()), np.int64, sum(sizes))
+        for i, j in zip(self.ends, self.ends[1:], strict=False):
+            lost[i:j].sort()
+        self.lost = lost
+        self.known: dict[int, bool] = {}
+        self.spell([t for t in range(n) if rows[t] is not None])
+
+    def spell(self, tokens: list[int]) -> None:
+        """The byte table: where each byte leads from each beginning of a label (move), to where its longest ending that
+        begins a label stands (back), the longest token that ends there (longest), and for each token the longest one that
+        is an ending of it (shorter)."""
         self.move: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
+        made, depth = [(0, 0)], [0]
+        own: dict[int, int] = {}
+        for t in tokens:
+            node = 0
+            for byte in self.label[t]:
+                key = node << 8 | byte
+                to = self.move.get(key)
+                if to is None:
+                    to = self.move[key] = len(made)
+                    made.append((node, byte))
+                    depth.append(depth[node] + 1)
+                node = to
+            own[node] = t
+        self.back, self.longest = [0] * len(made), [-1] * len(made)
         self.shorter = [-1] * len(self.label)
-        for text, t in sorted(self.token.items()):
-            node = prefix = -1
-            for byte in text:
-                node = self.move.setdefault((node << 8) | byte, len(self.move))
-                if node in self.ends:
-                    prefix = self.ends[node]
-            self.ends[node], self.shorter[t] = t, prefix
+        for node in sorted(range(1, len(made)), key=depth.__getitem__):
+            above, byte = made[node]
+            if above:
+                at = self.back[above]
+                while at and (at << 8 | byte) not in self.move:
+                    at = self.back[at]
+                self.back[node] = self.move.get(at << 8 | byte, 0)
+            within = self.longest[self.back[node]]
+            self.longest[node] = own.get(node, within)
+            if node in own:
+                self.shorter[own[node]] = within
 
     def has_arc(self, state: int, t: int) -> bool:
-        """Whether the state kept its arc t. A copied state counts up to the step before the copy was made; an arc ab is
-        there if the state had its arc a after the gadget took arcs away in that step."""
-        known = self.arcs.get((state, t))
-        if known is not None:
-            return known
-        kept, until = True, len(self.lost)
-        s = state
-        while s >= 0 and kept:
-            p, most = t, until
-            while p >= 0:
-                at = self.lost.get((s, p), -1)
-                if self.step[s] < at < until and self.step[p] < at <= most:
-                    kept = False
+        """Whether the state still has its arc t: neither t nor an arc that t was made from was lost while it stood."""
+        key = state << 32 | t
+        found = self.known.get(key)
+        if found is None:
+            row = self.lost[self.ends[state] : self.ends[state + 1]]
+            found, until, p = True, self.steps, t
+            while p >= 0 and len(row):
+                i, j = np.searchsorted(row, (p << 32 | self.step[p] + 1, p << 32 | until + 1))
+                if i < j:
+                    found = False
                     break
-                most = min(most, self.step[p])
+                until = self.step[p]
                 p = self.first[p]
-            until = self.step[s]
-            s = self.copied[s]
-        if len(self.arcs) >= ARCS:
-            self.arcs.clear()
-        self.arcs[state, t] = kept
-        return kept
+            if len(self.known) >= ARCS:
+                self.known.clear()
+            self.known[key] = found
+        return found
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels' numbers along the accepted path that spells the word. From each state the longest arc is tried
-        first, then its shorter prefixes; a place from which no path goes on is never entered again, as it has but one
-        accepted path leading to it."""
-        move, ends, shorter, label, has_arc = self.move, self.ends, self.shorter, self.label, self.has_arc
-        whole, at, path, dead = len(word), 0, [], set()
-        while at < whole:
-            node = t = -1
-            for byte in word[at:] if at else word:
-                node = move.get((node << 8) | byte)
-                if node is None:
-                    break
-                if node in ends:
-                    t = ends[node]
-            while True:
-                while t >= 0:
-                    to = at + len(label[t])
-                    if to not in dead and (not path or has_arc(path[-1], t)):
-                        break
-                    t = shorter[t]
-                if t >= 0:
-                    path.append(t)
-                    at = to
+        """The labels' numbers along the accepted path that spells the word; the work grows with its length."""
+        move, back, longest, shorter, label, has_arc = self.move, self.back, self.longest, self.shorter, self.label, self.has_arc
+        last = [-1]
+        node = 0
+        for end, byte in enumerate(word, 1):
+            to = move.get(node << 8 | byte)
+            while to is None and node:
+                node = back[node]
+                to = move.get(node << 8 | byte)
+            node = to or 0
+            t = longest[node]
+            while t >= 0:
+                before = last[end - len(label[t])]
+                if before < 0 or has_arc(before, t):
                     break
-                if not path:
-                    raise ValueError("a byte has no arc")
-                dead.add(at)
-                t = path.pop()
-                at -= len(label[t])
                 t = shorter[t]
-        return path
+            if t < 0:
+                raise ValueError("a byte has no arc")
+            last.append(t)
+        path = []
+        at = len(word)
+        while at:
+            t = last[at]
+            path.append(t)
+            at -= len(label[t])
+        return path[::-1]
 
 
 class BpeCodec:
@@ -157,9 +175,11 @@ class BpeCodec:
         for word in self.words.findall(text):
             ids = known.get(word)
             if ids is None:
-                if len(known) >= MEMO:
-                    known.clear()
-                known[word] = ids = self.automaton.encode(word.encode())
+                ids = self.automaton.encode(word.encode())
+                if len(word) <= SHORT:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[word] = ids
             out += ids
         return out
 
@@ -178,9 +198,11 @@ class BpeCodec:
         for x in pieces:
             got = known.get(x)
             if got is None:
-                if len(known) >= MEMO:
-                    known.clear()
-                known[x] = got = self._piece(f" {x}")
+                got = self._piece(f" {x}")
+                if len(x) <= SHORT:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[x] = got
             ids += got
         return ids
 
@@ -201,11 +223,10 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            texts = batch["text"].tolist()
-            for part in in_bounds(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], "ids": [c.encode(x) for x in texts[part]]})
+            for ids, texts in bounded(batch):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([c.encode(x) for x in texts], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return doc_texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -214,31 +235,35 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [c.decode([] if x is None else x) for x in batch["ids"]]})
+            for at in range(batch.num_rows):
+                ids = batch.column("ids")[at].as_py() or []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 1), pa.array([c.decode(ids)], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     """bpe_encode and bpe_decode in one pass that keeps digests in place of ids and texts: doc_id, n_tokens,
-    ids_sha256 (decimal ids joined by commas), decoded_sha256 (decoded text). Null text: empty."""
+    ids_sha256 (decimal ids joined by commas), decoded_sha256 (decoded text). Null text: empty; repeated rows stay."""
 
     def run(batches):
         c = codec(path)
         decimal = [str(i) for i in range(len(c.label))]
         for batch in batches:
-            rows = []
-            for x in batch["text"]:
-                ids = c.encode(x)
-                rows.append((len(ids), hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            for doc_ids, texts in bounded(batch):
+                sizes, encoded, decoded = [], [], []
+                for x in texts:
+                    ids = c.encode(x)
+                    sizes.append(len(ids))
+                    encoded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(sizes, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return doc_texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty, repeated and very long texts as in bpe_round_trip."""
     import public_tokenizers
 
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
