@@ -2,13 +2,14 @@
 
 The models are first-order chains over ALPHABET, one trained on random strings and one on ordinary identifiers, both from
 labelled samples. A long run of ALPHABET characters is a secret if the mean log-likelihood ratio of its transitions is
-over a threshold between what the two samples score.
+over a threshold: zero, or the score that all but a small share of the ordinary sample stays under.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,26 +21,34 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, LEAST_VALUE = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Shortest run that the models judge.
-LEAST_RUN = 20
-RUN = "[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN
+#: Shortest and longest random string of the sample; the shortest is the shortest run that the models judge. An equals
+#: sign ends a run, so that a name before it is not judged with the value after it.
+LEAST_RUN, MOST_RUN = 20, 64
+RUN = "[A-Za-z0-9+/_-]{%d,}=*" % LEAST_RUN
 #: Training: documents whose words give identifiers, at most about so many, words from each, random strings, smoothing.
-TRAIN_DOCS, TRAIN_WORDS, TRAIN_RANDOM, SMOOTHING = 800, 40, 2000, 0.5
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_RANDOM, SMOOTHING = 800, 40, 4000, 0.5
+#: The share of the ordinary sample's long strings that may score over the threshold.
+ORDINARY_OVER = 0.0005
 #: Ratios are kept as whole numbers of this many to one.
 SCALE = 1000
 MASK = "[SECRET]"
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled strings (text, secret): identifiers of one to four words of a bounded share of documents, joined as snake
-    case, kebab case and camel case, and random strings in base 64, hexadecimal and capitals with digits."""
-    words = docs.where(sampled(share_of(docs, TRAIN_DOCS))).select(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), 1), 1, TRAIN_WORDS).alias("w"))
-    joined = words.select(F.explode(F.expr(f"""flatten(transform(w, (x, i) -> array(x, concat_ws('_', slice(w, i + 1, 3)), concat_ws('-', slice(w, i + 1, 2)),
-        concat_ws('', transform(slice(w, i + 1, 4), v -> initcap(v))), concat(upper(x), '_', upper(element_at(w, least(i + 2, size(w))))))))""")).alias("text")).select("text", F.lit(False).alias("secret"))
-    digest = F.sha2(F.concat(F.lit("secret-"), F.col("id").cast("string")), 256)
-    made = docs.sparkSession.range(TRAIN_RANDOM).select(digest.alias("hex"), F.regexp_replace(F.base64(F.unhex(digest)), "=", "").alias("b64")).select(
-        F.explode(F.array("hex", "b64", F.translate(F.upper("b64"), "+/", "XY"))).alias("text"), F.lit(True).alias("secret"))
-    return joined.unionByName(made)
+    """Labelled strings (text, secret): identifiers of up to six words of a bounded share of documents, joined as snake
+    case, kebab case, camel case and paths, and random strings of LEAST_RUN to MOST_RUN characters in base 64, hexadecimal,
+    lower case and capitals with digits. What the base patterns match is no identifier. Null texts give none."""
+    plain = F.coalesce("text", F.lit(""))
+    for pattern in (ASSIGN, ACCESS, HEX):
+        plain = F.regexp_replace(plain, pattern, " ")
+    words = docs.where(sampled(share_of(docs, TRAIN_DOCS))).select(F.slice(F.regexp_extract_all(plain, F.lit("(?<![A-Za-z0-9+/])([A-Z]?[a-z]+)(?![A-Za-z0-9+/])"), 1), 1, TRAIN_WORDS).alias("w"))
+    joined = words.select(F.explode(F.expr(f"""flatten(transform(w, (x, i) -> array(x, concat_ws('_', slice(w, i + 1, 4)), concat_ws('-', slice(w, i + 1, 3)), concat_ws('/', slice(w, i + 1, 6)),
+        concat_ws('', transform(slice(w, i + 1, 5), v -> initcap(v))), concat(upper(x), '_', upper(concat_ws('_', slice(w, i + 2, 3)))))))""")).alias("text")).select("text", F.lit(False).alias("secret"))
+    digest = F.sha2(F.concat(F.lit("secret-"), F.col("id").cast("string")), 512)
+    size = F.lit(LEAST_RUN) + F.pmod(F.xxhash64("id"), F.lit(MOST_RUN - LEAST_RUN + 1)).cast("int")
+    kinds = F.array("hex", "b64", F.translate(F.upper("b64"), "+/", "XY"), F.translate(F.lower("b64"), "+/", "xy"))
+    made = docs.sparkSession.range(TRAIN_RANDOM).select(digest.alias("hex"), F.regexp_replace(F.base64(F.unhex(digest)), "[=\r\n]", "").alias("b64"), size.alias("size")).select(F.explode(kinds).alias("text"), "size")
+    return joined.unionByName(made.select(F.substring("text", F.lit(1), F.col("size")).alias("text"), F.lit(True).alias("secret")))
 
 
 def codes(text: Column | str) -> Column:
@@ -59,11 +68,9 @@ def train(labelled: DataFrame) -> tuple[list[int], int]:
             row = [counts.get((secret, a * 1000 + b), 0) + SMOOTHING for b in range(n)]
             logs[secret, a] = [math.log(x / sum(row)) for x in row]
     ratios = [round(SCALE * (s - o)) for a in range(n) for s, o in zip(logs[True, a], logs[False, a], strict=True)]
-    scored = labelled.where(F.char_length("text") >= LEAST_RUN).select("secret", mean_ratio("text", ratios).alias("score"))
-    edge = {x.secret: x for x in scored.groupBy("secret").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.expr("percentile(score, 0.01)").alias("p01")).collect()}
-    ordinary = edge[False].high if False in edge else 0.0
-    random = edge[True].p01 if True in edge else 0.0
-    return ratios, round(max(0.0, ordinary, (ordinary + random) / 2))
+    ordinary = labelled.where(~F.col("secret") & F.col("text").rlike(f"^{RUN}$")).select(mean_ratio("text", ratios).alias("score"))
+    edge = ordinary.agg(F.expr(f"percentile(score, {1 - ORDINARY_OVER})").alias("edge")).first()["edge"]
+    return ratios, round(max(0.0, edge or 0.0))
 
 
 def mean_ratio(text: Column | str, ratios: list[int]) -> Column:
@@ -74,34 +81,66 @@ def mean_ratio(text: Column | str, ratios: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + F.coalesce(x, F.lit(0))) / F.greatest(F.size(c) - 1, F.lit(1))
 
 
-def places(text: str, pattern: str, kind: int, also: int = 0) -> Column:
+SPANS = "array<struct<start:int,kind:int,end:int,val:string>>"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def blocks(rows: Column) -> Column:
+    """An array cut into about as many blocks as each has elements, at least one."""
+    each = F.greatest(F.ceil(F.sqrt(F.size(rows))).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), each), lambda i: F.slice(rows, i + 1, each))
+
+
+def places(text: Column, pattern: str, kind: int, also: int = 0) -> Column:
     """Spans (start, kind, end, val) of a pattern's matches: what stands between them comes from a split by the same
-    pattern, and lengths are summed along. val: the group `also`."""
-    none = F.lit([]).cast("array<struct<start:int,kind:int,end:int,val:string>>")
+    pattern, and lengths are summed along, block by block. val: the group `also`."""
+    none = F.lit([]).cast(SPANS)
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(also)).alias("val"))
+    steps = F.transform(rows, lambda x: F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), x["val"].alias("val")))
+
+    def one(a: Column, x: Column) -> Column:
+        start = a["at"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["hit"]).alias("end"), x["val"].alias("val"))
+        return F.struct((start + F.coalesce(x["hit"], F.lit(0))).alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.array_append(a["out"], span)).alias("out"))
+
+    def block(a: Column, b: Column) -> Column:
+        after = F.aggregate(b, a["at"], lambda n, x: n + x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+        spans = F.aggregate(b, F.struct(a["at"].alias("at"), none.alias("out")), one, lambda c: c["out"])
+        return F.struct(after.alias("at"), F.array_append(a["out"], spans).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast(f"array<{SPANS}>").alias("out"))
+    found = let(steps, lambda s: F.flatten(F.aggregate(blocks(s), start, block, lambda a: a["out"])))
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["val"].alias("val"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])
-    return F.when(F.col(text).rlike(pattern), found).otherwise(none)
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that no base span overlaps. Both are in order, so that a block of runs is compared with the spans near it."""
 
+    def over(x: Column, first: Column, last: Column) -> Column:
+        return (x["start"] < last["end"]) & (first["start"] < x["end"])
 
-def scan(docs: DataFrame, ratios: list[int], most: int, text: str = "text") -> DataFrame:
-    """docs with columns secret_base and secret_spans: arrays of (start, kind, end, val), code points, end exclusive,
-    ordered by start, then kind. secret_spans adds to the base spans the runs that the models call random and that no
-    base span overlaps. Null text: as empty; repeated rows stay; the work on a document grows with its length, and with
-    the square of its number of matches in one text."""
-    whole = docs.withColumn("secret_text", F.coalesce(text, F.lit("")))
-    found = whole.select("*", places("secret_text", ASSIGN, 0, 2).alias("secret_a"), places("secret_text", ACCESS, 1).alias("secret_k"), places("secret_text", HEX, 2).alias("secret_h"), places("secret_text", RUN, 3).alias("secret_r"))
-    base = F.array_sort(F.concat(F.filter("secret_a", lambda x: F.char_length(x.val) >= LEAST_VALUE), "secret_k", "secret_h"))
-    found = found.withColumn("secret_base", base)
-    apart = F.expr("filter(secret_r, r -> not exists(secret_base, b -> b.start < r.end and r.start < b.end))")
-    judged = F.filter(apart, lambda r: mean_ratio(r.val, ratios) > most)
-    return found.withColumn("secret_spans", F.array_sort(F.concat("secret_base", judged))).drop("secret_a", "secret_k", "secret_h", "secret_r", "secret_text")
+    def near(g: Column) -> Column:
+        return F.filter(base, lambda x: F.coalesce(over(x, F.get(g, F.lit(0)), F.get(g, F.size(g) - 1)), F.lit(False)))
+
+    return F.flatten(F.transform(blocks(runs), lambda g: let(near(g), lambda b: F.filter(g, lambda r: ~F.exists(b, lambda x: over(x, r, r))))))
+
+
+def scan(docs: DataFrame, ratios: list[int], most: int) -> DataFrame:
+    """kept_row (a document's row, whatever its columns), secret_text (its text, null: empty), secret_base and secret_spans:
+    arrays of (start, kind, end, val), code points, end exclusive, ordered by start, then kind. secret_spans adds to the base
+    spans the runs that the models call random and that no base span overlaps. Repeated rows stay. The work on a text with n
+    matches grows with its length and with n times the root of n."""
+    text = F.col("secret_text")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept_row"), F.coalesce("text", F.lit("")).alias("secret_text"))
+    found = whole.select("kept_row", "secret_text", places(text, ASSIGN, 0, 2).alias("a"), places(text, ACCESS, 1).alias("k"), places(text, HEX, 2).alias("h"), places(text, RUN, 3).alias("r"))
+    base = F.array_sort(F.concat(F.filter("a", lambda x: F.char_length(x.val) >= LEAST_VALUE), "k", "h"))
+    found = found.select("kept_row", "secret_text", "r", base.alias("secret_base"))
+    judged = F.filter(apart(F.col("r"), F.col("secret_base")), lambda r: mean_ratio(r.val, ratios) > most)
+    return found.select("kept_row", "secret_text", "secret_base", F.array_sort(F.concat("secret_base", judged)).alias("secret_spans"))
 
 
 def joined(spans: str) -> Column:
@@ -109,20 +148,39 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x.kind), x.start.cast("string"), x.end.cast("string"))), ",")
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text with MASK in place of each span, or of several that overlap."""
+
+    def block(a: Column, b: Column) -> Column:
+        last = F.greatest(a["at"], F.array_max(F.transform(b, lambda x: x["end"])))
+        body = F.substring(text, a["at"] + 1, last - a["at"])
+
+        def one(c: Column, x: Column, body: Column) -> Column:
+            piece = F.concat(F.substring(body, c["at"] - a["at"] + 1, x["start"] - c["at"]), F.lit(MASK))
+            return F.struct(F.greatest(c["at"], x["end"]).alias("at"), F.when(x["start"] >= c["at"], F.array_append(c["out"], piece)).otherwise(c["out"]).alias("out"))
+
+        start = F.struct(a["at"].alias("at"), F.lit([]).cast("array<string>").alias("out"))
+        pieces = let(body, lambda y: F.array_join(F.aggregate(b, start, lambda c, x: one(c, x, y), lambda c: c["out"]), ""))
+        return F.struct(last.alias("at"), F.array_append(a["out"], pieces).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("out"))
+    return F.aggregate(blocks(spans), start, block, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+
+
 def masked(docs: DataFrame, ratios: list[int], most: int) -> DataFrame:
-    """docs with every secret span of text replaced by MASK, and n_chars set to the new length; other rows as they are."""
-    columns = docs.columns
-    text = F.expr(f"""aggregate(secret_spans, named_struct('at', 0, 'out', ''),
-        (a, x) -> named_struct('at', greatest(a.at, x.end), 'out', case when x.start >= a.at then concat(a.out, substring(text, a.at + 1, x.start - a.at), '{MASK}') else a.out end),
-        a -> concat(a.out, substring(text, a.at + 1, char_length(text))))""")
+    """docs, all columns, with every secret span of text replaced by MASK, and n_chars set to the new length; rows without a
+    span (null and empty texts too) as they are. A row goes through whole, so its columns may have any names."""
     hit = F.size("secret_spans") > 0
-    found = scan(docs, ratios, most).withColumn("text", F.when(hit, text).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*(F.col(f"`{c}`") for c in columns))
+    kept = scan(docs, ratios, most).select("kept_row", F.when(hit, without_spans(F.col("secret_text"), F.col("secret_spans"))).alias("masked_text"))
+    row, text = F.col("kept_row"), F.col("masked_text")
+    new = {"text": F.coalesce(text, row["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(text.isNotNull(), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(row["n_chars"])
+    return kept.select(*(new.get(c, row[c]).alias(c) for c in docs.columns))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty and repeated texts as in scan."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = scan(docs, *train(samples(docs)))
 
@@ -130,6 +188,6 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("secret_base", lambda x: x.kind == kind)).cast("long")
 
     return found.select(
-        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.col("kept_row")["doc_id"].alias("doc_id"), number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
         F.sha2(joined("secret_base"), 256).alias("base_sha256"), joined("secret_spans").alias("spans"),
     )

@@ -43,7 +43,7 @@ def base_spans(text):
 
 def test_secret_spans(spark, secret_model):
     docs = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(TEXTS)] + [(3, TEXTS[3], "clash")], "doc_id long, text string, secret_a string")
-    rows = secret_scan.scan(docs.drop("secret_a"), *secret_model).select("doc_id", secret_scan.joined("secret_base").alias("b"), secret_scan.joined("secret_spans").alias("s")).collect()
+    rows = secret_scan.scan(docs, *secret_model).select("kept_row.doc_id", secret_scan.joined("secret_base").alias("b"), secret_scan.joined("secret_spans").alias("s")).collect()
     assert len(rows) == len(TEXTS) + 1
     for r in rows:
         expected = [f"{n}:{a}:{z}" for a, _, z, n in base_spans(TEXTS[r.doc_id] or "")]
