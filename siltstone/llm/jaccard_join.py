@@ -1,93 +1,168 @@
 """Documents linked by the Jaccard similarity of their word shingles, through signature trees.
 
-Equal sets are one class. Class representatives meet by equal part signatures (shingle_sets), which miss no pair of the
-similarity asked for, and each leaves out its most frequent ones as far as its linked sets share others; what meets,
-directly or through others, is a block. A signature tree over each block's sets finds
-the links by a dual traversal with exact checks. A block of more than CHUNK sets is split: each chunk is joined with
-itself and with the block's first set; then the sets that are not in the block's largest component meet all chunks.
+Equal sets are one class. Class representatives that have a prefix element in common (shingle_sets) and are near in size
+form a group under the least of their ids, so every linked pair is together in some group. A signature tree over each
+group's sets finds its links by a dual traversal with exact checks, and only links found are closed into components. A
+group too large for one task is dealt out in chunks with its least set: first each chunk is joined with itself, then the
+sets outside the group's largest component are joined with the other chunks.
+
+Nothing is dealt out by a key that may hold much of the rows: elements that the sketch counts often go to their group by
+a partial aggregate and a broadcast (HEAVY bounds their number), and so do the digests of many copies.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import doc_texts, documents, dropped, small_batches, written
-from siltstone.llm.components import stars
-from siltstone.llm.shingle_sets import set_digest, shingles, signature_groups
+from siltstone.llm.common import bounded, doc_texts, documents
+from siltstone.llm.shingle_sets import BLOCK, COUNTERS, places, prefix, set_digest, shingle_lists
 from siltstone.llm.signature_tree import Components, build, join_trees, width
+from siltstone.operators.graph import components
+from siltstone.sources.shared import Scratch, written
 
 WORDS, PERCENT = 3, 90
-#: Sets in a task of the tree join.
-CHUNK = 3000
-#: Up to so many representatives in blocks (16 bytes each) are broadcast to fetch their texts; more are joined by shuffle.
+#: Sets in a task of the tree join, and shingles in them, about.
+CHUNK, CHUNK_SHINGLES = 3000, 1_500_000
+#: Up to so many ids are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Keys that hold more than one in HEAVY of all rows are heavy: fewer than HEAVY keys are.
+HEAVY = 20_000
+#: Partial sketches that are summed in one task, and where a counter stops.
+FAN_IN, MOST_COUNT = 64, (1 << 32) - 1
 
 
-def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (digest of the set), signatures (spare, hashes) by size class of every whole text."""
+def digests(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, h1 and h2 (digest of the set) of every whole text, and rows (part, block, counts) of each
+    task's sketch, where doc_id is null and n_shingles -1."""
+    names = ["doc_id", "n_shingles", "h1", "h2", "part", "block", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
+        sketch = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sizes, first, second, rows = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, words)
-                a, b = set_digest(s)
-                sizes.append(len(s))
-                first.append(a)
-                second.append(b)
-                rows.append([{"spare": spare, "hashes": x} for spare, x in signature_groups(s, percent)])
-            lists = pa.array(rows, pa.list_(pa.struct([("spare", pa.int32()), ("hashes", pa.list_(pa.int64()))])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], ["doc_id", "n_shingles", "h1", "h2", "signatures"])
-
-    small_batches(docs.sparkSession)
-    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signatures array<struct<spare:int,hashes:array<long>>>")
-
-
-def classes(table: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and rep (least doc_id with an equal set; its own if the set is empty) of a shingle table. Written
-    to the shared folder."""
+            for ids, texts in bounded(batch):
+                sets = shingle_lists(texts, words)
+                for s in (np.concatenate(sets),) if sets else ():
+                    sketch += np.bincount(places(s), minlength=COUNTERS).astype(np.uint32)
+                both = [set_digest(s) for s in sets]
+                none = pa.nulls(len(sets), pa.int32())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([*map(len, sets)], pa.int64()), pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.int64()), none, none, pa.nulls(len(sets), pa.binary())], names)
+        part = TaskContext.get().partitionId()
+        blocks = range(COUNTERS // BLOCK) if sketch.any() else ()
+        for b in blocks:
+            row = [None, -1, None, None, part, b, sketch[b * BLOCK : (b + 1) * BLOCK].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
+
+    return doc_texts(docs).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, part int, block int, counts binary")
+
+
+def sketch_of(table: DataFrame) -> np.ndarray:
+    """How often elements with each low bits occur in all sets: the sum of all tasks' sketches, FAN_IN at a time. COUNTERS
+    numbers come to the driver, whatever the table's size."""
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK, np.uint32)
+        for x in part["counts"]:
+            x = np.frombuffer(x, np.uint32)
+            total += np.minimum(x, np.uint32(MOST_COUNT) - total)
+        return pd.DataFrame({"part": [int(part["part"].iloc[0]) // FAN_IN], "block": [int(part["block"].iloc[0])], "counts": [total.tobytes()]})
+
+    rows = table.where("n_shingles = -1").select("part", "block", "counts")
+    parts = rows.agg(F.max("part")).first()[0]
+    out = np.zeros(COUNTERS, np.uint32)
+    while parts:
+        rows, parts = rows.groupBy("block", F.floor(F.col("part") / FAN_IN)).applyInPandas(summed, "part int, block int, counts binary"), parts // FAN_IN
+    for x in rows.collect():
+        out[x.block * BLOCK : (x.block + 1) * BLOCK] = np.frombuffer(x.counts, np.uint32)
+    return out
+
+
+def heavy_split(rows: DataFrame, keys: str | list[str], stats: DataFrame, most: int) -> DataFrame:
+    """rows joined with their keys' stats, of which k is the number of rows: keys of more than `most` rows by broadcast, the
+    others by shuffle."""
+    heavy = F.broadcast(stats.where(F.col("k") > most))
+    rest = rows.join(heavy, keys, "left_anti").join(stats.where(F.col("k") <= most), keys)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
+def classes(table: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles and rep (least doc_id with an equal set; its own if the set is empty) of a table of digests."""
     keys = ["n_shingles", "h1", "h2"]
-    copies = table.where("n_shingles > 0").groupBy(keys).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rep = F.coalesce("least", "doc_id")
-    return written(table.drop("signatures").join(copies, keys, "left").select("doc_id", "n_shingles", rep.alias("rep")), "classes")
+    sets = table.where("n_shingles >= 0").select("doc_id", *keys)
+    copied = scratch.written(sets.where("n_shingles > 0").groupBy(keys).agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1"), "copied-sets")
+    size = copied.agg(F.count("*").alias("keys"), F.sum("k").alias("rows")).first()
+    few = size["keys"] <= BROADCAST_ROWS
+    again = sets.join(F.broadcast(copied), keys) if few else heavy_split(sets, keys, copied, size["rows"] // HEAVY)
+    once = sets.join(F.broadcast(copied) if few else copied, keys, "left_anti")
+    out = again.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("rep"))
+    return scratch.written(out.unionByName(once.select("doc_id", "n_shingles", F.col("doc_id").alias("rep"))), "classes")
+
+
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows without those of ids (doc_id, distinct)."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
 
 
-def met(table: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): each representative b and the least one, a, that has a signature in common with it. Of each size class a set
-    leaves out as many of its most frequent signatures as it has to spare: what linked sets share most rarely stays in
-    both. Signatures of one set meet nothing and go first, after the only shuffle of all signatures."""
-    copies = written(known.groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy")).where("copy").select("doc_id"), "copies")
+def prefixes(docs: DataFrame, copies: DataFrame, sketch: np.ndarray, most: int, words: int, percent: int) -> DataFrame:
+    """doc_id, n, index, light, heavy of every document with shingles that isn't a copy: the elements of its probe prefix
+    in their order, of which the first `index` are its index prefix; heavy ones, counted more than `most` times, come last."""
+    names = ["doc_id", "n", "index", "light", "heavy"]
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in bounded(batch):
+                n, index, light, heavy = [], [], [], []
+                for s in shingle_lists(texts, words):
+                    own, q = prefix(s, sketch, percent) if len(s) else (s, 0)
+                    at = int(np.searchsorted(sketch[places(own)], most, "right")) if len(own) else 0
+                    n.append(len(s))
+                    index.append(q)
+                    light.append(own[:at].astype(np.int64))
+                    heavy.append(own[at:].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(index, pa.int64()), pa.array(light, pa.list_(pa.int64())), pa.array(heavy, pa.list_(pa.int64()))], names)
+
     few = copies.count() <= BROADCAST_ROWS
-    reps = table.where("doc_id is not null").select("doc_id", "signatures").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
-    groups = reps.select("doc_id", F.posexplode("signatures").alias("place", "g"))
-    rows = groups.select("doc_id", (2 * F.col("g.spare") + F.col("place")).alias("spare"), F.explode("g.hashes").alias("signature"))
-    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("signature"))).where("n > 1")
-    commonest = Window.partitionBy("doc_id", "spare").orderBy(F.desc("n"), F.desc("signature"))
-    left = shared.withColumn("at", F.row_number().over(commonest)).where("at > shiftright(spare, 1)").select("doc_id", "signature")
-    first = F.min("doc_id").over(Window.partitionBy("signature").orderBy("doc_id"))
-    return left.select(first.alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
+    texts = doc_texts(docs).where("doc_id is not null")
+    schema = "doc_id long, n long, index long, light array<long>, heavy array<long>"
+    found = texts.join(F.broadcast(copies), "doc_id", "left_anti").mapInArrow(run, schema) if few else without(texts.mapInArrow(run, schema), copies)
+    return found.where("n > 0")
 
 
-def blocks(table: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, root) of representatives that meet by signatures, directly or through others; a block's root has no row."""
-    return stars(met(table, known))
+def groups(rows: DataFrame, percent: int, most: int) -> DataFrame:
+    """(label, doc_id, n), distinct: the sets of rows (prefixes) that share an element and are near in size, under the least
+    id among them. An element that no set has in its index prefix joins nothing; of heavy elements, more than `most` sets may
+    have fewer than HEAVY."""
+    light = rows.select("doc_id", "n", "index", F.posexplode("light").alias("pos", "element")).select("doc_id", "n", "element", (F.col("pos") < F.col("index")).alias("indexed"))
+    by_size = Window.partitionBy("element").orderBy("n", "doc_id")
+    near_before = 100 * F.lag("n").over(by_size) >= percent * F.col("n")
+    near_after = 100 * F.col("n") >= percent * F.lead("n").over(by_size)
+    met = light.withColumns({"before": F.coalesce(near_before, F.lit(False)), "after": F.coalesce(near_after, F.lit(False))}).where("before or after")
+    runs = met.withColumn("run", F.sum(F.when(F.col("before"), 0).otherwise(1)).over(by_size))
+    run = Window.partitionBy("element", "run")
+    labelled = runs.withColumns({"label": F.min("doc_id").over(run), "any": F.max("indexed").over(run), "k": F.count("*").over(run)}).where("any and k > 1").select("label", "doc_id", "n")
+    heavy = rows.select("doc_id", "n", F.explode("heavy").alias("element"))
+    hubs = heavy.groupBy("element").agg(F.min("doc_id").alias("label"), F.count("*").alias("k")).where("k > 1")
+    return labelled.unionByName(heavy_split(heavy, "element", hubs, most).select("label", "doc_id", "n")).distinct()
 
 
 def tree_join(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b), b the least of its component in the task, of members (task, doc_id, text, side, known): sides `left`
-    and `right` are compared across, `both` with everything of the task; equal known components are one from the start."""
+    """Links (a, b), b the least of its component in the task, of members (task, task_part, other_part, doc_id, text, side,
+    known): sides `left` and `right` are compared across, `both` with everything of the task; equal known components are
+    one from the start."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "side"]).drop_duplicates("doc_id")
+        part = part.sort_values(["doc_id", "side"]).drop_duplicates(["doc_id", "text"])
         ids, sides = part["doc_id"].tolist(), part["side"].tolist()
-        sets = [shingles(x, words) for x in part["text"]]
+        sets = shingle_lists(part["text"].tolist(), words)
         found = Components(len(ids))
         first: dict[int, int] = {}
         for i, known in enumerate(part["known"].tolist()):
-            if known >= 0 and first.setdefault(known, i) != i:
+            if first.setdefault(known, i) != i:
                 found.join(first[known], i)
         started = [found.find(i) for i in range(len(ids))]
         bits = width(sets)
@@ -105,41 +180,52 @@ def tree_join(members: DataFrame, words: int, percent: int) -> DataFrame:
     return members.groupBy("task", "task_part", "other_part").applyInPandas(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members (doc_id, ...) with the texts of their documents, by a broadcast while members are few."""
-    few = members.count() <= BROADCAST_ROWS
-    return doc_texts(docs).join(F.broadcast(members) if few else members, "doc_id")
+def dealt_members(docs: DataFrame, met: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
+    """The members (label, doc_id, n) of groups of two or more with their texts and their chunk, where a group has chunks;
+    the groups (label, chunks); and whether any group has more than one chunk."""
+    size = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES))
+    sizes = scratch.written(met.groupBy("label").agg(F.count("*").alias("k"), size.alias("chunks")).where("k > 1").drop("k"), "groups")
+    large = not sizes.where("chunks > 1").isEmpty()
+    few = sizes.count() <= BROADCAST_ROWS
+    members = met.join(F.broadcast(sizes) if few else sizes, "label").select("label", "doc_id", "chunks")
+    members = scratch.written(members, "members")
+    texts = doc_texts(docs).join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "doc_id")
+    dealt = texts.select(F.col("label").alias("task"), "doc_id", "text", "chunks", F.pmod(F.xxhash64("doc_id"), "chunks").alias("part"))
+    return (scratch.written(dealt, "group-texts") if large else dealt), sizes, large
 
 
 def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every document, one row for each row of docs.
     Two documents link when their shingle sets' Jaccard similarity is at least percent / 100. A null or empty text, or one
-    without words, has no shingles and no links; a doc_id on several rows is one document in links; null ids have none."""
-    table = written(shingle_table(docs, words, percent), "shingles")
-    known = classes(table)
-    block = blocks(table, known)
-    dropped(table)
-    members = written(block.select(F.col("node").alias("doc_id"), F.col("root").alias("task")).unionByName(block.select(F.col("root").alias("doc_id"), F.col("root").alias("task")).distinct()), "members")
-    sizes = members.groupBy("task").count().where(F.col("count") > CHUNK).select("task", F.ceil(F.col("count") / CHUNK).alias("chunks"))
-    sizes = written(sizes, "large-blocks")
-    large = sizes.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.coalesce("chunks", F.lit(1)))
-    dealt = written(texts_of(docs, members).join(F.broadcast(sizes) if large <= BROADCAST_ROWS else sizes, "task", "left").withColumn("part", part), "block-texts")
-    plain = dealt.select("task", F.col("part").alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), F.lit(-1).cast("long").alias("known"))
-    hubs = dealt.where("doc_id = task and chunks is not null").select("task", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), F.lit(-1).cast("long").alias("known"))
-    links = written(tree_join(plain.unionByName(hubs), words, percent), "block-links")
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if large:
-        roots = stars(links.unionByName(across_chunks(dealt, sizes, stars(links), words, percent)))
-    found = roots.select(F.col("node").alias("rep"), "root")
-    joined = known.select("doc_id", "n_shingles", "rep").join(found, "rep", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id"))
-
-
-def across_chunks(dealt: DataFrame, sizes: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between the chunks of large blocks: all sets outside a block's largest component, in parts of about CHUNK,
+    without words, has no shingles and no links; a doc_id on several rows is one document in links; null ids have none;
+    columns but doc_id and text don't matter."""
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        table = scratch.written(digests(docs, words), "digests")
+        known = classes(table, scratch)
+        copies = scratch.written(known.groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy")).where("copy").select("doc_id"), "copies")
+        sketch = sketch_of(table)
+        most = max(1000, int(sketch.sum(dtype=np.int64)) // HEAVY)
+        met = scratch.written(groups(prefixes(docs, copies, sketch, most, words, percent), percent, most), "met")
+        dealt, sizes, large = dealt_members(docs, met, scratch)
+        alone = F.col("doc_id").alias("known")
+        plain = dealt.select("task", F.col("part").alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), alone)
+        if large:
+            every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+            hubs = doc_texts(docs).join(F.broadcast(sizes.where("chunks > 1")).withColumnRenamed("label", "doc_id"), "doc_id")
+            plain = plain.unionByName(hubs.select(F.col("doc_id").alias("task"), every.alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), alone))
+        links = scratch.written(tree_join(plain, words, percent), "group-links")
+        if large:
+            links = links.unionByName(across_chunks(dealt, components(links, scratch), words, percent))
+        # copies join what is linked by their representative
+        found = components(links, scratch).select(F.col("node").alias("rep"), "root")
+        joined = known.join(found, "rep", "left")
+        return written(joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep")).alias("component_id")), "components")
+
+
+def across_chunks(dealt: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the chunks of large groups: all sets outside a group's largest component, in parts of about CHUNK,
     meet every chunk. Two sets of that component need no link."""
-    now = dealt.where("chunks is not null").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id"))
+    now = dealt.where("chunks > 1").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("known", F.coalesce("root", "doc_id"))
     counted = now.groupBy("task", "known").count()
     most = counted.groupBy("task").agg(F.max(F.struct("count", -F.col("known"))).alias("m")).select("task", (-F.col("m.col2")).alias("largest"))
     apart = counted.join(most, "task").where("known <> largest").groupBy("task").agg(F.sum("count").alias("left_rows")).select("task", F.ceil(F.col("left_rows") / CHUNK).alias("left_parts"))
@@ -152,17 +238,19 @@ def across_chunks(dealt: DataFrame, sizes: DataFrame, roots: DataFrame, words: i
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns, without those that are linked to one of smaller doc_id, directly or through others.
-    Rows equal in every column count as one; rows without doc_id stay. Ids that go are broadcast while they are few."""
+    """The documents, all columns, without those that are linked to one of smaller doc_id, directly or through others. Of
+    rows with one doc_id, one for each distinct text (null or not) stays; rows without doc_id stay."""
     found = similarity_components(docs, words, percent)
     gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "linked")
-    few = gone.count() <= BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
     repeated = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
         return left
-    return left.join(repeated, "doc_id", "left_anti").select(left.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(left.columns).distinct())
+    again = left.join(repeated, "doc_id", "left_semi").select(left.columns)
+    once = again.groupBy("doc_id", "text").agg(F.first(F.struct(*(F.col(f"`{x}`") for x in left.columns))).alias("kept_row")).select("kept_row.*")
+    return left.join(repeated, "doc_id", "left_anti").select(left.columns).unionByName(once)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null, empty and repeated texts as in similarity_components."""
     return similarity_components(documents(spark, sf_dir))

@@ -1,20 +1,32 @@
-"""Shingle sets of texts, and the part signatures by which similar sets meet.
+"""Shingle sets of texts, a sketch of how frequent shingles are, and the prefixes by which similar sets meet.
 
-Sets of Jaccard similarity t or more differ in at most (1 - t) / (1 + t) of their summed sizes. A set's hashes are cut by
-value into more parts than that bound for its size class (half as many again), so two linked sets have equal parts: each
-part's hash is a signature. Classes are ranges of sizes; a set whose partner may be in the next class has that class's signatures too.
+Put the elements of all sets in one order. Two sets of sizes m <= n with Jaccard similarity t or more share at least
+2tm / (1 + t) and at least tn elements, so their first common element is among the first m - 2tm / (1 + t) + 1 of the
+smaller set (its index prefix) and the first n - tn + 1 of the larger one (its probe prefix). The order puts rare elements
+first: by their count in the sketch, then by hash. Whatever the counts are, no pair is missed.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
-#: The upper end of a size class over its lower end.
-RATIO = 1.5
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Counters of the sketch, and in a block of it: an element is counted under its low bits.
+COUNTERS, BLOCK = 1 << 20, 1 << 15
+#: Words whose hashes a worker remembers before it starts anew.
+MEMO = 200_000
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+WORD_HASHES = WordHashes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -23,18 +35,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words_each: int = 3) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of words (A-Z lower-cased, cut at ASCII white space); with fewer words
-    the whole sequence is one; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k = min(words_each, len(words))
+def runs_of(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k words in a row."""
     out = h[: len(h) - k + 1] * A
     for j in range(1, k):
         out = mixed(out) * B + h[j : len(h) - k + 1 + j] * C
-    return np.unique(mixed(out + np.uint64(k)))
+    return mixed(out + np.uint64(k))
+
+
+def shingle_lists(texts: list[str | None], words_each: int = 3) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of the distinct shingles of its words (A-Z lower-cased, cut at ASCII white
+    space); with fewer words the whole sequence is one; none without words."""
+    words: list[bytes] = []
+    ends = [0]
+    for x in texts:
+        words += (x or "").encode("utf-8", "surrogatepass").lower().split()
+        ends.append(len(words))
+    h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    every = runs_of(h, words_each) if len(h) >= words_each else h[:0]
+    out = []
+    for i, j in zip(ends, ends[1:], strict=False):
+        if j - i >= words_each:
+            s = np.sort(every[i : j - words_each + 1])
+        else:
+            s = runs_of(h[i:j], j - i) if j > i else h[:0]
+        if len(s) > 1:
+            first = np.empty(len(s), bool)
+            first[0] = True
+            np.not_equal(s[1:], s[:-1], out=first[1:])
+            s = s[first]
+        out.append(s)
+    return out
+
+
+def shingles(text: str | None, words_each: int = 3) -> np.ndarray:
+    return shingle_lists([text], words_each)[0]
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -44,53 +79,17 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(pair.astype(np.int64).tolist())
 
 
-@lru_cache(maxsize=1)
-def class_ends() -> list[int]:
-    """The largest size of each class."""
-    ends = [1]
-    while ends[-1] < 1 << 40:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * RATIO)))
-    return ends
-
-
-def differing(size: int, percent: int) -> int:
-    """How many elements two linked sets of at most this size differ in, at most."""
-    return 2 * size * (100 - percent) // (100 + percent)
+def places(s: np.ndarray) -> np.ndarray:
+    """The counters of a set's elements."""
+    return (s & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-@lru_cache(maxsize=256)
-def edges(parts: int) -> np.ndarray:
-    """The lowest hash of each part but the first."""
-    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-
-
-def signature_groups(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
-    """For each size class that a set meets others in: spare, and its signatures as signed 64-bit numbers. The set shares
-    more than `spare` of these with every linked set, so each set may leave out that many of its own, if all sets leave out
-    by one order of all signatures. Empty parts are no signatures where the others are more than the bound of differing
-    elements; otherwise they are, and none may be left out."""
-    n = len(s)
-    if not n:
-        return []
-    ends = class_ends()
-    own = int(np.searchsorted(ends, n))
-    out = []
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ C), dtype=np.uint64)])
-    for c in (own, own + 1) if 100 * n >= percent * (ends[own] + 1) else (own,):
-        most = differing(ends[c], percent)
-        parts = most + most // 2 + 2
-        at = np.concatenate([[0], np.searchsorted(s, edges(parts)), [n]])
-        values = sums[at[1:]] - sums[at[:-1]]
-        tags = mixed(np.arange(parts, dtype=np.uint64) ^ np.uint64(c << 40))
-        filled = at[1:] > at[:-1]
-        partner = min(ends[c], 100 * n // percent)
-        spare = int(filled.sum()) - (n + partner) * (100 - percent) // (100 + percent) - 1
-        if spare >= 0:
-            values, tags = values[filled], tags[filled]
-        out.append((max(0, spare), mixed(values ^ tags).astype(np.int64)))
-    return out
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Of a set of n elements: its probe prefix, and its index prefix, which is never longer."""
+    return n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
 
 
-def part_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set."""
-    return np.concatenate([np.zeros(0, np.int64), *(x for _, x in signature_groups(s, percent))])
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """A set's probe prefix in the common order, and how many of its elements are the index prefix."""
+    probe, index = prefix_lengths(len(s), percent)
+    return s[np.argsort(counts[places(s)], kind="stable")[:probe]], index
