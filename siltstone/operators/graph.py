@@ -44,17 +44,17 @@ def activation(edges: DataFrame, seeds: DataFrame, rounds: int = 2, decay: float
     return total.groupBy("claim_id").agg(F.sum("energy").alias("activation"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of links (a, b) but the least of each component, which is the root: large-star and
     small-star steps until nothing changes. A round's links are written to the shared folder and the round before is
-    deleted; only a count and a sum of hashes come to the driver."""
+    deleted, and the result goes to `keep` if given; only a count and a sum of hashes come to the driver."""
     with Scratch(links.sparkSession, "links") as scratch:
         now = scratch.written(links.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct(), "links")
         seen = None
         while True:
             state = now.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
             if state == seen:
-                return written(now, "components")
+                return (keep.written if keep else written)(now, "components")
             seen = state
             both = now.select("node", F.col("root").alias("other")).unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("other")))
             least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("least"))
