@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 
 #: Characters of texts that a Python worker handles at a time, or one text.
 MOST_CHARS = 4_000_000
-#: Rows of a batch that a Python worker gives back at a time.
-MOST_ROWS = 2000
+#: Rows that a Python worker takes and gives back at a time.
+MOST_ROWS = 1000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to MOST_ROWS, never raises them: Spark reads that setting alone, and only
+    when a plan runs, and with its default of 10,000 rows two tasks' buffers of text go beyond a small executor's memory."""
+    if int(spark.conf.get(BATCH_ROWS)) > MOST_ROWS:
+        spark.conf.set(BATCH_ROWS, str(MOST_ROWS))
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """doc_id and whole text (null: empty); other columns, whatever their names, stay out of the plan."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

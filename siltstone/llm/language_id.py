@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded, doc_texts, documents, id_crc, in_bounds
+from siltstone.llm.common import bounded, doc_texts, documents, id_crc, in_bounds, small_batches
 
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOC_PROFILE = 400, 300
@@ -82,6 +82,7 @@ def train(rows: DataFrame) -> dict[str, list[int]]:
         for lang, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([*own], pa.int64()), pa.array([*own.values()], pa.int64())], ["lang", "gram", "n"])
 
+    small_batches(rows.sparkSession)
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     profiles: dict[str, list[int]] = {}
@@ -145,6 +146,7 @@ def kept_by_language(docs: DataFrame) -> DataFrame:
 
     at = docs.columns.index("text")
     profiles = train(training_rows(docs, held_out()))
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("kept_row"))
     return rows.mapInArrow(run, rows.schema).select("kept_row.*")
 
