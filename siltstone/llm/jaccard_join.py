@@ -205,7 +205,8 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         copies = scratch.written(known.groupBy("doc_id").agg(F.bool_and(F.col("rep") != F.col("doc_id")).alias("copy")).where("copy").select("doc_id"), "copies")
         sketch = sketch_of(table)
         most = max(1000, int(sketch.sum(dtype=np.int64)) // HEAVY)
-        met = scratch.written(groups(prefixes(docs, copies, sketch, most, words, percent), percent, most), "met")
+        rows = scratch.written(prefixes(docs, copies, sketch, most, words, percent), "prefixes")
+        met = scratch.written(groups(rows, percent, most), "met")
         dealt, sizes, large = dealt_members(docs, met, scratch)
         alone = F.col("doc_id").alias("known")
         plain = dealt.select("task", F.col("part").alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), alone)
