@@ -123,3 +123,36 @@ def modulated(delta: Column, resists: Column, gain: Column) -> Column:
     r = F.greatest(F.lit(0.25), F.least(F.lit(1.0), resists))
     d = delta * F.greatest(F.lit(0.5), F.least(F.lit(2.0), gain))
     return F.when(d >= 0, d * r).otherwise(d * (r + (1 - r) * 0.6))
+
+
+# Fixed values of components: the salience of a claim without one, and how inhibition grows, is capped, fades and ends.
+USUAL_SALIENCE, INHIBITED, MOST_INHIBITED, FADES, LEAST_INHIBITED = 0.5, 0.1, 0.5, 0.5, 0.01
+
+
+def explicit_salience(components: Column) -> Column:
+    return clamp01(F.coalesce(F.try_element_at(components, F.lit("salience")), F.lit(USUAL_SALIENCE)))
+
+
+def inhibition(components: Column) -> Column:
+    return clamp01(F.coalesce(F.try_element_at(components, F.lit("inhibition")), F.lit(0.0)))
+
+
+def _with_entry(components: Column, key: str, value: Column) -> Column:
+    others = F.map_filter(components, lambda k, v: k != key)
+    return F.when(value.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit(key), value)))
+
+
+def decayed_inhibition(components: Column) -> Column:
+    """The map with its inhibition halved, or gone where little is left."""
+    faded = F.try_element_at(components, F.lit("inhibition")) * FADES
+    return _with_entry(components, "inhibition", F.when(faded >= LEAST_INHIBITED, faded))
+
+
+def suppressed(components: Column) -> Column:
+    """The map with more inhibition, up to a cap."""
+    return _with_entry(components, "inhibition", F.least(F.coalesce(F.try_element_at(components, F.lit("inhibition")), F.lit(0.0)) + INHIBITED, F.lit(MOST_INHIBITED)))
+
+
+def with_credits(components: Column, credits: Column) -> Column:
+    """The map with all entries under `credit:` replaced."""
+    return F.map_concat(F.map_filter(components, lambda k, v: ~k.startswith("credit:")), credits)

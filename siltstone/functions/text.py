@@ -139,9 +139,41 @@ def fts_terms(query: Column) -> Column:
 
 
 def evict_to_limit(text: Column, limit: int) -> Column:
-    """The last characters, at most limit, from a line's start if a line starts in them."""
-    tail = F.right(text, F.lit(limit))
-    return F.when(F.char_length(text) <= limit, text).when(F.instr(tail, "\n") > 0, F.substring(tail, F.instr(tail, "\n") + 1, F.lit(limit))).otherwise(tail)
+    """The text without its oldest lines, as many as bring it to at most limit characters; of a last line that is longer
+    still, its end."""
+    tail, before = F.right(text, F.lit(limit)), F.substring(text, F.char_length(text) - limit, F.lit(1))
+    later = F.when((before == "\n") | (F.instr(tail, "\n") == 0), tail).otherwise(F.substring(tail, F.instr(tail, "\n") + 1, F.lit(limit)))
+    return F.when(F.char_length(text) <= limit, text).otherwise(later)
+
+
+# Endings of names of source files, and the shape of commit ids.
+CODE_ENDINGS = (
+    "go ts tsx js jsx py rs java rb php c cc cpp h hpp cs kt swift scala md yaml yml json toml sql sh env cfg ini lock mod sum proto gradle dockerfile"
+).split()
+COMMIT_ID = r"^(?=.*[0-9])[0-9a-f]{7,40}$"
+
+
+def _plain_word(word: Column) -> Column:
+    return F.btrim(word, F.lit(".,;:!?()[]{}\"'`"))
+
+
+def is_path(word: Column) -> Column:
+    slashes = F.char_length(word) - F.char_length(F.translate(word, "/", ""))
+    return ~F.contains(word, F.lit("://")) & (word.rlike(r"^.:[\\/]") | word.startswith("./") | word.startswith("../") | (word.startswith("/") & (slashes >= 2)))
+
+
+def is_repo_local(text: Column) -> Column:
+    """Whether a word is a path, the name of a source file, or a commit id."""
+    def local(raw: Column) -> Column:
+        w = _plain_word(raw)
+        named = ~F.contains(w, F.lit("://")) & F.lower(F.regexp_extract(w, r"(?s)^.+\.([^.]+)$", 1)).isin(CODE_ENDINGS)
+        return is_path(w) | named | w.rlike(COMMIT_ID)
+
+    return F.exists(F.filter(F.split(text, r"\s+"), lambda w: w != ""), local)
+
+
+def without_paths(text: Column) -> Column:
+    return F.array_join(F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~is_path(_plain_word(w))), " ")
 
 
 # Patterns of event observations.

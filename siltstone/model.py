@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import dedup_key, sentences
+from siltstone.operators import evidence, retrieval
+from siltstone.sources.shared import HEAVY, heavy_split, stored
 
 BASE, NOW, DAY = 1_685_577_600, 1_706_745_600, 86_400
-#: Room for the sentences of one document in a claim's number.
-ROOM = 100_000
+#: Room for the sentences of one document in a claim's number, and the first document number that has none left: beyond
+#: either, a query stops with an error.
+ROOM, MOST_DOCS = 1 << 24, 1 << 39
 
 
 def now() -> Column:
@@ -36,19 +39,38 @@ def kb_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("event_id"), F.col("lang").alias("run_id"), F.col("source").alias("created_by"), F.coalesce("text", F.lit("")).alias("content"), at.alias("ts"))
 
 
-def _statements(events: DataFrame) -> DataFrame:
+def statements(events: DataFrame) -> DataFrame:
+    """event_id, pos, number, text, key of each sentence of 12 characters or more."""
     s = events.select("event_id", F.posexplode(sentences(F.col("content"))).alias("pos", "raw"))
-    s = s.select("event_id", (F.col("event_id") * ROOM + F.col("pos")).alias("number"), F.trim(F.rtrim("raw", F.lit(". "))).alias("text"))
+    fits = (F.col("pos") < ROOM) & F.col("event_id").between(0, MOST_DOCS - 1)
+    number = F.when(fits, F.col("event_id") * ROOM + F.col("pos")).otherwise(F.raise_error(F.lit("a document or sentence number is out of range")).cast("long"))
+    s = s.select("event_id", "pos", number.alias("number"), F.trim(F.rtrim("raw", F.lit(". "))).alias("text"))
     return s.where(F.char_length("text") >= 12).withColumn("key", dedup_key(F.col("text")))
 
 
-def kb_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each distinct statement; the aggregation by key is partial before its shuffle."""
-    s = _statements(kb_events(spark, sf_dir))
-    c = s.groupBy("key").agg(F.min("number").alias("claim_id"), F.min_by("text", "number").alias("text"))
+def kb_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements with two hashes of their key, h and g, by which they meet in place of their text."""
+    def build() -> DataFrame:
+        return statements(kb_events(spark, sf_dir)).withColumns({"h": F.xxhash64("key"), "g": F.xxhash64(F.lit("key"), "key")})
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "statements", build)
+
+
+def kb_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """claim_id, event_id, number of every statement: the claim is the first statement of an equal key. Keys of many
+    statements are joined by broadcast."""
+    def build() -> DataFrame:
+        s = kb_statements(spark, sf_dir).select("h", "g", "number", "event_id")
+        first = s.groupBy("h", "g").agg(F.min("number").alias("claim_id"), F.count("*").alias("k"))
+        return heavy_split(s, ["h", "g"], first, max(1000, s.count() // HEAVY)).select("claim_id", "event_id", "number")
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "sources", build)
+
+
+def claim_columns() -> dict[str, Column]:
     n = F.col("claim_id")
     made = F.lit(BASE) + n % 240 * DAY + n % 3600
-    columns = {
+    return {
         "type": F.element_at(F.array(*map(F.lit, ("fact", "hypothesis", "decision"))), (n % 3 + 1).cast("int")),
         "confidence": F.lit(0.5) + (n % 49) / 100.0,
         "created_by": F.concat(F.lit("u"), (n % 11).cast("string")),
@@ -68,23 +90,59 @@ def kb_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         "citation_count": n % 12,
         "pass_count": n % 6,
         "fail_count": n % 5,
+        "requirement": F.when(n % 5 != 0, F.concat(F.lit("r"), F.floor(n / ROOM).cast("string"))),
+        "last_run_at": F.when((n % 5 != 0) & (n % 4 != 3), F.timestamp_seconds(F.lit(BASE) + n % 200 * DAY + n % 7 * 3600)),
     }
-    return c.select("claim_id", "text", "key", *(x.alias(name) for name, x in columns.items()))
+
+
+def kb_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each distinct statement."""
+    def build() -> DataFrame:
+        own = kb_sources(spark, sf_dir).where("number = claim_id").select("claim_id")
+        c = kb_statements(spark, sf_dir).select(F.col("number").alias("claim_id"), "text", "key").join(own, "claim_id")
+        return c.select("claim_id", "text", "key", *(x.alias(name) for name, x in claim_columns().items()))
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "claims", build)
 
 
 def kb_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _statements(kb_events(spark, sf_dir)).select("key", "event_id", "number")
-    first = s.groupBy("key").agg(F.min("number").alias("claim_id"))
-    return s.join(first, "key").select("claim_id", "event_id").distinct()
+    """claim_id, event_id, each pair once."""
+    return stored(spark, f"{sf_dir}/documents.parquet", "evidence", lambda: kb_sources(spark, sf_dir).select("claim_id", "event_id").distinct())
 
 
-def kb_edges(claims: DataFrame) -> DataFrame:
+def kb_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each claim to the next one of the same document."""
-    n = F.col("claim_id")
-    after = F.lead("claim_id").over(Window.partitionBy(F.floor(n / ROOM)).orderBy("claim_id"))
-    kind = F.when(n % 6 == 0, "contradicts").when(n % 6 == 1, "causes").when(n % 6 == 2, "cites").otherwise("supports")
-    e = claims.select(n.alias("from_id"), after.alias("to_id"), kind.alias("type"), (F.lit(1.0) + n % 10).alias("strength"), F.timestamp_seconds(F.lit(BASE) + n % 200 * DAY).alias("made_at"))
-    return e.where("to_id is not null")
+    def build() -> DataFrame:
+        n = F.col("claim_id")
+        after = F.lead("claim_id").over(Window.partitionBy(F.floor(n / ROOM)).orderBy("claim_id"))
+        kind = F.when(n % 6 == 0, "contradicts").when(n % 6 == 1, "causes").when(n % 6 == 2, "cites").otherwise("supports")
+        e = kb_claims(spark, sf_dir).select(n.alias("from_id"), after.alias("to_id"), kind.alias("type"), (F.lit(1.0) + n % 10).alias("strength"), F.timestamp_seconds(F.lit(BASE) + n % 200 * DAY).alias("made_at"))
+        return e.where("to_id is not null")
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "edges", build)
+
+
+def kb_trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with trust, staleness and what trust follows from."""
+    def build() -> DataFrame:
+        c = kb_claims(spark, sf_dir)
+        return evidence.with_trust(c, evidence.trust_inputs(c, kb_evidence(spark, sf_dir), kb_events(spark, sf_dir)), now())
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "trusted", build)
+
+
+def kb_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, event_id, tf, size (the event's words) in the order of terms, so that a scan for a few terms skips the rest."""
+    def build() -> DataFrame:
+        p = retrieval.postings(kb_events(spark, sf_dir))
+        return p.repartitionByRange("term", "event_id").sortWithinPartitions("term", "event_id")
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "postings", build)
+
+
+def kb_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: n_docs, mean_size (words of an event)."""
+    return stored(spark, f"{sf_dir}/documents.parquet", "event-sizes", lambda: retrieval.event_sizes(kb_events(spark, sf_dir)))
 
 
 def kb_verdicts(claims: DataFrame) -> DataFrame:
@@ -114,7 +172,7 @@ raw_sentences AS (
   SELECT event_id, unnest(regexp_split_to_array(content, '[!?\n]+|\.\s+')) AS raw, generate_subscripts(regexp_split_to_array(content, '[!?\n]+|\.\s+'), 1) - 1 AS pos FROM kb_events),
 statements AS (
   SELECT *, trim(regexp_replace(translate(lower(text), ',.;:!?', ''), '\s+', ' ', 'g')) AS key FROM (
-    SELECT event_id, event_id * 100000 + pos AS number, trim(rtrim(raw, '. ')) AS text FROM raw_sentences) WHERE length(text) >= 12),
+    SELECT event_id, event_id * 16777216 + pos AS number, trim(rtrim(raw, '. ')) AS text FROM raw_sentences) WHERE length(text) >= 12),
 kb_keys AS (SELECT key, min(number) AS claim_id, arg_min(text, number) AS text FROM statements GROUP BY key),
 kb_claims AS (
   SELECT claim_id, text, key, CASE claim_id % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'hypothesis' ELSE 'decision' END AS type,
@@ -129,11 +187,12 @@ kb_claims AS (
     CASE WHEN claim_id % 5 = 0 THEN 'personal' WHEN claim_id % 5 = 4 THEN 'org' ELSE 'team' END AS visibility,
     'svc' || (claim_id % 4) AS scope_service, CASE WHEN claim_id % 2 = 0 THEN 'prod' ELSE 'dev' END AS scope_env,
     CASE WHEN claim_id % 10 = 0 THEN 'promoted' ELSE 'captured' END AS lifecycle, (claim_id % 10)::DOUBLE / 10.0::DOUBLE AS source_authority,
-    claim_id % 12 AS citation_count, claim_id % 6 AS pass_count, claim_id % 5 AS fail_count
+    claim_id % 12 AS citation_count, claim_id % 6 AS pass_count, claim_id % 5 AS fail_count, CASE WHEN claim_id % 5 <> 0 THEN 'r' || (claim_id // 16777216) END AS requirement,
+    CASE WHEN claim_id % 5 <> 0 AND claim_id % 4 <> 3 THEN 1685577600 + claim_id % 200 * 86400 + claim_id % 7 * 3600 END AS last_run_at
   FROM kb_keys),
 kb_evidence AS (SELECT DISTINCT k.claim_id, s.event_id FROM statements s JOIN kb_keys k USING (key)),
 kb_edges AS (
-  SELECT * FROM (SELECT claim_id AS from_id, lead(claim_id) OVER (PARTITION BY claim_id // 100000 ORDER BY claim_id) AS to_id,
+  SELECT * FROM (SELECT claim_id AS from_id, lead(claim_id) OVER (PARTITION BY claim_id // 16777216 ORDER BY claim_id) AS to_id,
     CASE claim_id % 6 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'causes' WHEN 2 THEN 'cites' ELSE 'supports' END AS type,
     1.0::DOUBLE + claim_id % 10 AS strength, 1685577600 + claim_id % 200 * 86400 AS made_at FROM kb_claims) WHERE to_id IS NOT NULL),
 kb_verdicts AS (

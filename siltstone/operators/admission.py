@@ -60,13 +60,18 @@ def effective_time() -> Column:
     return F.coalesce("last_verified", "valid_from", "created_at")
 
 
+def decisiveness() -> Column:
+    """How one-sided the test results of a claim of a requirement are, 0 without results; null for other claims."""
+    return F.when(F.coalesce(F.col("requirement") != "", F.lit(False)), F.coalesce(scoring.pass_ratio(F.col("pass_count"), F.col("fail_count")), F.lit(0.0)))
+
+
 def rescored(claims: DataFrame, now: Column) -> DataFrame:
     """Claims with trust replaced by their credibility; a missing trust column or null counts as unknown."""
     base = scoring.clamp01(F.col("trust")) if "trust" in claims.columns else F.lit(0.0)
     age = scoring.days_between(effective_time(), now)
     live = scoring.liveness(age, base)
     weight = F.coalesce(*[F.when(live == k, v) for k, v in LIVENESS_WEIGHTS.items()], F.lit(0.5))
-    score = scoring.credibility(base, scoring.clamp01(F.col("source_authority")), F.col("citation_count"), age, weight, F.lit(None).cast("double"))
+    score = scoring.credibility(base, scoring.clamp01(F.col("source_authority")), F.col("citation_count"), age, weight, decisiveness() if "requirement" in claims.columns else F.lit(None).cast("double"))
     return claims.withColumn("trust", score)
 
 
@@ -81,7 +86,12 @@ def admit(claims: DataFrame, a: Admission) -> DataFrame:
     if a.recorded_at is not None:
         keep = keep & (F.col("created_at") <= a.recorded_at)
     out = out.where(keep)
-    return out if a.allowed is None else out.join(a.allowed, "claim_id", "left_semi")
+    return allowed(out, a.allowed)
+
+
+def allowed(claims: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Claims of ids (claim_id); without a list all, with an empty one none."""
+    return claims if ids is None else claims.join(ids.select("claim_id"), "claim_id", "left_semi")
 
 
 def overlapping(claims: DataFrame, start: Column, end: Column, limit: int = 1000) -> DataFrame:

@@ -113,3 +113,52 @@ def answer_confidence(claims: DataFrame, contradiction_count: Column, now: Colum
     n = F.count("*")
     raw = 0.4 * F.avg("trust") + 0.2 * F.least(n / 5.0, F.lit(1.0)) - F.least(0.1 * F.max(contradiction_count), F.lit(0.3)) + 0.1 * F.avg(1 - F.least(hours / 720, F.lit(1.0)))
     return claims.agg(n.alias("claims"), F.when(n == 0, 0.0).otherwise(scoring.clamp01(F.coalesce(raw, F.lit(0.0)))).alias("confidence"))
+
+
+def threshold_verdict(metrics: Column, thresholds: dict[str, float]) -> Column:
+    """`failure` if a metric of a map is over its threshold, else `success`; metrics without a threshold say nothing."""
+    over = [F.coalesce(F.try_element_at(metrics, F.lit(name)) > most, F.lit(False)) for name, most in thresholds.items()]
+    return F.when(F.array_contains(F.array(*over), True), "failure").otherwise("success")
+
+
+def beliefs_of(decisions: DataFrame) -> DataFrame:
+    """decision_id, belief_id of decisions (decision_id, beliefs: an array), each pair once."""
+    return decisions.select("decision_id", F.explode("beliefs").alias("belief_id")).distinct()
+
+
+def action_surprises(outcomes: DataFrame, decisions: DataFrame, expectations: DataFrame) -> DataFrame:
+    """action_id, surprise: of outcomes (action_id, outcome_id) the greatest surprise of an expectation (belief_id, surprise)
+    that a decision (decision_id, outcome_id, beliefs) on that outcome rests on."""
+    rests = decisions.select("outcome_id", F.explode("beliefs").alias("belief_id")).join(expectations, "belief_id").groupBy("outcome_id").agg(F.max("surprise").alias("surprise"))
+    return outcomes.join(rests, "outcome_id").groupBy("action_id").agg(F.max("surprise").alias("surprise"))
+
+
+def polarity_skew(events: DataFrame, by: str, polarity: Column) -> DataFrame:
+    """by, positive, negative, skew: the difference over their sum, null without either."""
+    g = events.groupBy(by).agg(F.count_if(polarity > 0).alias("positive"), F.count_if(polarity < 0).alias("negative"))
+    both = F.col("positive") + F.col("negative")
+    return g.withColumn("skew", F.when(both > 0, (F.col("positive") - F.col("negative")) / both))
+
+
+def single_sourced(pairs: DataFrame, key: str, source: str) -> DataFrame:
+    """key, top_source, share: which source gives most of each key's rows, ties to the first by name, and what share."""
+    g = pairs.groupBy(key, source).agg(F.count("*").alias("n"))
+    return g.groupBy(key).agg(F.min_by(source, F.struct(-F.col("n"), source)).alias("top_source"), (F.max("n") / F.sum("n")).alias("share"))
+
+
+def bounded(scanned: DataFrame, considered: DataFrame, available: DataFrame, limit: int, most: int = 200) -> DataFrame:
+    """One row on a bounded answer: scanned, considered, available, limit (at most `most`), truncated and its reasons."""
+    cap = min(limit, most)
+    counts = scanned.agg(F.count("*").alias("scanned")).join(considered.agg(F.count("*").alias("considered")), F.lit(True)).join(available.agg(F.count("*").alias("available")), F.lit(True))
+    reasons = F.array_compact(F.array(
+        F.when(F.lit(limit > most) & (F.col("available") > cap), "limit_capped"), F.when(F.col("considered") < F.col("scanned"), "candidate_cap"), F.when(F.col("available") > cap, "result_limit")))
+    return counts.withColumn("limit", F.lit(cap)).withColumn("reasons", F.array_join(reasons, ",")).withColumn("truncated", F.col("reasons") != "")
+
+
+def playbook_rates(lessons: DataFrame, actions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """playbook, scored, rate: from playbooks (playbook, lesson) over lessons (lesson, action_id) to outcomes (action_id,
+    outcome_id, result), each outcome of a playbook once; success counts 1, partial a half, failure 0, unknown nothing."""
+    value = F.when(F.col("result") == "success", 1.0).when(F.col("result") == "partial", 0.5).when(F.col("result") == "failure", 0.0)
+    of = lessons.join(actions.distinct(), "lesson").select("playbook", "action_id").distinct()
+    x = of.join(outcomes.select("action_id", "outcome_id", value.alias("value")).where("value is not null"), "action_id").groupBy("playbook", "outcome_id").agg(F.max("value").alias("value"))
+    return x.groupBy("playbook").agg(F.count("*").alias("scored"), F.avg("value").alias("rate"))

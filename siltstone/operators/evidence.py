@@ -86,12 +86,13 @@ def hypercorrections(edges: DataFrame, claims: DataFrame, min_trust: float = 0.7
 
 
 def resolved(edges: DataFrame, claims: DataFrame) -> DataFrame:
-    """Contradictions of live claims with a winner and how it was found: by test results, then by confidence, then by
-    trust; else none, to escalate. Fixed values: margins of 0.2, 0.2 and 0.05, and confidence of at least 0.7."""
-    ends = claims.select("claim_id", "confidence", F.coalesce(scoring.pass_ratio(F.col("pass_count"), F.col("fail_count")), F.lit(0.0)).alias("ratio"))
+    """Contradictions of live claims with a winner and how it was found. Of two test results of one requirement the later
+    run wins if it came a day later, then the more one-sided one; then, and for other claims, the greater confidence, then
+    the greater trust; else none, to escalate. Fixed values: a day, margins of 0.2, 0.2 and 0.05, confidence of at least 0.7."""
+    ends = claims.select("claim_id", "confidence", "requirement", "last_run_at", F.coalesce(scoring.pass_ratio(F.col("pass_count"), F.col("fail_count")), F.lit(0.0)).alias("ratio"))
     x = contradictions(edges, claims)
     for end in ("from", "to"):
-        x = x.join(ends.select(F.col("claim_id").alias(f"{end}_id"), F.col("confidence").alias(f"{end}_confidence"), F.col("ratio").alias(f"{end}_ratio")), f"{end}_id")
+        x = x.join(ends.select(*(F.col(c).alias(f"{end}_id" if c == "claim_id" else f"{end}_{c}") for c in ends.columns)), f"{end}_id")
 
     def gap(name: str) -> Column:
         return F.abs(F.col(f"from_{name}") - F.col(f"to_{name}"))
@@ -99,7 +100,56 @@ def resolved(edges: DataFrame, claims: DataFrame) -> DataFrame:
     def better(name: str) -> Column:
         return F.when(F.col(f"from_{name}") >= F.col(f"to_{name}"), F.col("from_id")).otherwise(F.col("to_id"))
 
+    tests = F.coalesce((F.col("from_requirement") == F.col("to_requirement")) & (F.col("from_requirement") != ""), F.lit(False))
+    apart = F.coalesce(F.abs(F.unix_micros("from_last_run_at") - F.unix_micros("to_last_run_at")) >= 86_400_000_000, F.lit(False))
     sure = (F.col("from_confidence") >= 0.7) & (F.col("to_confidence") >= 0.7) & (gap("confidence") >= 0.2 - 1e-12)
-    how = F.when(gap("ratio") >= 0.2 - 1e-12, "tests").when(sure, "confidence").when(gap("trust") >= 0.05, "trust").otherwise("escalate")
-    winner = F.when(F.col("how") == "tests", better("ratio")).when(F.col("how") == "confidence", better("confidence")).when(F.col("how") == "trust", better("trust"))
+    how = F.when(tests & apart, "recency").when(tests & (gap("ratio") >= 0.2 - 1e-12), "tests").when(sure, "confidence").when(gap("trust") >= 0.05, "trust").otherwise("escalate")
+    by = {"recency": "last_run_at", "tests": "ratio", "confidence": "confidence", "trust": "trust"}
+    winner = F.coalesce(*[F.when(F.col("how") == h, better(name)) for h, name in by.items()])
     return x.withColumn("how", how).withColumn("winner", winner)
+
+
+def why_trust(claims: DataFrame, now: Column) -> DataFrame:
+    """claim_id, score and its signals (name, value, weight) of claims with trust: what credibility is made of. Tests count
+    for claims of a requirement only; without them the other weights are scaled up."""
+    from siltstone.operators import admission
+
+    base, authority = scoring.clamp01(F.col("trust")), scoring.clamp01(F.col("source_authority"))
+    age = scoring.days_between(admission.effective_time(), now)
+    live = F.coalesce(*[F.when(scoring.liveness(age, base) == k, v) for k, v in admission.LIVENESS_WEIGHTS.items()], F.lit(0.5))
+    tests = admission.decisiveness()
+    scale = F.when(tests.isNull(), 1 / 0.93).otherwise(1.0)
+    values = {
+        "trust": (F.when(base == 0, 0.5).otherwise(base), 0.50), "authority": (F.when(authority == 0, 0.5).otherwise(authority), 0.15), "citations": (scoring.clamp01(F.log1p(F.col("citation_count").cast("double")) / F.log(F.lit(11.0))), 0.13),
+        "recency": (F.exp(-F.greatest(age, F.lit(0.0)) / 180.0), 0.10), "liveness": (live, 0.05),
+    }
+    signals = F.array(*[F.struct(F.lit(name).alias("name"), value.alias("value"), (weight * scale).alias("weight")) for name, (value, weight) in values.items()])
+    signals = F.when(tests.isNull(), signals).otherwise(F.array_append(signals, F.struct(F.lit("tests").alias("name"), tests.alias("value"), F.lit(0.07).alias("weight"))))
+    x = claims.select("claim_id", signals.alias("signals"))
+    return x.select("claim_id", scoring.clamp01(F.aggregate("signals", F.lit(0.0), lambda a, s: a + s["value"] * s["weight"])).alias("score"), "signals")
+
+
+def wrong_beliefs(incidents: DataFrame, decisions: DataFrame, claims: DataFrame) -> DataFrame:
+    """incident_id, root_text, root_trust, decisions of incidents (incident_id, root_cause_id, decision_ids): the claim that
+    caused each, null where it is unknown or gone, and how many of the named decisions there are."""
+    named = incidents.select("incident_id", F.explode("decision_ids").alias("decision_id")).distinct().join(decisions.select("decision_id"), "decision_id", "left_semi")
+    counted = named.groupBy("incident_id").agg(F.count("*").alias("decisions"))
+    roots = claims.select(F.col("claim_id").alias("root_cause_id"), F.col("text").alias("root_text"), F.col("trust").alias("root_trust"))
+    x = incidents.select("incident_id", "root_cause_id").join(roots, "root_cause_id", "left").join(counted, "incident_id", "left")
+    return x.select("incident_id", "root_text", "root_trust", F.coalesce("decisions", F.lit(0)).alias("decisions"))
+
+
+def audit_trail(decisions: DataFrame, service: str | None = None, risk: str | None = None, successful: bool = False) -> DataFrame:
+    """Decisions (with scope_service, risk, failed_outcome_id) whose outcome failed, or all; of one service or risk."""
+    out = decisions if successful else decisions.where("failed_outcome_id is not null")
+    out = out if service is None else out.where(F.col("scope_service") == service)
+    return out if risk is None else out.where(F.col("risk") == risk)
+
+
+def auto_edges(pairs: DataFrame, outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """from_id, type, to_id: an outcome and its action both ways (pairs: action_id, outcome_id); and from a decision's outcome
+    (outcome_id, result) to each of its beliefs, validated by success and refuted by failure. Each edge once."""
+    ways = [pairs.select(F.col("outcome_id").alias("from_id"), F.lit("outcome_of").alias("type"), F.col("action_id").alias("to_id")), pairs.select(F.col("action_id").alias("from_id"), F.lit("action_of").alias("type"), F.col("outcome_id").alias("to_id"))]
+    kind = F.when(F.col("result") == "success", "validates").when(F.col("result") == "failure", "refutes")
+    judged = decisions.select("outcome_id", F.explode("beliefs").alias("to_id")).join(outcomes.select("outcome_id", kind.alias("type")).where("type is not null"), "outcome_id")
+    return ways[0].unionByName(ways[1]).unionByName(judged.select(F.col("outcome_id").alias("from_id"), "type", "to_id")).distinct()

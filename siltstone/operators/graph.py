@@ -44,6 +44,30 @@ def activation(edges: DataFrame, seeds: DataFrame, rounds: int = 2, decay: float
     return total.groupBy("claim_id").agg(F.sum("energy").alias("activation"))
 
 
+# Fixed values of the re-rank by activation: seeds, steps, decay, the activation that counts at most, and its weight.
+SEEDS, STEPS, DECAY, MOST_ACTIVE, ACTIVE_WEIGHT = 5, 2, 0.5, 1.0, 0.35
+
+
+def reranked(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """claim_id, score, rank of a ranked list (claim_id, rank from 1): each has its place as base score; the first SEEDS
+    spread activation along edges to claims not reached before, which sum it if they are in the list and pass on the
+    greatest. The list and what its seeds reach are small beside the edges."""
+    n = ranked.count()
+    base = ranked.select("claim_id", "rank", ((n - F.col("rank") + 1) / n).alias("base"))
+    weighted = both_ways(edges.select("from_id", "to_id", scoring.edge_weight(F.col("type"), F.col("strength")).alias("weight")))
+    front = base.where(F.col("rank") <= SEEDS).select(F.col("claim_id").alias("from_id"), F.col("base").alias("energy"))
+    visited, sent = front.select("from_id"), None
+    for _ in range(STEPS):
+        step = front.join(weighted, "from_id").join(visited.withColumnRenamed("from_id", "to_id"), "to_id", "left_anti").select("to_id", (F.col("energy") * DECAY * F.col("weight")).alias("energy"))
+        sent = step if sent is None else sent.unionByName(step)
+        front = written(step.groupBy(F.col("to_id").alias("from_id")).agg(F.max("energy").alias("energy")), "front")
+        visited = visited.unionByName(front.select("from_id"))
+    active = sent.groupBy(F.col("to_id").alias("claim_id")).agg(F.sum("energy").alias("active"))
+    scored = base.join(active, "claim_id", "left").withColumn("score", F.col("base") + ACTIVE_WEIGHT * F.least(F.coalesce("active", F.lit(0.0)), F.lit(MOST_ACTIVE)))
+    order = Window.orderBy(F.desc(F.round("score", 9)), "rank")
+    return scored.withColumn("old_rank", F.col("rank")).withColumn("rank", F.row_number().over(order)).select("claim_id", "score", "rank")
+
+
 def components(links: DataFrame, keep: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of links (a, b) but the least of each component, which is the root: large-star and
     small-star steps until nothing changes. A round's links are written to the shared folder and the round before is
@@ -122,3 +146,57 @@ def recombinations(claims: DataFrame, edges: DataFrame, least: float = 0.34, wor
     pairs = a.join(b, "word").where("a < b").dropDuplicates(["a", "b"]).select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= least)
     known = edges.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"))
     return pairs.join(known, ["a", "b"], "left_anti")
+
+
+# How far a claim's neighbourhood reaches, and from which likeness two are analogous.
+NEIGHBOURHOOD_HOPS, LEAST_ANALOGY = 2, 0.5
+
+
+def neighbourhoods(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seed, node) within NEIGHBOURHOOD_HOPS of each seed, itself included, and (seed, from_id, to_id, type) of the edges
+    passed on the way: those at a node nearer than the last hop."""
+    around = both_ways(edges.select("from_id", "to_id")).distinct()
+    nodes = seeds.select(F.col("claim_id").alias("seed"), F.col("claim_id").alias("node")).distinct()
+    near = nodes
+    for hop in range(NEIGHBOURHOOD_HOPS):
+        if hop == NEIGHBOURHOOD_HOPS - 1:
+            near = nodes
+        met = nodes.join(around.withColumnRenamed("from_id", "node"), "node").select("seed", F.col("to_id").alias("node"))
+        nodes = nodes.unionByName(met).distinct()
+    own = edges.select("from_id", "to_id", "type").distinct()
+    passed = near.join(own.withColumn("node", F.col("from_id")), "node").unionByName(near.join(own.withColumn("node", F.col("to_id")), "node"))
+    return nodes, passed.select("seed", "from_id", "to_id", "type").distinct()
+
+
+def fingerprints(nodes: DataFrame, passed: DataFrame, roles: DataFrame) -> DataFrame:
+    """seed, label, n: how often each label occurs in a seed's neighbourhood. A node's labels are its role (claim_id, role;
+    unknown without one), then twice a hash of the label before and the sorted types and labels of its neighbours."""
+    ends = passed.select("seed", F.col("from_id").alias("node"), F.col("to_id").alias("other"), "type").unionByName(passed.select("seed", F.col("to_id").alias("node"), F.col("from_id").alias("other"), "type"))
+    labels = nodes.join(roles.withColumnRenamed("claim_id", "node"), "node", "left").select("seed", "node", F.coalesce("role", F.lit("unknown")).alias("label"))
+    every = labels.select("seed", "label")
+    for _ in range(2):
+        theirs = labels.select("seed", F.col("node").alias("other"), F.col("label").alias("other_label"))
+        tags = ends.join(theirs, ["seed", "other"]).groupBy("seed", "node").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "type", "other_label"))), ",").alias("tags"))
+        labels = labels.join(tags, ["seed", "node"], "left").select("seed", "node", F.sha2(F.concat_ws("#", "label", F.coalesce("tags", F.lit(""))), 256).alias("label"))
+        every = every.unionByName(labels.select("seed", "label"))
+    return every.groupBy("seed", "label").agg(F.count("*").alias("n"))
+
+
+def analogies(edges: DataFrame, roles: DataFrame, anchor: int, limit: int = 10) -> DataFrame:
+    """claim_id, similarity of the claims whose neighbourhoods are most like the anchor's in structure. Claims are taken by
+    falling degree, then id; one inside the neighbourhood of a claim taken before, or of the anchor, is represented by it."""
+    from siltstone.operators.promote import first_independent
+
+    spark = edges.sparkSession
+    degree = edges.select("from_id", "to_id", "type").distinct().select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    own_nodes, own_edges = neighbourhoods(edges, spark.createDataFrame([(anchor,)], "claim_id long"))
+    others = degree.join(own_nodes.select("node"), "node", "left_anti")
+    nodes, passed = neighbourhoods(edges, others.select(F.col("node").alias("claim_id")))
+    conflicts = nodes.where("seed <> node").select(F.col("seed").alias("a"), F.col("node").alias("b"))
+    taken = first_independent(others.select("node", F.struct((-F.col("degree")).alias("d"), "node").alias("order")), conflicts).withColumnRenamed("node", "seed")
+    theirs = fingerprints(nodes.join(taken, "seed", "left_semi"), passed.join(taken, "seed", "left_semi"), roles)
+    own = fingerprints(own_nodes, own_edges, roles).select("label", F.col("n").alias("own_n"))
+    norm = own.agg(F.sqrt(F.sum(F.col("own_n") * F.col("own_n"))).alias("own_norm"))
+    x = theirs.join(F.broadcast(own), "label", "left").groupBy("seed").agg(F.sum(F.col("n") * F.coalesce("own_n", F.lit(0))).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    x = x.join(F.broadcast(norm), F.lit(True)).select(F.col("seed").alias("claim_id"), (F.col("dot") / (F.col("norm") * F.col("own_norm"))).alias("similarity"))
+    return x.where(F.col("similarity") >= LEAST_ANALOGY).orderBy(F.desc(F.round("similarity", 9)), "claim_id").limit(limit)

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
-from siltstone.functions.text import alnum_key
+from siltstone.functions.text import alnum_key, is_repo_local, volatility_days
 from siltstone.operators import evidence
 from siltstone.sources.shared import written
 
 # What forgetting spares, the cap of a belief's credit, and float-back.
 SPARED_SALIENCE, CREDIT_CAP = 0.66, 0.3
-FLOATBACK = {"least_trust": 0.6, "local": r"(^|\s)[\w./-]+/[\w.-]+"}
+FLOATBACK_TRUST = 0.6
 
 
 def to_forget(claims: DataFrame, below: float) -> DataFrame:
@@ -44,20 +44,21 @@ def strengthened(edges: DataFrame, active: DataFrame, by: float, cap: float = 10
 
 
 def test_conflicts(claims: DataFrame) -> DataFrame:
-    """a, b, type of claims with test results under one requirement: opposite results contradict, like ones support."""
-    x = claims.where("pass_count <> fail_count").select("claim_id", "requirement", F.signum(F.col("pass_count") - F.col("fail_count")).alias("net"))
-    a = x.select(F.col("claim_id").alias("a"), "requirement", F.col("net").alias("net_a"))
-    b = x.select(F.col("claim_id").alias("b"), "requirement", F.col("net").alias("net_b"))
-    return a.join(b, "requirement").where("a < b").select("a", "b", F.when(F.col("net_a") == F.col("net_b"), "supports").otherwise("contradicts").alias("type"))
+    """a, b, type of claims (requirement, scope, pass_count, fail_count) with test results under one requirement: opposite
+    results contradict, like ones support. Claims of different scopes have no relation; an empty scope goes with any."""
+    x = claims.where("requirement <> '' and pass_count <> fail_count").select("claim_id", "requirement", F.coalesce("scope", F.lit("")).alias("scope"), F.signum(F.col("pass_count") - F.col("fail_count")).alias("net"))
+    a, b = (x.select(F.col("claim_id").alias(end), "requirement", F.col("net").alias(f"net_{end}"), F.col("scope").alias(f"scope_{end}")) for end in ("a", "b"))
+    fits = (F.col("scope_a") == F.col("scope_b")) | (F.col("scope_a") == "") | (F.col("scope_b") == "")
+    return a.join(b, "requirement").where((F.col("a") < F.col("b")) & fits).select("a", "b", F.when(F.col("net_a") == F.col("net_b"), "supports").otherwise("contradicts").alias("type"))
 
 
-def floatback(claims: DataFrame, least_trust: float, local: str) -> DataFrame:
+def floatback(claims: DataFrame, least_trust: float = FLOATBACK_TRUST) -> DataFrame:
     """Claims with a decision: the first reason against floating them back to the global store, or `float`."""
     keyed = claims.withColumn("alnum", alnum_key(F.col("text"))).withColumn("is_active", F.col("status") == "active")
     first = Window.partitionBy("is_active", "alnum").orderBy("claim_id")
     decision = (
         F.when(~F.col("is_active"), "inactive").when(F.col("alnum") == "", "empty").when(F.row_number().over(first) > 1, "duplicate")
-        .when(F.col("trust") < least_trust, "low_trust").when(F.col("text").rlike(local), "repo_local").otherwise("float")
+        .when(F.col("trust") < least_trust, "low_trust").when(is_repo_local(F.col("text")), "repo_local").otherwise("float")
     )
     return keyed.withColumn("decision", decision)
 
@@ -85,30 +86,106 @@ def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def curiosity(claims: DataFrame, degrees: DataFrame, limit: int) -> DataFrame:
-    """Live claims worth asking about, most urgent first, with the reason: contested, little trusted or stale."""
+    """Live claims worth asking about, most urgent first: the first reason of contested, unresolved (a column, for open
+    predictions), stale and low_trust, what to do, and the priority: worth times doubt and staleness, more for
+    contradictions, unresolved predictions and over-confident sources (overconfidence, 0 to 1)."""
     worth = scoring.salience(F.col("confidence"), F.coalesce("event_count", F.lit(0)), F.col("type"), F.col("source_authority"), F.col("verify_count"))
     x = claims.where(F.col("valid_to").isNull()).join(degrees, "claim_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    priority = worth * scoring.clamp01(1 - F.col("trust")) * (0.3 + 0.7 * scoring.clamp01(F.col("staleness"))) * (1 + 0.15 * F.least(F.col("degree"), F.lit(4)))
-    reason = F.when(F.col("degree") > 0, "contested").when(F.col("trust") <= 0.4, "low_trust").when(F.col("staleness") >= 0.7 - 1e-9, "stale")
-    return x.select("claim_id", reason.alias("reason"), priority.alias("priority")).where("reason is not null").orderBy(F.desc(F.round("priority", 9)), "claim_id").limit(limit)
-
-
-def consolidate(claims: DataFrame, links: DataFrame, events: DataFrame, edges: DataFrame, verdicts: DataFrame, now: Column, below: float) -> DataFrame:
-    """One pass in its fixed order: trust, forgetting of stale and of refuted claims, decay of edges. One row of what it
-    did; the steps are operators of their own, whose results a caller writes as new tables."""
-    trusted = evidence.with_trust(claims, evidence.trust_inputs(claims, links, events), now)
-    stale = to_forget(trusted, below).agg(F.count("*").alias("stale"))
-    judged = evidence.latest_verdict(verdicts).where("kind = 'refutes'").select("claim_id")
-    refuted = trusted.where(F.col("valid_to").isNull()).join(judged, "claim_id", "left_semi").agg(F.count("*").alias("refuted"))
-    nothing = trusted.limit(0).select("claim_id")
-    decayed = strengthened(edges, nothing, 1.0).agg(F.sum("strength").alias("strength"))
-    return trusted.agg(F.count("*").alias("claims")).join(refuted, F.lit(True)).join(stale, F.lit(True)).join(decayed, F.lit(True))
-
-
-def cleaned(rows: DataFrame, column: str, blocks: list[str], prefixes: list[str]) -> DataFrame:
-    """Texts without tagged blocks and without the content of lines that begin with a prefix."""
-    out = F.col(column)
-    for tag in blocks:
-        out = F.regexp_replace(out, rf"(?s)<{tag}>.*?</{tag}>", "")
-    out = F.regexp_replace(out, "(?m)^(" + "|".join(prefixes) + ").*$", "")
-    return rows.withColumn("cleaned", F.trim(out))
+    open_factor = F.when(F.col("unresolved"), 1.25).otherwise(1.0) * (1 + 0.5 * scoring.clamp01(F.col("overconfidence")))
+    priority = worth * scoring.clamp01(1 - F.col("trust")) * (0.3 + 0.7 * scoring.clamp01(F.col("staleness"))) * (1 + 0.15 * F.least(F.col("degree"), F.lit(4))) * open_factor
+    reason = F.when(F.col("degree") > 0, "contested").when(F.col("unresolved"), "unresolved_hypothesis").when(F.col("staleness") >= 0.7 - 1e-9, "stale").when(F.col("trust") <= 0.4, "low_trust")
+    action = F.when(F.col("degree") > 0, "resolve").otherwise("verify")
+    return x.select("claim_id", reason.alias("reason"), action.alias("action"), priority.alias("priority")).where("reason is not null").orderBy(F.desc(F.round("priority", 9)), "claim_id").limit(limit)
+
+
+def half_life_plan(claims: DataFrame, version: str) -> DataFrame:
+    """claim_id, half_life_days of the claims to stamp: not deprecated, without a half-life, and not stamped by this version
+    of the classifier (half_life_by)."""
+    todo = (F.col("status") != "deprecated") & (F.coalesce("half_life_days", F.lit(0)) == 0) & (F.coalesce("half_life_by", F.lit("")) != version)
+    return claims.where(todo).select("claim_id", volatility_days(F.col("type"), F.col("text")).alias("half_life_days"))
+
+
+def consolidate(tables: dict[str, DataFrame], now: Column, below: float, replay: int = 50) -> tuple[dict[str, DataFrame], DataFrame]:
+    """One pass over the store in its fixed order; new versions of its tables, written, and one row of what each step did.
+
+    tables: claims (with components, a map), evidence, events, edges, merges (old_id, new_id), verdicts, credits (claim_id,
+    key, credit), surprises (claim_id, surprise), risks (claim_id, risk, result), actions. Steps: merge duplicates, trust,
+    credit, salience, rank for replay, forget stale, forget refuted, reinforce validated, lessons, playbooks and their
+    success, freshen the replayed, decay edges, decay inhibition, journal."""
+    from siltstone.operators import analytics
+
+    links = tables["evidence"].join(tables["merges"].withColumnRenamed("old_id", "claim_id"), "claim_id", "left").select(F.coalesce("new_id", "claim_id").alias("claim_id"), "event_id").distinct()
+    edges = evidence.repointed(tables["edges"], tables["merges"])
+    left = tables["claims"].join(tables["merges"].select(F.col("old_id").alias("claim_id")), "claim_id", "left_anti")
+    trusted = written(evidence.with_trust(left, evidence.trust_inputs(left, links, tables["events"]), now), "trusted")
+    sums = tables["credits"].groupBy("claim_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("credit:"), "key"), "credit"))).alias("fresh"), F.sum("credit").alias("total"))
+    capped = F.greatest(F.lit(-CREDIT_CAP), F.least(F.lit(CREDIT_CAP), F.coalesce("total", F.lit(0.0))))
+    x = trusted.join(sums, "claim_id", "left").withColumn("components", scoring.with_credits(F.col("components"), F.coalesce("fresh", F.from_json(F.lit("{}"), "map<string,double>"))))
+    x = x.withColumn("trust", scoring.clamp01(F.col("trust") + capped)).withColumn("credited", F.col("total").isNotNull()).drop("fresh", "total")
+    worst = tables["risks"].groupBy("claim_id").agg(F.max(scoring.outcome_salience(F.col("risk"), F.col("result"))).alias("at_risk"))
+    x = x.join(worst, "claim_id", "left").withColumn("components", F.when(F.col("at_risk") > 0, F.map_concat(F.map_filter("components", lambda k, v: k != "salience"), F.create_map(F.lit("salience"), F.col("at_risk")))).otherwise(F.col("components")))
+    live = F.col("valid_to").isNull() & (F.col("status") != "deprecated")
+    age = F.greatest(scoring.days_between(F.col("created_at"), now), F.lit(0.0))
+    felt = x.join(tables["surprises"].groupBy("claim_id").agg(F.max("surprise").alias("surprise")), "claim_id", "left")
+    priority = scoring.replay_priority(scoring.explicit_salience(F.col("components")), age, scoring.saturated(F.coalesce("surprise", F.lit(0.0))))
+    replayed = written(felt.where(live).select("claim_id", priority.alias("priority")).orderBy(F.desc(F.round("priority", 9)), "claim_id").limit(replay).select("claim_id"), "replayed")
+    stale = written(to_forget(x, below).join(F.broadcast(replayed), "claim_id", "left_anti").select("claim_id"), "stale")
+    judged = evidence.latest_verdict(tables["verdicts"]).select("claim_id", "kind")
+    x = x.join(stale.withColumn("is_stale", F.lit(True)), "claim_id", "left").join(judged, "claim_id", "left").join(F.broadcast(replayed.withColumn("is_replayed", F.lit(True))), "claim_id", "left")
+    refuted = (F.col("kind") == "refutes") & F.col("valid_to").isNull() & F.col("is_stale").isNull()
+    validated = (F.col("kind") == "validates") & F.col("valid_to").isNull() & F.col("is_stale").isNull()
+    flags = {"refuted": F.coalesce(refuted, F.lit(False)), "validated": F.coalesce(validated, F.lit(False))}
+    x = written(x.withColumns(flags), "judged")
+    lessons = analytics.lessons(tables["actions"], now)
+    playbooks = analytics.playbooks(lessons)
+    rates = analytics.success_rate(tables["actions"], "kind").join(playbooks.select("kind"), "kind", "left_semi")
+    dimmed = F.coalesce(scoring.inhibition(F.col("components")) > 0, F.lit(False))
+    done = [
+        tables["merges"].agg(F.count("*").alias("merged")),
+        x.agg(F.count("*").alias("trust_refreshed"), F.count_if("credited").alias("credited"), F.count_if(F.col("at_risk") > 0).alias("salience_tagged"), F.count("is_stale").alias("forgotten"), F.count_if("refuted").alias("refuted"), F.count_if("validated").alias("validated"), F.count("is_replayed").alias("replayed"), F.count_if(dimmed).alias("inhibition_decayed")),
+        lessons.agg(F.count("*").alias("lessons")), playbooks.agg(F.count("*").alias("playbooks")), rates.agg(F.count("*").alias("playbooks_reinforced")), edges.agg(F.count("*").alias("associations_decayed")),
+    ]
+    report = done[0]
+    for row in done[1:]:
+        report = report.join(row, F.lit(True))
+    closed = F.when(F.col("is_stale") | F.col("refuted"), now).otherwise(F.col("valid_to"))
+    seen_now = F.when(F.col("validated") | F.col("is_replayed"), now).otherwise(F.col("last_verified"))
+    new = x.withColumns({"valid_to": closed, "last_verified": seen_now, "verify_count": F.col("verify_count") + F.col("validated").cast("int"), "components": scoring.decayed_inhibition(F.col("components"))})
+    claims = new.select(*(F.col(c) for c in tables["claims"].columns), "trust")
+    decayed = edges.withColumn("strength", 1 + (F.col("strength") - 1) * 0.8)
+    return {"claims": written(claims, "claims"), "edges": written(decayed, "edges"), "evidence": written(links, "evidence")}, written(report, "journal")
+
+
+# What a harness writes into transcripts, and the kinds of commands, first match first.
+HARNESS_BLOCKS = [
+    r"(?is)<system-reminder>.*?</system-reminder>", r"(?is)<task-notification>.*?</task-notification>", r"(?is)<note>.*?</note>", r"(?is)<command-(?:name|message|args)>.*?</command-(?:name|message|args)>",
+    r"(?is)<local-command-(?:stdout|caveat)>.*?</local-command-(?:stdout|caveat)>", r"(?im)^.*This session is being continued from a previous conversation.*$", r"(?im)^Base directory for this skill:.*$",
+]
+HARNESS_LINES = [
+    "[SYSTEM NOTIFICATION - NOT USER INPUT]", "The summary below covers the earlier portion of the conversation", "Resume directly — do not acknowledge the summary", "Resume directly - do not acknowledge the summary",
+    "Analysis:", "UserPromptSubmit hook additional context:", "SessionStart hook additional context:", "Caveat: The messages below were generated by the user while running local commands",
+    "<system-reminder>", "</system-reminder>", "<task-notification>", "</task-notification>", "<local-command-", "</local-command-",
+]
+COMMANDS = [
+    ("go test", "test"), ("go build", "build"), ("go vet", "vet"), ("golangci-lint", "lint"), ("gofmt", "format"), ("nox scan", "security-scan"), ("gh pr merge", "merge"), ("gh pr create", "open-pr"),
+    ("gh release", "release"), ("git push", "push"), ("git commit", "commit"), ("brew upgrade", "upgrade"), ("brew install", "install"), ("npm test", "test"), ("npm run build", "build"), ("pytest", "test"),
+    ("cargo test", "test"), ("cargo build", "build"), ("docker build", "build"), ("kubectl apply", "deploy"), ("terraform apply", "deploy"),
+]
+
+
+def cleaned(text: Column) -> Column:
+    """A transcript without the harness's blocks and lines."""
+    out = text
+    for pattern in HARNESS_BLOCKS:
+        out = F.regexp_replace(out, pattern, "")
+    starts = F.array(*map(F.lit, HARNESS_LINES))
+    kept = F.filter(F.split(out, "\n"), lambda line: ~F.exists(starts, lambda p: F.startswith(F.trim(line), p)))
+    return F.btrim(F.array_join(kept, "\n"), F.lit(" \t\n\r"))
+
+
+def tool_actions(uses: DataFrame, results: DataFrame) -> DataFrame:
+    """use_id, kind, failed of the known commands (use_id, command) that have a result (use_id, is_error), of several the
+    first (at)."""
+    kind = F.coalesce(*[F.when(F.contains(F.lower("command"), F.lit(part)), name) for part, name in COMMANDS])
+    first = results.groupBy("use_id").agg(F.min_by("is_error", "at").alias("failed"))
+    return uses.select("use_id", kind.alias("kind")).where("kind is not null").join(first, "use_id")

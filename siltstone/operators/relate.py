@@ -5,38 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import content_tokens, negated
+from siltstone.functions.detect import denied
+from siltstone.functions.text import NEGATIONS, STOP_WORDS, content_tokens, dedup_key, doc_tokens, stem
 
 # Shared words, their share of the shorter and of the longer statement.
 LEAST_SHARED, SHORTER_SHARE, CONTRADICT_SHARE, LONGER_SHARE = 2, 0.3, 0.5, 0.3
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, prefix_share: float = SHORTER_SHARE) -> DataFrame:
-    """a, b, shared, size_a, size_b of statements (claim_id, text) that share at least LEAST_SHARED words and the share of
-    the shorter one. Statements meet on their rarest words only: a pair that shares s of the shorter's n words shares one
-    of that statement's n - s + 1 rarest, so frequent words never join all statements that have them."""
-    def tokens(x: DataFrame) -> DataFrame:
-        return x.select("claim_id", content_tokens(F.col("text")).alias("words")).where(F.size("words") >= LEAST_SHARED)
+def pairs_sharing(left: DataFrame, right: DataFrame, least: int, share: float) -> DataFrame:
+    """a, b, shared, size_a, size_b of sets (claim_id, words) that share at least `least` words and that share of the smaller
+    set. Sets meet on a word among the rarest of both: a pair that shares s of the smaller set's n words shares one of that
+    set's n - s + 1 rarest, and it is not among the larger set's most frequent `least` - 1; a word too late in either for as
+    many to follow joins nothing. Pairs are then counted exactly."""
+    def usable(x: DataFrame) -> DataFrame:
+        return x.where(F.size("words") >= least)
 
-    l, r = tokens(left), tokens(right)
+    l, r = usable(left), usable(right)
     words = l.select(F.explode("words").alias("word")).unionByName(r.select(F.explode("words").alias("word"))).groupBy("word").agg(F.count("*").alias("df"))
 
     def ordered(x: DataFrame) -> DataFrame:
-        return x.select("claim_id", F.explode("words").alias("word")).join(words, "word").groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by_df"))
+        by_df = F.array_sort(F.collect_list(F.struct("df", "word")))
+        x = x.select("claim_id", F.explode("words").alias("word")).join(words, "word").groupBy("claim_id").agg(by_df.alias("by_df"))
+        return x.select("claim_id", F.size("by_df").alias("n"), F.posexplode(F.transform("by_df", lambda w: w["word"])).alias("pos", "word"))
 
     lo, ro = ordered(l), ordered(r)
-    n = F.size("by_df")
-    prefix = n - F.greatest(F.ceil(n * prefix_share), F.lit(LEAST_SHARED)) + 1
+    n = F.col("n")
+    need = F.greatest(F.ceil(n * share - 1e-9), F.lit(least))
 
     def met(short: DataFrame, long: DataFrame, s: str, t: str) -> DataFrame:
-        heads = short.select(F.col("claim_id").alias(s), n.alias(f"n_{s}"), F.explode(F.slice("by_df", F.lit(1), prefix.cast("int"))).alias("w"))
-        every = long.select(F.col("claim_id").alias(t), n.alias(f"n_{t}"), F.explode("by_df").alias("w"))
-        return heads.join(every, "w").where(f"n_{s} <= n_{t} and {s} <> {t}").select(s, t).distinct()
+        heads = short.where(F.col("pos") <= n - need).select(F.col("claim_id").alias(s), n.alias("n_short"), need.alias("need"), "word")
+        others = long.where(F.col("pos") <= n - least).select(F.col("claim_id").alias(t), n.alias("n_long"), (n - F.col("pos")).alias("after"), "word")
+        return heads.join(others, "word").where(f"n_short <= n_long and after >= need and {s} <> {t}").select("a", "b").distinct()
 
-    pairs = met(lo, ro, "a", "b").unionByName(met(ro, lo, "b", "a").select("a", "b")).distinct()
+    pairs = met(lo, ro, "a", "b").unionByName(met(ro, lo, "b", "a")).distinct()
     x = pairs.join(l.select(F.col("claim_id").alias("a"), F.col("words").alias("words_a")), "a").join(r.select(F.col("claim_id").alias("b"), F.col("words").alias("words_b")), "b")
     x = x.select("a", "b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), F.size("words_a").alias("size_a"), F.size("words_b").alias("size_b"))
-    return x.where((F.col("shared") >= LEAST_SHARED) & (F.col("shared") / F.least("size_a", "size_b") >= SHORTER_SHARE))
+    return x.where((F.col("shared") >= least) & (F.col("shared") / F.least("size_a", "size_b") >= share))
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """a, b, shared, size_a, size_b of statements (claim_id, text) that share at least LEAST_SHARED words and the share of
+    the shorter one."""
+    l, r = (x.select("claim_id", content_tokens(F.col("text")).alias("words")) for x in (left, right))
+    return pairs_sharing(l, r, LEAST_SHARED, SHORTER_SHARE)
 
 
 def relation_type(shared: Column, size_a: Column, size_b: Column, opposite: Column) -> Column:
@@ -50,7 +61,7 @@ def relations(left: DataFrame, right: DataFrame, incremental: bool = False) -> D
     pairs = overlap_pairs(left, right)
     if not incremental:
         pairs = pairs.where("a < b")
-    polarity = left.unionByName(right).select("claim_id", negated(F.col("text")).alias("neg")).distinct()
+    polarity = left.unionByName(right).select("claim_id", denied(F.col("text")).alias("neg")).distinct()
     x = pairs.join(polarity.select(F.col("claim_id").alias("a"), F.col("neg").alias("neg_a")), "a").join(polarity.select(F.col("claim_id").alias("b"), F.col("neg").alias("neg_b")), "b")
     x = x.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), relation_type(F.col("shared"), F.col("size_a"), F.col("size_b"), F.col("neg_a") != F.col("neg_b")).alias("type"))
     return x.where("type is not null")
@@ -63,3 +74,71 @@ def causal_pairs(causes: DataFrame, effects: DataFrame, hours: int = 48) -> Data
     a = causes.select(F.col("id").alias("a"), "grp", F.unix_micros("ts").alias("ta")).withColumn("bucket", F.explode(F.array(F.floor(F.col("ta") / 1e6 / width), F.floor(F.col("ta") / 1e6 / width) + 1)))
     b = effects.select(F.col("id").alias("b"), "grp", F.unix_micros("ts").alias("tb")).withColumn("bucket", F.floor(F.col("tb") / 1e6 / width))
     return a.join(b, ["grp", "bucket"]).where((F.col("tb") >= F.col("ta")) & (F.col("tb") - F.col("ta") <= width * 1_000_000) & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+# How statements of an extraction batch contest one another, and words of cause and effect.
+CONTEST_NEGATIONS = "not no never without cannot cant didnt didn't isnt isn't".split()
+CONTEST_STOPS = "did does do is are was were be been being the a an".split()
+CONTEST_LEAST, CONTEST_SHARE, CONTEST_SIZE = 2, 0.5, 4
+
+
+def contest_words(text: Column) -> Column:
+    """The stemmed words of a statement's key without negations and stop words, repeats included."""
+    words = F.filter(F.split(dedup_key(text), r"\s+"), lambda w: (w != "") & ~w.isin(CONTEST_NEGATIONS) & ~w.isin(CONTEST_STOPS))
+    return F.transform(words, stem)
+
+
+def contested(claims: DataFrame, batch: str) -> DataFrame:
+    """claim_id of the claims (claim_id, text, batch) that another one of their batch contests: of opposite polarity with
+    half of the shorter one's words in common, or of equal polarity with all of them but one. Repeats of a word in the later
+    claim (greater id) count as often as they stand there."""
+    negative = F.arrays_overlap(F.split(dedup_key(F.col("text")), r"\s+"), F.array(*map(F.lit, CONTEST_NEGATIONS)))
+    x = claims.select("claim_id", F.col(batch).alias("batch"), contest_words(F.col("text")).alias("core"), negative.alias("neg")).where(F.size("core") > 0)
+    # a word of one batch is no word of another
+    keyed = x.select("claim_id", F.transform(F.array_distinct("core"), lambda w: F.concat_ws(" ", F.col("batch"), w)).alias("words"))
+    met = pairs_sharing(keyed, keyed, 1, 0.0).where("a < b").select("a", "b")
+    for end in ("a", "b"):
+        met = met.join(x.select(F.col("claim_id").alias(end), F.col("core").alias(f"core_{end}"), F.col("neg").alias(f"neg_{end}")), end)
+    shared = F.size(F.filter("core_b", lambda w: F.array_contains("core_a", w)))
+    shorter = F.least(F.size("core_a"), F.size("core_b"))
+    opposite = (F.col("neg_a") != F.col("neg_b")) & (shared / shorter >= CONTEST_SHARE)
+    alike = (F.col("neg_a") == F.col("neg_b")) & (shorter >= CONTEST_SIZE) & (shared >= shorter - 1)
+    return met.where((shared >= CONTEST_LEAST) & (opposite | alike)).select(F.explode(F.array("a", "b")).alias("claim_id")).distinct()
+
+
+def no_longer_contested(claims: DataFrame, first_runs: DataFrame) -> DataFrame:
+    """Contested claims that nothing contests any more in the run that they come from; first_runs: claim_id, run_id. Claims
+    of no known run are left alone."""
+    x = claims.join(first_runs, "claim_id")
+    return x.where("status = 'contested'").join(contested(x, "run_id"), "claim_id", "left_anti").select("claim_id")
+
+
+# How words of actions and of changes of state begin, and words that tie nothing together.
+ACTIONS = (
+    "deploy releas shipp push merg restart rollback roll scal upgrad downgrad patch configur enabl disabl migrat switch cutover reboot restor trigger kill stop "
+    "start launch promot revert hotfix block unblock throttl drain appli execut"
+).split()
+STATE_CHANGES = (
+    "latenc throughput error response memor availab uptim downtim outag incident regress spike spik drop dropp increas decreas degrad improv recover recov crash broke broken saturat"
+).split()
+CAUSAL_NOISE = "service system systems app production prod stage staging instance replica cluster server node pod container host environment env".split()
+
+
+def causes(claims: DataFrame, hours: int = 48) -> DataFrame:
+    """from_id, to_id of claims (claim_id, text, at) about an action and about a change of state within so many hours after
+    it, with a word in common that is no noise. A claim without a time may precede or follow any; two claims that are each
+    both an action and a change cause nothing."""
+    t = F.col("text")
+    raw = F.filter(doc_tokens(t), lambda w: ~w.isin(NEGATIONS) & ~w.isin(STOP_WORDS))
+
+    def begins(parts: list[str]) -> Column:
+        return F.exists(raw, lambda w: w.rlike("^(" + "|".join(parts) + ")"))
+
+    words = F.filter(content_tokens(t), lambda w: ~w.isin(CAUSAL_NOISE))
+    x = claims.select("claim_id", "at", begins(ACTIONS).alias("acts"), begins(STATE_CHANGES).alias("changes"), words.alias("words")).where((F.col("acts") | F.col("changes")) & (F.size("words") > 0))
+    a, b = x.where("acts"), x.where("changes")
+    met = pairs_sharing(a.select("claim_id", "words"), b.select("claim_id", "words"), 1, 0.0).select("a", "b")
+    for end in ("a", "b"):
+        met = met.join(x.select(F.col("claim_id").alias(end), F.col("at").alias(f"at_{end}"), (F.col("acts") & F.col("changes")).alias(f"both_{end}")), end)
+    gap = F.unix_micros("at_b") - F.unix_micros("at_a")
+    return met.where(F.coalesce(gap.between(0, hours * 3_600_000_000), F.lit(True)) & ~(F.col("both_a") & F.col("both_b"))).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))

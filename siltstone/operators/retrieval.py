@@ -12,26 +12,53 @@ from siltstone.functions.text import doc_tokens
 K1, B, RRF = 1.5, 0.75, 60
 
 
-def bm25(docs: DataFrame, questions: DataFrame, every_term: bool = False) -> DataFrame:
-    """question_id, event_id, score of docs (event_id, content) for questions (question_id, question): any term scores,
-    or only documents with every term. Corpus statistics are over all docs given; only the questions' terms leave the
-    scan, counted there, so what is shuffled grows with their matches."""
-    terms = questions.select("question_id", F.explode(F.array_distinct(doc_tokens(F.col("question")))).alias("term"))
-    wanted = terms.select("term").distinct()
+#: Up to so many rows of question terms are broadcast; more meet the postings by a shuffle on the term.
+BROADCAST_TERMS = 200_000
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """term, event_id, tf, size of docs (event_id, content); words are counted where their document is."""
     tokens = docs.select("event_id", doc_tokens(F.col("content")).alias("tokens"))
-    sizes = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_size"))
-    hits = tokens.select("event_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).join(F.broadcast(wanted), "term")
-    tf = hits.groupBy("event_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(F.broadcast(df), "term").join(F.broadcast(sizes), F.lit(True))
+    return tokens.select("event_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).groupBy("event_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+
+
+def event_sizes(docs: DataFrame) -> DataFrame:
+    return docs.select(F.size(doc_tokens(F.col("content"))).alias("size")).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    """question_id, term, each pair once, of questions (question_id, question)."""
+    return questions.select("question_id", F.explode(F.array_distinct(doc_tokens(F.col("question")))).alias("term"))
+
+
+def bm25_by_index(index: DataFrame, sizes: DataFrame, questions: DataFrame, every_term: bool = False) -> DataFrame:
+    """question_id, event_id, score for questions (question_id, question) of postings and their one-row sizes: any term
+    scores, or only events with every term. Corpus statistics are over all events of the index. Scores are summed per event
+    and question before they are shuffled wherever an event's postings stand together."""
+    terms = question_terms(questions)
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = terms.select("term").distinct()
+    hits = index.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weighted = hits.join(F.broadcast(df) if few else df, "term").join(F.broadcast(sizes), F.lit(True))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    out = weighted.select("event_id", "term", score.alias("score")).join(F.broadcast(terms), "term").groupBy("question_id", "event_id").agg(F.sum("score").alias("score"), F.count("*").alias("terms")).where("score > 0")
+    out = weighted.select("event_id", "term", score.alias("score")).join(F.broadcast(terms) if few else terms, "term").groupBy("question_id", "event_id").agg(F.sum("score").alias("score"), F.count("*").alias("terms")).where("score > 0")
     if every_term:
-        out = out.join(F.broadcast(terms.groupBy("question_id").agg(F.count("*").alias("needed"))), "question_id").where("terms = needed").drop("needed")
+        out = out.join(terms.groupBy("question_id").agg(F.count("*").alias("needed")), "question_id").where("terms = needed").drop("needed")
     return out.drop("terms")
 
 
+def bm25(docs: DataFrame, questions: DataFrame, every_term: bool = False) -> DataFrame:
+    """The same of docs (event_id, content) without an index; only the questions' terms leave the scan."""
+    wanted = question_terms(questions).select("term").distinct()
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    tokens = docs.select("event_id", doc_tokens(F.col("content")).alias("tokens"))
+    hits = tokens.select("event_id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    index = hits.groupBy("event_id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    return bm25_by_index(index, event_sizes(docs), questions, every_term)
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, vec_id, score of every vector for each query (query_id, query): a stated query set, sent to all rows."""
     q = F.broadcast(queries.select("query_id", "query"))
@@ -84,3 +111,45 @@ def within_budget(lines: DataFrame, by: str, order: list[str | Column], max_toke
     """The first lines of each group, in order, while their characters make at most four times the tokens."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("used", F.sum(F.char_length("line")).over(w)).where(F.col("used") / 4 <= max_tokens)
+
+
+def holding(docs: DataFrame, questions: DataFrame, words: int = 6) -> DataFrame:
+    """question_id, event_id of the documents that hold a whole passage (question). They meet on the hash of a
+    passage's second to seventh words, which stand whole in any text that holds it; the texts are then compared. Passages of
+    fewer than words + 2 words meet nothing."""
+    def runs(text: Column) -> Column:
+        w = F.split(text, r"\s+")
+        n = F.size(w) - words + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))))
+
+    head = F.split("question", r"\s+")
+    asked = questions.where(F.size(head) >= words + 2).select("question_id", "question", F.xxhash64(F.array_join(F.slice(head, 2, words), " ")).alias("run"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    found = docs.select("event_id", "content", F.explode(F.array_distinct(runs(F.col("content")))).alias("run")).join(F.broadcast(asked) if few else asked, "run")
+    return found.where(F.contains("content", F.col("question"))).select("question_id", "event_id").distinct()
+
+
+def ranks_of(scores: DataFrame, gold: DataFrame) -> DataFrame:
+    """question_id, event_id, rank of the gold pairs only: one more than the events of the question that score higher, or
+    as high with a lesser id."""
+    own = scores.join(gold, ["question_id", "event_id"]).select("question_id", F.col("event_id").alias("gold_id"), F.round("score", 9).alias("gold_score"))
+    s = scores.select("question_id", "event_id", F.round("score", 9).alias("score")).join(own, "question_id")
+    above = (F.col("score") > F.col("gold_score")) | ((F.col("score") == F.col("gold_score")) & (F.col("event_id") < F.col("gold_id")))
+    return s.groupBy("question_id", F.col("gold_id").alias("event_id")).agg((F.count_if(above) + 1).alias("rank"))
+
+
+def quality(ranks: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
+    """One row: questions with a gold event, mean reciprocal rank and hit rate of each question's best gold event."""
+    best = gold.select("question_id").distinct().join(ranks.groupBy("question_id").agg(F.min("rank").alias("r")), "question_id", "left")
+    return best.agg(F.count("*").alias("questions"), F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))).alias("mrr"), F.avg(F.when(F.col("r") <= k, 1.0).otherwise(0.0)).alias("hit_rate"))
+
+
+def judged(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row over results (question_id, event_id) and labels (question_id, event_id, label: gold or forbidden): the share
+    of questions with a forbidden result, of gold events that survive, and of results that are neither."""
+    x = results.join(labels, ["question_id", "event_id"], "left")
+    forbidden = x.groupBy("question_id").agg(F.max((F.col("label") == "forbidden").cast("int")).alias("bad"))
+    gold = labels.where("label = 'gold'").agg(F.count("*").alias("golds"))
+    one = x.agg(F.count_if(F.col("label") == "gold").alias("kept"), (F.count_if(F.col("label").isNull()) / F.count("*")).alias("noise"))
+    bad = forbidden.agg(F.avg(F.coalesce("bad", F.lit(0))).alias("forbidden_rate"))
+    return one.join(gold, F.lit(True)).join(bad, F.lit(True)).select("forbidden_rate", (F.col("kept") / F.col("golds")).alias("gold_survival"), "noise")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +87,97 @@ def narrative(rows: DataFrame, key: str, order: list[str], value: str) -> DataFr
     """key, narrative: the changes of a value in order, as one line."""
     steps = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("step"))))
     return changes(rows, key, order, value).groupBy(key).agg(F.array_join(F.transform(steps, lambda s: s["step"]), " > ").alias("narrative"))
+
+
+def vectors_of(vectors: DataFrame, entity_type: str, model: str, size: int) -> DataFrame:
+    """Vectors of one entity type and model; those of another model or size are skipped."""
+    return vectors.where((F.col("entity_type") == entity_type) & (F.col("model") == model) & (F.size("embedding") == size))
+
+
+def audit(kinds: dict[str, DataFrame], author: str, since: Column) -> DataFrame:
+    """kind, id, at, n of all rows (id, created_by, at) of an author since a time; n is the number of its kind."""
+    parts = []
+    for kind, rows in kinds.items():
+        own = rows.where((F.col("created_by") == author) & (F.col("at") >= since)).select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), "at")
+        parts.append(own.join(F.broadcast(own.agg(F.count("*").alias("n"))), F.lit(True)))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def claim_entities(claims: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Claims with their entities by links (claim_id, entity_id, role)."""
+    return claims.select("claim_id").join(links, "claim_id").join(entities, "entity_id")
+
+
+def merged_entities(links: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Links (claim_id, entity_id, role) with merged entities replaced (old_id, new_id); a link that is there already stays
+    one."""
+    x = links.join(mapping, links["entity_id"] == mapping["old_id"], "left")
+    return x.select("claim_id", F.coalesce("new_id", "entity_id").alias("entity_id"), "role").distinct()
+
+
+def appended_set(stored: DataFrame, incoming: DataFrame, key: str, column: str) -> DataFrame:
+    """stored (key, column: an array) with the values of incoming (key, value) that it lacks at its end, in order; a key's
+    incoming values are few."""
+    new = incoming.groupBy(key).agg(F.array_sort(F.collect_set("value")).alias("new"))
+    return stored.join(new, key, "left").withColumn(column, F.array_union(column, F.coalesce("new", F.array_except(column, column)))).drop("new")
+
+
+def last_block(rows: DataFrame, key: str, order: list[str], text: str, limit: int) -> DataFrame:
+    """key, content: the last lines (a row each, its end if it is longer) that fit in a block of so many characters, in
+    order. Rows beyond the limit are dropped before they are gathered, so a key of any size gives at most limit characters."""
+    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    x = rows.select(key, *order, F.right(text, F.lit(limit)).alias("line"), F.coalesce(F.sum(F.char_length(text) + 1).over(w), F.lit(0)).alias("after")).where(F.col("after") < limit)
+    lines = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    return x.groupBy(key).agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("content")).withColumn("content", F.right("content", F.lit(limit)))
+
+
+def observed(expectations: DataFrame, observations: DataFrame) -> DataFrame:
+    """Expectations (claim_id, predicted, tolerance, horizon) with what was observed (claim_id, observed), and whether they
+    are resolved; a second observation of a claim replaces the first (at)."""
+    last = observations.groupBy("claim_id").agg(F.max_by("observed", "at").alias("observed"))
+    return expectations.join(last, "claim_id", "left").withColumn("resolved", F.col("observed").isNotNull())
+
+
+def decided(claims: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """Claims after decisions (winner_id, loser_id): a winner is active again and verified now, a loser deprecated and
+    closed now, and superseded by its winner."""
+    won = decisions.select(F.col("winner_id").alias("claim_id"), F.lit(True).alias("won")).distinct()
+    lost = decisions.groupBy(F.col("loser_id").alias("claim_id")).agg(F.min("winner_id").alias("superseded_by"))
+    x = claims.join(won, "claim_id", "left").join(lost, "claim_id", "left")
+    status = F.when(F.col("superseded_by").isNotNull(), "deprecated").when(F.col("won"), "active").otherwise(F.col("status"))
+    closed = F.when(F.col("superseded_by").isNotNull(), F.coalesce("valid_to", now)).otherwise(F.col("valid_to"))
+    verified = F.when(F.col("won") & F.col("superseded_by").isNull(), now).otherwise(F.col("last_verified"))
+    return x.withColumns({"status": status, "valid_to": closed, "last_verified": verified}).drop("won")
+
+
+def invalid_edges(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """Edges that break a rule, with the first rule: no type of those known, a missing end, a self loop, or a strength out of
+    range."""
+    reason = (
+        F.when(~F.coalesce(F.col("type").isin(kinds), F.lit(False)), "type").when(F.col("from_id").isNull() | F.col("to_id").isNull(), "end").when(F.col("from_id") == F.col("to_id"), "loop")
+        .when(~F.coalesce(F.col("strength").between(0, 10), F.lit(False)), "strength")
+    )
+    return edges.withColumn("reason", reason).where("reason is not null")
+
+
+def packed(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """key, packed: each vector as little-endian 32-bit floats, one after another; null stays null."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [None if x is None else np.array(x, "<f4").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], [key, "packed"])
+
+    return vectors.select(key, vector).mapInArrow(run, f"{key} {vectors.schema[key].dataType.simpleString()}, packed binary")
+
+
+def unpacked(rows: DataFrame, key: str) -> DataFrame:
+    """key, vector of packed vectors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [None if x is None else np.frombuffer(x, "<f4").tolist() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], [key, "vector"])
+
+    return rows.select(key, "packed").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<float>")

@@ -1,6 +1,6 @@
 """Whole queries, by name."""
 
-from siltstone.plans import catalog_last, catalog_more
+from siltstone.plans import catalog_detect, catalog_last, catalog_more
 from siltstone.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog_last", "catalog_more"]
+__all__ = ["ORACLES", "QUERIES", "catalog_detect", "catalog_last", "catalog_more"]

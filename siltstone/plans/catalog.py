@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone import model
 from siltstone.functions import text
 from siltstone.model import DAY, NOW, SQL, now, table
-from siltstone.operators import admission, analytics, evidence, store
+from siltstone.operators import admission, analytics, evidence, retrieval, store
 from siltstone.operators.admission import Admission
 from siltstone.sources import normalise
 
@@ -39,7 +39,7 @@ def seconds(x: str) -> Column:
 
 
 class Store:
-    """The model's frames of one folder of tables."""
+    """The model's frames of one folder of tables; what is derived is written once and read again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -55,7 +55,7 @@ class Store:
 
     @property
     def edges(self) -> DataFrame:
-        return model.kb_edges(self.claims)
+        return model.kb_edges(self.spark, self.sf_dir)
 
     @property
     def actions(self) -> DataFrame:
@@ -64,8 +64,10 @@ class Store:
     @property
     def trusted(self) -> DataFrame:
         """Claims with trust, staleness and trust inputs."""
-        c = self.claims
-        return evidence.with_trust(c, evidence.trust_inputs(c, self.evidence, self.events), now())
+        return model.kb_trusted(self.spark, self.sf_dir)
+
+    def bm25(self, questions: DataFrame, every_term: bool = False) -> DataFrame:
+        return retrieval.bm25_by_index(model.kb_postings(self.spark, self.sf_dir), model.kb_sizes(self.spark, self.sf_dir), questions, every_term)
 
 
 #: Trust of every claim as SQL, after the model.
@@ -96,9 +98,13 @@ def o004_normalise_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.csv_rows(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", False)
+@query("SELECT event_id, i - 1 AS item_index, replace(item, ' ', '') AS item FROM (SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [props, '\"x\"'] ELSE [props] END) AS item, generate_subscripts(CASE WHEN event_id % 2 = 0 THEN [props, 'x'] ELSE [props] END, 1) AS i FROM events)", False)
 def o005_normalise_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """Properties as a JSON object, or in an array with another item."""
+    p = F.col("props")
+    content = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), p, F.lit(', "x"]'))).otherwise(p)
+    x = table(spark, sf_dir, "events").select("event_id", F.posexplode(normalise.json_items(content)).alias("item_index", "item"))
+    return x.select("event_id", F.col("item_index").cast("long").alias("item_index"), "item")
 
 
 @query("SELECT event_id, run_id || '/' || created_by || '/text' AS stamp FROM kb_events")
@@ -118,15 +124,30 @@ def o009_events_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, sf_dir).events.where("run_id = 'de'").select("event_id", seconds("ts"))
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE label = 3 AND len(embedding) = 64", False)
+@query("SELECT vec_id, 'm' || (label % 3) AS model FROM embeddings WHERE vec_id % 2 = 0 AND label % 3 = 1 AND len(embedding) = 64", False)
 def o010_vectors_of_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("label = 3 and size(embedding) = 64").select("vec_id", "label")
+    """Of even numbers (claims; odd ones are events), those of one model, which labels stand for."""
+    e = table(spark, sf_dir, "embeddings").withColumns({"entity_type": F.when(F.col("vec_id") % 2 == 0, "claim").otherwise("event"), "model": F.concat(F.lit("m"), (F.col("label") % 3).cast("string"))})
+    return store.vectors_of(e, "claim", "m1", 64).select("vec_id", "model")
 
 
-@query("SELECT claim_id, text, event_count FROM (SELECT claim_id, text, count(*) AS event_count FROM kb_claims JOIN kb_evidence USING (claim_id) WHERE created_by = 'u3' GROUP BY ALL)")
+@query("""SELECT 'claims' AS kind, claim_id AS id, created_at AS at, (SELECT count(*) FROM kb_claims WHERE created_by = 'u3' AND created_at >= 1690000000) AS n FROM kb_claims WHERE created_by = 'u3' AND created_at >= 1690000000
+  UNION ALL SELECT 'relationships', from_id, made_at, (SELECT count(*) FROM kb_edges JOIN kb_claims ON claim_id = from_id WHERE created_by = 'u3' AND made_at >= 1690000000) FROM kb_edges JOIN kb_claims ON claim_id = from_id WHERE created_by = 'u3' AND made_at >= 1690000000
+  UNION ALL SELECT 'verdicts', claim_id, decided, (SELECT count(*) FROM kb_verdicts JOIN kb_claims USING (claim_id) WHERE created_by = 'u3' AND decided >= 1690000000) FROM kb_verdicts JOIN kb_claims USING (claim_id) WHERE created_by = 'u3' AND decided >= 1690000000
+  UNION ALL SELECT 'events', event_id, ts, (SELECT count(*) FROM kb_events WHERE created_by = 'u3' AND ts >= 1690000000) FROM kb_events WHERE created_by = 'u3' AND ts >= 1690000000
+  UNION ALL SELECT 'actions', action_id, us // 1000000, (SELECT count(*) FROM kb_actions WHERE subject = 's3' AND us >= 1690000000000000) FROM kb_actions WHERE subject = 's3' AND us >= 1690000000000000""")
 def o016_audit_of_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one author has made since a time, of five kinds; edges and verdicts are their claim's author's."""
     s = Store(spark, sf_dir)
-    return s.claims.where("created_by = 'u3'").join(s.evidence, "claim_id").groupBy("claim_id", "text").agg(F.count("*").alias("event_count"))
+    own = s.claims.select("claim_id", "created_by")
+    kinds = {
+        "claims": s.claims.select(F.col("claim_id").alias("id"), "created_by", F.col("created_at").alias("at")),
+        "relationships": s.edges.join(own.withColumnRenamed("claim_id", "from_id"), "from_id").select(F.col("from_id").alias("id"), "created_by", F.col("made_at").alias("at")),
+        "verdicts": model.kb_verdicts(s.claims).join(own, "claim_id").select(F.col("claim_id").alias("id"), "created_by", "at"),
+        "events": s.events.select(F.col("event_id").alias("id"), "created_by", F.col("ts").alias("at")),
+        "actions": s.actions.select(F.col("action_id").alias("id"), F.regexp_replace("subject", "^s", "u").alias("created_by"), F.col("ts").alias("at")),
+    }
+    return store.audit(kinds, "u3", F.timestamp_seconds(F.lit(1_690_000_000))).select("kind", "id", seconds("at"), "n")
 
 
 @query("SELECT claim_id, sha256('---' || chr(10) || 'id: ' || claim_id || chr(10) || 'type: ' || type || chr(10) || 'status: ' || status || chr(10) || '---' || chr(10) || text || chr(10)) AS md_sha256 FROM kb_claims WHERE status = 'active'")
@@ -135,10 +156,11 @@ def o017_markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("claim_id", F.sha2(normalise.markdown(F.col("claim_id"), {"type": F.col("type"), "status": F.col("status")}, F.col("text")), 256).alias("md_sha256"))
 
 
-@query("SELECT o_custkey, max(o_totalprice) > 300000 AS failed, count(*) AS n FROM orders GROUP BY 1", False)
+@query("SELECT o_custkey, count(*) AS n, CASE WHEN max(o_totalprice) > 300000 OR count(*) > 20 THEN 'failure' ELSE 'success' END AS result FROM orders GROUP BY 1", False)
 def o018_threshold_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.max("o_totalprice") > 300000).alias("failed"), F.count("*").alias("n"))
-    return o
+    """Metrics of a customer as a map, and a threshold for each."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.create_map(F.lit("greatest"), F.max("o_totalprice").cast("double"), F.lit("orders"), F.count("*").cast("double")).alias("metrics"))
+    return o.select("o_custkey", "n", analytics.threshold_verdict(F.col("metrics"), {"greatest": 300_000.0, "orders": 20.0}).alias("result"))
 
 
 # --- writes
@@ -183,7 +205,7 @@ scored AS (
 scored2 AS (
   SELECT *, least(1, greatest(0, (0.5 * CASE WHEN trust = 0 THEN 0.5 ELSE trust END + 0.15 * CASE WHEN source_authority = 0 THEN 0.5 ELSE source_authority END
     + 0.13 * least(1, ln(1 + citation_count) / ln(11)) + 0.10 * exp(-greatest(eff_age, 0) / 180.0)
-    + 0.05 * CASE WHEN eff_age <= 14 THEN 1.0 WHEN eff_age <= 180 THEN 0.75 WHEN trust >= 0.6 THEN 0.65 ELSE 0.25 END) / 0.93)) AS cred FROM scored)
+    + 0.05 * CASE WHEN eff_age <= 14 THEN 1.0 WHEN eff_age <= 180 THEN 0.75 WHEN trust >= 0.6 THEN 0.65 ELSE 0.25 END) / CASE WHEN requirement IS NULL THEN 0.93 ELSE 1 END + CASE WHEN requirement IS NULL OR pass_count + fail_count = 0 THEN 0 ELSE 0.07 * abs(pass_count - fail_count) / (pass_count + fail_count)::DOUBLE END)) AS cred FROM scored)
 SELECT claim_id, round(cred, 6) AS trust FROM scored2 WHERE scope_service = 'svc1' AND visibility IN ('personal', 'team') AND cred >= 0.4
   AND valid_from <= 1700000000 AND (valid_to IS NULL OR 1700000000 < valid_to) AND created_at <= 1702000000""")
 def o033_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,10 +277,13 @@ def o058_trust_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.trust_inputs(s.claims, s.evidence, s.events).select("claim_id", "sources", "event_count", seconds("latest"))
 
 
-@query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", False)
+@query("SELECT c.claim_id, n_nationkey AS entity_id, n_name AS name, CASE WHEN c.claim_id % 2 = 0 THEN 'subject' ELSE 'mention' END AS role FROM kb_claims c JOIN nation ON n_nationkey = c.claim_id % 25 WHERE c.status = 'contested'")
 def o044_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", "s_name", "n_name", "r_name")
+    """Claims with their entities (nations) by links with a role."""
+    c = Store(spark, sf_dir).claims
+    links = c.select("claim_id", (F.col("claim_id") % 25).alias("entity_id"), F.when(F.col("claim_id") % 2 == 0, "subject").otherwise("mention").alias("role"))
+    entities = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("name"))
+    return store.claim_entities(c.where("status = 'contested'"), links, entities).select("claim_id", "entity_id", "name", "role")
 
 
 @query("SELECT from_id, to_id, type FROM kb_edges WHERE from_id IN (SELECT claim_id FROM kb_claims WHERE type = 'decision' AND claim_id % 40 = 2) OR to_id IN (SELECT claim_id FROM kb_claims WHERE type = 'decision' AND claim_id % 40 = 2)")
@@ -281,10 +306,14 @@ def o047_actions_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, sf_dir).actions.where("result <> 'unknown'").groupBy("subject", "kind", "result").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, count(*) AS beliefs, sum(p_size)::BIGINT AS sizes FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1", False)
+@query("SELECT o_orderkey AS decision_id, l_partkey AS belief_id, min(l_discount)::DOUBLE AS predicted, max(l_tax)::DOUBLE AS observed FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY ALL", False)
 def o049_decision_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, l, p = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part"))
-    return o.join(l, o.o_orderkey == l.l_orderkey).join(p, l.l_partkey == p.p_partkey).groupBy("o_orderkey").agg(F.count("*").alias("beliefs"), F.sum("p_size").alias("sizes"))
+    """Decisions (orders, with an array of parts as beliefs) with the expectations of their beliefs that are resolved."""
+    l = table(spark, sf_dir, "lineitem")
+    beliefs = l.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("beliefs"))
+    decisions = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")).join(beliefs, "l_orderkey").select(F.col("l_orderkey").alias("decision_id"), "beliefs")
+    expected = l.groupBy(F.col("l_orderkey").alias("decision_id"), F.col("l_partkey").alias("belief_id")).agg(F.min("l_discount").cast("double").alias("predicted"), F.max("l_tax").cast("double").alias("observed"))
+    return analytics.beliefs_of(decisions).join(expected, ["decision_id", "belief_id"]).select("decision_id", "belief_id", "predicted", "observed")
 
 
 @query("SELECT from_id, to_id, type FROM kb_edges WHERE from_id % 9 = 0 OR to_id % 9 = 0")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import DAY, now, table
-from siltstone.operators import analytics, evidence, graph, lifecycle, relate, retrieval, store
+from siltstone.operators import admission, analytics, evidence, graph, lifecycle, promote, relate, retrieval, store
 from siltstone.plans.catalog import BINS_SQL, LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
-from siltstone.plans.catalog_more import BM25_SQL, GAP_SQL, RELATE_SQL, _leads, _questions, _quoted, tokens_sql, words_sql
+from siltstone.plans.catalog_more import BM25_SQL, GAP_SQL, LOCAL_SQL, PATH_SQL, _questions, _quoted, tokens_sql, words_sql
+from siltstone.sources import normalise
 from siltstone.streaming import signals
 
 
@@ -22,10 +23,32 @@ def o007_scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, sf_dir).events.select("event_id", F.sha2("content", 256).alias("content_sha256"), seconds("ts"))
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = page_id AND doc_id % 3 = 0)", False)
+@query("SELECT page_id, url, 'registry' AS pulled_from FROM pages WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = page_id AND doc_id % 3 = 0)", False)
 def o014_pull_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are a registry's rows, delivered twice; documents of every third number are stored."""
     stored = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"))
-    return table(spark, sf_dir, "pages").join(stored, "page_id", "left_anti").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return normalise.unseen(pages.unionByName(pages), stored, "page_id").withColumn("pulled_from", F.lit("registry"))
+
+
+@query("SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) ELSE epoch_us(date_trunc('day', ts)) END AS us FROM events WHERE event_id % 5 <> 0", False)
+def o155_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times written as RFC 3339 or as dates; one in five is neither."""
+    e = table(spark, sf_dir, "events")
+    at = F.to_utc_timestamp("ts", F.current_timezone())
+    n = F.col("event_id")
+    written_as = F.when(n % 5 == 0, F.lit("soon")).when(n % 2 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+    return e.select("event_id", "ts", F.unix_micros(normalise.flexible_time(written_as)).alias("us")).where("us is not null")
+
+
+@query("SELECT md5(o_orderkey::VARCHAR) AS sha, o_orderpriority AS author, epoch(o_orderdate::TIMESTAMP)::BIGINT AS at, 'order ' || o_orderkey AS content FROM orders WHERE o_orderkey % 4 <> 0", False)
+def o011_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of an exported log, with lines that are none; every fourth is stored."""
+    o = table(spark, sf_dir, "orders")
+    sha = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    line = F.concat_ws("\t", sha, F.col("o_orderpriority"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+    log = o.select(line.alias("value")).unionByName(o.select(F.col("o_orderpriority").alias("value")))
+    return normalise.unseen(normalise.commits(log), o.where("o_orderkey % 4 = 0").select(sha.alias("sha")), "sha").select("sha", "author", seconds("at"), "content")
 
 
 @query("SELECT claim_id, sha256(text) AS text_sha256, count(*) AS sources FROM kb_claims JOIN kb_evidence USING (claim_id) WHERE lifecycle = 'promoted' GROUP BY ALL")
@@ -35,11 +58,11 @@ def o015_federation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("claim_id", F.sha2("text", 256).alias("text_sha256")).agg(F.count("*").alias("sources"))
 
 
-@query("SELECT claim_id FROM kb_claims WHERE claim_id % 100000 = 0 AND claim_id IN (SELECT claim_id FROM kb_evidence WHERE event_id % 2 = 0)")
+@query("SELECT claim_id FROM kb_claims WHERE claim_id IN (SELECT claim_id FROM kb_evidence WHERE event_id % 2 = 0)")
 def o026_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of the entities that are allowed: those in even events."""
     s = Store(spark, sf_dir)
-    allowed = s.evidence.where("event_id % 2 = 0").select("claim_id")
-    return s.claims.where(F.col("claim_id") % model.ROOM == 0).join(allowed, "claim_id", "left_semi").select("claim_id")
+    return admission.allowed(s.claims, s.evidence.where("event_id % 2 = 0").select("claim_id")).select("claim_id")
 
 
 @query(TRUST_SQL + "SELECT claim_id FROM trusted WHERE trust >= 0.35")
@@ -57,9 +80,9 @@ def o089_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(100).limit(50).select("o_orderkey")
 
 
-@query("SELECT claim_id, row_number() OVER (ORDER BY (type = 'decision')::INT DESC, (status = 'contested')::INT, claim_id) AS rank FROM kb_claims WHERE claim_id % 100000 = 0")
+@query("SELECT claim_id, row_number() OVER (ORDER BY (type = 'decision')::INT DESC, (status = 'contested')::INT, claim_id) AS rank FROM kb_claims")
 def o090_partitioned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Store(spark, sf_dir).claims.where(F.col("claim_id") % model.ROOM == 0)
+    c = Store(spark, sf_dir).claims.select("claim_id", "type", "status")
     order = [(F.col("type") == "decision").cast("int").desc(), (F.col("status") == "contested").cast("int").asc(), F.col("claim_id").asc()]
     return lifecycle.ranked(c, order).select("claim_id", "rank")
 
@@ -67,23 +90,49 @@ def o090_partitioned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins and aggregates
 
 
-@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_orderkey) AS outcomes FROM lineitem GROUP BY 1", False)
+@query("SELECT kind AS playbook, count(*) AS scored, round(avg(CASE result WHEN 'success' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END), 6) AS rate FROM kb_actions WHERE result <> 'unknown' GROUP BY 1")
 def o048_playbook_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
-    return l.groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_orderkey").alias("outcomes"))
+    """From playbooks (kinds) to their lessons (subject and kind), the lessons' actions, and the outcomes, each once although
+    two lessons name each action."""
+    a = Store(spark, sf_dir).actions
+    lesson = F.concat_ws("/", "kind", "subject")
+    lessons = a.select(F.col("kind").alias("playbook"), lesson.alias("lesson")).distinct()
+    of = a.select(lesson.alias("lesson"), "action_id")
+    outcomes = a.select("action_id", (F.col("action_id") + 1_000_000_000).alias("outcome_id"), "result")
+    return analytics.playbook_rates(lessons, of.unionByName(of), outcomes).select("playbook", "scored", rounded("rate").alias("rate"))
 
 
-@query("SELECT a.event_id AS action_id, b.event_id AS outcome_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'error' AND a.event_type = 'purchase' AND date_trunc('day', a.ts) = date_trunc('day', b.ts)", False)
-def o050_incident_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.floor(F.unix_micros("ts") / (DAY * 1_000_000)).alias("day"))
-    a, b = (e.where(F.col("event_type") == k).select(F.col("event_id").alias(name), "user_id", "day") for k, name in (("purchase", "action_id"), ("error", "outcome_id")))
-    return a.join(b, ["user_id", "day"]).select("action_id", "outcome_id")
+@query(TRUST_SQL + """, inc AS (SELECT o_custkey AS incident_id, max(o_orderkey) AS root, list_distinct(list(o_orderkey)) AS ids FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+named AS (SELECT incident_id, count(*) AS n FROM (SELECT incident_id, unnest(ids) AS id FROM inc) WHERE id % 2 = 0 GROUP BY 1)
+SELECT inc.incident_id, t.text AS root_text, round(t.trust, 6) AS root_trust, coalesce(n, 0) AS decisions FROM inc LEFT JOIN trusted t ON t.claim_id = inc.root * 16777216 LEFT JOIN named USING (incident_id)""")
+def o050_wrong_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' failed orders are incidents and name decisions; even orders are decisions; the greatest order's number is
+    the document whose first sentence is the root cause."""
+    o = table(spark, sf_dir, "orders")
+    incidents = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("incident_id")).agg((F.max("o_orderkey").cast("long") * model.ROOM).alias("root_cause_id"), F.collect_set("o_orderkey").alias("decision_ids"))
+    decisions = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("decision_id"))
+    return evidence.wrong_beliefs(incidents, decisions, Store(spark, sf_dir).trusted).select("incident_id", "root_text", rounded("root_trust").alias("root_trust"), "decisions")
 
 
-@query(RELATE_SQL + "SELECT a, b, shared FROM pairs JOIN cl x ON x.claim_id = a JOIN cl y ON y.claim_id = b WHERE shared / least(len(x.words), len(y.words)) >= 0.3")
-def o052_lead_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _leads(Store(spark, sf_dir))
-    return relate.overlap_pairs(c, c).where("a < b").select("a", "b", F.col("shared").cast("long").alias("shared"))
+@query("SELECT o_orderkey, o_orderpriority AS risk FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 = 1 AND o_orderpriority = '1-URGENT'", False)
+def o237_audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("svc"), (F.col("o_custkey") % 3).cast("string")).alias("scope_service"), F.col("o_orderpriority").alias("risk"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("failed_outcome_id"))
+    return evidence.audit_trail(o, "svc1", "1-URGENT").select("o_orderkey", "risk")
+
+
+@query(TRUST_SQL + r""", e AS (SELECT *, (1706745600 - coalesce(last_verified, valid_from, created_at)) / 86400.0::DOUBLE AS eff_age FROM trusted)
+SELECT claim_id, round(least(1, greatest(0, (0.5 * CASE WHEN trust = 0 THEN 0.5 ELSE trust END + 0.15 * CASE WHEN source_authority = 0 THEN 0.5 ELSE source_authority END + 0.13 * least(1, ln(1 + citation_count) / ln(11)) + 0.10 * exp(-greatest(eff_age, 0) / 180.0)
+  + 0.05 * CASE WHEN eff_age <= 14 THEN 1.0 WHEN eff_age <= 180 THEN 0.75 WHEN trust >= 0.6 THEN 0.65 ELSE 0.25 END) / CASE WHEN requirement IS NULL THEN 0.93 ELSE 1 END + CASE WHEN requirement IS NULL OR pass_count + fail_count = 0 THEN 0 ELSE 0.07 * abs(pass_count - fail_count) / (pass_count + fail_count)::DOUBLE END)), 6) AS score,
+  CASE WHEN requirement IS NULL THEN 5 ELSE 6 END AS signals FROM e""")
+def o237_why_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.why_trust(Store(spark, sf_dir).trusted, now()).select("claim_id", rounded("score").alias("score"), F.size("signals").alias("signals"))
+
+
+@query("SELECT (SELECT count(*) FROM kb_claims) AS scanned, least((SELECT count(*) FROM kb_claims WHERE valid_to IS NULL), 400) AS considered, (SELECT count(*) FROM kb_claims WHERE status = 'contested') AS available, 200 AS \"limit\", 'limit_capped,candidate_cap,result_limit' AS reasons, true AS truncated")
+def o088_bounded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of contested claims, as an answer of 500 rows with 400 candidates would report."""
+    c = Store(spark, sf_dir).claims.select("claim_id", "valid_to", "status")
+    return analytics.bounded(c, c.where("valid_to is null").orderBy("claim_id").limit(400), c.where("status = 'contested'"), 500)
 
 
 @query(None)
@@ -115,23 +164,6 @@ def o063_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, sf_dir).trusted.groupBy("type").agg(F.count("*").alias("n"), rounded(F.avg("trust")).alias("mean_trust"), F.count_if(F.col("trust") < 0.3).alias("low"))
 
 
-@query(TRUST_SQL + BINS_SQL + r""", hyper AS (SELECT count(*) AS n FROM kb_edges e JOIN trusted a ON a.claim_id = e.from_id JOIN trusted b ON b.claim_id = e.to_id WHERE e.type = 'contradicts' AND a.valid_to IS NULL AND b.valid_to IS NULL AND a.status <> 'deprecated' AND b.status <> 'deprecated'
-  AND (CASE WHEN a.trust + (a.lifecycle = 'promoted')::INT >= b.trust + (b.lifecycle = 'promoted')::INT THEN a.lifecycle ELSE b.lifecycle END = 'promoted' OR CASE WHEN a.trust + (a.lifecycle = 'promoted')::INT >= b.trust + (b.lifecycle = 'promoted')::INT THEN a.trust ELSE b.trust END >= 0.7))
-SELECT 'outcome' AS level, (SELECT count(*) FROM lineitem) AS samples, (SELECT round(avg(least(abs(l_discount - l_tax)::DOUBLE / 0.02 / 2, 1)), 6) FROM lineitem) AS error
-UNION ALL SELECT 'dissonance', (SELECT count(*) FROM kb_claims), (SELECT round(least(n / (SELECT count(*) FROM kb_claims), 1), 6) FROM hyper)
-UNION ALL SELECT 'calibration', (SELECT sum(n)::BIGINT FROM bins), (SELECT round(sum(n * abs(mean_confidence - accuracy)) / sum(n), 6) FROM bins)""")
-def o065_predictive_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Store(spark, sf_dir)
-    trusted = s.trusted
-    surprised = scoring.saturated(scoring.surprise(F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.lit(0.02)))
-    outcome = table(spark, sf_dir, "lineitem").agg(F.count("*").alias("samples"), F.avg(surprised).alias("error"))
-    hyper = evidence.hypercorrections(s.edges, trusted).agg(F.count("*").alias("n"))
-    dissonance = trusted.agg(F.count("*").alias("samples")).join(F.broadcast(hyper), F.lit(True)).select("samples", F.least(F.col("n") / F.col("samples"), F.lit(1.0)).alias("error"))
-    cal = analytics.calibration_summary(analytics.calibration_bins(trusted, evidence.latest_verdict(model.kb_verdicts(s.claims)))).select(F.col("n").alias("samples"), F.col("ece").alias("error"))
-    levels = [df.select(F.lit(name).alias("level"), "samples", rounded("error").alias("error")) for name, df in (("outcome", outcome), ("dissonance", dissonance), ("calibration", cal))]
-    return levels[0].unionByName(levels[1]).unionByName(levels[2])
-
-
 @query(TRUST_SQL + "SELECT state, count(*) AS n FROM (SELECT CASE WHEN age <= 14 THEN 'live' WHEN age <= 180 THEN 'stale' WHEN trust >= 0.6 THEN 'zombie' ELSE 'dead' END AS state FROM (SELECT trust, (1706745600 - coalesce(last_verified, valid_from, created_at)) / 86400.0::DOUBLE AS age FROM trusted)) GROUP BY 1")
 def o076_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = scoring.days_between(F.coalesce("last_verified", "valid_from", "created_at"), now())
@@ -148,10 +180,11 @@ def o234_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.changes(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
-@query("SELECT claim_id, round((n - rank + 1) / n::DOUBLE, 6) AS base FROM (SELECT claim_id, row_number() OVER (PARTITION BY type ORDER BY confidence DESC, claim_id) AS rank, count(*) OVER (PARTITION BY type) AS n FROM kb_claims)")
+@query("SELECT claim_id, round((n - rank + 1) / n::DOUBLE, 6) AS base FROM (SELECT claim_id, row_number() OVER (ORDER BY confidence DESC, claim_id) AS rank, count(*) OVER () AS n FROM kb_claims)")
 def o086_rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("type")
-    x = Store(spark, sf_dir).claims.select("claim_id", F.row_number().over(w.orderBy(F.desc("confidence"), "claim_id")).alias("rank"), F.count("*").over(w).alias("n"))
+    c = Store(spark, sf_dir).claims.select("claim_id", "confidence")
+    n = F.broadcast(c.agg(F.count("*").alias("n")))
+    x = lifecycle.ranked(c, [F.desc("confidence"), F.asc("claim_id")]).join(n, F.lit(True))
     return x.select("claim_id", rounded((F.col("n") - F.col("rank") + 1) / F.col("n")).alias("base"))
 
 
@@ -191,15 +224,23 @@ def o114_event_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.event_kind(kind, F.col("text")).alias("kind"))
 
 
-@query(f"SELECT claim_id, len(list_filter({tokens_sql('text')}, lambda w: contains(w, '/')))::BIGINT AS paths FROM kb_claims")
-def o121_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Store(spark, sf_dir).claims.select("claim_id", F.size(F.filter(text.doc_tokens(F.col("text")), lambda w: F.contains(w, F.lit("/")))).cast("long").alias("paths"))
+LOCAL_TEXTS = "CASE claim_id % 4 WHEN 0 THEN text || ' in /srv/app/main.go:12' WHEN 1 THEN text || ' (see README.md)' WHEN 2 THEN text || ' at a1b2c3d, http://x.y/z.py' ELSE text END"
 
 
-@query(f"SELECT claim_id FROM kb_claims WHERE len(list_intersect({tokens_sql('text')}, {words_sql(['thing', 'eux', 'und', 'mente'])})) = 0")
-def o122_deidentified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    denied = F.array(*map(F.lit, ("thing", "eux", "und", "mente")))
-    return Store(spark, sf_dir).claims.where(~F.arrays_overlap(text.doc_tokens(F.col("text")), denied)).select("claim_id")
+@query(f"SELECT claim_id, {LOCAL_SQL} AS is_local, array_to_string(list_filter(list_filter(regexp_split_to_array(text, '\\s+'), lambda r: r <> ''), lambda r: NOT {PATH_SQL.replace('w', 'r').replace('rith', 'with')}), ' ') AS stripped FROM (SELECT claim_id, {LOCAL_TEXTS} AS text FROM kb_claims)")
+def o121_repo_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with a path, the name of a file, a commit id, or nothing after them."""
+    t = F.expr(LOCAL_TEXTS)
+    return Store(spark, sf_dir).claims.select("claim_id", t.alias("text")).select("claim_id", text.is_repo_local(F.col("text")).alias("is_local"), text.without_paths(F.col("text")).alias("stripped"))
+
+
+@query(f"SELECT claim_id FROM kb_claims WHERE len(list_intersect(regexp_split_to_array(lower(text), '[^a-z0-9]+'), {words_sql(['thing', 'eux', 'und', 'mente'])})) > 0 OR contains(lower(text), 'ande the') OR claim_id IN (SELECT claim_id FROM kb_claims, (SELECT DISTINCT lower(created_by) AS t FROM kb_events WHERE strlen(created_by) >= 3) WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z0-9]+'), t))")
+def o122_identifying(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with a denied word, phrase or tenant's name."""
+    s = Store(spark, sf_dir)
+    terms = spark.createDataFrame([(x,) for x in ("thing", "eux", "und", "mente", "ande the", "it")], "term string")
+    denied = promote.denied_terms(terms, s.events.where("created_by is not null").select(F.col("created_by").alias("tenant")).distinct())
+    return promote.identifying(s.claims.select(F.col("claim_id").alias("statement_id"), F.col("text").alias("statement")), denied).select(F.col("statement_id").alias("claim_id"))
 
 
 @query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(translate(text, '\"()*^:-+{}[]~', '             ')), '\\s+'), lambda w: w NOT IN ('', 'and', 'or', 'not', 'near')), ' ') AS terms FROM benchmark", False)
@@ -207,7 +248,7 @@ def o123_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(text.fts_terms(F.col("text")), " ").alias("terms"))
 
 
-@query("SELECT claim_id, ref FROM (SELECT claim_id, unnest(list_distinct(regexp_extract_all(text || ' see cl_' || (claim_id // 100000) || ' and cl_x-' || type, '\\b(cl_[A-Za-z0-9_-]+)\\b', 1))) AS ref FROM kb_claims)")
+@query("SELECT claim_id, ref FROM (SELECT claim_id, unnest(list_distinct(regexp_extract_all(text || ' see cl_' || (claim_id // 16777216) || ' and cl_x-' || type, '\\b(cl_[A-Za-z0-9_-]+)\\b', 1))) AS ref FROM kb_claims)")
 def o124_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = F.concat("text", F.lit(" see cl_"), F.floor(F.col("claim_id") / model.ROOM).cast("string"), F.lit(" and cl_x-"), F.col("type"))
     return Store(spark, sf_dir).claims.select("claim_id", F.explode(text.citation_refs(cited)).alias("ref"))
@@ -224,12 +265,17 @@ def o142_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, sf_dir).trusted.select("claim_id", p.alias("priority")).orderBy(F.desc("priority"), "claim_id").limit(50)
 
 
-@query(TRUST_SQL + f""", deg AS (SELECT claim_id, count(*) AS degree FROM (SELECT from_id AS claim_id FROM kb_edges WHERE type = 'contradicts' UNION ALL SELECT to_id FROM kb_edges WHERE type = 'contradicts') GROUP BY 1),
-rated AS (SELECT claim_id, {GAP_SQL} * least(1, greatest(0, 1 - trust)) * (0.3 + 0.7 * staleness) * (1 + 0.15 * least(coalesce(degree, 0), 4)) AS priority, trust, staleness, coalesce(degree, 0) AS degree FROM trusted LEFT JOIN deg USING (claim_id) WHERE valid_to IS NULL)
-SELECT claim_id, CASE WHEN degree > 0 THEN 'contested' WHEN trust <= 0.4 THEN 'low_trust' ELSE 'stale' END AS reason, round(priority, 6) AS priority FROM rated WHERE degree > 0 OR staleness >= 0.7 - 1e-9 OR trust <= 0.4 ORDER BY round(priority, 9) DESC, claim_id LIMIT 50""")
+@query(TRUST_SQL + LATEST_SQL + f""", deg AS (SELECT claim_id, count(*) AS degree FROM (SELECT from_id AS claim_id FROM kb_edges WHERE type = 'contradicts' UNION ALL SELECT to_id FROM kb_edges WHERE type = 'contradicts') GROUP BY 1),
+rated AS (SELECT claim_id, {GAP_SQL} * least(1, greatest(0, 1 - trust)) * (0.3 + 0.7 * staleness) * (1 + 0.15 * least(coalesce(degree, 0), 4)) * CASE WHEN open THEN 1.25 ELSE 1 END * (1 + 0.5 * (claim_id % 11) / 20.0) AS priority, trust, staleness, coalesce(degree, 0) AS degree, open
+  FROM (SELECT t.*, type = 'hypothesis' AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.claim_id = t.claim_id) AS open FROM trusted t) LEFT JOIN deg USING (claim_id) WHERE valid_to IS NULL)
+SELECT claim_id, CASE WHEN degree > 0 THEN 'contested' WHEN open THEN 'unresolved_hypothesis' WHEN staleness >= 0.7 - 1e-9 THEN 'stale' ELSE 'low_trust' END AS reason, CASE WHEN degree > 0 THEN 'resolve' ELSE 'verify' END AS action, round(priority, 6) AS priority FROM rated
+WHERE degree > 0 OR open OR staleness >= 0.7 - 1e-9 OR trust <= 0.4 ORDER BY round(priority, 9) DESC, claim_id LIMIT 50""")
 def o235_curiosity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hypotheses without a verdict are open; authors are over-confident by their number."""
     s = Store(spark, sf_dir)
-    return lifecycle.curiosity(s.trusted, analytics.contradiction_degrees(s.edges), 50).select("claim_id", "reason", rounded("priority").alias("priority"))
+    done = evidence.latest_verdict(model.kb_verdicts(s.claims)).select("claim_id", F.lit(True).alias("done"))
+    c = s.trusted.join(done, "claim_id", "left").withColumns({"unresolved": (F.col("type") == "hypothesis") & F.col("done").isNull(), "overconfidence": F.col("claim_id") % 11 / 20.0})
+    return lifecycle.curiosity(c, analytics.contradiction_degrees(s.edges), 50).select("claim_id", "reason", "action", rounded("priority").alias("priority"))
 
 
 @query("SELECT claim_id, round(CASE WHEN pass_count + fail_count = 0 THEN NULL ELSE abs(pass_count - fail_count) / (pass_count + fail_count)::DOUBLE END, 6) AS ratio FROM kb_claims")
@@ -237,16 +283,13 @@ def o145_pass_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, sf_dir).claims.select("claim_id", rounded(scoring.pass_ratio(F.col("pass_count"), F.col("fail_count"))).alias("ratio"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm, len(embedding)::BIGINT AS dims FROM embeddings", False)
-def o150_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(norm).alias("norm"), F.size("embedding").cast("long").alias("dims"))
-
-
-@query("SELECT o_orderkey, epoch(o_orderdate::TIMESTAMP)::BIGINT AS at FROM orders", False)
-def o155_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("o_orderdate").cast("date")
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.unix_date(d).cast("long") * DAY).alias("at"))
+@query("SELECT vec_id, len(embedding) * 4 AS bytes, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS square FROM embeddings", False)
+def o150_vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as little-endian bytes of 32-bit floats, and read back."""
+    stored = store.packed(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    back = store.unpacked(stored, "vec_id")
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return back.join(stored.select("vec_id", F.octet_length("packed").cast("long").alias("bytes")), "vec_id").select("vec_id", "bytes", F.round(square, 5).alias("square"))
 
 
 # --- retrieval and graphs
@@ -256,7 +299,7 @@ def o155_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT question_id, count(DISTINCT claim_id) AS claims, count(DISTINCT event_id) AS events FROM top JOIN kb_evidence USING (event_id) GROUP BY 1""")
 def o169_claims_of_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    top = retrieval.top_k(retrieval.bm25(s.events, _questions(spark, sf_dir)), "question_id", "event_id", 5).select("question_id", "event_id")
+    top = retrieval.top_k(s.bm25(_questions(spark, sf_dir)), "question_id", "event_id", 5).select("question_id", "event_id")
     return top.join(s.evidence, "event_id").groupBy("question_id").agg(F.countDistinct("claim_id").alias("claims"), F.countDistinct("event_id").alias("events"))
 
 
@@ -274,11 +317,11 @@ def o182_contradictions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.edges_touching(s.edges.where("type = 'contradicts'"), s.claims.where("claim_id % 3 = 0")).select("from_id", "to_id")
 
 
-@query(TRUST_SQL + r""", p AS (SELECT e.from_id, e.to_id, a.confidence AS fc, b.confidence AS tc, a.trust AS ft, b.trust AS tt,
-  abs(CASE WHEN a.pass_count + a.fail_count = 0 THEN 0 ELSE abs(a.pass_count - a.fail_count) / (a.pass_count + a.fail_count)::DOUBLE END) AS fr, CASE WHEN b.pass_count + b.fail_count = 0 THEN 0 ELSE abs(b.pass_count - b.fail_count) / (b.pass_count + b.fail_count)::DOUBLE END AS tr
+@query(TRUST_SQL + r""", p AS (SELECT e.from_id, e.to_id, a.confidence AS fc, b.confidence AS tc, a.trust AS ft, b.trust AS tt, a.requirement = b.requirement AS same, a.last_run_at AS fa, b.last_run_at AS ta,
+  CASE WHEN a.pass_count + a.fail_count = 0 THEN 0 ELSE abs(a.pass_count - a.fail_count) / (a.pass_count + a.fail_count)::DOUBLE END AS fr, CASE WHEN b.pass_count + b.fail_count = 0 THEN 0 ELSE abs(b.pass_count - b.fail_count) / (b.pass_count + b.fail_count)::DOUBLE END AS tr
   FROM kb_edges e JOIN trusted a ON a.claim_id = e.from_id JOIN trusted b ON b.claim_id = e.to_id WHERE e.type = 'contradicts' AND a.valid_to IS NULL AND b.valid_to IS NULL AND a.status <> 'deprecated' AND b.status <> 'deprecated'),
-r AS (SELECT *, CASE WHEN abs(fr - tr) >= 0.2 - 1e-12 THEN 'tests' WHEN fc >= 0.7 AND tc >= 0.7 AND abs(fc - tc) >= 0.2 - 1e-12 THEN 'confidence' WHEN abs(ft - tt) >= 0.05 THEN 'trust' ELSE 'escalate' END AS how FROM p)
-SELECT from_id, to_id, how, CASE how WHEN 'tests' THEN CASE WHEN fr >= tr THEN from_id ELSE to_id END WHEN 'confidence' THEN CASE WHEN fc >= tc THEN from_id ELSE to_id END WHEN 'trust' THEN CASE WHEN ft >= tt THEN from_id ELSE to_id END END AS winner FROM r""")
+r AS (SELECT *, CASE WHEN same AND abs(fa - ta) >= 86400 THEN 'recency' WHEN same AND abs(fr - tr) >= 0.2 - 1e-12 THEN 'tests' WHEN fc >= 0.7 AND tc >= 0.7 AND abs(fc - tc) >= 0.2 - 1e-12 THEN 'confidence' WHEN abs(ft - tt) >= 0.05 THEN 'trust' ELSE 'escalate' END AS how FROM p)
+SELECT from_id, to_id, how, CASE how WHEN 'recency' THEN CASE WHEN fa >= ta THEN from_id ELSE to_id END WHEN 'tests' THEN CASE WHEN fr >= tr THEN from_id ELSE to_id END WHEN 'confidence' THEN CASE WHEN fc >= tc THEN from_id ELSE to_id END WHEN 'trust' THEN CASE WHEN ft >= tt THEN from_id ELSE to_id END END AS winner FROM r""")
 def o183_auto_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     return evidence.resolved(s.edges, s.trusted).select("from_id", "to_id", "how", "winner")
@@ -293,12 +336,13 @@ def o186_merge_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.winners(c, roots)
 
 
-@query("SELECT action_id, 'outcome_of' AS type, action_id + 1000000000 AS target FROM kb_actions WHERE result <> 'unknown' UNION ALL SELECT action_id, CASE result WHEN 'success' THEN 'validates' ELSE 'refutes' END, user_id FROM kb_actions WHERE result IN ('success', 'failure')")
+@query("""SELECT action_id + 1000000000 AS from_id, 'outcome_of' AS type, action_id AS to_id FROM kb_actions WHERE result <> 'unknown'
+  UNION ALL SELECT action_id, 'action_of', action_id + 1000000000 FROM kb_actions WHERE result <> 'unknown'
+  UNION SELECT action_id + 1000000000, CASE result WHEN 'success' THEN 'validates' ELSE 'refutes' END, b FROM (SELECT *, unnest([user_id, user_id + 1]) AS b FROM kb_actions WHERE result IN ('success', 'failure'))""")
 def o191_auto_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = Store(spark, sf_dir).actions
-    pairs = a.where("result <> 'unknown'").select("action_id", F.lit("outcome_of").alias("type"), (F.col("action_id") + 1_000_000_000).alias("target"))
-    judged = a.where(F.col("result").isin("success", "failure")).select("action_id", F.when(F.col("result") == "success", "validates").otherwise("refutes").alias("type"), F.col("user_id").alias("target"))
-    return pairs.unionByName(judged)
+    """Every action is a decision too, that rests on two beliefs."""
+    a = Store(spark, sf_dir).actions.select("action_id", (F.col("action_id") + 1_000_000_000).alias("outcome_id"), "result", F.array("user_id", F.col("user_id") + 1).alias("beliefs"))
+    return evidence.auto_edges(a.where("result <> 'unknown'").select("action_id", "outcome_id"), a.select("outcome_id", "result"), a.select("outcome_id", "beliefs"))
 
 
 # --- consolidation
@@ -308,29 +352,46 @@ def o191_auto_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT k AS statement, tenants FROM g WHERE tenants >= 3""")
 def o230_statement_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
-    x = model._statements(s.events).join(s.events.select("event_id", "created_by"), "event_id")
+    x = model.kb_statements(spark, sf_dir).join(s.events.select("event_id", "created_by"), "event_id")
     by_tenant = x.groupBy("key", "created_by").agg(F.count("*").alias("n"))
     return by_tenant.groupBy(F.col("key").alias("statement")).agg(F.count("*").alias("tenants")).where("tenants >= 3")
 
 
-@query(TRUST_SQL + f"SELECT (SELECT count(*) FROM trusted) AS claims, (SELECT count(*) FROM kb_claims JOIN (SELECT claim_id FROM (SELECT claim_id, arg_max(kind, decided * 2 + (kind = 'validates')::INT) AS kind FROM kb_verdicts GROUP BY 1) WHERE kind = 'refutes') USING (claim_id) WHERE valid_to IS NULL) AS refuted, (SELECT count(*) FROM trusted WHERE valid_to IS NULL AND lifecycle <> 'promoted' AND trust < 0.3 AND {GAP_SQL} < 0.66) AS stale, (SELECT round(sum(1 + (strength - 1) * 0.8), 4) FROM kb_edges) AS strength")
+@query(None)
 def o220_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Store(spark, sf_dir)
-    return lifecycle.consolidate(s.claims, s.evidence, s.events, s.edges, model.kb_verdicts(s.claims), now(), 0.3).withColumn("strength", F.round("strength", 4))
+    """What one pass does, step by step; a test compares its steps with plain ones."""
+    return lifecycle.consolidate(consolidation_tables(spark, sf_dir), now(), 0.3)[1]
 
 
-@query("SELECT claim_id, CASE WHEN claim_id % 4 = 0 THEN 'resolved' WHEN claim_id % 4 = 1 THEN 'superseded' ELSE status END AS status, CASE WHEN claim_id % 4 = 1 THEN 1706745600 ELSE valid_to END AS valid_to FROM kb_claims WHERE status = 'contested'")
+def consolidation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The model's frames, with duplicates by four attributes, and credits, surprises and risks by number."""
+    s = Store(spark, sf_dir)
+    n = F.col("claim_id")
+    none = F.from_json(F.lit("{}"), "map<string,double>")
+    c = s.claims.withColumn("components", F.when(n % 3 == 1, F.create_map(F.lit("inhibition"), n % 50 / 100.0)).otherwise(none))
+    merges = store.exact_duplicates(s.claims.select("claim_id", F.struct("created_by", "type", "scope_service", "citation_count", F.floor(n / model.ROOM)).alias("key")))
+    return {
+        "claims": c, "evidence": s.evidence, "events": s.events, "edges": s.edges, "merges": merges, "verdicts": model.kb_verdicts(s.claims), "actions": s.actions,
+        "credits": s.claims.where(n % 5 == 2).select("claim_id", F.lit("d1").alias("key"), (n % 9 / 10.0 - 0.4).alias("credit")), "surprises": s.claims.where(n % 4 == 1).select("claim_id", (n % 30 / 10.0).alias("surprise")),
+        "risks": s.claims.where(n % 6 == 1).select("claim_id", F.get(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), (n % 4).cast("int")).alias("risk"), F.lit("partial").alias("result")),
+    }
+
+
+@query("""SELECT claim_id, CASE WHEN l IS NOT NULL THEN 'deprecated' WHEN w IS NOT NULL THEN 'active' ELSE status END AS status, CASE WHEN l IS NOT NULL THEN coalesce(valid_to, 1706745600) ELSE valid_to END AS valid_to, l AS superseded_by FROM kb_claims
+  LEFT JOIN (SELECT DISTINCT from_id AS w FROM kb_edges WHERE type = 'contradicts') ON w = claim_id LEFT JOIN (SELECT to_id AS loser, min(from_id) AS l FROM kb_edges WHERE type = 'contradicts' GROUP BY 1) ON loser = claim_id""")
 def o227_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Store(spark, sf_dir).claims.where("status = 'contested'")
-    kind = F.when(F.col("claim_id") % 4 == 0, "resolved").when(F.col("claim_id") % 4 == 1, "superseded")
-    x = c.withColumn("valid_to", F.when(kind == "superseded", now()).otherwise(F.col("valid_to"))).withColumn("status", F.coalesce(kind, "status"))
-    return x.select("claim_id", "status", seconds("valid_to"))
+    """Of each contradiction the first claim wins."""
+    s = Store(spark, sf_dir)
+    decisions = s.edges.where("type = 'contradicts'").select(F.col("from_id").alias("winner_id"), F.col("to_id").alias("loser_id"))
+    return store.decided(s.claims, decisions, now()).select("claim_id", "status", seconds("valid_to"), "superseded_by")
 
 
-@query("SELECT DISTINCT l_orderkey, l_suppkey - l_suppkey % 2 AS entity FROM lineitem", False)
+@query("SELECT DISTINCT l_orderkey AS claim_id, CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey - 1 ELSE l_suppkey END AS entity_id, l_returnflag AS role FROM lineitem", False)
 def o228_entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
-    return l.select("l_orderkey", (F.col("l_suppkey") - F.col("l_suppkey") % 2).alias("entity")).distinct()
+    """Suppliers are entities; each odd one is merged into the one before."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("role"))
+    odd = links.where("entity_id % 2 = 1").select(F.col("entity_id").alias("old_id")).distinct()
+    return store.merged_entities(links, odd.withColumn("new_id", F.col("old_id") - 1))
 
 
 @query("SELECT DISTINCT claim_id FROM (SELECT from_id AS claim_id FROM kb_edges e JOIN kb_claims a ON a.claim_id = from_id JOIN kb_claims b ON b.claim_id = to_id WHERE e.type = 'contradicts' AND a.valid_to IS NULL AND b.valid_to IS NULL AND a.status <> 'deprecated' AND b.status <> 'deprecated' UNION ALL SELECT to_id FROM kb_edges e JOIN kb_claims a ON a.claim_id = from_id JOIN kb_claims b ON b.claim_id = to_id WHERE e.type = 'contradicts' AND a.valid_to IS NULL AND b.valid_to IS NULL AND a.status <> 'deprecated' AND b.status <> 'deprecated')")
@@ -339,26 +400,44 @@ def o252_contested_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.contradictions(s.edges, s.claims.withColumn("trust", F.lit(0.0))).select(F.explode(F.array("from_id", "to_id")).alias("claim_id")).distinct()
 
 
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '(?s)<reminder>.*?</reminder>', '', 'g'), '(?m)^(Thand|Ereat).*$', '', 'g')) AS cleaned FROM conversations", False)
+@query("SELECT conv_id, turn, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS cleaned FROM conversations", False)
 def o255_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.cleaned(table(spark, sf_dir, "conversations"), "text", ["reminder"], ["Thand", "Ereat"]).select("conv_id", "turn", "cleaned")
+    """Turns among what a harness adds: nothing of that is left."""
+    noise = ["<system-reminder>\nA\n</system-reminder>", "<command-name>x</command-name>", "<local-command-stdout>\n1\n</local-command-stdout>", "Base directory for this skill: /x", "  Analysis: none", "</task-notification> y"]
+    added = F.get(F.array(*map(F.lit, noise)), (F.col("turn") % len(noise)).cast("int"))
+    said = F.concat(added, F.lit("\n"), F.col("text"), F.lit("\n<note>\nn</note>\n"), added, F.lit("\n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", lifecycle.cleaned(said).alias("cleaned"))
 
 
-@query("SELECT l_orderkey, round(max(abs(l_discount - l_tax)::DOUBLE / 0.02), 6) AS surprise FROM lineitem GROUP BY 1", False)
+@query("SELECT a.l_suppkey AS action_id, round(max(abs(b.l_discount - b.l_tax)::DOUBLE / 0.02), 6) AS surprise FROM lineitem a JOIN lineitem b USING (l_orderkey, l_linenumber) WHERE l_orderkey % 2 = 0 GROUP BY 1", False)
 def o256_action_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scoring.surprise(F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.lit(0.02))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rounded(F.max(s)).alias("surprise"))
+    """Suppliers act; orders are outcomes, of which even ones have a decision that rests on their lines' expectations."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("belief_id"), scoring.surprise(F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.lit(0.02)).alias("surprise"))
+    outcome = F.concat_ws("/", "l_orderkey", "l_suppkey").alias("outcome_id")
+    decisions = l.where("l_orderkey % 2 = 0").groupBy(outcome).agg(F.collect_list("belief_id").alias("beliefs"))
+    return analytics.action_surprises(l.select(F.col("l_suppkey").alias("action_id"), outcome).distinct(), decisions, l.select("belief_id", "surprise")).select("action_id", rounded("surprise").alias("surprise"))
 
 
-@query("SELECT o_custkey, list_aggregate(list_sort(list_distinct(list(o_orderpriority))), 'string_agg', ',') AS labels FROM orders GROUP BY 1", False)
+@query("SELECT o_custkey, list_sort(list_distinct(list(o_orderpriority))) AS labels FROM (SELECT o_custkey, o_orderpriority FROM orders UNION ALL SELECT o_custkey, o_orderpriority FROM orders) GROUP BY 1".replace("list_sort(list_distinct(list(o_orderpriority))) AS labels", "array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS labels"), False)
 def o259_array_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("labels"))
+    """Priorities of open orders are stored; those of all orders are appended."""
+    o = table(spark, sf_dir, "orders")
+    stored = o.groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")))).alias("labels"))
+    x = store.appended_set(stored, o.select("o_custkey", F.col("o_orderpriority").alias("value")), "o_custkey", "labels")
+    return x.select("o_custkey", F.array_join(F.array_sort("labels"), ",").alias("labels"))
 
 
 @query("SELECT conv_id, right(string_agg(text, chr(10) ORDER BY turn), 500) AS tail FROM conversations GROUP BY 1", False)
 def o260_memory_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.right("text", F.lit(500)).alias("text")))), lambda r: r["text"]), "\n").alias("all"))
-    return x.select("conv_id", F.right("all", F.lit(500)).alias("tail"))
+    return store.last_block(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], "text", 500).select("conv_id", F.col("content").alias("tail"))
+
+
+@query("SELECT l_partkey AS claim_id, any_value(p) AS predicted, arg_max(l_tax, l_orderkey * 10 + l_linenumber)::DOUBLE AS observed, true AS resolved FROM lineitem JOIN (SELECT p_partkey, (p_size / 100)::DOUBLE AS p FROM part) ON p_partkey = l_partkey GROUP BY 1 UNION ALL SELECT p_partkey, (p_size / 100)::DOUBLE, NULL, false FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)", False)
+def o261_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are predictions; the last line of each is what was observed."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("claim_id"), (F.col("p_size") / 100).cast("double").alias("predicted"))
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("claim_id"), F.col("l_tax").cast("double").alias("observed"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return store.observed(p, seen).select("claim_id", "predicted", "observed", "resolved")
 
 
 @query(LATEST_SQL + " SELECT c.claim_id, c.confidence FROM kb_claims c WHERE NOT EXISTS (SELECT 1 FROM latest l WHERE l.claim_id = c.claim_id) AND c.type = 'hypothesis'")
@@ -374,13 +453,6 @@ def o243_weekly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.unix_micros("window.start").alias("week_us"), "n", "users")
 
 
-@query(RELATE_SQL + "SELECT a AS from_id, b AS to_id, type FROM typed WHERE type IS NOT NULL AND (a // 100000) % 2 = 1 AND (b // 100000) % 2 = 1 UNION ALL SELECT CASE WHEN (a // 100000) % 2 = 1 THEN a ELSE b END, CASE WHEN (a // 100000) % 2 = 1 THEN b ELSE a END, type FROM typed WHERE type IS NOT NULL AND (a // 100000) % 2 <> (b // 100000) % 2")
-def o245_lead_incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _leads(Store(spark, sf_dir))
-    odd = F.floor(F.col("claim_id") / model.ROOM) % 2
-    return signals.related(c.where(odd == 1), c.where(odd == 0))
-
-
 @query(None)
 def o245_incremental_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all claims; a test compares it with brute force."""

@@ -9,7 +9,6 @@ from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import now, table
 from siltstone.operators import evidence, graph, lifecycle, relate, retrieval, store
-from siltstone.operators.lifecycle import FLOATBACK
 from siltstone.plans.answer import QUESTION, answer
 from siltstone.plans.catalog import GAP_SQL, LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
 from siltstone.streaming import signals
@@ -58,7 +57,7 @@ def o105_normalisers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, count(*) AS sentences, min(length(text)) AS shortest, max(length(text)) AS longest FROM statements GROUP BY 1")
 def o108_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length("text").cast("long")
-    return model._statements(Store(spark, sf_dir).events).groupBy("event_id").agg(F.count("*").alias("sentences"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
+    return model.kb_statements(spark, sf_dir).groupBy("event_id").agg(F.count("*").alias("sentences"), F.min(n).alias("shortest"), F.max(n).alias("longest"))
 
 
 @query("SELECT event_id, pos, text FROM (SELECT event_id, pos, trim(raw) AS text FROM raw_sentences) WHERE regexp_matches(text, '\\|.*\\|') OR regexp_matches(text, ':\\s*$')")
@@ -95,9 +94,12 @@ def o120_word_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.word_polarity(F.col("text")).alias("polarity"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text WHEN contains(right(text, 200), chr(10)) THEN substr(right(text, 200), strpos(right(text, 200), chr(10)) + 1) ELSE right(text, 200) END AS kept FROM conversations", False)
+@query("""SELECT conv_id, turn, CASE WHEN length(text) <= 200 THEN text WHEN strpos(right(text, 201), chr(10)) = 0 THEN right(text, 200) ELSE (SELECT string_agg(line, chr(10) ORDER BY i) FROM (SELECT line, i, sum(length(line) + 1) OVER (ORDER BY i DESC) - 1 AS used
+  FROM (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i)) WHERE used <= 200) END AS kept FROM (SELECT conv_id, turn, regexp_replace(text, '[.] ', chr(10), 'g') AS text FROM conversations)""", False)
 def o125_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.evict_to_limit(F.col("text"), 200).alias("kept"))
+    """Turns with a line for each sentence."""
+    lines = F.regexp_replace("text", "[.] ", "\n")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.evict_to_limit(lines, 200).alias("kept"))
 
 
 # --- scores
@@ -168,15 +170,22 @@ def o153_json_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("k")).distinct()
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT (l_discount BETWEEN 0 AND 0.05 AND l_quantity > 0)", False)
-def o156_invalid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(~(F.col("l_discount").between(0, 0.05) & (F.col("l_quantity") > 0))).select("l_orderkey", "l_linenumber")
+@query("SELECT from_id, to_id, CASE WHEN from_id % 23 = 0 THEN 'type' WHEN from_id % 11 = 0 THEN 'end' WHEN from_id % 7 = 0 THEN 'loop' ELSE 'strength' END AS reason FROM kb_edges WHERE from_id % 23 = 0 OR from_id % 11 = 0 OR from_id % 7 = 0 OR strength + 1 > 10")
+def o156_invalid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges spoiled by their number, with the first rule that each breaks."""
+    n = F.col("from_id")
+    e = Store(spark, sf_dir).edges.select("from_id", "to_id", "type", "strength")
+    spoiled = e.select(
+        F.when((n % 11 == 0) & (n % 23 != 0), None).otherwise(n).alias("from_id"), F.when(n % 7 == 0, n).otherwise(F.col("to_id")).alias("to_id"), F.when(n % 23 == 0, "likes").otherwise(F.col("type")).alias("type"),
+        (F.col("strength") + 1).alias("strength"), n.alias("n"), F.col("to_id").alias("t"),
+    )
+    return store.invalid_edges(spoiled, ["supports", "contradicts", "causes", "cites"]).select(F.col("n").alias("from_id"), F.col("t").alias("to_id"), "reason")
 
 
 # --- retrieval
 
 BM25_SQL = rf""",
-q AS (SELECT item_id AS question_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS text FROM benchmark)),
+q AS (SELECT item_id AS question_id, unnest(list_distinct({tokens_sql('text')})) AS term FROM benchmark),
 tok AS (SELECT event_id, {tokens_sql('content')} AS t FROM kb_events),
 stat AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean_size FROM tok),
 tf AS (SELECT event_id, size, term, count(*) AS tf FROM (SELECT event_id, len(t) AS size, unnest(t) AS term FROM tok) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
@@ -186,19 +195,19 @@ bm AS (SELECT question_id, event_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("question"))
+    """Each benchmark passage, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
 @query(BM25_SQL + "SELECT question_id, event_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, event_id) AS rank FROM bm) WHERE rank <= 5")
 def o160_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = retrieval.top_k(retrieval.bm25(Store(spark, sf_dir).events, _questions(spark, sf_dir)), "question_id", "event_id", 5)
+    x = retrieval.top_k(Store(spark, sf_dir).bm25(_questions(spark, sf_dir)), "question_id", "event_id", 5)
     return x.select("question_id", "event_id", "rank", rounded("score").alias("score"))
 
 
 @query(BM25_SQL + "SELECT question_id, event_id, round(score, 6) AS score FROM bm WHERE terms = (SELECT count(*) FROM q WHERE q.question_id = bm.question_id)")
 def o161_bm25_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(Store(spark, sf_dir).events, _questions(spark, sf_dir), every_term=True).select("question_id", "event_id", rounded("score").alias("score"))
+    return Store(spark, sf_dir).bm25(_questions(spark, sf_dir), every_term=True).select("question_id", "event_id", rounded("score").alias("score"))
 
 
 COS_SQL = "cs AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
@@ -221,7 +230,7 @@ vectors AS (SELECT query_id // 100 AS query_id, vec_id AS item, score FROM cs WH
 
 
 def _both_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = retrieval.bm25(Store(spark, sf_dir).events, _questions(spark, sf_dir)).select(F.col("question_id").alias("query_id"), F.col("event_id").alias("item"), "score")
+    words = Store(spark, sf_dir).bm25(_questions(spark, sf_dir)).select(F.col("question_id").alias("query_id"), F.col("event_id").alias("item"), "score")
     vectors = retrieval.cosine_scores(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)).where("score > 0")
     return words, vectors.select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("vec_id").alias("item"), "score")
 
@@ -251,13 +260,13 @@ def o171_context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.within_budget(lines, "run_id", [F.desc("ts"), F.asc("event_id")], 20_000).select("run_id", "event_id")
 
 
-@query(TRUST_SQL + BM25_SQL.replace("FROM benchmark)", f"FROM (SELECT 0 AS item_id, '{QUESTION}' AS text))").replace("list_slice(string_split(text, ' '), 1, 8)", "string_split(text, ' ')") + r""",
+@query(TRUST_SQL + BM25_SQL.replace("FROM benchmark)", f"FROM (SELECT 0 AS item_id, '{QUESTION}' AS text))") + r""",
 top AS (SELECT event_id FROM bm ORDER BY round(score, 9) DESC, event_id LIMIT 5),
 seen AS (SELECT * FROM trusted t WHERE status <> 'deprecated' AND durability <> 'session' AND EXISTS (SELECT 1 FROM kb_evidence v WHERE v.claim_id = t.claim_id AND v.event_id IN (SELECT event_id FROM top))),
 cred AS (
   SELECT *, least(1, greatest(0, (0.5 * CASE WHEN trust = 0 THEN 0.5 ELSE trust END + 0.15 * CASE WHEN source_authority = 0 THEN 0.5 ELSE source_authority END
     + 0.13 * least(1, ln(1 + citation_count) / ln(11)) + 0.10 * exp(-greatest(eff_age, 0) / 180.0)
-    + 0.05 * CASE WHEN eff_age <= 14 THEN 1.0 WHEN eff_age <= 180 THEN 0.75 WHEN trust >= 0.6 THEN 0.65 ELSE 0.25 END) / 0.93)) AS cred
+    + 0.05 * CASE WHEN eff_age <= 14 THEN 1.0 WHEN eff_age <= 180 THEN 0.75 WHEN trust >= 0.6 THEN 0.65 ELSE 0.25 END) / CASE WHEN requirement IS NULL THEN 0.93 ELSE 1 END + CASE WHEN requirement IS NULL OR pass_count + fail_count = 0 THEN 0 ELSE 0.07 * abs(pass_count - fail_count) / (pass_count + fail_count)::DOUBLE END)) AS cred
   FROM (SELECT *, (1706745600 - coalesce(last_verified, valid_from, created_at)) / 86400.0::DOUBLE AS eff_age FROM seen)),
 admitted AS (SELECT * FROM cred WHERE visibility IN ('personal', 'team') AND valid_from <= 1706745600 AND (valid_to IS NULL OR 1706745600 < valid_to)),
 conf AS (SELECT CASE WHEN count(*) = 0 THEN 0 ELSE greatest(0, least(1, 0.4 * avg(cred) + 0.2 * least(count(*) / 5.0, 1) - least(0.1 * (SELECT count(*) FROM kb_edges e JOIN admitted a ON e.from_id = a.claim_id JOIN admitted b ON e.to_id = b.claim_id WHERE e.type = 'contradicts'), 0.3)
@@ -268,14 +277,13 @@ def answer_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BM25_SQL + r""", ranked AS (SELECT question_id, event_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, event_id) AS rank FROM bm),
-gold AS (SELECT b.item_id AS question_id, e.event_id FROM benchmark b JOIN kb_events e ON contains(e.content, array_to_string(list_slice(string_split(b.text, ' '), 1, 8), ' ')))
+gold AS (SELECT b.item_id AS question_id, e.event_id FROM benchmark b JOIN kb_events e ON contains(e.content, b.text))
 SELECT count(*) AS questions, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM (SELECT question_id, min(rank) AS r FROM gold LEFT JOIN ranked USING (question_id, event_id) GROUP BY 1)""")
 def o077_retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of a passage are those that hold it."""
     q, e = _questions(spark, sf_dir), Store(spark, sf_dir).events
-    ranked = retrieval.top_k(retrieval.bm25(e, q), "question_id", "event_id", 1 << 30)
-    gold = e.join(F.broadcast(q), F.contains("content", F.col("question"))).select("question_id", "event_id")
-    best = gold.join(ranked, ["question_id", "event_id"], "left").groupBy("question_id").agg(F.min("rank").alias("r"))
-    return best.agg(F.count("*").alias("questions"), rounded(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0)))).alias("mrr"), rounded(F.avg(F.when(F.col("r") <= 5, 1.0).otherwise(0.0))).alias("hit_rate"))
+    gold = retrieval.holding(e, q).select("question_id", "event_id")
+    return retrieval.quality(retrieval.ranks_of(Store(spark, sf_dir).bm25(q), gold), gold).select("questions", rounded("mrr").alias("mrr"), rounded("hit_rate").alias("hit_rate"))
 
 
 # --- graphs
@@ -303,6 +311,21 @@ def o181_activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.activation(s.edges, seeds).select("claim_id", rounded("activation").alias("activation"))
 
 
+@query(r""", base AS (SELECT claim_id, rank, (201 - rank) / 200.0::DOUBLE AS base FROM (SELECT claim_id, row_number() OVER (ORDER BY confidence DESC, claim_id) AS rank FROM kb_claims) WHERE rank <= 200),
+w AS (SELECT from_id, to_id, CASE type WHEN 'supports' THEN 1.0 WHEN 'causes' THEN 0.8 WHEN 'contradicts' THEN 0.5 ELSE 0.6 END * (1 + 0.5 * (least(greatest(strength, 1), 10) - 1) / 9) AS weight FROM kb_edges),
+around AS (SELECT * FROM w UNION ALL SELECT to_id, from_id, weight FROM w),
+f0 AS (SELECT claim_id, base AS energy FROM base WHERE rank <= 5),
+s1 AS (SELECT to_id AS claim_id, energy * weight * 0.5 AS energy FROM around JOIN f0 ON from_id = claim_id WHERE to_id NOT IN (SELECT claim_id FROM f0)), f1 AS (SELECT claim_id, max(energy) AS energy FROM s1 GROUP BY 1),
+s2 AS (SELECT to_id AS claim_id, energy * weight * 0.5 AS energy FROM around JOIN f1 ON from_id = claim_id WHERE to_id NOT IN (SELECT claim_id FROM f0) AND to_id NOT IN (SELECT claim_id FROM f1)),
+act AS (SELECT claim_id, sum(energy) AS active FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY 1)
+SELECT claim_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, rank) AS rank FROM (SELECT claim_id, rank, base + 0.35 * least(coalesce(active, 0), 1) AS score FROM base LEFT JOIN act USING (claim_id))""")
+def o181_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 most confident claims, ranked anew by what the first five activate."""
+    c = Store(spark, sf_dir).claims.select("claim_id", "confidence").orderBy(F.desc("confidence"), "claim_id").limit(200)
+    listed = c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("confidence"), "claim_id")))
+    return graph.reranked(listed, Store(spark, sf_dir).edges).select("claim_id", rounded("score").alias("score"), "rank")
+
+
 @query(r"""WITH RECURSIVE pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35),
 around AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 walk AS (SELECT a AS node, a AS root FROM around UNION SELECT b, root FROM walk JOIN around ON node = a WHERE root < b)
@@ -341,37 +364,12 @@ def o189_hypercorrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- relations
 
-RELATE_SQL = rf""",
-cl AS (SELECT claim_id, {CONTENT_SQL} AS words, {NEGATED_SQL} AS neg FROM kb_claims WHERE claim_id % 100000 = 0),
-ex AS (SELECT claim_id, unnest(words) AS word FROM cl WHERE len(words) >= 2),
-pairs AS (SELECT a.claim_id AS a, b.claim_id AS b, count(*) AS shared FROM ex a JOIN ex b ON a.word = b.word AND a.claim_id < b.claim_id GROUP BY ALL HAVING count(*) >= 2),
-typed AS (SELECT a, b, CASE WHEN x.neg = y.neg THEN 'supports' WHEN shared / least(len(x.words), len(y.words)) >= 0.5 AND shared / greatest(len(x.words), len(y.words)) >= 0.3 THEN 'contradicts' END AS type
-  FROM pairs JOIN cl x ON x.claim_id = a JOIN cl y ON y.claim_id = b WHERE shared / least(len(x.words), len(y.words)) >= 0.3)
-"""
-
-
-def _leads(s: Store) -> DataFrame:
-    """The first sentences of documents: the statements that stand for them."""
-    return s.claims.where(F.col("claim_id") % model.ROOM == 0).select("claim_id", "text")
-
-
-@query(RELATE_SQL + "SELECT a AS from_id, b AS to_id, type FROM typed WHERE type IS NOT NULL")
-def o200_lead_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _leads(Store(spark, sf_dir))
-    return relate.relations(c, c)
-
-
-@query(None)
-def o200_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all claims; a test compares it with brute force."""
-    c = Store(spark, sf_dir).claims.select("claim_id", "text")
-    return relate.relations(c, c)
-
-
-@query(r"SELECT least(a, b) AS a, greatest(a, b) AS b, type FROM (SELECT a.claim_id AS a, b.claim_id AS b, CASE WHEN sign(a.pass_count - a.fail_count) = sign(b.pass_count - b.fail_count) THEN 'supports' ELSE 'contradicts' END AS type FROM kb_claims a JOIN kb_claims b ON a.scope_service = b.scope_service AND a.created_by = b.created_by AND a.claim_id // 100000 = b.claim_id // 100000 AND a.claim_id < b.claim_id WHERE a.pass_count <> a.fail_count AND b.pass_count <> b.fail_count)")
+@query("""SELECT a.claim_id AS a, b.claim_id AS b, CASE WHEN sign(a.pass_count - a.fail_count) = sign(b.pass_count - b.fail_count) THEN 'supports' ELSE 'contradicts' END AS type FROM kb_claims a JOIN kb_claims b ON a.requirement = b.requirement AND a.claim_id < b.claim_id
+  WHERE a.pass_count <> a.fail_count AND b.pass_count <> b.fail_count AND (a.scope_service = b.scope_service OR a.scope_service = 'svc3' OR b.scope_service = 'svc3')""")
 def o207_test_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Store(spark, sf_dir).claims.withColumn("requirement", F.concat_ws("/", "scope_service", "created_by", F.floor(F.col("claim_id") / model.ROOM).cast("string")))
-    return lifecycle.test_conflicts(c)
+    """Services are scopes, and svc3 is none."""
+    scope = F.when(F.col("scope_service") != "svc3", F.col("scope_service"))
+    return lifecycle.test_conflicts(Store(spark, sf_dir).claims.withColumn("scope", scope))
 
 
 # --- consolidation
@@ -402,12 +400,15 @@ def o226_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(d <= 0.025, "validates").otherwise("refutes").alias("verdict"))
 
 
-FLOAT_SQL = "CASE WHEN status <> 'active' THEN 'inactive' WHEN alnum = '' THEN 'empty' WHEN rn > 1 THEN 'duplicate' WHEN trust < 0.6 THEN 'low_trust' WHEN regexp_matches(text, '(^|\\s)[\\w./-]+/[\\w.-]+') THEN 'repo_local' ELSE 'float' END"
+PLAIN_SQL = "list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: trim(w, '.,;:!?()[]{}\"''`'))"
+PATH_SQL = "(NOT contains(w, '://') AND (regexp_matches(w, '^.:[\\\\/]') OR starts_with(w, './') OR starts_with(w, '../') OR (starts_with(w, '/') AND length(w) - length(replace(w, '/', '')) >= 2)))"
+LOCAL_SQL = f"len(list_filter({PLAIN_SQL}, lambda w: {PATH_SQL} OR (NOT contains(w, '://') AND strpos(w, '.') > 0 AND list_contains({words_sql(text.CODE_ENDINGS)}, lower(regexp_extract(w, '^.+\\.([^.]+)$', 1)))) OR (regexp_full_match(w, '[0-9a-f]{{7,40}}') AND regexp_matches(w, '[0-9]')))) > 0"
+FLOAT_SQL = f"CASE WHEN status <> 'active' THEN 'inactive' WHEN alnum = '' THEN 'empty' WHEN rn > 1 THEN 'duplicate' WHEN trust < 0.6 THEN 'low_trust' WHEN {LOCAL_SQL} THEN 'repo_local' ELSE 'float' END"
 
 
 @query(TRUST_SQL + f", keyed AS (SELECT *, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS alnum FROM trusted), numbered AS (SELECT *, row_number() OVER (PARTITION BY status = 'active', alnum ORDER BY claim_id) AS rn FROM keyed) SELECT claim_id, {FLOAT_SQL} AS decision FROM numbered")
 def o231_floatback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.floatback(Store(spark, sf_dir).trusted, **FLOATBACK).select("claim_id", "decision")
+    return lifecycle.floatback(Store(spark, sf_dir).trusted).select("claim_id", "decision")
 
 
 @query("SELECT created_by, type, bool_or(lifecycle = 'promoted') AS any_promoted, bool_and(status = 'active') AS all_active FROM kb_claims GROUP BY ALL")
@@ -421,16 +422,25 @@ def o236_requirement_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.winners_by(Store(spark, sf_dir).trusted, "scope_service")
 
 
-@query("SELECT half_life_days, count(*) AS n FROM (SELECT CASE WHEN status = 'deprecated' OR half_life_days > 0 THEN half_life_days WHEN type = 'decision' THEN 0 ELSE 14 END AS half_life_days FROM kb_claims) GROUP BY 1")
+@query(f"SELECT half_life_days, count(*) AS n FROM (SELECT CASE WHEN type = 'decision' OR regexp_matches(text, {_quoted(text.DURABLE_WORDS)}) THEN 0 WHEN regexp_matches(text, {_quoted(text.STATE_WORDS)}) THEN 14 ELSE 0 END AS half_life_days FROM kb_claims WHERE status <> 'deprecated' AND half_life_days = 0 AND claim_id % 3 <> 0) GROUP BY 1")
 def o250_half_life_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = (F.col("status") == "deprecated") | (F.col("half_life_days") > 0)
-    planned = F.when(keep, F.col("half_life_days")).when(F.col("type") == "decision", 0).otherwise(14)
-    return Store(spark, sf_dir).claims.groupBy(planned.cast("long").alias("half_life_days")).agg(F.count("*").alias("n"))
+    """A third of the claims bear the stamp of this version."""
+    c = Store(spark, sf_dir).claims.withColumn("half_life_by", F.when(F.col("claim_id") % 3 == 0, "v1"))
+    return lifecycle.half_life_plan(c, "v1").groupBy(F.col("half_life_days").cast("long").alias("half_life_days")).agg(F.count("*").alias("n"))
+
 
+COMMANDS_SQL = "CASE " + " ".join(f"WHEN contains(c, '{part}') THEN '{kind}'" for part, kind in lifecycle.COMMANDS) + " END"
 
-@query("SELECT conv_id, turn, CASE WHEN contains(q, 'deploy') THEN 'deploy' WHEN contains(q, 'test') THEN 'test' WHEN contains(q, 'the') THEN 'read' ELSE 'other' END AS kind FROM (SELECT conv_id, turn, lower(text) AS q FROM conversations)", False)
-def o254_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.classified(table(spark, sf_dir, "conversations"), "text", [("deploy", "deploy"), ("test", "test"), ("the", "read")], "other").select("conv_id", "turn", "kind")
+
+@query(f"""WITH u AS (SELECT event_id, lower('cd x && ' || ['Go Test ./...', 'git push', 'ls', 'kubectl apply -f a', 'pytest -q', 'npm run build'][event_id % 6 + 1]) AS c FROM events WHERE event_type <> 'error')
+SELECT u.event_id AS use_id, {COMMANDS_SQL} AS kind, r.event_type = 'error' AS failed FROM u JOIN events r ON r.event_id = u.event_id + 1 WHERE {COMMANDS_SQL} IS NOT NULL""", False)
+def o254_tool_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event but errors is a use of a tool with a made-up command, and the next event is its result."""
+    e = table(spark, sf_dir, "events")
+    made = F.array(*map(F.lit, ("Go Test ./...", "git push", "ls", "kubectl apply -f a", "pytest -q", "npm run build")))
+    uses = e.where("event_type <> 'error'").select(F.col("event_id").alias("use_id"), F.concat(F.lit("cd x && "), F.get(made, (F.col("event_id") % 6).cast("int"))).alias("command"))
+    results = e.select((F.col("event_id") - 1).alias("use_id"), (F.col("event_type") == "error").alias("is_error"), F.col("ts").alias("at"))
+    return lifecycle.tool_actions(uses, results)
 
 
 @query(TRUST_SQL + "SELECT claim_id, type, rank FROM (SELECT claim_id, type, row_number() OVER (PARTITION BY type ORDER BY round(trust, 9) DESC, claim_id) AS rank FROM trusted WHERE status = 'active') WHERE rank <= 10")
@@ -466,6 +476,26 @@ def o241_hourly_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n FROM events GROUP BY ALL),
+z AS (SELECT *, (n - avg(n) OVER p) / nullif(stddev_pop(n) OVER p, 0) AS z, avg(n) OVER p AS mean FROM w WINDOW p AS (PARTITION BY event_type))
+SELECT epoch_us(h) AS hour_us, event_type, n, CASE WHEN n <= mean / 10 THEN 'stall' WHEN z >= 2 THEN 'spike' ELSE 'drop' END AS signal, round(z, 6) AS strength FROM z WHERE z IS NOT NULL AND (n <= mean / 10 OR abs(z) >= 2)""", False)
+def o241_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = signals.signals(signals.hourly(signals.batch(table(spark, sf_dir, "events"))))
+    return x.select(F.unix_micros("window.start").alias("hour_us"), "event_type", "n", "signal", rounded("strength").alias("strength"))
+
+
+@query("""WITH w AS (SELECT epoch(date_trunc('hour', ts)) / 3600.0 AS x, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL)
+SELECT event_type, round(regr_slope(n, x), 6) AS slope, CASE WHEN regr_r2(n, x) >= 0.1 AND regr_slope(n, x) > 0 THEN 'rising' WHEN regr_r2(n, x) >= 0.1 AND regr_slope(n, x) < 0 THEN 'falling' ELSE 'flat' END AS trend FROM w GROUP BY 1""", False)
+def o241_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.trends(signals.hourly(signals.batch(table(spark, sf_dir, "events")))).select("event_type", rounded("slope").alias("slope"), "trend")
+
+
+@query("SELECT event_id, min(event_type) AS event_type FROM events GROUP BY 1", False)
+def o244_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table delivered twice as a stream: each event once."""
+    return signals.delivered_twice(spark, sf_dir).select("event_id", "event_type")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1", False)
 def o244_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.counted_stream(spark, sf_dir)

@@ -13,9 +13,53 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_items(spark: SparkSession, path: str) -> DataFrame:
     """path, content of JSON files: an event for each item of an array, one for an object."""
-    whole = read_texts(spark, path)
-    item = F.coalesce(F.from_json(F.when(F.ltrim("content").startswith("["), F.col("content")), "array<variant>"), F.array(F.try_parse_json("content")))
-    return whole.select("path", F.explode(item).alias("item")).select("path", F.to_json("item").alias("content"))
+    return read_texts(spark, path).select("path", F.explode(json_items(F.col("content"))).alias("content"))
+
+
+def json_items(content: Column) -> Column:
+    """The items of a JSON array, or the one value that is no array, each as JSON."""
+    items = F.coalesce(F.from_json(F.when(F.ltrim(content).startswith("["), content), "array<variant>"), F.array(F.try_parse_json(content)))
+    return F.transform(items, lambda x: F.to_json(x))
+
+
+def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """content of a CSV file with a header: an event for the header and one for each row."""
+    return csv_rows(spark.read.option("header", True).csv(path))
+
+
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """path, size, modified of files, without reading them."""
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def inline_texts(spark: SparkSession, texts: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """content, metadata of texts given in a call."""
+    return spark.createDataFrame(texts, "content string, metadata map<string,string>")
+
+
+def commits(log: DataFrame) -> DataFrame:
+    """sha, author, at, content of an exported log: lines `sha<TAB>author<TAB>ISO time<TAB>subject` (value), others dropped."""
+    parts = F.split("value", "\t", 4)
+    return log.where(F.col("value").rlike(r"^[0-9a-f]{7,40}\t[^\t]*\t[^\t]+\t")).select(parts[0].alias("sha"), parts[1].alias("author"), flexible_time(parts[2]).alias("at"), parts[3].alias("content"))
+
+
+def unseen(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not stored yet, each key once."""
+    return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+
+
+def flexible_time(text: Column) -> Column:
+    """A time in RFC 3339, with zone and fraction, or a date; null for anything else."""
+    full = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), text.try_cast("timestamp"))
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))
+    return F.coalesce(full, day)
+
+
+def file_stream(spark: SparkSession, path: str) -> DataFrame:
+    """path, content, sha256 of text files as they arrive or change, each content of a path once."""
+    raw = spark.readStream.format("text").option("wholetext", True).load(path)
+    x = raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return x.withColumn("sha256", F.sha2("content", 256)).dropDuplicates(["path", "sha256"])
 
 
 def text_chunks(df: DataFrame, key: str, text: str, separator: str = "\n\n") -> DataFrame:

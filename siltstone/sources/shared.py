@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,3 +61,30 @@ class Scratch:
     def delete(self, path: str) -> None:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Keys that hold more than one in HEAVY of all rows are heavy: fewer than HEAVY keys are, so they may be broadcast.
+HEAVY = 20_000
+
+
+def heavy_split(rows: DataFrame, keys: str | list[str], stats: DataFrame, most: int) -> DataFrame:
+    """rows joined with their keys' stats, of which k is the number of rows: keys of more than `most` rows by broadcast, the
+    others by shuffle."""
+    heavy = F.broadcast(stats.where(F.col("k") > most))
+    rest = rows.join(heavy, keys, "left_anti").join(stats.where(F.col("k") <= most), keys)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
+STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the files of `source`, built once in an application and again if the files change."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = "|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files))
+    key = (spark.sparkContext.applicationId, state, name)
+    if key not in STORED:
+        STORED[key] = written(build(), name)
+    return STORED[key]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.model import instant
-from siltstone.operators.relate import relations
+from siltstone.operators import detect
 from siltstone.sources.shared import shared_dir
 
 LATE = "1 hour"
@@ -40,6 +40,26 @@ def signals(windows: DataFrame, spike: float = 2.0) -> DataFrame:
     return windows.select("window", "event_type", "n", z.alias("strength"), kind.alias("signal")).where("signal is not null and strength is not null")
 
 
+def trends(windows: DataFrame, least: float = 0.1) -> DataFrame:
+    """event_type, slope (per hour), trend of hourly windows: rising or falling where a line explains that share."""
+    x = F.unix_seconds("window.start") / 3600.0
+    g = windows.groupBy("event_type").agg(F.regr_slope(F.col("n").cast("double"), x).alias("slope"), F.regr_r2(F.col("n").cast("double"), x).alias("fit"))
+    clear = F.col("fit") >= least
+    return g.withColumn("trend", F.when(clear & (F.col("slope") > 0), "rising").when(clear & (F.col("slope") < 0), "falling").otherwise("flat"))
+
+
+def delivered_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a stream two times over, as a source does that delivers again, into a table of the shared
+    folder; what is within the watermark is dropped as a duplicate."""
+    out = f"{shared_dir(spark)}/redelivered-{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(sf_dir + "/events.parque*")
+    twice = batch(raw).withColumn("times", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = twice.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"]).drop("times")
+    stream = once.writeStream.format("parquet").option("path", f"{out}/table").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{out}/table")
+
+
 def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_type, n of the events table read to its end as a stream into a table of the shared folder; what is read back
     is the last version of each count."""
@@ -57,7 +77,7 @@ def counted_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def related(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Relations of new claims with one another and with stored ones."""
-    return relations(new, new).unionByName(relations(new, stored, incremental=True))
+    return detect.relations(new).unionByName(detect.new_relations(new, stored)).select("from_id", "to_id", "type")
 
 
 def relate_batch(stored: DataFrame, path: str):
