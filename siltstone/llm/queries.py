@@ -1,4 +1,4 @@
-"""The training-data operators' queries, and SQL for those that SQL can express."""
+"""The training-data operators' queries, and SQL for those whose whole result SQL can express."""
 
 from __future__ import annotations
 
@@ -14,4 +14,22 @@ from siltstone.llm.secret_scan import op1_secret_scan
 from siltstone.llm.token_files import op7_token_files
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join)}
-ORACLES: dict[str, str] = {}
+
+CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, 20 + length(role) + length(text) + len(regexp_extract_all(role, '\\|<s>|\[INST\]|\[/INST\]|</s>')) + len(regexp_extract_all(text, '\\|<s>|\[INST\]|\[/INST\]|</s>')) AS formatted FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(formatted)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM s),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+walk AS (SELECT DISTINCT a AS node, a AS root FROM p UNION SELECT p.b, root FROM walk JOIN p ON node = p.a WHERE root < p.b),
+least AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(least(root, doc_id), doc_id) AS component_id FROM s LEFT JOIN least ON node = doc_id
+"""
+ORACLES = {"op4_chat_format": CHAT, "op10_jaccard_join": JACCARD}
