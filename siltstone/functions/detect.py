@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import NEGATIONS, PUNCTUATION, STOP_WORDS, stem
+from siltstone.functions.text import NEGATIONS, PUNCTUATION, STOP_WORDS, let, stem
 
 # What makes a negation contrastive, markers of aspects, copulas, units of numbers, words of bounds, list items.
 HEDGES_AFTER_NOT = "merely just only simply solely".split()
@@ -55,15 +55,16 @@ def bare(word: Column) -> Column:
 def denied(text: Column) -> Column:
     """Whether a negation denies the statement. One after the end of a clause, or before `merely` and the like, contrasts two
     things and denies nothing."""
-    words = raw_words(text)
 
-    def at(w: Column, i: Column) -> Column:
-        before, after = F.get(words, i - 1), bare(F.get(words, i + 1))
-        ends = reduce(lambda a, b: a | b, [F.endswith(before, F.lit(x)) for x in CLAUSE_ENDS])
-        contrast = ends | before.isin(LONE_DASHES) | after.isin(HEDGES_AFTER_NOT)
-        return bare(w).isin(NEGATIONS) & ~F.coalesce(contrast, after.isin(HEDGES_AFTER_NOT), ends, F.lit(False))
+    def denies(words: Column) -> Column:
+        def at(w: Column, i: Column) -> Column:
+            before, after = F.coalesce(F.get(words, i - 1), F.lit("")), F.coalesce(bare(F.get(words, i + 1)), F.lit(""))
+            ends = reduce(lambda a, b: a | b, [F.endswith(before, F.lit(x)) for x in CLAUSE_ENDS])
+            return bare(w).isin(NEGATIONS) & ~(ends | before.isin(LONE_DASHES) | after.isin(HEDGES_AFTER_NOT))
 
-    return F.exists(F.transform(words, at), lambda x: x)
+        return F.array_contains(F.transform(words, at), True)
+
+    return let(raw_words(text), denies)
 
 
 def word_tokens(tokens: Column) -> Column:
@@ -85,15 +86,17 @@ def aspect(text: Column) -> Column:
 
 def names(text: Column) -> Column:
     """Stems of the capitalised words that are no stop words; one that opens a sentence only before a copula."""
-    words = F.split(text, r"\s+")
 
-    def name(w: Column, i: Column) -> Column:
-        word = bare(w)
-        opens = (i == 0) | F.coalesce(F.get(words, i - 1).rlike(r"[.!?]$"), F.lit(False))
-        subject = F.coalesce(F.lower(bare(F.get(words, i + 1))).isin(COPULAS), F.lit(False))
-        return F.when(word.rlike(r"^\p{Lu}\p{L}*$") & (~opens | subject) & ~F.lower(word).isin(STOP_WORDS), stem(F.lower(word)))
+    def found(words: Column) -> Column:
+        def name(w: Column, i: Column) -> Column:
+            word = bare(w)
+            opens = (i == 0) | F.coalesce(F.get(words, i - 1).rlike(r"[.!?]$"), F.lit(False))
+            subject = F.coalesce(F.lower(bare(F.get(words, i + 1))).isin(COPULAS), F.lit(False))
+            return F.when(word.rlike(r"^\p{Lu}\p{L}*$") & (~opens | subject) & ~F.lower(word).isin(STOP_WORDS), stem(F.lower(word)))
+
+        return F.array_distinct(F.array_compact(F.transform(words, name)))
 
-    return F.array_distinct(F.array_compact(F.transform(words, name)))
+    return let(F.split(text, r"\s+"), found)
 
 
 def measures(text: Column) -> Column:

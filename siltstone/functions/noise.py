@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import sentences
+from siltstone.functions.text import let, sentences
 
 # Words that carry no content, openings of letters, and patterns of text that states nothing.
 SHORT_STOPS = "the a an is are was were be been to of in for on and or but it we by as".split()
@@ -102,16 +102,19 @@ def repaired_json(text: Column) -> Column:
     after = F.regexp_extract(s, r"(?s)```(?:[^\n]*\n)?(.*)$", 1)
     s = F.when(F.contains(s, F.lit("```")), F.trim(F.regexp_replace(after, r"(?s)```.*$", ""))).otherwise(s)
     start = F.regexp_instr(s, F.lit(r"[\[{]"))
-    body = F.substring(s, start, F.char_length(s))
-    opens = F.substring(body, 1, 1)
-    closes = F.when(opens == "[", "]").otherwise("}")
-    pieces = F.regexp_extract_all(body, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|.)'), 1)
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
-
-    def step(a: Column, x: Column) -> Column:
-        depth = a["depth"] + F.when(x == opens, 1).when(x == closes, -1).otherwise(0)
-        return F.when(a["done"], a).otherwise(F.struct(depth.alias("depth"), (a["size"] + F.char_length(x)).alias("size"), (depth == 0).alias("done")))
-
-    end = F.aggregate(pieces, zero, step)
-    found = F.when((start > 0) & end["done"], F.substring(body, F.lit(1), end["size"]))
-    return F.coalesce(found, s)
+    body = F.when(start > 0, F.substring(s, start, F.char_length(s))).otherwise("")
+
+    def value(x: Column) -> Column:
+        opens = F.substring(x, 1, 1)
+        zero = F.struct(opens.alias("opens"), F.when(opens == "[", "]").otherwise("}").alias("closes"), F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+        def step(a: Column, p: Column) -> Column:
+            depth = a["depth"] + F.when(p == a["opens"], 1).when(p == a["closes"], -1).otherwise(0)
+            size = a["size"] + F.char_length(p)
+            return F.when(a["done"], a).otherwise(F.struct(a["opens"].alias("opens"), a["closes"].alias("closes"), depth.alias("depth"), size.alias("size"), (depth == 0).alias("done")))
+
+        # a string is one piece, so that brackets in it are not counted
+        pieces = F.regexp_extract_all(x, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|.)'), 1)
+        return F.aggregate(pieces, zero, step, lambda a: F.when(a["done"], a["size"]))
+
+    return F.coalesce(let(body, lambda x: F.substring(x, F.lit(1), value(x))), s)

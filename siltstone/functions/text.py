@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ STATE_WORDS = (
 VOLATILE_DAYS = 14
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often a lambda in f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _split_words(text: Column) -> Column:
     return F.split(F.lower(text), r"\s+")
 

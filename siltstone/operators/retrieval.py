@@ -59,10 +59,26 @@ def bm25(docs: DataFrame, questions: DataFrame, every_term: bool = False) -> Dat
     return bm25_by_index(index, event_sizes(docs), questions, every_term)
 
 
+#: Up to so many queries are sent to all vectors by broadcast; more are dealt out with the vectors, block by block.
+BROADCAST_QUERIES, BLOCK_VECTORS = 5000, 20_000
+
+
 def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of every vector for each query (query_id, query): a stated query set, sent to all rows."""
-    q = F.broadcast(queries.select("query_id", "query"))
-    return vectors.join(q, F.size("embedding") == F.size("query")).select("query_id", "vec_id", scoring.cosine(F.col("embedding"), F.col("query")).alias("score"))
+    """query_id, vec_id, score of every vector for each query (query_id, query): a stated query set against all rows."""
+    q, v = queries.select("query_id", "query"), vectors.select("vec_id", "embedding")
+    score = scoring.cosine(F.col("embedding"), F.col("query")).alias("score")
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        return v.join(F.broadcast(q), F.size("embedding") == F.size("query")).select("query_id", "vec_id", score)
+
+    def numbered(of: int, size: int, column: str) -> tuple[Column, Column]:
+        blocks = -(-of // size)
+        return F.pmod(F.xxhash64(column), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+    own_q, each_q = numbered(n, BROADCAST_QUERIES, "query_id")
+    own_v, each_v = numbered(max(1, vectors.count()), BLOCK_VECTORS, "vec_id")
+    q, v = q.withColumn("q_block", own_q).withColumn("v_block", each_v), v.withColumn("v_block", own_v).withColumn("q_block", each_q)
+    return v.join(q, ["q_block", "v_block"]).where(F.size("embedding") == F.size("query")).select("query_id", "vec_id", score)
 
 
 def top_k(scores: DataFrame, by: str, item: str, k: int) -> DataFrame:
@@ -117,15 +133,15 @@ def holding(docs: DataFrame, questions: DataFrame, words: int = 6) -> DataFrame:
     """question_id, event_id of the documents that hold a whole passage (question). They meet on the hash of a
     passage's second to seventh words, which stand whole in any text that holds it; the texts are then compared. Passages of
     fewer than words + 2 words meet nothing."""
-    def runs(text: Column) -> Column:
-        w = F.split(text, r"\s+")
-        n = F.size(w) - words + 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " "))))
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
 
     head = F.split("question", r"\s+")
     asked = questions.where(F.size(head) >= words + 2).select("question_id", "question", F.xxhash64(F.array_join(F.slice(head, 2, words), " ")).alias("run"))
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    found = docs.select("event_id", "content", F.explode(F.array_distinct(runs(F.col("content")))).alias("run")).join(F.broadcast(asked) if few else asked, "run")
+    split = docs.select("event_id", F.split("content", r"\s+").alias("w")).where(F.size("w") >= words)
+    met = split.select("event_id", F.explode(runs(F.col("w"))).alias("run")).join(F.broadcast(asked) if few else asked, "run").select("question_id", "question", "event_id").distinct()
+    found = docs.select("event_id", "content").join(met, "event_id")
     return found.where(F.contains("content", F.col("question"))).select("question_id", "event_id").distinct()
 
 

@@ -16,7 +16,9 @@ def answer(spark: SparkSession, sf_dir: str, question: str = QUESTION) -> DataFr
     to the driver, and the claims of so many documents are broadcast."""
     now = model.now()
     q = spark.createDataFrame([(0, question)], "question_id long, question string")
-    scores = retrieval.bm25_by_index(model.kb_postings(spark, sf_dir), model.kb_sizes(spark, sf_dir), q)
+    terms = [x.term for x in retrieval.question_terms(q).collect()]
+    index = model.kb_postings(spark, sf_dir).where(F.col("term").isin(terms))
+    scores = retrieval.bm25_by_index(index, model.kb_sizes(spark, sf_dir), q)
     top = retrieval.top_k(scores, "question_id", "event_id", DOCUMENTS).select("event_id").collect()
     own = model.kb_evidence(spark, sf_dir).where(F.col("event_id").isin([x.event_id for x in top])).select("claim_id").distinct()
     trusted = model.kb_trusted(spark, sf_dir).join(F.broadcast(own), "claim_id", "left_semi")

@@ -86,24 +86,30 @@ def agree(a, b):
     return all(not (same := [y for y, u in b if u == v]) or any(close(x, y) for y in same) for x, v in a)
 
 
-def plain_relation(x, y, mx, my, lists):
-    a, b = words_of(x), words_of(y)
+ASPECT_MARKS = {m for v in says.ASPECTS.values() for m in v}
+
+
+def plain_features(x, measures):
+    words = words_of(x)
+    letters = {w for w in words if any(c.isalpha() for c in w)}
+    return words, denied(x), letters, letters - ASPECT_MARKS, aspect(x), names(x), measures, bool(re.match(says.ENUMERATED, x.strip()))
+
+
+def plain_relation(f, g, lists):
+    (a, no_a, la, pa, aspect_a, names_a, ma, list_a), (b, no_b, lb, pb, aspect_b, names_b, mb, list_b) = f, g
     s, lo, hi = len(a & b), min(len(a), len(b)), max(len(a), len(b))
     found = None
     if s >= 2 and s / lo >= 0.3:
-        found = "supports" if denied(x) == denied(y) else "contradicts" if s / lo >= 0.5 and s / hi >= 0.3 else None
-    both = lists and re.match(says.ENUMERATED, x) and re.match(says.ENUMERATED, y)
-    la, lb = ({w for w in t if any(c.isalpha() for c in w)} for t in (a, b))
+        found = "supports" if no_a == no_b else "contradicts" if s / lo >= 0.5 and s / hi >= 0.3 else None
+    both = lists and list_a and list_b
     n, m = min(len(la), len(lb)), max(len(la), len(lb))
-    if not both and mx and my and n >= 3 and len(la & lb) / n >= 0.7 and len(la & lb) / m >= 0.4 and not agree(mx, my):
+    if not both and ma and mb and n >= 3 and len(la & lb) / n >= 0.7 and len(la & lb) / m >= 0.4 and not agree(ma, mb):
         return "contradicts", "numbers"
     if found:
         return found, "words"
-    if not both and max(len(a), len(b)) <= 3 and s >= 1 and len(a) > s and len(b) > s and names(x) - names(y) and names(y) - names(x):
+    if not both and hi <= 3 and s >= 1 and len(a) > s and len(b) > s and names_a - names_b and names_b - names_a:
         return "contradicts", "names"
-    marks = {m for v in says.ASPECTS.values() for m in v}
-    pa, pb = la - marks, lb - marks
-    if aspect(x) and aspect(y) and aspect(x) != aspect(y) and pa & pb and len(pa & pb) / max(len(pa), len(pb)) >= 0.3 and len(pa & pb) / min(len(pa), len(pb)) >= 0.5:
+    if aspect_a and aspect_b and aspect_a != aspect_b and pa & pb and len(pa & pb) / max(len(pa), len(pb)) >= 0.3 and len(pa & pb) / min(len(pa), len(pb)) >= 0.5:
         return "contradicts", "aspects"
     return None
 
@@ -116,10 +122,12 @@ def test_relations_equal_plain_rules(spark):
     for r in claims.select("text", says.denied(F.col("text")).alias("d"), says.aspect(F.col("text")).alias("a"), says.names(F.col("text")).alias("n")).collect():
         assert (r.d, r.a, set(r.n)) == (denied(r.text), aspect(r.text), names(r.text)), r.text
 
+    f = [plain_features(x, m[i]) for i, x in enumerate(texts)]
+
     def plain(pairs, lists):
         out = set()
         for i, j in pairs:
-            found = plain_relation(texts[i], texts[j], m[i], m[j], lists) if words_of(texts[i]) and words_of(texts[j]) else None
+            found = plain_relation(f[i], f[j], lists) if f[i][0] and f[j][0] else None
             if found and not (found[0] == "contradicts" and i % 7 == 0 and j % 7 == 0):
                 out.add((i, j, *found))
         return out

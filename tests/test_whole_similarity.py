@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from siltstone.operators import graph
+from siltstone.operators import graph, retrieval
 from siltstone.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +25,13 @@ def test_components_across_labels(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert {tuple(r) for r in QUERIES["o185_semantic_components"](spark, SF).collect()} == {(i, x) for i, x in root.items() if i != x}
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    queries = vectors.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    few = {(r.query_id, r.vec_id, round(r.score, 9)) for r in retrieval.cosine_scores(vectors, queries).collect()}
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 7)
+    monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 30)
+    found = [(r.query_id, r.vec_id, round(r.score, 9)) for r in retrieval.cosine_scores(vectors, queries).collect()]
+    assert len(found) == len(set(found)) and set(found) == few
