@@ -27,8 +27,8 @@ from siltstone.llm.library_tokens import CUT
 
 #: The pre-split of byte-level vocabularies (a fixed value of the file format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries that a worker keeps in each memo of pieces, none longer than SHORT, and of arcs, before it starts anew.
-MEMO, SHORT, ARCS = 300_000, 64, 500_000
+#: Entries that a worker keeps in each of two memos of pieces, none longer than SHORT, and of arcs and of leaps.
+MEMO, SHORT, ARCS = 250_000, 64, 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -62,23 +62,27 @@ class Automaton:
         for i, j in zip(self.ends, self.ends[1:], strict=False):
             lost[i:j].sort()
         self.lost = lost
-        self.known: dict[int, bool] = {}
-        self.spell([t for t in range(n) if rows[t] is not None])
+        self.size = [*map(len, self.label)]
+        self.arcs: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.held = self.leaps = 0
+        tokens = [t for t in range(n) if rows[t] is not None]
+        self.whole = {self.label[t]: [t] for t in tokens}
+        self.spell(tokens)
 
     def spell(self, tokens: list[int]) -> None:
         """The byte table: where each byte leads from each beginning of a label (move), to where its longest ending that
         begins a label stands (back), the longest token that ends there (longest), and for each token the longest one that
         is an ending of it (shorter)."""
-        self.move: dict[int, int] = {}
+        self.move: list[dict[int, int]] = [{}]
         made, depth = [(0, 0)], [0]
         own: dict[int, int] = {}
         for t in tokens:
             node = 0
             for byte in self.label[t]:
-                key = node << 8 | byte
-                to = self.move.get(key)
+                to = self.move[node].get(byte)
                 if to is None:
-                    to = self.move[key] = len(made)
+                    to = self.move[node][byte] = len(made)
+                    self.move.append({})
                     made.append((node, byte))
                     depth.append(depth[node] + 1)
                 node = to
@@ -89,59 +93,79 @@ class Automaton:
             above, byte = made[node]
             if above:
                 at = self.back[above]
-                while at and (at << 8 | byte) not in self.move:
+                while at and byte not in self.move[at]:
                     at = self.back[at]
-                self.back[node] = self.move.get(at << 8 | byte, 0)
+                self.back[node] = self.move[at].get(byte, 0)
             within = self.longest[self.back[node]]
             self.longest[node] = own.get(node, within)
             if node in own:
                 self.shorter[own[node]] = within
 
+    def leap(self, node: int, byte: int) -> int:
+        """Where a byte leads that goes on with no label from a node: by the longest ending that it does go on from. The
+        table keeps what is found, as far as there is room."""
+        at = node
+        while at and byte not in self.move[at]:
+            at = self.back[at]
+        to = self.move[at].get(byte, 0)
+        if self.leaps < ARCS:
+            self.leaps += 1
+            self.move[node][byte] = to
+        return to
+
     def has_arc(self, state: int, t: int) -> bool:
         """Whether the state still has its arc t: neither t nor an arc that t was made from was lost while it stood."""
-        key = state << 32 | t
-        found = self.known.get(key)
-        if found is None:
-            row = self.lost[self.ends[state] : self.ends[state + 1]]
-            found, until, p = True, self.steps, t
-            while p >= 0 and len(row):
-                i, j = np.searchsorted(row, (p << 32 | self.step[p] + 1, p << 32 | until + 1))
-                if i < j:
-                    found = False
-                    break
-                until = self.step[p]
-                p = self.first[p]
-            if len(self.known) >= ARCS:
-                self.known.clear()
-            self.known[key] = found
+        row = self.lost[self.ends[state] : self.ends[state + 1]]
+        found, until, p = True, self.steps, t
+        while p >= 0 and len(row):
+            i, j = np.searchsorted(row, (p << 32 | self.step[p] + 1, p << 32 | until + 1))
+            if i < j:
+                found = False
+                break
+            until = self.step[p]
+            p = self.first[p]
+        if self.held >= ARCS:
+            for x in self.arcs:
+                x.clear()
+            self.held = 0
+        self.held += 1
+        self.arcs[state][t] = found
         return found
 
     def encode(self, word: bytes) -> list[int]:
-        """The labels' numbers along the accepted path that spells the word; the work grows with its length."""
-        move, back, longest, shorter, label, has_arc = self.move, self.back, self.longest, self.shorter, self.label, self.has_arc
+        """The labels' numbers along the accepted path that spells the word; the work grows with its length. A word that is
+        a label has the path of that one arc, as the first state has lost none."""
+        known = self.whole.get(word)
+        if known is not None:
+            return known
+        move, longest, shorter, size, arcs = self.move, self.longest, self.shorter, self.size, self.arcs
         last = [-1]
-        node = 0
-        for end, byte in enumerate(word, 1):
-            to = move.get(node << 8 | byte)
-            while to is None and node:
-                node = back[node]
-                to = move.get(node << 8 | byte)
-            node = to or 0
+        node = end = 0
+        for byte in word:
+            end += 1
+            try:
+                node = move[node][byte]
+            except KeyError:
+                node = self.leap(node, byte)
             t = longest[node]
-            while t >= 0:
-                before = last[end - len(label[t])]
-                if before < 0 or has_arc(before, t):
+            before = last[end - size[t]] if t >= 0 else -1
+            while before >= 0:
+                try:
+                    kept = arcs[before][t]
+                except KeyError:
+                    kept = self.has_arc(before, t)
+                if kept:
                     break
                 t = shorter[t]
+                before = last[end - size[t]] if t >= 0 else -1
             if t < 0:
                 raise ValueError("a byte has no arc")
             last.append(t)
         path = []
-        at = len(word)
-        while at:
-            t = last[at]
+        while end:
+            t = last[end]
             path.append(t)
-            at -= len(label[t])
+            end -= size[t]
         return path[::-1]
 
 
@@ -167,41 +191,37 @@ class BpeCodec:
         self.words = regex.compile(WORDS)
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces: dict[str, list[int]] = {}
-        self.spelled: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
-        known = self.spelled
+        encode = self.automaton.encode
         for word in self.words.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.automaton.encode(word.encode())
-                if len(word) <= SHORT:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[word] = ids
-            out += ids
+            out += encode(word.encode())
         return out
 
     def _piece(self, text: str) -> list[int]:
-        if self.apart is None or "<" not in text and not self.apart.search(text):
+        if self.apart is None or not self.apart.search(text):
             return self._plain(text)
-        out: list[int] = []
+        out = []
         for part in self.apart.split(text):
             out += [self.special[part]] if part in self.special else self._plain(part)
         return out
 
     def encode(self, text: str) -> list[int]:
-        """Pieces between safe spaces are encoded once and remembered; the ids are those of the whole text."""
+        """Pieces between safe spaces are encoded once and remembered, the older half until it is not met for a while; the ids
+        are those of the whole text."""
         head, *pieces = CUT.split(text)
-        known, ids = self.pieces, self._piece(head)
+        if len(self.pieces) >= MEMO:
+            self.older, self.pieces = self.pieces, {}
+        known, older, ids = self.pieces, self.older, self._piece(head)
         for x in pieces:
             got = known.get(x)
             if got is None:
-                got = self._piece(f" {x}")
+                got = older.get(x)
+                if got is None:
+                    got = self._piece(f" {x}")
                 if len(x) <= SHORT:
-                    if len(known) >= MEMO:
-                        known.clear()
                     known[x] = got
             ids += got
         return ids
