@@ -27,7 +27,7 @@ from siltstone.sources.shared import Scratch, written
 
 WORDS, PERCENT = 3, 90
 #: Sets in a task of the tree join, and shingles in them, about.
-CHUNK, CHUNK_SHINGLES = 3000, 1_500_000
+CHUNK, CHUNK_SHINGLES = 800, 800_000
 #: Up to so many ids are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Keys that hold more than one in HEAVY of all rows are heavy: fewer than HEAVY keys are.
