@@ -1,8 +1,8 @@
 """Context-triggered piecewise hashes of texts, and their likeness by edit distance.
 
 A rolling hash of the last WIDE bytes ends a chunk where it is BLOCK - 1 modulo the block size; each chunk gives one
-character of a signature. The block size is the smallest of BLOCK times a power of two with at most LONGEST chunks; a
-fingerprint is `size:signature:signature at twice the size`. Fingerprints are comparable if their sizes are equal or a
+character of a signature. The block size is the smallest of BLOCK times a power of two that is
+at least half of the bytes over LONGEST and gives at most LONGEST chunks; a fingerprint is `size:signature:signature at twice the size`. Fingerprints are comparable if their sizes are equal or a
 factor of two apart, by the signatures of one size.
 """
 

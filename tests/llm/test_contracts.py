@@ -93,7 +93,8 @@ def test_random_spans(spark):
         for b in "bQ3/":
             assert ratios[secret_scan.ALPHABET.index(a) * n + secret_scan.ALPHABET.index(b)] == round(1000 * (log(True, a, b) - log(False, a, b)))
     strings = [hashlib.sha256(str(i).encode()).hexdigest()[:30].upper().replace("A", "x").replace("1", "k") for i in range(60)]
-    names = ["get_user_account_by_identifier", "maximum-retry-budget-exceeded", "InternationalizationRegistry", "/usr/local/share/documentation/index", "DEFAULT_CONNECTION_TIMEOUT_SECONDS"]
+    words = [w for r in docs.where("lang = 'en'").limit(40).collect() for w in re.findall("[a-z]{4,}", r.text or "")][:200]
+    names = [j.join(words[5 * i : 5 * i + 5]) for i in range(40) for j in "_-/"[i % 3]] + ["".join(w.capitalize() for w in words[5 * i : 5 * i + 5]) for i in range(40)]
     frame = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(strings + names)], "doc_id long, text string")
     hits = {r.doc_id for r in secret_scan.scan(frame, ratios, most).where("size(secret_spans) > 0").select("kept_row.doc_id").collect()}
     assert len(hits & set(range(60))) >= 57 and not hits - set(range(60))
@@ -221,6 +222,8 @@ def plain_fingerprint(text):
     if not data:
         return "3::"
     size = 3
+    while len(data) > 64 * 3 and 2 * size * 64 < len(data):
+        size *= 2
     while sum(h % size == size - 1 for h in rolling) >= 64:
         size *= 2
     return f"{size}:{signature(size)}:{signature(2 * size)}"
