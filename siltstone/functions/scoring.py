@@ -156,3 +156,8 @@ def suppressed(components: Column) -> Column:
 def with_credits(components: Column, credits: Column) -> Column:
     """The map with all entries under `credit:` replaced."""
     return F.map_concat(F.map_filter(components, lambda k, v: ~k.startswith("credit:")), credits)
+
+
+def is_stale(at: Column, now: Column, floor: float = FRESHNESS_FLOOR) -> Column:
+    """Whether what was last seen then is as little fresh as anything can be; false without a time."""
+    return F.coalesce(freshness(days_between(at, now)) <= floor, F.lit(False)) & at.isNotNull()

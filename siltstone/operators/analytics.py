@@ -162,3 +162,9 @@ def playbook_rates(lessons: DataFrame, actions: DataFrame, outcomes: DataFrame)
     of = lessons.join(actions.distinct(), "lesson").select("playbook", "action_id").distinct()
     x = of.join(outcomes.select("action_id", "outcome_id", value.alias("value")).where("value is not null"), "action_id").groupBy("playbook", "outcome_id").agg(F.max("value").alias("value"))
     return x.groupBy("playbook").agg(F.count("*").alias("scored"), F.avg("value").alias("rate"))
+
+
+def source_gaps(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """created_by, n, gap: mean confidence less the share validated, of each author's claims with a verdict."""
+    x = claims.join(verdicts, "claim_id")
+    return x.groupBy("created_by").agg(F.count("*").alias("n"), (F.avg("confidence") - F.avg((F.col("kind") == "validates").cast("double"))).alias("gap"))

@@ -153,3 +153,10 @@ def auto_edges(pairs: DataFrame, outcomes: DataFrame, decisions: DataFrame) -> D
     kind = F.when(F.col("result") == "success", "validates").when(F.col("result") == "failure", "refutes")
     judged = decisions.select("outcome_id", F.explode("beliefs").alias("to_id")).join(outcomes.select("outcome_id", kind.alias("type")).where("type is not null"), "outcome_id")
     return ways[0].unionByName(ways[1]).unionByName(judged.select(F.col("outcome_id").alias("from_id"), "type", "to_id")).distinct()
+
+
+def origins(links: DataFrame, events: DataFrame) -> DataFrame:
+    """claim_id, origin of claims with evidence in the events (event_id, pulled_from): the first registry by name that any of
+    them was pulled from, else local."""
+    x = links.join(events, "event_id")
+    return x.groupBy("claim_id").agg(F.coalesce(F.min(F.when(F.col("pulled_from") != "", F.col("pulled_from"))), F.lit("local")).alias("origin"))

@@ -189,3 +189,11 @@ def tool_actions(uses: DataFrame, results: DataFrame) -> DataFrame:
     kind = F.coalesce(*[F.when(F.contains(F.lower("command"), F.lit(part)), name) for part, name in COMMANDS])
     first = results.groupBy("use_id").agg(F.min_by("is_error", "at").alias("failed"))
     return uses.select("use_id", kind.alias("kind")).where("kind is not null").join(first, "use_id")
+
+
+def updated(claims: DataFrame, updates: DataFrame, now: Column) -> DataFrame:
+    """Claims after updates (claim_id, set_lifecycle, verified, closed; null or false: as it is), at most one for a claim."""
+    x = claims.join(updates, "claim_id", "left")
+    verified = F.coalesce("verified", F.lit(False))
+    new = {"lifecycle": F.coalesce("set_lifecycle", "lifecycle"), "last_verified": F.when(verified, now).otherwise(F.col("last_verified")), "verify_count": F.col("verify_count") + verified.cast("int"), "valid_to": F.coalesce("closed", "valid_to")}
+    return x.withColumns(new).drop("set_lifecycle", "verified", "closed")

@@ -187,3 +187,23 @@ def classified(graded: DataFrame, results: DataFrame) -> DataFrame:
     x = graded.join(best, "question_id", "left")
     fits = F.col("sufficient") & F.col("anchor_id").isNotNull()
     return x.select("question_id", F.when(fits, "fits").otherwise("novel").alias("kind"), F.when(fits, F.col("anchor_id")).alias("anchor_id"), "confidence")
+
+
+def answer_texts(s: Store, results: DataFrame, questions: DataFrame, origins: DataFrame) -> DataFrame:
+    """question_id, answer: the best two claims of each question with where they come from, how many contradictions are
+    among its claims, and what was used; or that there is none."""
+    own = results.join(origins, "claim_id", "left").withColumn("remote", F.coalesce(F.col("origin") != "local", F.lit(False)))
+    named = F.concat("text", F.when(F.col("remote"), F.concat(F.lit(" (from "), "origin", F.lit(")"))).otherwise(""))
+    a, b = (results.select("question_id", F.col("claim_id").alias(f"{end}_id")) for end in ("from", "to"))
+    against = a.join(s.edges.where("type = 'contradicts'").select("from_id", "to_id"), "from_id").join(b, ["question_id", "to_id"]).groupBy("question_id").agg(F.count("*").alias("contradictions"))
+    events = results.select("question_id", "claim_id").join(s.evidence, "claim_id").select("question_id", "event_id").distinct().groupBy("question_id").agg(F.count("*").alias("events"))
+    g = own.groupBy("question_id").agg(F.max(F.when(F.col("rank") == 1, named)).alias("first"), F.max(F.when(F.col("rank") == 2, named)).alias("second"), F.count("*").alias("claims"), F.count_if("remote").alias("remote"))
+    x = questions.select("question_id", "question").join(g, "question_id", "left").join(against, "question_id", "left").join(events, "question_id", "left")
+    n = F.coalesce("contradictions", F.lit(0))
+    parts = F.concat_ws(
+        " ", F.concat(F.lit('For "'), "question", F.lit('", the strongest signal is: '), "first", F.lit(".")), F.concat(F.lit("Other relevant claim: "), "second", F.lit(".")),
+        F.when(n > 0, F.concat(F.lit("I also found "), n.cast("string"), F.lit(" contradiction(s), so this topic is contested."))).otherwise("No contradictions were found in the current claim set."),
+        F.concat(F.lit("Context used "), F.coalesce("events", F.lit(0)).cast("string"), F.lit(" event(s) and "), F.col("claims").cast("string"), F.lit(" claim(s)"), F.when(F.col("remote") > 0, F.concat(F.lit(" ("), F.col("remote").cast("string"), F.lit(" from a connected registry)"))).otherwise(""), F.lit(".")),
+    )
+    none = F.concat(F.lit('I could not find claims yet for "'), "question", F.lit('".'))
+    return x.select("question_id", F.when(F.col("claims").isNull(), none).otherwise(parts).alias("answer"))

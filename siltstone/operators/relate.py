@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.detect import denied
-from siltstone.functions.text import NEGATIONS, STOP_WORDS, content_tokens, dedup_key, doc_tokens, stem
+from siltstone.functions.text import NEGATIONS, STOP_WORDS, citation_refs, content_tokens, dedup_key, doc_tokens, stem
 
 # Shared words, their share of the shorter and of the longer statement.
 LEAST_SHARED, SHORTER_SHARE, CONTRADICT_SHARE, LONGER_SHARE = 2, 0.3, 0.5, 0.3
@@ -142,3 +142,9 @@ def causes(claims: DataFrame, hours: int = 48) -> DataFrame:
         met = met.join(x.select(F.col("claim_id").alias(end), F.col("at").alias(f"at_{end}"), (F.col("acts") & F.col("changes")).alias(f"both_{end}")), end)
     gap = F.unix_micros("at_b") - F.unix_micros("at_a")
     return met.where(F.coalesce(gap.between(0, hours * 3_600_000_000), F.lit(True)) & ~(F.col("both_a") & F.col("both_b"))).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
+
+
+def citations(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """from_id, to_id of claims (claim_id, text) that cite known ones (claim_id, ref) other than themselves, each pair once."""
+    cited = claims.select(F.col("claim_id").alias("from_id"), F.explode(citation_refs(F.col("text"))).alias("ref"))
+    return cited.join(known.select("ref", F.col("claim_id").alias("to_id")), "ref").where("from_id <> to_id").select("from_id", "to_id").distinct()

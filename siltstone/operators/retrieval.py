@@ -166,6 +166,12 @@ def judged(results: DataFrame, labels: DataFrame) -> DataFrame:
     x = results.join(labels, ["question_id", "event_id"], "left")
     forbidden = x.groupBy("question_id").agg(F.max((F.col("label") == "forbidden").cast("int")).alias("bad"))
     gold = labels.where("label = 'gold'").agg(F.count("*").alias("golds"))
-    one = x.agg(F.count_if(F.col("label") == "gold").alias("kept"), (F.count_if(F.col("label").isNull()) / F.count("*")).alias("noise"))
+    one = x.agg(F.count_if(F.col("label") == "gold").alias("kept"), F.try_divide(F.count_if(F.col("label").isNull()), F.count("*")).alias("noise"))
     bad = forbidden.agg(F.avg(F.coalesce("bad", F.lit(0))).alias("forbidden_rate"))
-    return one.join(gold, F.lit(True)).join(bad, F.lit(True)).select("forbidden_rate", (F.col("kept") / F.col("golds")).alias("gold_survival"), "noise")
+    return one.join(gold, F.lit(True)).join(bad, F.lit(True)).select("forbidden_rate", F.try_divide("kept", "golds").alias("gold_survival"), "noise")
+
+
+def boosted(ranked: DataFrame, by: str, fits: Column) -> DataFrame:
+    """Ranked rows with their rank where those that fit the question's intent come first, each part in its order."""
+    order = Window.partitionBy(by).orderBy(F.when(fits, 0).otherwise(1), "rank")
+    return ranked.withColumn("boosted", F.row_number().over(order))
