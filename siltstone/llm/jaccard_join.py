@@ -12,6 +12,8 @@ a partial aggregate and a broadcast (HEAVY bounds their number), and so do the d
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -150,47 +152,61 @@ def groups(rows: DataFrame, percent: int, most: int) -> DataFrame:
     return labelled.unionByName(heavy_split(heavy, "element", hubs, most).select("label", "doc_id", "n")).distinct()
 
 
+def linked(ids: list[int], sides: list[str], texts: list[str], known: list[int], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that one group's signature trees find, b the least of its component in the group: sides `left` and
+    `right` are compared across, `both` with everything; equal known components are one from the start."""
+    sets = shingle_lists(texts, words)
+    found = Components(len(ids))
+    first: dict[int, int] = {}
+    for i, k in enumerate(known):
+        if first.setdefault(k, i) != i:
+            found.join(first[k], i)
+    started = [found.find(i) for i in range(len(ids))]
+    bits = width(sets)
+    usable = [i for i in range(len(ids)) if len(sets[i])]
+    if "left" in sides:
+        left, right = (build([i for i in usable if sides[i] == side], sets, bits) for side in ("left", "right"))
+        join_trees(left, left, sets, percent, found)
+        join_trees(left, right, sets, percent, found)
+    else:
+        whole = build(usable, sets, bits)
+        join_trees(whole, whole, sets, percent, found)
+    roots = [found.find(i) for i in range(len(ids))]
+    return [(ids[i], ids[r]) for i, r in enumerate(roots) if r != i and r != started[i]]
+
+
 def tree_join(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b), b the least of its component in the task, of members (task, task_part, other_part, doc_id, text, side,
-    known): sides `left` and `right` are compared across, `both` with everything of the task; equal known components are
-    one from the start."""
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "side"]).drop_duplicates(["doc_id", "text"])
-        ids, sides = part["doc_id"].tolist(), part["side"].tolist()
-        sets = shingle_lists(part["text"].tolist(), words)
-        found = Components(len(ids))
-        first: dict[int, int] = {}
-        for i, known in enumerate(part["known"].tolist()):
-            if first.setdefault(known, i) != i:
-                found.join(first[known], i)
-        started = [found.find(i) for i in range(len(ids))]
-        bits = width(sets)
-        usable = [i for i in range(len(ids)) if len(sets[i])]
-        if "left" in sides:
-            left, right = (build([i for i in usable if sides[i] == side], sets, bits) for side in ("left", "right"))
-            join_trees(left, left, sets, percent, found)
-            join_trees(left, right, sets, percent, found)
-        else:
-            whole = build(usable, sets, bits)
-            join_trees(whole, whole, sets, percent, found)
-        roots = [found.find(i) for i in range(len(ids))]
-        return pd.DataFrame([(ids[i], ids[r]) for i, r in enumerate(roots) if r != i and r != started[i]], columns=["a", "b"])
-
-    return members.groupBy("task", "task_part", "other_part").applyInPandas(run, "a long, b long")
+    """Links (a, b) of members (deal, task, doc_id, text, side, known): rows of one deal go to one task, which joins each of
+    its groups (task) by itself. A document with the same text is in a group once."""
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        tasks, ids, texts, sides, known = (part.column(c).to_pylist() for c in ("task", "doc_id", "text", "side", "known"))
+        order = sorted(range(len(ids)), key=lambda i: (tasks[i], ids[i], sides[i]))
+        out: list[tuple[int, int]] = []
+        for _, group in groupby(order, key=tasks.__getitem__):
+            rows = list({(ids[i], texts[i]): i for i in reversed(list(group))}.values())[::-1]
+            out += linked([ids[i] for i in rows], [sides[i] for i in rows], [texts[i] for i in rows], [known[i] for i in rows], words, percent)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return members.groupBy("deal").applyInArrow(run, "a long, b long")
 
 
 def dealt_members(docs: DataFrame, met: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
-    """The members (label, doc_id, n) of groups of two or more with their texts and their chunk, where a group has chunks;
-    the groups (label, chunks); and whether any group has more than one chunk."""
+    """The members (task, doc_id, text, chunks, part, deal) of groups of two or more, part being the chunk of a group that
+    has several and deal its task: small groups are dealt out together. The groups (label, chunks), and whether any has more
+    than one chunk."""
     size = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES))
-    sizes = scratch.written(met.groupBy("label").agg(F.count("*").alias("k"), size.alias("chunks")).where("k > 1").drop("k"), "groups")
-    large = not sizes.where("chunks > 1").isEmpty()
-    few = sizes.count() <= BROADCAST_ROWS
+    sizes = scratch.written(met.groupBy("label").agg(F.count("*").alias("k"), F.sum("n").alias("n"), size.alias("chunks")).where("k > 1"), "groups")
+    total = sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max("chunks").alias("most")).first()
+    few = total["groups"] <= BROADCAST_ROWS
+    sizes = sizes.select("label", "chunks")
     members = met.join(F.broadcast(sizes) if few else sizes, "label").select("label", "doc_id", "chunks")
     members = scratch.written(members, "members")
     texts = doc_texts(docs).join(F.broadcast(members) if members.count() <= BROADCAST_ROWS else members, "doc_id")
     dealt = texts.select(F.col("label").alias("task"), "doc_id", "text", "chunks", F.pmod(F.xxhash64("doc_id"), "chunks").alias("part"))
+    together = F.pmod(F.xxhash64("task"), F.lit(max(1, (total["n"] or 0) // (CHUNK_SHINGLES // 2)))).cast("string")
+    dealt = dealt.withColumn("deal", F.when(F.col("chunks") == 1, together).otherwise(F.concat_ws("/", "task", "part")))
+    large = (total["most"] or 1) > 1
     return (scratch.written(dealt, "group-texts") if large else dealt), sizes, large
 
 
@@ -209,11 +225,13 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         met = scratch.written(groups(rows, percent, most), "met")
         dealt, sizes, large = dealt_members(docs, met, scratch)
         alone = F.col("doc_id").alias("known")
-        plain = dealt.select("task", F.col("part").alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), alone)
+        columns = ["deal", "task", "doc_id", "text", F.lit("both").alias("side"), alone]
+        plain = dealt.select(*columns)
         if large:
             every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
             hubs = doc_texts(docs).join(F.broadcast(sizes.where("chunks > 1")).withColumnRenamed("label", "doc_id"), "doc_id")
-            plain = plain.unionByName(hubs.select(F.col("doc_id").alias("task"), every.alias("task_part"), F.lit(0).alias("other_part"), "doc_id", "text", F.lit("both").alias("side"), alone))
+            hubs = hubs.select(F.col("doc_id").alias("task"), every.alias("part"), "doc_id", "text").withColumn("deal", F.concat_ws("/", "task", "part"))
+            plain = plain.unionByName(hubs.select(*columns))
         links = scratch.written(tree_join(plain, words, percent), "group-links")
         if large:
             links = links.unionByName(across_chunks(dealt, components(links, scratch), words, percent))
@@ -235,7 +253,7 @@ def across_chunks(dealt: DataFrame, roots: DataFrame, words: int, percent: int)
     lefts = left.select("task", F.col("left_part").alias("task_part"), every.alias("other_part"), "doc_id", "text", F.lit("left").alias("side"), "known")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("left_parts") - 1))
     rights = now.join(apart, "task").select("task", each.alias("task_part"), F.col("part").alias("other_part"), "doc_id", "text", F.lit("right").alias("side"), "known")
-    return tree_join(lefts.unionByName(rights), words, percent)
+    return tree_join(lefts.unionByName(rights).withColumn("deal", F.concat_ws("/", "task", "task_part", "other_part")), words, percent)
 
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
