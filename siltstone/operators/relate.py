@@ -95,8 +95,11 @@ def contested(claims: DataFrame, batch: str) -> DataFrame:
     negative = F.arrays_overlap(F.split(dedup_key(F.col("text")), r"\s+"), F.array(*map(F.lit, CONTEST_NEGATIONS)))
     x = claims.select("claim_id", F.col(batch).alias("batch"), contest_words(F.col("text")).alias("core"), negative.alias("neg")).where(F.size("core") > 0)
     # a word of one batch is no word of another
-    keyed = x.select("claim_id", F.transform(F.array_distinct("core"), lambda w: F.concat_ws(" ", F.col("batch"), w)).alias("words"))
-    met = pairs_sharing(keyed, keyed, 1, 0.0).where("a < b").select("a", "b")
+    keyed = x.select("claim_id", F.transform(F.array_distinct("core"), lambda w: F.concat_ws(" ", F.col("batch"), w)).alias("words"), F.size("core").alias("n"))
+    # without repeats, what counts is shared words; a claim with repeats may reach its count with one word
+    once, again = keyed.where(F.size("words") == F.col("n")).drop("n"), keyed.where(F.size("words") < F.col("n")).drop("n")
+    rest = pairs_sharing(again, keyed.drop("n"), 1, 0.0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = pairs_sharing(once, once, CONTEST_LEAST, CONTEST_SHARE).where("a < b").select("a", "b").unionByName(rest).distinct()
     for end in ("a", "b"):
         met = met.join(x.select(F.col("claim_id").alias(end), F.col("core").alias(f"core_{end}"), F.col("neg").alias(f"neg_{end}")), end)
     shared = F.size(F.filter("core_b", lambda w: F.array_contains("core_a", w)))
