@@ -50,6 +50,15 @@ def bounded(batch: pa.RecordBatch, column: str = "text", also: str = "doc_id") -
     texts = batch.column(column).to_pylist()
     for part in in_bounds(texts):
         yield batch.column(also).slice(part.start, part.stop - part.start), texts[part]
+    released()
+
+
+
+
+def released() -> None:
+    """After every batch, gives back what Arrow keeps for later: a worker lives on from stage to stage, and so would
+    the peaks of all stages."""
+    pa.default_memory_pool().release_unused()
 
 
 def id_crc(column: str = "doc_id") -> Column:

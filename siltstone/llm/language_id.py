@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded, doc_texts, documents, id_crc, in_bounds, small_batches
+from siltstone.llm.common import bounded, doc_texts, documents, id_crc, in_bounds, released, small_batches
 
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOC_PROFILE = 400, 300
@@ -143,6 +143,7 @@ def kept_by_language(docs: DataFrame) -> DataFrame:
                 found = [model.predict(x) for x in texts[part]]
                 kept = pa.array([lang != UNKNOWN and score >= REJECT_BELOW for lang, score in found], pa.bool_())
                 yield batch.slice(part.start, part.stop - part.start).filter(kept)
+            released()
 
     at = docs.columns.index("text")
     profiles = train(training_rows(docs, held_out()))

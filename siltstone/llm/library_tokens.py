@@ -30,7 +30,8 @@ MEMO, ENTRY, SHORT = 96 << 20, 150, 200
 class LibraryEncoder:
     """Ids as the library gives them for the whole text: encode() cuts at safe spaces and encodes each new piece once."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
+        self.memo = memo
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -94,7 +95,7 @@ class LibraryEncoder:
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the memo or new."""
-        if self.held > MEMO:
+        if self.held > self.memo:
             self.older, self.spaced, self.held = self.spaced, {}, 0
         found = [*map(self.spaced.get, pieces)]
         gaps = [i for i, ids in enumerate(found) if ids is None]
@@ -152,6 +153,6 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> LibraryEncoder:
-    """One per worker and vocabulary."""
-    return LibraryEncoder(path)
+def encoder(path: str, memo: int = MEMO) -> LibraryEncoder:
+    """One per worker, vocabulary and size of the memo."""
+    return LibraryEncoder(path, memo)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import bounded, doc_texts, documents
-from siltstone.llm.library_tokens import encoder
+from siltstone.llm.library_tokens import MEMO, encoder
 from siltstone.sources.shared import written
 
 END, WINDOW = 2, 4096
@@ -91,12 +91,13 @@ def cuts(n: int, window: int) -> list[tuple[int, int]]:
     return out + [(i, j - i) for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """A row for each document: row_key (unique), doc_id, doc_tokens (with the end id), crcs (of each piece's ids as
-    little-endian unsigned 32-bit integers) and, if asked for, ids (all of them so). Null text: the end id alone."""
+    little-endian unsigned 32-bit integers) and, if asked for, ids (all of them so). Null text: the end id alone. memo: bytes
+    of pieces that a worker remembers, about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder(path, memo)
         tail = np.array([end], "<u4").tobytes()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -115,11 +116,11 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = EN
     return doc_texts(docs).mapInArrow(run, "row_key long, doc_id long, doc_tokens long, crcs array<long>, ids binary")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (in its sequence, gapless
     from 0), and ids (little-endian unsigned 32-bit) if asked for: ordered by offset, a sequence's ids are its content.
     Repeated rows are packed each; an empty table gives no piece; texts may have any length."""
-    tokens = written(token_pieces(docs, path, window, end, with_ids), "tokens")
+    tokens = written(token_pieces(docs, path, window, end, with_ids, memo), "tokens")
     groups = max(1, math.ceil(tokens.count() / GROUP))
 
     def run(key: tuple, part: pa.Table) -> pa.Table:

@@ -15,7 +15,7 @@ A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint6
 #: Counters of the sketch, and in a block of it: an element is counted under its low bits.
 COUNTERS, BLOCK = 1 << 20, 1 << 15
 #: Words whose hashes a worker remembers before it starts anew.
-MEMO = 200_000
+MEMO = 50_000
 
 
 class WordHashes(dict):

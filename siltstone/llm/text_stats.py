@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from siltstone.llm.common import in_bounds, small_batches
+from siltstone.llm.common import in_bounds, released, small_batches
 
 #: White space, and the characters that count as symbols (fixed values of the rules).
 WHITE, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -99,6 +99,7 @@ def with_counts(docs: DataFrame, also: list[str] | None = None) -> DataFrame:
                 found = zip(*(counts(x or "") for x in texts[part]), strict=True)
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in range(len(kept))), *(pa.array(x, pa.int64()) for x in found)], [*kept, *COUNTS])
+            released()
 
     small_batches(docs.sparkSession)
     rows = docs.select(*kept, F.col("text").alias("counted_text"))
