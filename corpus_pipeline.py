@@ -19,6 +19,8 @@ from siltstone.sources.shared import written
 
 #: Near copies: shingles of so many words, and the least Jaccard similarity of their sets.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Bytes of pieces that a worker of the last stage remembers: it lives on with the memory of the stages before.
+PACK_MEMO = 24 << 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), memo=PACK_MEMO)
 
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", pack)]
