@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siltstone.llm.bpe_automaton import op2_bpe_codec
 from siltstone.llm.chat_format import op4_chat_format
+from siltstone.llm.collocations import op11_collocations
 from siltstone.llm.fingerprints import op8_fingerprints
 from siltstone.llm.jaccard_join import op10_jaccard_join
 from siltstone.llm.language_id import op5_language_id
@@ -13,7 +14,7 @@ from siltstone.llm.rule_ensemble import op9_rule_ensemble
 from siltstone.llm.secret_scan import op1_secret_scan
 from siltstone.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join, op11_collocations)}
 
 CHAT = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -32,4 +33,20 @@ walk AS (SELECT DISTINCT a AS node, a AS root FROM p UNION SELECT p.b, root FROM
 least AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(least(root, doc_id), doc_id) AS component_id FROM s LEFT JOIN least ON node = doc_id
 """
-ORACLES = {"op4_chat_format": CHAT, "op10_jaccard_join": JACCARD}
+COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 4) t(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, f, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM c, range(1, 3) t(cut) WHERE cut < k),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.f AS a, x.f AS l, y.f AS r, cut, (1000000::HUGEINT * cuts.f * cuts.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM c WHERE k = 3),
+around AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL),
+kept AS (SELECT least.* FROM least LEFT JOIN around o ON o.lang = least.lang AND o.phrase = least.phrase WHERE coalesce(100 * o.f < 50 * a, true))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+ORACLES = {"op4_chat_format": CHAT, "op10_jaccard_join": JACCARD, "op11_collocations": COLLOCATIONS}
