@@ -6,15 +6,17 @@ from siltstone.llm.bpe_automaton import op2_bpe_codec
 from siltstone.llm.chat_format import op4_chat_format
 from siltstone.llm.collocations import op11_collocations
 from siltstone.llm.fingerprints import op8_fingerprints
+from siltstone.llm.hard_negatives import op12_hard_negatives
 from siltstone.llm.jaccard_join import op10_jaccard_join
 from siltstone.llm.language_id import op5_language_id
 from siltstone.llm.packing import op3_packing
+from siltstone.llm.pivot_search import op13_pivot_search
 from siltstone.llm.quality_rules import op6_quality_rules
 from siltstone.llm.rule_ensemble import op9_rule_ensemble
 from siltstone.llm.secret_scan import op1_secret_scan
 from siltstone.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join, op11_collocations)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_bpe_codec, op3_packing, op4_chat_format, op5_language_id, op6_quality_rules, op7_token_files, op8_fingerprints, op9_rule_ensemble, op10_jaccard_join, op11_collocations, op12_hard_negatives, op13_pivot_search)}
 
 CHAT = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -49,4 +51,18 @@ kept AS (SELECT least.* FROM least LEFT JOIN around o ON o.lang = least.lang AND
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
 QUALIFY rank <= 2000
 """
-ORACLES = {"op4_chat_format": CHAT, "op10_jaccard_join": JACCARD, "op11_collocations": COLLOCATIONS}
+NEGATIVES = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS s FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)::INTEGER AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s QUALIFY rank <= 3
+"""
+NEAREST = """
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS s FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT a AS query_id, row_number() OVER (PARTITION BY a ORDER BY s DESC, b)::INTEGER AS rank, b AS vec_id, s AS score FROM s QUALIFY rank <= 5
+"""
+ORACLES = {"op4_chat_format": CHAT, "op10_jaccard_join": JACCARD, "op11_collocations": COLLOCATIONS, "op12_hard_negatives": NEGATIVES, "op13_pivot_search": NEAREST}
