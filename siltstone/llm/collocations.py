@@ -1,18 +1,19 @@
 """Phrases that occur more often than their parts would make them, by hierarchical pair naming.
 
-Texts become numbered words in units of about UNIT_WORDS words of one language, each with a dictionary of its own. A unit's
-dictionary meets the counts of all units: an entry that is frequent everywhere gets a global name, others end a phrase. Two
-adjacent named grams of k-1 words make a pair, whose names are those of its two parts; the pairs are the next dictionary.
-A name's parts are its parent pointers: its cuts and the phrases inside it are read off them.
+Texts become numbered words in units of about UNIT_WORDS words of one language, each with a dictionary of its own. Equal
+entries of all dictionaries meet in buckets, by hash: an entry that is frequent in all gets a global name, which goes back to
+the units; others end a phrase. Two adjacent named grams of k-1 words make a pair, whose names are those of its two parts; the
+pairs are the next dictionary. A name's parts are its parent pointers: its cuts and the phrases inside it are read off them.
 
-What is shuffled is one row for each distinct entry of a unit, with its count, and each unit's numbers; no word is a key of
-more rows than there are units.
+A unit sends a bucket one row that packs its entries, so an entry is moved once for each unit that holds it; no word or pair
+has more entries than there are units, and buckets grow in number with the texts, not in size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +27,19 @@ from siltstone.sources.shared import Scratch, written
 #: Words of a candidate, its least count, the least share in percent of a longer one that makes it part of it, and how many
 #: are reported of each language.
 MOST_WORDS, LEAST_COUNT, INSIDE_PERCENT, REPORTED = 3, 10, 50, 2000
-#: Words of a unit, about: a single text may be longer.
-UNIT_WORDS = 1 << 20
+#: Words of a unit, about (a single text may be longer), and characters for each bucket.
+UNIT_WORDS, BUCKET_CHARS = 1 << 20, 1 << 23
 #: Marks the end of a piece; no UTF-8 text holds this byte.
 END = b"\xff"
 #: Each byte of a text as it counts: A-Z in lower case, piece ends as END, tabs as spaces.
 BYTES = bytes(END[0] if x in b".,;:!?\n\x0b\x0c\r" else 32 if x == 9 else x + 32 if 65 <= x <= 90 else x for x in range(256))
 #: Partial ranks of a language, so that no task orders all of its candidates.
 RANK_PARTS = 32
-#: Up to so many names are broadcast; more are joined by shuffle.
-BROADCAST_NAMES = 300_000
-#: Units have (unit, numbers), dictionary entries (unit, no, count) and what they stand for.
-UNIT, ENTRY = [("unit", pa.int64()), ("numbers", pa.binary())], [("no", pa.int32()), ("count", pa.int64())]
+#: Rows of a table of units: a unit (unit, lang, words, numbers) or its entries in a bucket (unit, lang, bucket, places in
+#: its dictionary, counts, and words or the names of two parts).
+UNITS = [("unit", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("numbers", pa.binary()), ("bucket", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("text", pa.binary()), ("firsts", pa.binary()), ("seconds", pa.binary())]
+#: Rows of a table of names: a name (id, f and what it names) or a unit's entries that have names (unit, places, ids).
+NAMES = [("id", pa.int64()), ("f", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("first", pa.int64()), ("second", pa.int64()), ("unit", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())]
 
 
 class Numbers(dict):
@@ -58,14 +60,29 @@ def rows(fields: list[tuple[str, pa.DataType]], **columns: object) -> pa.RecordB
 
 
 def schema(fields: list[tuple[str, pa.DataType]]) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+    names = {pa.int64(): "long", pa.binary(): "binary", pa.string(): "string"}
     return ", ".join(f"{c} {names[t]}" for c, t in fields)
 
 
-def units(docs: DataFrame, most: int = UNIT_WORDS) -> DataFrame:
-    """Units (unit, lang, numbers) and their dictionaries' rows (unit, lang, no, word, count), in one table. Null texts are
-    empty; a null language is `und`; every row counts, repeated ones too."""
-    fields = [*UNIT, ("lang", pa.string()), *ENTRY, ("word", pa.string())]
+def in_buckets(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its entries."""
+    order = np.argsort(buckets, kind="stable")
+    found, starts = np.unique(buckets[order], return_index=True)
+    yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True)
+
+
+def unit_rows(unit: int, lang: str, own: np.ndarray, words: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A unit and its words' entries; END is no word."""
+    counts = np.bincount(own, minlength=len(words))
+    yield rows(UNITS, unit=[unit], lang=[lang], words=[len(own) - int(counts[0])], numbers=[own.tobytes()])
+    hashes = np.fromiter((crc32(w) % buckets for w in words[1:]), np.int64, len(words) - 1)
+    for bucket, at in in_buckets(hashes):
+        places = (at + 1).astype(np.int32)
+        yield rows(UNITS, unit=[unit], lang=[lang], bucket=[bucket], places=[places.tobytes()], counts=[counts[places].tobytes()], text=[END.join([words[i] for i in places])])
+
+
+def units(docs: DataFrame, buckets: int, most: int = UNIT_WORDS) -> DataFrame:
+    """Units and their entries, by word. Null texts are empty; a null language is `und`; every row counts, repeated ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held, numbers, total = TaskContext.get().partitionId() << 32, {}, {}, 0
@@ -73,12 +90,7 @@ def units(docs: DataFrame, most: int = UNIT_WORDS) -> DataFrame:
         def flushed() -> Iterator[pa.RecordBatch]:
             nonlocal unit, total
             for lang, parts in held.items():
-                own = np.concatenate(parts)
-                words, counts = list(numbers[lang]), np.bincount(own, minlength=len(numbers[lang]))
-                yield rows(fields, unit=[unit], lang=[lang], numbers=[own.tobytes()])
-                for i in range(1, len(words), 50_000):
-                    some = range(i, min(len(words), i + 50_000))
-                    yield rows(fields, unit=[unit] * len(some), lang=[lang] * len(some), no=some, word=[words[j].decode() for j in some], count=counts[some.start : some.stop])
+                yield from unit_rows(unit, lang, np.concatenate(parts), list(numbers[lang]), buckets)
                 unit += 1
             held.clear()
             numbers.clear()
@@ -100,56 +112,93 @@ def units(docs: DataFrame, most: int = UNIT_WORDS) -> DataFrame:
 
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(run, schema(fields))
+    return texts.mapInArrow(run, schema(UNITS))
 
 
-def paired(table: DataFrame, named: DataFrame) -> DataFrame:
-    """The next units and dictionaries of a table of units: in place of each number its entry's name, if it has one, and of
-    two adjacent ones the pair: rows (unit, numbers) with the number of the pair that begins at each place or 0, and rows
-    (unit, no, first, second, count). named: (unit, no, id) of the entries that have names."""
-    fields = [*UNIT, *ENTRY, ("first", pa.int64()), ("second", pa.int64())]
+def paired(table: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
+    """The next table of units: in place of each number its entry's name, if it has one, and of two adjacent ones the pair, by
+    its number in the unit, or 0."""
 
     def run(unit: pa.Table, known: pa.Table) -> pa.Table:
-        if not unit.num_rows or not known.num_rows:
-            return pa.Table.from_batches([], pa.schema(fields))
-        own = np.frombuffer(unit.column("numbers")[0].as_py(), np.int32)
-        no = known.column("no").to_numpy()
-        ids = np.zeros(max(int(own.max(initial=0)), int(no.max())) + 1, np.int64)
-        ids[no] = known.column("id").to_numpy() + 1
-        has = ids[own] > 0
-        both = np.zeros(len(own), bool)
-        both[:-1] = has[:-1] & has[1:]
-        at = np.flatnonzero(both)
-        pairs, which, counts = np.unique(own[at].astype(np.int64) << 32 | own[at + 1], return_inverse=True, return_counts=True)
-        numbers = np.zeros(len(own), np.int32)
-        numbers[at] = which + 1
-        key = unit.column("whole_unit")[0].as_py()
-        out = [rows(fields, unit=[key], numbers=[numbers.tobytes()])]
-        if len(pairs):
-            out.append(rows(fields, unit=np.full(len(pairs), key), no=np.arange(1, len(pairs) + 1), count=counts, first=ids[pairs >> 32] - 1, second=ids[pairs & 0xFFFFFFFF] - 1))
-        return pa.Table.from_batches(out)
-
+        out: list[pa.RecordBatch] = []
+        if unit.num_rows and known.num_rows:
+            key, own = unit.column("whole_unit")[0].as_py(), np.frombuffer(unit.column("numbers")[0].as_py(), np.int32)
+            places, ids = (np.frombuffer(b"".join(known.column(c).to_pylist()), t) for c, t in (("places", np.int32), ("ids", np.int64)))
+            of = np.full(max(int(own.max(initial=0)), int(places.max(initial=0))) + 1, -1, np.int64)
+            of[places] = ids
+            has = of[own] >= 0
+            at = np.flatnonzero(has[:-1] & has[1:])
+            pairs, which, counts = np.unique(own[at].astype(np.int64) << 32 | own[at + 1], return_inverse=True, return_counts=True)
+            numbers = np.zeros(len(own), np.int32)
+            numbers[at] = which + 1
+            out.append(rows(UNITS, unit=[key], numbers=[numbers.tobytes()]))
+            firsts, seconds = of[pairs >> 32], of[pairs & 0xFFFFFFFF]
+            mixed = (firsts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seconds.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
+            for bucket, i in in_buckets((mixed % np.uint64(buckets)).astype(np.int64)):
+                out.append(rows(UNITS, unit=[key], bucket=[bucket], places=[(i + 1).astype(np.int32).tobytes()], counts=[counts[i].tobytes()], firsts=[firsts[i].tobytes()], seconds=[seconds[i].tobytes()]))
+        return pa.Table.from_batches(out, pa.schema(UNITS))
+
+    # both sides may come from one table, so the columns of one go by other names
     whole = table.where("numbers is not null").select(F.col("unit").alias("whole_unit"), "numbers")
-    return whole.groupBy("whole_unit").cogroup(named.groupBy("unit")).applyInArrow(run, schema(fields))
-
-
-def named(table: DataFrame, keys: list[str], least: int, scratch: Scratch) -> DataFrame:
-    """(id, *keys, f) of what occurs at least `least` times in all units."""
-    counted = table.where("no is not null").groupBy(keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    return scratch.written(counted.select(F.monotonically_increasing_id().alias("id"), *keys, "f"), "names")
-
-
-def with_names(entries: DataFrame, names: DataFrame, keys: list[str], few: bool) -> DataFrame:
-    return entries.join(F.broadcast(names) if few else names, keys)
-
-
-def grown(pairs: DataFrame, before: DataFrame, few: bool) -> DataFrame:
+    return whole.groupBy("whole_unit").cogroup(names.where("places is not null").select("unit", "places", "ids").groupBy("unit")).applyInArrow(run, schema(UNITS))
+
+
+def numbered_words(part: pa.Table) -> tuple[list[np.ndarray], list[tuple[str, bytes]]]:
+    """For each row of a bucket the numbers of its entries, equal ones alike, and what the numbers stand for."""
+    known: dict[str, dict[bytes, int]] = {}
+    stand_for: list[tuple[str, bytes]] = []
+    out = []
+    for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+        own, words = known.setdefault(lang, {}), text.split(END)
+        for w in words:
+            if w not in own:
+                own[w] = len(stand_for)
+                stand_for.append((lang, w))
+        out.append(np.fromiter(map(own.__getitem__, words), np.int64, len(words)))
+    return out, stand_for
+
+
+def numbered_pairs(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """As numbered_words, for pairs of names."""
+    both = [np.frombuffer(x, np.int64) for c in ("firsts", "seconds") for x in part.column(c).to_pylist()]
+    n = part.num_rows
+    pairs = np.stack([np.concatenate(both[:n]), np.concatenate(both[n:])], 1)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[order][1:] != pairs[order][:-1]).any(1)
+    which = np.empty(len(pairs), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return np.split(which, np.cumsum([len(x) for x in both[:n]])[:-1]), pairs[order][new]
+
+
+def named(table: DataFrame, by_word: bool, least: int, buckets: int) -> DataFrame:
+    """The names of entries that occur at least `least` times in all units, and which entries of each unit have them."""
+
+    def run(part: pa.Table) -> pa.Table:
+        each, stand_for = numbered_words(part) if by_word else numbered_pairs(part)
+        counts = [np.frombuffer(x, np.int64) for x in part.column("counts").to_pylist()]
+        total = np.zeros(len(stand_for), np.int64)
+        for own, n in zip(each, counts, strict=True):
+            total[own] += n  # an entry is in a row once
+        often = np.flatnonzero(total >= least)
+        ids = np.full(len(total), -1, np.int64)
+        ids[often] = np.arange(len(often)) * buckets + part.column("bucket")[0].as_py()
+        names = {"lang": [stand_for[i][0] for i in often], "word": [stand_for[i][1].decode() for i in often]} if by_word else {"first": stand_for[often, 0], "second": stand_for[often, 1]}
+        out = [rows(NAMES, id=ids[often], f=total[often], **names)]
+        for unit, own, places in zip(part.column("unit").to_pylist(), each, part.column("places").to_pylist(), strict=True):
+            has = ids[own] >= 0
+            if has.any():
+                out.append(rows(NAMES, unit=[unit], places=[np.frombuffer(places, np.int32)[has].tobytes()], ids=[ids[own][has].tobytes()]))
+        return pa.Table.from_batches(out, pa.schema(NAMES))
+
+    return table.where("bucket is not null").drop("words", "numbers").groupBy("bucket").applyInArrow(run, schema(NAMES))
+
+
+def grown(pairs: DataFrame, before: DataFrame) -> DataFrame:
     """The phrases (id, lang, phrase, last, f, heads, tails, first, second) of pairs of names of `before`: heads and tails are
     the counts of the first and the last 1, 2, ... words."""
     left = before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("begin"), F.array_append("heads", F.col("f")).alias("heads"))
     right = before.select(F.col("id").alias("second"), "last", F.array_append("tails", F.col("f")).alias("tails"))
-    if few:
-        left, right = F.broadcast(left), F.broadcast(right)
     both = pairs.join(left, "first").join(right, "second")
     return both.select("id", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f", "heads", "tails", "first", "second")
 
@@ -179,20 +228,19 @@ def collocations(docs: DataFrame, words: int = MOST_WORDS, least: int = LEAST_CO
     into words at spaces and tabs. Null, empty and repeated rows as in units; other columns don't matter; an empty table has
     no phrases."""
     with Scratch(docs.sparkSession, "collocations") as scratch:
-        table = scratch.written(units(docs, unit_words), "units")
-        totals = scratch.written(table.where("no is not null").groupBy("lang").agg(F.sum("count").alias("n")), "totals")
-        names = named(table, ["lang", "word"], least, scratch)
+        chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+        buckets = 1 + chars // BUCKET_CHARS
+        table = scratch.written(units(docs, buckets, unit_words), "units")
+        totals = scratch.written(table.groupBy("lang").agg(F.sum("words").alias("n")), "totals")
+        names = scratch.written(named(table, True, least, buckets), "names")
         none = F.lit([]).cast("array<long>")
-        level = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("second"))
-        keys, levels = ["lang", "word"], []
+        found = names.where("id is not null")
+        level = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"), "first", "second")
+        levels = []
         for _ in range(2, words + 1):
-            few = names.count() <= BROADCAST_NAMES
-            entries = table.where("no is not null").select("unit", "no", *keys)
-            found = with_names(entries, names.drop("f"), keys, few).select("unit", "no", "id")
-            table = scratch.written(paired(table, found), "pairs")
-            keys = ["first", "second"]
-            names = named(table, keys, least, scratch)
-            level = scratch.written(grown(names, level, few), "phrases")
+            table = scratch.written(paired(table, names, buckets), "pairs")
+            names = scratch.written(named(table, False, least, buckets), "names")
+            level = scratch.written(grown(names.where("id is not null").select("id", "first", "second", "f"), level), "phrases")
             levels.append(level)
         longer = [x.select(F.explode(F.array("first", "second")).alias("id"), F.col("f").alias("around")) for x in levels[1:]]
         kept = []
