@@ -64,21 +64,32 @@ def schema(fields: list[tuple[str, pa.DataType]]) -> str:
     return ", ".join(f"{c} {names[t]}" for c, t in fields)
 
 
+def packed(numbers: np.ndarray, kind: type = np.int64) -> bytes:
+    """Numbers by their first bytes, then their second bytes and so on: most of those are zeros, which compress away."""
+    whole = np.ascontiguousarray(numbers, kind)
+    return whole.view(np.uint8).reshape(len(whole), -1).T.tobytes()
+
+
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def in_buckets(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its entries."""
     order = np.argsort(buckets, kind="stable")
     found, starts = np.unique(buckets[order], return_index=True)
-    yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True)
+    if len(found):
+        yield from zip(found.tolist(), np.split(order, starts[1:]), strict=True)
 
 
 def unit_rows(unit: int, lang: str, own: np.ndarray, words: list[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
     """A unit and its words' entries; END is no word."""
     counts = np.bincount(own, minlength=len(words))
-    yield rows(UNITS, unit=[unit], lang=[lang], words=[len(own) - int(counts[0])], numbers=[own.tobytes()])
+    yield rows(UNITS, unit=[unit], lang=[lang], words=[len(own) - int(counts[0])], numbers=[packed(own, np.int32)])
     hashes = np.fromiter((crc32(w) % buckets for w in words[1:]), np.int64, len(words) - 1)
     for bucket, at in in_buckets(hashes):
-        places = (at + 1).astype(np.int32)
-        yield rows(UNITS, unit=[unit], lang=[lang], bucket=[bucket], places=[places.tobytes()], counts=[counts[places].tobytes()], text=[END.join([words[i] for i in places])])
+        yield rows(UNITS, unit=[unit], lang=[lang], bucket=[bucket], places=[packed(at + 1, np.int32)], counts=[packed(counts[at + 1])], text=[END.join([words[i] for i in (at + 1).tolist()])])
 
 
 def units(docs: DataFrame, buckets: int, most: int = UNIT_WORDS) -> DataFrame:
@@ -115,27 +126,28 @@ def units(docs: DataFrame, buckets: int, most: int = UNIT_WORDS) -> DataFrame:
     return texts.mapInArrow(run, schema(UNITS))
 
 
-def paired(table: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
+def paired(table: DataFrame, names: DataFrame, buckets: int, last: bool) -> DataFrame:
     """The next table of units: in place of each number its entry's name, if it has one, and of two adjacent ones the pair, by
-    its number in the unit, or 0."""
+    its number in the unit, or 0; the last table needs its entries only."""
 
     def run(unit: pa.Table, known: pa.Table) -> pa.Table:
         out: list[pa.RecordBatch] = []
         if unit.num_rows and known.num_rows:
-            key, own = unit.column("whole_unit")[0].as_py(), np.frombuffer(unit.column("numbers")[0].as_py(), np.int32)
-            places, ids = (np.frombuffer(b"".join(known.column(c).to_pylist()), t) for c, t in (("places", np.int32), ("ids", np.int64)))
+            key, own = unit.column("whole_unit")[0].as_py(), unpacked(unit.column("numbers")[0].as_py(), np.int32)
+            places, ids = (np.concatenate([unpacked(x, t) for x in known.column(c).to_pylist()]) for c, t in (("places", np.int32), ("ids", np.int64)))
             of = np.full(max(int(own.max(initial=0)), int(places.max(initial=0))) + 1, -1, np.int64)
             of[places] = ids
             has = of[own] >= 0
             at = np.flatnonzero(has[:-1] & has[1:])
             pairs, which, counts = np.unique(own[at].astype(np.int64) << 32 | own[at + 1], return_inverse=True, return_counts=True)
-            numbers = np.zeros(len(own), np.int32)
-            numbers[at] = which + 1
-            out.append(rows(UNITS, unit=[key], numbers=[numbers.tobytes()]))
+            if not last:
+                numbers = np.zeros(len(own), np.int32)
+                numbers[at] = which + 1
+                out.append(rows(UNITS, unit=[key], numbers=[packed(numbers, np.int32)]))
             firsts, seconds = of[pairs >> 32], of[pairs & 0xFFFFFFFF]
             mixed = (firsts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ seconds.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)
             for bucket, i in in_buckets((mixed % np.uint64(buckets)).astype(np.int64)):
-                out.append(rows(UNITS, unit=[key], bucket=[bucket], places=[(i + 1).astype(np.int32).tobytes()], counts=[counts[i].tobytes()], firsts=[firsts[i].tobytes()], seconds=[seconds[i].tobytes()]))
+                out.append(rows(UNITS, unit=[key], bucket=[bucket], places=[packed(i + 1, np.int32)], counts=[packed(counts[i])], firsts=[packed(firsts[i])], seconds=[packed(seconds[i])]))
         return pa.Table.from_batches(out, pa.schema(UNITS))
 
     # both sides may come from one table, so the columns of one go by other names
@@ -160,7 +172,7 @@ def numbered_words(part: pa.Table) -> tuple[list[np.ndarray], list[tuple[str, by
 
 def numbered_pairs(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     """As numbered_words, for pairs of names."""
-    both = [np.frombuffer(x, np.int64) for c in ("firsts", "seconds") for x in part.column(c).to_pylist()]
+    both = [unpacked(x) for c in ("firsts", "seconds") for x in part.column(c).to_pylist()]
     n = part.num_rows
     pairs = np.stack([np.concatenate(both[:n]), np.concatenate(both[n:])], 1)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
@@ -176,7 +188,7 @@ def named(table: DataFrame, by_word: bool, least: int, buckets: int) -> DataFram
 
     def run(part: pa.Table) -> pa.Table:
         each, stand_for = numbered_words(part) if by_word else numbered_pairs(part)
-        counts = [np.frombuffer(x, np.int64) for x in part.column("counts").to_pylist()]
+        counts = [unpacked(x) for x in part.column("counts").to_pylist()]
         total = np.zeros(len(stand_for), np.int64)
         for own, n in zip(each, counts, strict=True):
             total[own] += n  # an entry is in a row once
@@ -188,7 +200,7 @@ def named(table: DataFrame, by_word: bool, least: int, buckets: int) -> DataFram
         for unit, own, places in zip(part.column("unit").to_pylist(), each, part.column("places").to_pylist(), strict=True):
             has = ids[own] >= 0
             if has.any():
-                out.append(rows(NAMES, unit=[unit], places=[np.frombuffer(places, np.int32)[has].tobytes()], ids=[ids[own][has].tobytes()]))
+                out.append(rows(NAMES, unit=[unit], places=[packed(unpacked(places, np.int32)[has], np.int32)], ids=[packed(ids[own][has])]))
         return pa.Table.from_batches(out, pa.schema(NAMES))
 
     return table.where("bucket is not null").drop("words", "numbers").groupBy("bucket").applyInArrow(run, schema(NAMES))
@@ -237,8 +249,8 @@ def collocations(docs: DataFrame, words: int = MOST_WORDS, least: int = LEAST_CO
         found = names.where("id is not null")
         level = found.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("heads"), none.alias("tails"), "first", "second")
         levels = []
-        for _ in range(2, words + 1):
-            table = scratch.written(paired(table, names, buckets), "pairs")
+        for k in range(2, words + 1):
+            table = scratch.written(paired(table, names, buckets, k == words), "pairs")
             names = scratch.written(named(table, False, least, buckets), "names")
             level = scratch.written(grown(names.where("id is not null").select("id", "first", "second", "f"), level), "phrases")
             levels.append(level)
