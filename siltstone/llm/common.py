@@ -20,9 +20,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to MOST_ROWS, never raises them: Spark reads that setting alone, and only
+    """Lowers the session's rows of an Arrow batch to MOST_ROWS (0 or less is no bound), never raises them: Spark reads that setting alone, and only
     when a plan runs, and with its default of 10,000 rows two tasks' buffers of text go beyond a small executor's memory."""
-    if int(spark.conf.get(BATCH_ROWS)) > MOST_ROWS:
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= MOST_ROWS:
         spark.conf.set(BATCH_ROWS, str(MOST_ROWS))
 
 
@@ -53,8 +53,6 @@ def bounded(batch: pa.RecordBatch, column: str = "text", also: str = "doc_id") -
     released()
 
 
-
-
 def released() -> None:
     """After every batch, gives back what Arrow keeps for later: a worker lives on from stage to stage, and so would
     the peaks of all stages."""
@@ -74,3 +72,10 @@ def share_of(docs: DataFrame, rows: int) -> float:
 def sampled(share: float, column: str = "doc_id") -> Column:
     """Keeps that share of ids, by hash: the same rows on every run."""
     return F.pmod(F.xxhash64(F.lit("sample"), F.col(column)), F.lit(1_000_000)) < int(share * 1_000_000)
+
+
+def labelled_ids(labels: DataFrame, rows: int) -> DataFrame:
+    """doc_id and quality (the lesser of several) of at most `rows` labelled ids, chosen by hash; null labels teach nothing."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    some = known.where(sampled(share_of(known, 2 * rows))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return some.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(rows)

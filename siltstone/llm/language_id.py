@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import bounded, doc_texts, documents, id_crc, in_bounds, released, small_batches
+from siltstone.sources.shared import written
 
 #: N-grams in a language's profile and in a document's.
 PROFILE, DOC_PROFILE = 400, 300
 #: Training documents of a language, at most about so many: all if there are no more, else a share by hash.
 TRAIN_DOCS = 4000
-#: Languages that are learned, at most: of more values of lang, the most frequent ones, ties by name.
-MOST_LANGS = 1000
+#: Up to so many languages' shares go to the documents by a broadcast; more are joined by shuffle.
+BROADCAST_LANGS = 10_000
 UNKNOWN = "und"
 SPACE = 32
 #: A document whose n-grams are all but absent from the nearest profile is in none of the learned languages.
@@ -59,18 +60,18 @@ def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def training_rows(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """lang, text of at most about TRAIN_DOCS documents of each language, never held-out ones. Rows without lang or text
-    teach nothing. The languages' shares, MOST_LANGS at most, go to the documents by a broadcast."""
+    teach nothing. Every value of lang is learned."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~(F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))))
-    counted = rows.groupBy("lang").agg(F.count("*").alias("lang_rows")).orderBy(F.desc("lang_rows"), "lang").limit(MOST_LANGS).collect()
-    shares = docs.sparkSession.createDataFrame([(x["lang"], min(1.0, TRAIN_DOCS / x["lang_rows"])) for x in counted], "lang string, train_share double")
+    shares = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(TRAIN_DOCS) / F.count("*")).alias("train_share")), "language-shares")
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_LANGS else shares
     part = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    return rows.select("lang", "text", part.alias("at_share")).join(F.broadcast(shares), "lang").where("at_share < train_share").select("lang", "text")
+    return rows.select("lang", "text", part.alias("at_share")).join(shares, "lang").where("at_share < train_share").select("lang", "text")
 
 
 def train(rows: DataFrame) -> dict[str, list[int]]:
     """Each language's profile from rows (lang, text): a few hundred packed n-grams, most frequent first, ties by code
-    points. Their number is bounded by the languages times PROFILE; counts are summed where the texts are. No rows: no
-    profiles; repeated rows count again."""
+    points: about 3 KB come to the driver for each language; counts are summed where the texts are. No rows: no profiles;
+    repeated rows count again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
@@ -92,23 +93,29 @@ def train(rows: DataFrame) -> dict[str, list[int]]:
 
 
 class Profiles:
-    """Ranks of all profiles' n-grams by language, PROFILE where one is missing."""
+    """For each n-gram the languages whose profiles hold it and its ranks there, one after the other."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.langs = sorted(profiles)
-        self.grams = np.array(sorted({g for own in profiles.values() for g in own}), np.int64)
-        self.rank = np.full((len(self.grams) + 1, len(self.langs)), PROFILE, np.int64)
-        for k, lang in enumerate(self.langs):
-            self.rank[np.searchsorted(self.grams, profiles[lang]), k] = np.arange(len(profiles[lang]))
+        grams = np.concatenate([np.array(profiles[x], np.int64) for x in self.langs] or [np.zeros(0, np.int64)])
+        order = np.argsort(grams, kind="stable")
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.append(starts, len(grams))
+        self.lang = np.repeat(np.arange(len(self.langs)), [len(profiles[x]) for x in self.langs])[order]
+        self.rank = np.concatenate([np.arange(len(profiles[x])) for x in self.langs] or [np.zeros(0, np.int64)])[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         grams = ngrams(text or "")[0][:DOC_PROFILE]
         if not len(grams) or not self.langs:
             return UNKNOWN, 0.0
         at = np.searchsorted(self.grams, grams)
-        at[at == len(self.grams)] = 0
-        ranks = self.rank[np.where(self.grams[at] == grams, at, len(self.grams))]
-        far = np.where(ranks == PROFILE, PROFILE, np.abs(ranks - np.arange(len(grams))[:, None])).sum(axis=0)
+        known = np.flatnonzero(at < len(self.grams))
+        known = known[self.grams[at[known]] == grams[known]]
+        starts, sizes = self.starts[at[known]], np.diff(self.starts)[at[known]]
+        # the places of all languages of all known n-grams
+        places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        nearer = PROFILE - np.abs(self.rank[places] - np.repeat(known, sizes))
+        far = PROFILE * len(grams) - np.bincount(self.lang[places], nearer, len(self.langs))
         k = int(far.argmin())
         return self.langs[k], max(0.0, 1.0 - float(far[k]) / (PROFILE * len(grams)))
 

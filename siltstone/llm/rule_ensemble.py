@@ -11,8 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents, id_crc, sampled, share_of
-from siltstone.llm.text_stats import FEATURES, features, with_counts
+from siltstone.llm.common import documents, id_crc, labelled_ids
+from siltstone.llm.text_stats import COUNTS, FEATURES, features, with_counts
 
 #: Labelled rows to learn from, at most about so many (more in the table: a share by hash), and the ensemble.
 LABELLED_ROWS, TREES, DEPTH, TREE_ROWS, CUTS = 10_000, 40, 3, 1500, 12
@@ -111,12 +111,17 @@ def held_out(column: str = "doc_id") -> Column:
     return F.pmod(id_crc(column), F.lit(5)) == 0
 
 
+def labelled_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """quality and COUNTS of one row (the least in its counts) for each of at most LABELLED_ROWS ids that aren't held out."""
+    known = labelled_ids(labels.where(~held_out()), LABELLED_ROWS)
+    counted = with_counts(docs.join(F.broadcast(known), "doc_id"), ["quality"])
+    return counted.groupBy("doc_id").agg(F.min(F.struct("quality", *COUNTS)).alias("x")).select("doc_id", "x.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[Rule, float]], float]:
-    """Learns from labelled rows that aren't held out, at most about LABELLED_ROWS; the sample's ids are broadcast. Null
-    labels teach nothing, of two labels of a document the lesser counts, and without labels every score is a half."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out())
-    known = known.where(sampled(share_of(known, LABELLED_ROWS))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = with_counts(docs.join(F.broadcast(known), "doc_id"), ["quality"]).toPandas().sort_values("doc_id")
+    """Learns from labelled rows that aren't held out, at most LABELLED_ROWS ids, one row of each; the ids are broadcast.
+    Null labels teach nothing, of two labels of a document the lesser counts, and without labels every score is a half."""
+    rows = labelled_counts(docs, labels).toPandas().sort_values("doc_id")
     return fit_rules(features(rows), rows["quality"].to_numpy().astype(float))
 
 
