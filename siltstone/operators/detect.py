@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +30,19 @@ def features(claims: DataFrame) -> DataFrame:
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, each pair once, of features that any detector may relate: each detector's own words are met on, among the
-    claims that have what it looks at."""
-    def sets(x: DataFrame, column: str, where: Column) -> DataFrame:
-        return x.where(where).select("claim_id", F.col(column).alias("words"))
+    """a, b, each pair once (a < b, if left is right), of features that any detector may relate: each detector's own words
+    are met on, among the claims that have what it looks at."""
+    def found_by(column: str, where: Column, least: int, share: float) -> DataFrame:
+        l = left.where(where).select("claim_id", F.col(column).alias("words"))
+        r = l if left is right else right.where(where).select("claim_id", F.col(column).alias("words"))
+        return pairs_sharing(l, r, least, share).select("a", "b")
 
     every = F.lit(True)
     by_detector = [
         ("words", every, LEAST_SHARED, SHORTER_SHARE), ("letters", F.size("measures") > 0, NUMBER_LEAST, NUMBER_SHORTER),
         ("words", F.size("names") > 0, 1, 0.0), ("anchors", F.col("aspect").isNotNull(), 1, ASPECT_SHORTER),
     ]
-    found = [pairs_sharing(sets(left, c, where), sets(right, c, where), least, share).select("a", "b") for c, where, least, share in by_detector]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+    return reduce(DataFrame.unionByName, [found_by(*x) for x in by_detector]).distinct()
 
 
 def _shared(column: str) -> Column:
@@ -95,8 +95,7 @@ def typed(pairs: DataFrame, left: DataFrame, right: DataFrame, exempt_lists: boo
 def relations(claims: DataFrame) -> DataFrame:
     """from_id, to_id, type, detector of all claims with one another, each pair once, from the lesser id."""
     f = features(claims)
-    pairs = candidates(f, f).where("a < b")
-    return typed(pairs, f, f).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "type", "detector")
+    return typed(candidates(f, f), f, f).select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), "type", "detector")
 
 
 def new_relations(new: DataFrame, stored: DataFrame) -> DataFrame:

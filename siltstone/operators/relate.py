@@ -7,46 +7,63 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.detect import denied
 from siltstone.functions.text import NEGATIONS, STOP_WORDS, citation_refs, content_tokens, dedup_key, doc_tokens, stem
+from siltstone.sources.shared import HEAVY, heavy_split, written
 
 # Shared words, their share of the shorter and of the longer statement.
 LEAST_SHARED, SHORTER_SHARE, CONTRADICT_SHARE, LONGER_SHARE = 2, 0.3, 0.5, 0.3
 
 
-def pairs_sharing(left: DataFrame, right: DataFrame, least: int, share: float) -> DataFrame:
-    """a, b, shared, size_a, size_b of sets (claim_id, words) that share at least `least` words and that share of the smaller
-    set. Sets meet on a word among the rarest of both: a pair that shares s of the smaller set's n words shares one of that
-    set's n - s + 1 rarest, and it is not among the larger set's most frequent `least` - 1; a word too late in either for as
-    many to follow joins nothing. Pairs are then counted exactly."""
-    def usable(x: DataFrame) -> DataFrame:
-        return x.where(F.size("words") >= least)
+#: A word that more statements hold is dealt out in cells of about so many, each meeting each.
+CELL = 2000
+
 
-    l, r = usable(left), usable(right)
-    words = l.select(F.explode("words").alias("word")).unionByName(r.select(F.explode("words").alias("word"))).groupBy("word").agg(F.count("*").alias("df"))
+def pairs_sharing(left: DataFrame, right: DataFrame, least: int, share: float, cell: int = CELL) -> DataFrame:
+    """a, b, shared, size_a, size_b of sets (claim_id, words) that share at least `least` words and that share of the smaller
+    set; of one frame with itself each pair once, a < b. Sets are lists of word numbers, rarest first. A pair that must share
+    s words has its first one among all but the last s - 1 of either list, so entries too near an end meet nothing; a pair
+    comes from its first shared word alone, with both lists beside it, and is counted there. A word's entries are dealt out in
+    cells on both sides, so that no task holds more than a cell of each, however frequent the word."""
+    same = left is right
+    frames = [x.where(F.size("words") >= least).select("claim_id", F.array_distinct("words").alias("words")) for x in ([left] if same else [left, right])]
+    held = [x.select("claim_id", F.explode("words").alias("word")) for x in frames]
+    every = held[0] if same else held[0].unionByName(held[1])
+    words = written(every.groupBy("word").agg(F.count("*").alias("k")).select("word", "k", F.monotonically_increasing_id().alias("w")), "words")
+    most = max(1000, (words.agg(F.sum("k")).first()[0] or 0) // HEAVY)
 
     def ordered(x: DataFrame) -> DataFrame:
-        by_df = F.array_sort(F.collect_list(F.struct("df", "word")))
-        x = x.select("claim_id", F.explode("words").alias("word")).join(words, "word").groupBy("claim_id").agg(by_df.alias("by_df"))
-        return x.select("claim_id", F.size("by_df").alias("n"), F.posexplode(F.transform("by_df", lambda w: w["word"])).alias("pos", "word"))
+        """claim_id, n, ws (its words' numbers, rarest first), and for each of them pos, w, cells."""
+        rows = heavy_split(x, "word", words, most).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("by_k"))
+        rows = rows.select("claim_id", F.size("by_k").alias("n"), F.transform("by_k", lambda w: w["w"]).alias("ws"), F.posexplode("by_k").alias("pos", "at"))
+        return rows.select("claim_id", "n", "ws", "pos", "at.w", F.ceil(F.col("at.k") / cell).cast("int").alias("cells"))
 
-    lo, ro = ordered(l), ordered(r)
-    n = F.col("n")
+    entries = [ordered(x) for x in held]
+    n, pos = F.col("n"), F.col("pos")
     need = F.greatest(F.ceil(n * share - 1e-9), F.lit(least))
+    mine, each = F.pmod(F.xxhash64("claim_id"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
 
     def met(short: DataFrame, long: DataFrame, s: str, t: str) -> DataFrame:
-        heads = short.where(F.col("pos") <= n - need).select(F.col("claim_id").alias(s), n.alias("n_short"), need.alias("need"), "word")
-        others = long.where(F.col("pos") <= n - least).select(F.col("claim_id").alias(t), n.alias("n_long"), (n - F.col("pos")).alias("after"), "word")
-        return heads.join(others, "word").where(f"n_short <= n_long and after >= need and {s} <> {t}").select("a", "b").distinct()
-
-    pairs = met(lo, ro, "a", "b").unionByName(met(ro, lo, "b", "a")).distinct()
-    x = pairs.join(l.select(F.col("claim_id").alias("a"), F.col("words").alias("words_a")), "a").join(r.select(F.col("claim_id").alias("b"), F.col("words").alias("words_b")), "b")
-    x = x.select("a", "b", F.size(F.array_intersect("words_a", "words_b")).alias("shared"), F.size("words_a").alias("size_a"), F.size("words_b").alias("size_b"))
-    return x.where((F.col("shared") >= least) & (F.col("shared") / F.least("size_a", "size_b") >= share))
+        """Pairs whose set from `short` is the smaller one; of equal sizes the one of lesser id, if the frames are one."""
+        heads = short.where(pos <= n - need).select(F.col("claim_id").alias(s), n.alias(f"size_{s}"), need.alias("need"), F.col("ws").alias(f"ws_{s}"), "w", mine.alias("short_cell"), each.alias("long_cell"))
+        others = long.where(pos <= n - least).select(F.col("claim_id").alias(t), n.alias(f"size_{t}"), (n - pos).alias("after"), F.col("ws").alias(f"ws_{t}"), "w", mine.alias("long_cell"), each.alias("short_cell"))
+        smaller = F.col(f"size_{s}") < F.col(f"size_{t}")
+        # of two frames, pairs of equal sizes come from the first way
+        first = smaller | ((F.col(f"size_{s}") == F.col(f"size_{t}")) & ((F.col(s) < F.col(t)) if same else F.lit(s == "a")))
+        both = heads.join(others, ["w", "short_cell", "long_cell"]).where(first & (F.col("after") >= F.col("need")) & (F.col(s) != F.col(t)))
+        common = both.select("a", "b", "size_a", "size_b", "w", "need", F.array_intersect("ws_a", "ws_b").alias("common"))
+        return common.where((F.get("common", F.lit(0)) == F.col("w")) & (F.size("common") >= F.col("need"))).select("a", "b", F.size("common").alias("shared"), "size_a", "size_b")
+
+    if not same:
+        return met(entries[0], entries[1], "a", "b").unionByName(met(entries[1], entries[0], "b", "a"))
+    pairs = met(entries[0], entries[0], "a", "b")
+    turned = F.col("a") > F.col("b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", F.when(turned, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(turned, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"))
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """a, b, shared, size_a, size_b of statements (claim_id, text) that share at least LEAST_SHARED words and the share of
-    the shorter one."""
-    l, r = (x.select("claim_id", content_tokens(F.col("text")).alias("words")) for x in (left, right))
+    the shorter one; of one frame with itself each pair once, a < b."""
+    l = left.select("claim_id", content_tokens(F.col("text")).alias("words"))
+    r = l if left is right else right.select("claim_id", content_tokens(F.col("text")).alias("words"))
     return pairs_sharing(l, r, LEAST_SHARED, SHORTER_SHARE)
 
 
@@ -99,7 +116,7 @@ def contested(claims: DataFrame, batch: str) -> DataFrame:
     # without repeats, what counts is shared words; a claim with repeats may reach its count with one word
     once, again = keyed.where(F.size("words") == F.col("n")).drop("n"), keyed.where(F.size("words") < F.col("n")).drop("n")
     rest = pairs_sharing(again, keyed.drop("n"), 1, 0.0).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = pairs_sharing(once, once, CONTEST_LEAST, CONTEST_SHARE).where("a < b").select("a", "b").unionByName(rest).distinct()
+    met = pairs_sharing(once, once, CONTEST_LEAST, CONTEST_SHARE).select("a", "b").unionByName(rest).distinct()
     for end in ("a", "b"):
         met = met.join(x.select(F.col("claim_id").alias(end), F.col("core").alias(f"core_{end}"), F.col("neg").alias(f"neg_{end}")), end)
     shared = F.size(F.filter("core_b", lambda w: F.array_contains("core_a", w)))

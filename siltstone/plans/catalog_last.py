@@ -139,7 +139,7 @@ def o088_bounded_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o052_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all claims; a test compares it with brute force."""
     c = Store(spark, sf_dir).claims.select("claim_id", "text")
-    return relate.overlap_pairs(c, c).where("a < b").select("a", "b", F.col("shared").cast("long").alias("shared"))
+    return relate.overlap_pairs(c, c).select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
 @query(r""", cand AS (SELECT claim_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: length(w) >= 3)) AS words FROM (

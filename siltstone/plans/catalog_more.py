@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import now, table
-from siltstone.operators import evidence, graph, lifecycle, relate, retrieval, store
+from siltstone.operators import evidence, graph, lifecycle, relate, retrieval, store, vector_index
 from siltstone.plans.answer import QUESTION, answer
 from siltstone.plans.catalog import GAP_SQL, LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
 from siltstone.streaming import signals
@@ -335,10 +335,16 @@ def o185_label_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(pairs).select("node", "root")
 
 
+@query("SELECT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.45", False)
+def o051_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of all vectors from a cosine of 0.45, which some of these tables' rows reach."""
+    return vector_index.similar_pairs(table(spark, sf_dir, "embeddings"), 0.45).select("a", "b", rounded("score").alias("score"))
+
+
 @query(None)
 def o185_semantic_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of all pairs of vectors; a test compares it with brute force."""
-    return graph.components(graph.similar_pairs(table(spark, sf_dir, "embeddings"), 0.35)).select("node", "root")
+    """Of all vectors, blocks apart by their bounds skipped; a test compares it with brute force."""
+    return vector_index.similar_components(table(spark, sf_dir, "embeddings"), 0.35).select("node", "root")
 
 
 @query("SELECT claim_id AS old_id, first_id AS new_id FROM (SELECT claim_id, min(claim_id) OVER (PARTITION BY created_by, type, scope_service, citation_count) AS first_id FROM kb_claims) WHERE claim_id <> first_id")

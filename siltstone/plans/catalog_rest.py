@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import now, table
-from siltstone.operators import analytics, evidence, lifecycle, recall, relate, retrieval
+from siltstone.operators import analytics, evidence, lifecycle, recall, relate, retrieval, vector_index
 from siltstone.plans.catalog import BINS_SQL, LESSONS_SQL, TRUST_SQL, Store, query, rounded, seconds
 from siltstone.plans.catalog_more import BM25_SQL, COS_SQL, _questions
 from siltstone.sources import normalise
@@ -102,6 +102,15 @@ def o164_event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(scores, "query_id", "vec_id", 32).select("query_id", "vec_id", "rank")
 
 
+@query(None)
+def o164_index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an inverted-file index; a test holds it to a recall of 0.9 of o164_event_vectors."""
+    v = table(spark, sf_dir, "embeddings")
+    width = v.agg(F.max(F.size("embedding"))).first()[0] or 0
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.search(vector_index.build(v, width), v, queries, 32).select("query_id", "vec_id", "rank")
+
+
 @query(BM25_SQL + r""", top AS (SELECT question_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, event_id) AS rank FROM bm) WHERE rank <= 5),
 gold AS (SELECT b.item_id AS question_id, e.event_id FROM benchmark b JOIN kb_events e ON contains(e.content, b.text)),
 lab AS (SELECT question_id, event_id, CASE WHEN event_id % 4 = 0 THEN 'forbidden' ELSE 'gold' END AS label FROM gold)
