@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import now, table
-from siltstone.operators import analytics, evidence, lifecycle, recall, relate, retrieval, vector_index
+from siltstone.operators import analytics, evidence, fulltext, lifecycle, recall, relate, retrieval, vector_index
 from siltstone.plans.catalog import BINS_SQL, LESSONS_SQL, TRUST_SQL, Store, query, rounded, seconds
+from siltstone.sources.shared import stored
 from siltstone.plans.catalog_more import BM25_SQL, COS_SQL, _questions
 from siltstone.sources import normalise
 
@@ -102,6 +103,31 @@ def o164_event_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(scores, "query_id", "vec_id", 32).select("query_id", "vec_id", "rank")
 
 
+def _full_text(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index of stems, its sizes, and every sixth and seventh word of each benchmark passage as a question."""
+    events = Store(spark, sf_dir).events
+    found = stored(spark, f"{sf_dir}/documents.parquet", "full-text", lambda: fulltext.positions(events).repartitionByRange("stem", "event_id").sortWithinPartitions("stem", "event_id"))
+    counts = stored(spark, f"{sf_dir}/documents.parquet", "full-text-sizes", lambda: fulltext.sizes(events))
+    words = F.split("text", r"\s+")
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.concat_ws(" ", F.get(words, F.lit(5)), F.get(words, F.lit(6))).alias("question"))
+    return found, counts, questions
+
+
+@query(None)
+def o161_stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten events that answer best by BM25 over stems; a test compares it with another full-text engine."""
+    return fulltext.ranked(fulltext.search(*_full_text(spark, sf_dir)), 10).select("question_id", "event_id", "rank", rounded("score").alias("score"))
+
+
+@query(None)
+def o162_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten events that answer best by cover density: both words as a phrase or apart, without a passage's first word."""
+    found, _, q = _full_text(spark, sf_dir)
+    first = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.get(F.split("text", r"\s+"), F.lit(0)).alias("barred"))
+    asked = q.join(first, "question_id").select("question_id", F.concat(F.lit('"'), "question", F.lit('" or '), F.col("question"), F.lit(" -"), "barred").alias("question"))
+    return fulltext.ranked(fulltext.cover_ranks(found, asked), 10).select("question_id", "event_id", "rank", rounded("score").alias("score"))
+
+
 @query(None)
 def o164_index_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from an inverted-file index; a test holds it to a recall of 0.9 of o164_event_vectors."""
