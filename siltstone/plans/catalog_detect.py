@@ -283,7 +283,7 @@ def o154_replaced_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lessons(s: Store) -> DataFrame:
     """Every claim is a lesson of each source that it has evidence in; individual subjects are not eligible."""
     tenants = s.evidence.join(s.events.select("event_id", F.col("created_by").alias("tenant")), "event_id").where("tenant is not null").select("claim_id", "tenant").distinct()
-    c = s.claims.select("claim_id", F.col("text").alias("statement"), "confidence", (F.col("visibility") != "personal").alias("eligible"), (F.col("claim_id") % 20 / 10.0).alias("surprise"))
+    c = s.claims.select("claim_id", F.col("text").alias("statement"), "confidence", (F.col("visibility") != "personal").alias("eligible"), (F.col("claim_id") % 20 / 10.0).alias("surprise"), F.col("scope_service").alias("scope"), F.when(F.col("claim_id") % 9 == 0, "negative").alias("polarity"))
     return tenants.join(c, "claim_id").withColumnRenamed("claim_id", "lesson_id")
 
 
@@ -300,7 +300,7 @@ def o230_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = spark.createDataFrame([("acme corp",), ("thand",)], "term string")
     known = s.claims.where("lifecycle = 'promoted'").select("claim_id", "text")
     out = promote.promotion(_lessons(s), promote.denied_terms(terms, tenants), known)
-    return promote.released(out, 0.6).select("anchor_id", "outcome", "statement", "tenants", rounded("confidence").alias("confidence"))
+    return promote.released(out, 0.6).select("anchor_id", "outcome", "statement", "tenants", rounded("confidence").alias("confidence"), "scope", "polarity", "rank")
 
 
 @query(None)

@@ -496,6 +496,29 @@ def o241_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.trends(signals.hourly(signals.batch(table(spark, sf_dir, "events")))).select("event_type", rounded("slope").alias("slope"), "trend")
 
 
+PATTERNS_SQL = """WITH w AS (SELECT event_type, (epoch(date_trunc('hour', ts)) / 3600)::BIGINT AS hour, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+e AS (SELECT event_type, min(hour) AS a, max(hour) AS b FROM w GROUP BY 1), g AS (SELECT event_type, unnest(range(a, b + 1)) AS hour FROM e),
+s AS (SELECT event_type, hour, coalesce(n, 0) AS n FROM g LEFT JOIN w USING (event_type, hour)),
+t AS (SELECT event_type, count(*) AS hours, avg(n) AS mean, stddev_pop(n) AS sd, median(n) AS middle, min(hour) AS a, max(hour) AS b, regr_r2(n, hour) AS fit FROM s GROUP BY 1 HAVING stddev_pop(n) > 0),
+x AS (SELECT *, (n - mean) / sd AS z, hours / (hours + 24) AS seen FROM s JOIN t USING (event_type)),
+m AS (SELECT event_type, median(abs(n - middle)) / 0.6745 AS spread FROM x GROUP BY 1),
+r AS (SELECT p.event_type, q.hour - p.hour AS lag, p.hours, p.a, p.b, sum(p.z * q.z) / count(*) AS r FROM x p JOIN x q ON p.event_type = q.event_type AND q.hour - p.hour BETWEEN 2 AND 48 AND (q.hour - p.hour) * 2 <= p.hours GROUP BY ALL),
+gaps AS (SELECT event_type, count(gap) AS gaps, stddev_pop(gap) / avg(gap) AS uneven, min(hour) AS a, max(hour) AS b FROM (SELECT event_type, hour, hour - lag(hour) OVER (PARTITION BY event_type ORDER BY hour) AS gap FROM x WHERE z >= 2) GROUP BY 1),
+o AS (SELECT event_type, CASE WHEN n <= mean / 10 THEN 'stall' WHEN z >= 2 THEN 'spike' ELSE 'drop' END AS pattern, CASE WHEN n <= mean / 10 THEN 1 - n / mean ELSE abs(z) / 4 END AS strength, seen AS confidence, hour AS first_hour, hour AS last_hour FROM x WHERE n <= mean / 10 OR abs(z) >= 2
+  UNION ALL SELECT event_type, 'anomaly', abs(n - middle) / spread / 7, seen, hour, hour FROM x JOIN m USING (event_type) WHERE spread > 0 AND abs(n - middle) / spread >= 3.5
+  UNION ALL SELECT event_type, 'trend', sqrt(fit), fit * hours / (hours + 24), a, b FROM t WHERE fit >= 0.1
+  UNION ALL SELECT event_type, 'seasonality', r, least(1, hours / (lag * 8)), a, b FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(r, 9) DESC, lag) = 1) WHERE r >= 0.3
+  UNION ALL SELECT event_type, 'recurrence', 1 - uneven, gaps / (gaps + 2), a, b FROM gaps WHERE gaps >= 3 AND uneven <= 0.25)
+SELECT event_type, pattern, round(least(1, strength), 6) AS strength, round(confidence, 6) AS confidence, first_hour, last_hour FROM o"""
+
+
+@query(PATTERNS_SQL, False)
+def o241_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven patterns of each event type; tests plant one of each."""
+    x = signals.patterns(signals.hourly(signals.batch(table(spark, sf_dir, "events"))))
+    return x.select("event_type", "pattern", rounded("strength").alias("strength"), rounded("confidence").alias("confidence"), "first_hour", "last_hour")
+
+
 @query("SELECT event_id, min(event_type) AS event_type FROM events GROUP BY 1", False)
 def o244_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table delivered twice as a stream: each event once."""

@@ -93,6 +93,38 @@ def test_promotion_outcomes(spark):
     assert promote.released(promote.promotion(lessons, denied, known), 0.95).where("outcome = 'promoted'").count() == 0
 
 
+def test_promotion_ranks_scopes_and_curated(spark):
+    rng = random.Random(3)
+    subjects = ["retry budget guards payments", "cache absorbs read spikes", "index rebuild blocks writes", "canary release limits damage", "queue depth predicts lag"]
+    rows = []
+    for i, text in enumerate(subjects):
+        for t in range(3 + i % 3):
+            rows.append((len(rows), f"tenant{t}", text, rng.choice([0.5, 0.7, 0.9]), True, rng.choice([None, 0.0, 0.4]), f"s{i if i % 2 else t}", rng.choice(["positive", "negative", None])))
+    rows.append((len(rows), "tenant9", "backups need restore drills", 0.8, True, 0.9, None, None))
+    lessons = spark.createDataFrame(rows, "lesson_id long, tenant string, statement string, confidence double, eligible boolean, surprise double, scope string, polarity string")
+    denied, known = promote.denied_terms(spark.createDataFrame([], "term string"), lessons.select("tenant").distinct()), spark.createDataFrame([], "claim_id long, text string")
+    expected = []
+    for text in subjects:
+        own = [r for r in rows if r[2] == text]
+        best = min(own, key=lambda r: (-r[3], r[2], r[1], r[0]))
+        scopes = {r[6] for r in own}
+        expected.append((-max((r[5] or 0.0) for r in own), -len({r[1] for r in own}), -max(r[3] for r in own), text, scopes.pop() if len(scopes) == 1 else None, best[7] or "positive"))
+    found = sorted((r["rank"], r.statement, r.scope, r.polarity) for r in promote.promotion(lessons, denied, known).where("outcome = 'pending'").collect())
+    assert found == [(i + 1, x[3], x[4], x[5]) for i, x in enumerate(sorted(expected))]
+    curated = promote.promotion(lessons, denied, known, curated=True).where("outcome = 'pending'").collect()
+    assert {r.statement for r in curated} == {*subjects, "backups need restore drills"} and [r.statement for r in curated if r["rank"] == 1] == ["backups need restore drills"]
+
+
+def test_identifying_in_long_words(spark, monkeypatch):
+    """A word of 2 MB, and more phrases than one pass takes."""
+    word = "abcdefghij" * 200_000
+    s = spark.createDataFrame([(1, word), (2, word + "acme corp"), (3, "x" + word + "\tend of line"), (4, None), (5, "")], "statement_id long, statement string")
+    denied = spark.createDataFrame([("acme corp",), ("j\tend",), ("fghij abc",), ("abcdefghij",)], "term string")
+    for most in (50_000, 1):
+        monkeypatch.setattr(promote, "PHRASES", most)
+        assert {r.statement_id for r in promote.identifying(s, denied).collect()} == {2, 3}
+
+
 def test_identifying_terms(spark):
     s = spark.createDataFrame([(1, "the Acme Corp plan"), (2, "xacme corpse"), (3, "acmecorp"), (4, "a thing"), (5, "things")], "statement_id long, statement string")
     denied = spark.createDataFrame([("acme corp",), ("thing",)], "term string")
