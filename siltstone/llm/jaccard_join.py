@@ -229,7 +229,8 @@ def similarity_components(docs: DataFrame, words: int = WORDS, percent: int = PE
         plain = dealt.select(*columns)
         if large:
             every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-            hubs = doc_texts(docs).join(F.broadcast(sizes.where("chunks > 1")).withColumnRenamed("label", "doc_id"), "doc_id")
+            chunked = sizes.where("chunks > 1").withColumnRenamed("label", "doc_id")
+            hubs = doc_texts(docs).join(F.broadcast(chunked) if chunked.count() <= BROADCAST_ROWS else chunked, "doc_id")
             hubs = hubs.select(F.col("doc_id").alias("task"), every.alias("part"), "doc_id", "text").withColumn("deal", F.concat_ws("/", "task", "part"))
             plain = plain.unionByName(hubs.select(*columns))
         links = scratch.written(tree_join(plain, words, percent), "group-links")
@@ -258,7 +259,8 @@ def across_chunks(dealt: DataFrame, roots: DataFrame, words: int, percent: int)
 
 def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns, without those that are linked to one of smaller doc_id, directly or through others. Of
-    rows with one doc_id, one for each distinct text (null or not) stays; rows without doc_id stay."""
+    rows with one doc_id, one for each distinct text (null or not) stays: that whose columns, as JSON, hash least; rows without
+    doc_id stay."""
     found = similarity_components(docs, words, percent)
     gone = written(found.where("component_id <> doc_id").select("doc_id").distinct(), "linked")
     left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*(F.col(f"`{x}`") for x in docs.columns))
@@ -266,7 +268,8 @@ def one_of_each_group(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     if repeated.isEmpty():
         return left
     again = left.join(repeated, "doc_id", "left_semi").select(left.columns)
-    once = again.groupBy("doc_id", "text").agg(F.first(F.struct(*(F.col(f"`{x}`") for x in left.columns))).alias("kept_row")).select("kept_row.*")
+    whole = F.struct(*(F.col(f"`{x}`") for x in left.columns))
+    once = again.groupBy("doc_id", "text").agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("kept_row")).select("kept_row.*")
     return left.join(repeated, "doc_id", "left_anti").select(left.columns).unionByName(once)
 
 

@@ -392,6 +392,34 @@ def test_stages_keep_rows_whole(spark, name):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_packing_stage_takes_any_columns(spark):
+    """Clashing columns, null and repeated ids, and an empty table in the last stage."""
+    docs = odd_documents(spark)
+    found = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF)
+    assert {r.doc_id for r in found.select("doc_id").collect()} == {None, BIG, BIG - 2, 7}
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "language", "near_duplicates", "secrets", "packing"])
+def test_long_texts_in_stages(spark, name):
+    """Texts of 2 MB in every stage; what stays is whole but for masks."""
+    sentence = "the thing and the other thing was here and there again "
+    texts = [sentence * 36_000, "abcdefg" * 290_000, " ".join(f"token=abcdef{i} and" for i in range(6000))]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    if name == "packing":
+        assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {0, 1, 2}
+    else:
+        assert all(name == "secrets" or r.text == texts[r.doc_id] for r in out.collect()) and out.count() <= 3
+
+
+def test_long_turns(spark):
+    rows = [(1, 0, "user", "word " * 400_000), (1, 1, "assistant", "[INST]" * 100_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (found,) = chat_format.digests(chat_format.render(chat_format.fold_log(chat_format.log_of(frame)))).collect()
+    assert found.n_turns == 2 and found.loss_chars == 600_000
+
+
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op6", "op7", "op8", "op9", "op10"])
 def test_long_texts(spark, operators, name):
     """A text of 2 MB, one word of 2 MB, and a text with thousands of matches."""
