@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import dedup_key, sentences
 from siltstone.operators import evidence, retrieval
+from siltstone.operators.lifecycle import ranked
 from siltstone.sources.shared import HEAVY, heavy_split, stored
 
 BASE, NOW, DAY = 1_685_577_600, 1_706_745_600, 86_400
-#: Room for the sentences of one document in a claim's number, and the first document number that has none left: beyond
-#: either, a query stops with an error.
-ROOM, MOST_DOCS = 1 << 24, 1 << 39
+#: Room for the sentences of one document in a claim's number (a document of more stops a query with an error), and the first
+#: document id that is not its own number: negative and greater ids are numbered from there, in their order.
+ROOM, FAR_IDS = 1 << 24, 1 << 38
 
 
 def now() -> Column:
@@ -34,16 +35,27 @@ def instant(column: str) -> Column:
 
 
 def kb_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    """Documents without an id are no events."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
     at = F.timestamp_seconds(F.lit(BASE) + F.col("doc_id") % 240 * DAY)
     return d.select(F.col("doc_id").alias("event_id"), F.col("lang").alias("run_id"), F.col("source").alias("created_by"), F.coalesce("text", F.lit("")).alias("content"), at.alias("ts"))
 
 
+def with_numbers(events: DataFrame) -> DataFrame:
+    """Events with their document number: the id, or its place among those out of range."""
+    near = F.col("event_id").between(0, FAR_IDS - 1)
+    far = events.where(~near).select("event_id").distinct()
+    own = events.withColumn("doc_number", F.col("event_id"))
+    if far.isEmpty():
+        return own
+    numbers = ranked(far, [F.col("event_id")]).select("event_id", (F.lit(FAR_IDS - 1) + F.col("rank")).alias("doc_number"))
+    return own.where(near).unionByName(events.where(~near).join(numbers, "event_id").select(own.columns))
+
+
 def statements(events: DataFrame) -> DataFrame:
     """event_id, pos, number, text, key of each sentence of 12 characters or more."""
-    s = events.select("event_id", F.posexplode(sentences(F.col("content"))).alias("pos", "raw"))
-    fits = (F.col("pos") < ROOM) & F.col("event_id").between(0, MOST_DOCS - 1)
-    number = F.when(fits, F.col("event_id") * ROOM + F.col("pos")).otherwise(F.raise_error(F.lit("a document or sentence number is out of range")).cast("long"))
+    s = with_numbers(events).select("event_id", "doc_number", F.posexplode(sentences(F.col("content"))).alias("pos", "raw"))
+    number = F.when(F.col("pos") < ROOM, F.col("doc_number") * ROOM + F.col("pos")).otherwise(F.raise_error(F.lit("a document has too many sentences")).cast("long"))
     s = s.select("event_id", "pos", number.alias("number"), F.trim(F.rtrim("raw", F.lit(". "))).alias("text"))
     return s.where(F.char_length("text") >= 12).withColumn("key", dedup_key(F.col("text")))
 
