@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import DAY, now, table
-from siltstone.operators import admission, analytics, evidence, graph, lifecycle, promote, relate, retrieval, store
+from siltstone.operators import admission, analytics, evidence, graph, lifecycle, merge, promote, relate, retrieval, store
 from siltstone.plans.catalog import BINS_SQL, LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
 from siltstone.plans.catalog_more import BM25_SQL, GAP_SQL, LOCAL_SQL, PATH_SQL, _questions, _quoted, tokens_sql, words_sql
 from siltstone.sources import normalise
+from siltstone.sources.shared import Scratch
 from siltstone.streaming import signals
 
 
@@ -336,6 +339,29 @@ def o186_merge_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.winners(c, roots)
 
 
+@query(TRUST_SQL + r""", groups AS (SELECT claim_id, trust, created_at, min(claim_id) OVER (PARTITION BY created_by, type, scope_service, citation_count) AS root, count(*) OVER (PARTITION BY created_by, type, scope_service, citation_count) AS n FROM trusted),
+m AS (SELECT * FROM (SELECT claim_id AS old_id, first_value(claim_id) OVER (PARTITION BY root ORDER BY round(trust, 9) DESC, created_at, claim_id) AS new_id FROM groups WHERE n > 1) WHERE old_id <> new_id),
+e AS (SELECT DISTINCT coalesce(a.new_id, from_id) AS f, coalesce(b.new_id, to_id) AS t, type FROM kb_edges LEFT JOIN m a ON a.old_id = from_id LEFT JOIN m b ON b.old_id = to_id),
+fb AS (SELECT coalesce(new_id, claim_id) AS claim_id, claim_id AS was, claim_id % 5 AS helpful, claim_id % 3 AS streak, claim_id % 200 AS seen FROM kb_claims LEFT JOIN m ON old_id = claim_id WHERE claim_id % 4 = 0),
+ex AS (SELECT coalesce(new_id, claim_id) AS claim_id, claim_id AS was, claim_id % 10 AS predicted FROM kb_claims LEFT JOIN m ON old_id = claim_id WHERE claim_id % 6 = 0)
+SELECT 'claims' AS kind, claim_id AS a, NULL::BIGINT AS b, NULL AS c FROM kb_claims WHERE claim_id NOT IN (SELECT old_id FROM m)
+UNION ALL SELECT DISTINCT 'evidence', coalesce(new_id, claim_id), event_id, NULL FROM kb_evidence LEFT JOIN m ON old_id = claim_id
+UNION ALL SELECT 'edges', f, t, type FROM e WHERE f <> t
+UNION ALL SELECT 'feedback', claim_id, sum(helpful)::BIGINT, max(streak) || ' ' || max(seen) || ' note ' || arg_max(was, seen::HUGEINT * 4000000000000000000 + (was = claim_id)::INT * 2000000000000000000 - was) FROM fb GROUP BY claim_id
+UNION ALL SELECT 'expectations', claim_id, predicted, NULL FROM ex QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY was <> claim_id, was) = 1""")
+def o186_applied_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables after the merges of o186_merge_winners, kept in buckets by claim."""
+    s = Store(spark, sf_dir)
+    tables = merge.merge_tables(spark, s.claims, s.evidence, s.edges)
+    scratch = Scratch(spark, "merged")
+    out = merge.applied({name: merge.bucketed(df, "from_id" if name == "edges" else "claim_id", 8) for name, df in tables.items()}, o186_merge_winners(spark, sf_dir), scratch)
+    none = F.lit(None)
+    feedback = F.concat_ws(" ", F.col("streak").cast("string"), F.col("at").cast("string"), "note")
+    parts = {"claims": ("claim_id", none.cast("long"), none.cast("string")), "evidence": ("claim_id", F.col("event_id"), none.cast("string")), "edges": ("from_id", F.col("to_id"), F.col("type")), "feedback": ("claim_id", F.col("helpful").cast("long"), feedback), "expectations": ("claim_id", F.col("predicted").cast("long"), none.cast("string"))}
+    rows = [out[name].select(F.lit(name).alias("kind"), F.col(a).alias("a"), b.alias("b"), c.alias("c")) for name, (a, b, c) in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("""SELECT action_id + 1000000000 AS from_id, 'outcome_of' AS type, action_id AS to_id FROM kb_actions WHERE result <> 'unknown'
   UNION ALL SELECT action_id, 'action_of', action_id + 1000000000 FROM kb_actions WHERE result <> 'unknown'
   UNION SELECT action_id + 1000000000, CASE result WHEN 'success' THEN 'validates' ELSE 'refutes' END, b FROM (SELECT *, unnest([user_id, user_id + 1]) AS b FROM kb_actions WHERE result IN ('success', 'failure'))""")
