@@ -123,8 +123,12 @@ def claim_ranking(claims: DataFrame, scores: DataFrame, salience: Column | None
     return claims.join(scores, "claim_id", "left").withColumn("score", base)
 
 
-def within_budget(lines: DataFrame, by: str, order: list[str | Column], max_tokens: int) -> DataFrame:
-    """The first lines of each group, in order, while their characters make at most four times the tokens."""
+def within_budget(lines: DataFrame, by: str, order: list[str | Column], max_tokens: int, least_chars: int = 0) -> DataFrame:
+    """The first lines of each group, in order, while their characters make at most four times the tokens. Where no line is
+    shorter than least_chars, only so many lines of a group as can fit at all come together."""
+    if least_chars:
+        first = Window.partitionBy(by).orderBy(*order)
+        lines = lines.withColumn("line_rank", F.row_number().over(first)).where(F.col("line_rank") <= 4 * max_tokens // least_chars + 1).drop("line_rank")
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn("used", F.sum(F.char_length("line")).over(w)).where(F.col("used") / 4 <= max_tokens)
 

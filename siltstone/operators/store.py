@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import text
+
 
 def appended(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Stored rows, and incoming ones of new keys (of repeated keys, one)."""
@@ -106,6 +108,28 @@ def audit(kinds: dict[str, DataFrame], author: str, since: Column) -> DataFrame:
     return out
 
 
+def tier_conflicts(claims: DataFrame, shared: DataFrame) -> DataFrame:
+    """claim_id, against: claims (claim_id, text) and the first shared one with the same words but for negations, of which one
+    has an odd number and the other an even one. Shared claims are one for each wording, so that none meets many."""
+    def cores(df: DataFrame) -> DataFrame:
+        return df.select("claim_id", text.polarity_core(F.col("text")).alias("core"), text.negation_parity(F.col("text")).alias("odd")).where("core <> ''")
+
+    first = cores(shared).groupBy("core", "odd").agg(F.min("claim_id").alias("against")).select("core", (1 - F.col("odd")).alias("odd"), "against")
+    return cores(claims).join(first, ["core", "odd"]).select("claim_id", "against")
+
+
+def names_inside(names: DataFrame) -> DataFrame:
+    """name, inside: every name (rows of name) that stands anywhere in another one: each name's parts of the lengths that
+    names have are looked up, so that no two names are compared that have nothing in common."""
+    once = names.where("name <> ''").select("name").distinct()
+    lengths = once.select(F.char_length("name").alias("n")).distinct()
+    sizes = F.broadcast(lengths.agg(F.array_sort(F.collect_set("n")).alias("sizes")))
+    fits = F.filter("sizes", lambda n: n < F.char_length("name"))
+    parts = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), F.char_length("name") - n + 1), lambda i: F.substring("name", i, n))))
+    found = once.join(sizes, F.lit(True)).select("name", F.explode(F.array_distinct(parts)).alias("inside"))
+    return found.join(once.select(F.col("name").alias("inside")), "inside").select("name", "inside")
+
+
 def claim_entities(claims: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
     """Claims with their entities by links (claim_id, entity_id, role)."""
     return claims.select("claim_id").join(links, "claim_id").join(entities, "entity_id")
