@@ -7,7 +7,7 @@ from test_detect import plain_features, plain_relation
 
 from siltstone import model
 from siltstone.functions import detect
-from siltstone.plans import QUERIES
+from siltstone.plans import QUERIES, catalog_whole
 from siltstone.plans.catalog import Store
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +47,19 @@ def test_relations_of_all_claims(spark):
     assert {x for x in found if not (odd(x[0]) and odd(x[1]))} == {x for x in new if not (odd(x[0]) and odd(x[1]))}
     inner = {x for x in found if odd(x[0]) and odd(x[1])}
     assert {x for x in typed if odd(x[0]) and odd(x[1])} <= inner
+
+
+def test_detectors_fire_on_tables(spark):
+    """Numbers of parts and aspects of orders against plain rules over all pairs that share a word."""
+    for name, detector, frame in (("o202_part_sizes", "numbers", catalog_whole.part_statements), ("o204_order_states", "aspects", catalog_whole.order_statements)):
+        rows = frame(spark, SF).select("claim_id", "text", detect.measures(F.col("text")).alias("m")).collect()
+        claims = [(r.claim_id, plain_features(r.text, [(v.value, v.unit) for v in r.m])) for r in sorted(rows, key=lambda r: r.claim_id)]
+        by_word = {}
+        for i, (_, f) in enumerate(claims):
+            for w in f[0]:
+                by_word.setdefault(w, []).append(i)
+        # `complet`, `planned` and `ongoing` tie no two customers together in aspects
+        met = {(i, j) for w, at in by_word.items() if w.startswith("customer") or detector == "numbers" for i in at for j in at if i < j}
+        expected = {(claims[i][0], claims[j][0]) for i, j in met if (plain_relation(claims[i][1], claims[j][1], True) or ("", ""))[1] == detector}
+        found = [tuple(r) for r in QUERIES[name](spark, SF).collect()]
+        assert len(found) == len(set(found)) and set(found) == expected and len(found) > 5
