@@ -12,7 +12,7 @@ from siltstone.sources.shared import Scratch, scratch_path
 
 #: Up to so many merges are sent to the tables by broadcast; more meet them by shuffle, or bucket by bucket.
 BROADCAST_MERGES = 300_000
-#: What a claim may be kept by in a store of merges, in the order in which the first is chosen.
+#: The tables that refer to claims.
 DEPENDANTS = ("evidence", "edges", "entities", "expectations", "feedback", "embeddings")
 
 

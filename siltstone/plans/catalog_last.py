@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from siltstone import model
 from siltstone.functions import scoring, text
-from siltstone.model import DAY, now, table
+from siltstone.model import now, table
 from siltstone.operators import admission, analytics, evidence, graph, lifecycle, merge, promote, relate, retrieval, store
-from siltstone.plans.catalog import BINS_SQL, LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
-from siltstone.plans.catalog_more import BM25_SQL, GAP_SQL, LOCAL_SQL, PATH_SQL, _questions, _quoted, tokens_sql, words_sql
+from siltstone.plans.catalog import LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
+from siltstone.plans.catalog_more import BM25_SQL, GAP_SQL, LOCAL_SQL, PATH_SQL, _questions, _quoted, words_sql
 from siltstone.sources import normalise
 from siltstone.sources.shared import Scratch
 from siltstone.streaming import signals

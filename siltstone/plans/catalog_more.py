@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone import model
 from siltstone.functions import scoring, text
 from siltstone.model import now, table
-from siltstone.operators import evidence, graph, lifecycle, relate, retrieval, store, vector_index
+from siltstone.operators import evidence, graph, lifecycle, retrieval, store, vector_index
 from siltstone.plans.answer import QUESTION, answer
 from siltstone.plans.catalog import GAP_SQL, LATEST_SQL, TRUST_SQL, Store, query, rounded, seconds
 from siltstone.streaming import signals
