@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
 from siltstone.functions.text import token_set
-from siltstone.sources.shared import Scratch, written
+from siltstone.sources.shared import HEAVY, Scratch, heavy_split, written
 
 #: Cosine from which two vectors say the same, and rows in a block of the comparison of all pairs.
 LEAST_COSINE, BLOCK = 0.92, 2000
@@ -152,51 +152,122 @@ def recombinations(claims: DataFrame, edges: DataFrame, least: float = 0.34, wor
 NEIGHBOURHOOD_HOPS, LEAST_ANALOGY = 2, 0.5
 
 
-def neighbourhoods(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seed, node) within NEIGHBOURHOOD_HOPS of each seed, itself included, and (seed, from_id, to_id, type) of the edges
-    passed on the way: those at a node nearer than the last hop."""
-    around = both_ways(edges.select("from_id", "to_id")).distinct()
-    nodes = seeds.select(F.col("claim_id").alias("seed"), F.col("claim_id").alias("node")).distinct()
-    near = nodes
-    for hop in range(NEIGHBOURHOOD_HOPS):
-        if hop == NEIGHBOURHOOD_HOPS - 1:
-            near = nodes
-        met = nodes.join(around.withColumnRenamed("from_id", "node"), "node").select("seed", F.col("to_id").alias("node"))
-        nodes = nodes.unionByName(met).distinct()
+#: Components of at most so many edges are decided by one task each.
+IN_A_TASK = 200_000
+
+
+def to_neighbours(ends: DataFrame, values: DataFrame, most: int) -> DataFrame:
+    """ends (node, other) with the values of node (node, k, ...), of which k is the number of its ends; nodes of more than
+    `most` ends by broadcast, as few can have so many."""
+    return heavy_split(ends, "node", values, most)
+
+
+def representatives(edges: DataFrame, nodes: DataFrame, scratch: Scratch, in_a_task: int = IN_A_TASK) -> DataFrame:
+    """node of those taken when nodes (node, degree) are taken by falling degree, then id, and each within
+    NEIGHBOURHOOD_HOPS = 2 steps of one taken before is left out. No pair of nodes is made: in a round each node hears the
+    first undecided node within two steps by passing minima along edges twice, is taken if that is itself, and what is near
+    a taken one goes. Small components are decided by one task each, so long chains there cost no rounds."""
+    ends = scratch.written(both_ways(edges.select("from_id", "to_id").where("from_id <> to_id")).distinct().toDF("node", "other"), "ends")
+    most = max(1, ends.count() // HEAVY)
+    sizes = ends.groupBy("node").agg(F.count("*").alias("k"))
+    roots = components(ends.where("node < other").toDF("a", "b"), scratch)
+    roots = scratch.written(sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    large = roots.groupBy("root").agg(F.sum("k").alias("ends")).where(F.col("ends") > 2 * in_a_task).select("root")
+    known = roots.join(nodes, "node", "left").select("node", "k", "root", "degree")
+    alone = nodes.select("node").join(sizes, "node", "left_anti")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        around: dict[int, list[int]] = {}
+        degree: dict[int, int] = {}
+        for n, other, d in zip(part["node"].tolist(), part["other"].tolist(), part["degree"].tolist(), strict=True):
+            around.setdefault(n, []).append(other)
+            if d >= 0:
+                degree[n] = int(d)
+        taken, near = [], set()
+        for n in sorted(degree, key=lambda x: (-degree[x], x)):
+            if n not in near:
+                taken.append(n)
+                near.add(n)
+                near.update(around[n])
+                for other in around[n]:
+                    near.update(around[other])
+        return pd.DataFrame({"node": taken}, dtype="int64")
+
+    small = to_neighbours(ends, known.join(large, "root", "left_anti").withColumn("degree", F.coalesce("degree", F.lit(-1).cast("long"))), most)
+    taken = scratch.written(alone.unionByName(small.groupBy("root").applyInPandas(run, "node long")), "taken")
+    state = scratch.written(known.join(large, "root", "left_semi").select("node", "k", F.when(F.col("degree").isNotNull(), F.struct((-F.col("degree")).alias("d"), F.col("node").alias("id"))).alias("first")), "state")
+    while not state.where("first is not null").isEmpty():
+        heard = state
+        for _ in range(NEIGHBOURHOOD_HOPS):
+            heard = scratch.written(heard, "heard")
+            met = to_neighbours(ends, heard.where("first is not null").select("node", "k", "first"), most).groupBy(F.col("other").alias("node")).agg(F.min("first").alias("met"))
+            heard = heard.join(met, "node", "left").select("node", "k", F.least("first", "met").alias("first"))
+        new = scratch.written(heard.where("first.id = node").select("node", "k"), "new")
+        gone = new
+        for _ in range(NEIGHBOURHOOD_HOPS):
+            gone = scratch.written(gone, "gone")
+            reached = to_neighbours(ends, gone, most).select(F.col("other").alias("node"))
+            gone = gone.select("node").unionByName(reached).distinct().join(state.select("node", "k"), "node")
+        taken = taken.unionByName(new.select("node"))
+        left = state.join(gone.select("node", F.lit(True).alias("gone")), "node", "left")
+        state = scratch.written(left.select("node", "k", F.when(F.col("gone").isNull(), F.col("first")).alias("first")), "state")
+    return scratch.written(taken, "taken")
+
+
+def neighbourhoods(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(seed, node) within NEIGHBOURHOOD_HOPS of each seed (claim_id), itself included, and (seed, from_id, to_id, type) of
+    the edges passed on the way: those at a node nearer than the last hop. Of seeds more than two steps apart no node is next
+    to two, so both frames have at most two rows for each edge, besides a row for each seed."""
     own = edges.select("from_id", "to_id", "type").distinct()
-    passed = near.join(own.withColumn("node", F.col("from_id")), "node").unionByName(near.join(own.withColumn("node", F.col("to_id")), "node"))
+    ends = own.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), "from_id", "to_id", "type").unionByName(own.select(F.col("to_id").alias("node"), F.col("from_id").alias("other"), "from_id", "to_id", "type"))
+    ends = scratch.written(ends, "ends")
+    sizes = ends.groupBy("node").agg(F.count("*").alias("k"))
+    most = max(1, ends.count() // HEAVY)
+    nodes = seeds.select(F.col("claim_id").alias("seed"), F.col("claim_id").alias("node")).distinct()
+    for _ in range(NEIGHBOURHOOD_HOPS):
+        passed = scratch.written(to_neighbours(ends, nodes.join(sizes, "node"), most), "passed")
+        nodes = scratch.written(nodes.unionByName(passed.select("seed", F.col("other").alias("node"))).distinct(), "nodes")
     return nodes, passed.select("seed", "from_id", "to_id", "type").distinct()
 
 
-def fingerprints(nodes: DataFrame, passed: DataFrame, roles: DataFrame) -> DataFrame:
+def fingerprints(nodes: DataFrame, passed: DataFrame, roles: DataFrame, scratch: Scratch) -> DataFrame:
     """seed, label, n: how often each label occurs in a seed's neighbourhood. A node's labels are its role (claim_id, role;
-    unknown without one), then twice a hash of the label before and the sorted types and labels of its neighbours."""
-    ends = passed.select("seed", F.col("from_id").alias("node"), F.col("to_id").alias("other"), "type").unionByName(passed.select("seed", F.col("to_id").alias("node"), F.col("from_id").alias("other"), "type"))
+    unknown without one), then twice a hash of the label before and of the types and labels of its neighbours. Those are
+    hashed one by one and added up (two sums of 64-bit hashes), so a hub's neighbours are summed in parts before they meet."""
+    ends = scratch.written(passed.select("seed", F.col("from_id").alias("node"), F.col("to_id").alias("other"), "type").unionByName(passed.select("seed", F.col("to_id").alias("node"), F.col("from_id").alias("other"), "type")), "ends")
+    sizes = ends.groupBy("seed", "node").agg(F.count("*").alias("k"))
+    most = max(1, ends.count() // HEAVY)
     labels = nodes.join(roles.withColumnRenamed("claim_id", "node"), "node", "left").select("seed", "node", F.coalesce("role", F.lit("unknown")).alias("label"))
+    labels = scratch.written(labels.join(sizes, ["seed", "node"], "left"), "labels")
     every = labels.select("seed", "label")
     for _ in range(2):
-        theirs = labels.select("seed", F.col("node").alias("other"), F.col("label").alias("other_label"))
-        tags = ends.join(theirs, ["seed", "other"]).groupBy("seed", "node").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "type", "other_label"))), ",").alias("tags"))
-        labels = labels.join(tags, ["seed", "node"], "left").select("seed", "node", F.sha2(F.concat_ws("#", "label", F.coalesce("tags", F.lit(""))), 256).alias("label"))
+        told = heavy_split(ends, ["seed", "node"], labels.where("k is not null"), most)
+        sums = [F.sum(F.xxhash64(F.lit(salt), "type", "label").cast("decimal(20,0)")).alias(f"sum{salt}") for salt in (1, 2)]
+        tags = told.groupBy("seed", F.col("other").alias("node")).agg(F.count("*").alias("n"), *sums)
+        tag = F.concat_ws(":", F.col("n").cast("string"), F.col("sum1").cast("string"), F.col("sum2").cast("string"))
+        labels = scratch.written(labels.join(tags, ["seed", "node"], "left").select("seed", "node", F.sha2(F.concat_ws("#", "label", F.coalesce(tag, F.lit(""))), 256).alias("label"), "k"), "labels")
         every = every.unionByName(labels.select("seed", "label"))
     return every.groupBy("seed", "label").agg(F.count("*").alias("n"))
 
 
 def analogies(edges: DataFrame, roles: DataFrame, anchor: int, limit: int = 10) -> DataFrame:
     """claim_id, similarity of the claims whose neighbourhoods are most like the anchor's in structure. Claims are taken by
-    falling degree, then id; one inside the neighbourhood of a claim taken before, or of the anchor, is represented by it."""
-    from siltstone.operators.promote import first_independent
-
+    falling degree, then id; one inside the neighbourhood of a claim taken before, or of the anchor, is represented by it.
+    Representatives are chosen first and only their neighbourhoods are built, so work grows with the edges. An anchor without
+    edges is like nothing."""
     spark = edges.sparkSession
-    degree = edges.select("from_id", "to_id", "type").distinct().select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    own_nodes, own_edges = neighbourhoods(edges, spark.createDataFrame([(anchor,)], "claim_id long"))
-    others = degree.join(own_nodes.select("node"), "node", "left_anti")
-    nodes, passed = neighbourhoods(edges, others.select(F.col("node").alias("claim_id")))
-    conflicts = nodes.where("seed <> node").select(F.col("seed").alias("a"), F.col("node").alias("b"))
-    taken = first_independent(others.select("node", F.struct((-F.col("degree")).alias("d"), "node").alias("order")), conflicts).withColumnRenamed("node", "seed")
-    theirs = fingerprints(nodes.join(taken, "seed", "left_semi"), passed.join(taken, "seed", "left_semi"), roles)
-    own = fingerprints(own_nodes, own_edges, roles).select("label", F.col("n").alias("own_n"))
-    norm = own.agg(F.sqrt(F.sum(F.col("own_n") * F.col("own_n"))).alias("own_norm"))
-    x = theirs.join(F.broadcast(own), "label", "left").groupBy("seed").agg(F.sum(F.col("n") * F.coalesce("own_n", F.lit(0))).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    x = x.join(F.broadcast(norm), F.lit(True)).select(F.col("seed").alias("claim_id"), (F.col("dot") / (F.col("norm") * F.col("own_norm"))).alias("similarity"))
-    return x.where(F.col("similarity") >= LEAST_ANALOGY).orderBy(F.desc(F.round("similarity", 9)), "claim_id").limit(limit)
+    with Scratch(spark, "analogies") as scratch:
+        own_edges = scratch.written(edges.select("from_id", "to_id", "type").distinct(), "edges")
+        degree = own_edges.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+        near, near_edges = neighbourhoods(own_edges, spark.createDataFrame([(anchor,)], "claim_id long"), scratch)
+        own = scratch.written(fingerprints(near, near_edges, roles, scratch), "own")
+        taken = representatives(own_edges, degree.join(near.select("node"), "node", "left_anti"), scratch)
+        nodes, passed = neighbourhoods(own_edges, taken.select(F.col("node").alias("claim_id")), scratch)
+        theirs = scratch.written(fingerprints(nodes, passed, roles, scratch), "theirs")
+        counts = theirs.groupBy("label").agg(F.count("*").alias("k"))
+        shared = heavy_split(theirs, "label", own.select("label", F.col("n").alias("own_n")).join(counts, "label"), max(1, theirs.count() // HEAVY))
+        dot = shared.groupBy("seed").agg(F.sum(F.col("n") * F.col("own_n")).alias("dot"))
+        norm = theirs.groupBy("seed").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+        own_norm = own.agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("own_norm"))
+        x = dot.join(norm, "seed").join(F.broadcast(own_norm), F.lit(True)).select(F.col("seed").alias("claim_id"), (F.col("dot") / (F.col("norm") * F.col("own_norm"))).alias("similarity"))
+        return written(x.where(F.col("similarity") >= LEAST_ANALOGY).orderBy(F.desc(F.round("similarity", 9)), "claim_id").limit(limit), "analogies")

@@ -13,6 +13,7 @@ from siltstone import model
 from siltstone.functions import text
 from siltstone.operators import graph, health, lifecycle, promote, recall, retrieval
 from siltstone.plans.catalog_last import consolidation_tables
+from siltstone.sources.shared import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,6 +199,32 @@ def test_analogies(spark):
     assert [(r.claim_id, round(r.similarity, 6)) for r in found] == sorted(out, key=lambda x: (-x[1], x[0]))[:10]
 
 
+@pytest.mark.parametrize("in_a_task", [200_000, 5])
+def test_representatives(spark, in_a_task):
+    """A hub, a chain, loose pairs, a loop and random edges; by one task for each component, and in rounds."""
+    rng = random.Random(9)
+    edges = {(0, i) for i in range(1, 60)} | {(i, i + 1) for i in range(100, 130)} | {(200 + 2 * i, 201 + 2 * i) for i in range(5)} | {(300, 300)}
+    edges |= {(400 + rng.randrange(80), 400 + rng.randrange(80)) for _ in range(90)}
+    around, degree = {}, Counter()
+    for a, b in edges:
+        around.setdefault(a, {a}).add(b)
+        around.setdefault(b, {b}).add(a)
+        degree.update({a, b})
+    open_nodes = {n: d for n, d in degree.items() if n % 7}
+    near, expected = set(), set()
+    for n in sorted(open_nodes, key=lambda x: (-degree[x], x)):
+        if n not in near:
+            expected.add(n)
+            near |= {o for m in around[n] for o in around[m]}
+    frame = spark.createDataFrame([(a, b, "supports") for a, b in sorted(edges)], "from_id long, to_id long, type string")
+    nodes = spark.createDataFrame(list(open_nodes.items()), "node long, degree long")
+    with Scratch(spark, "test") as scratch:
+        taken = graph.representatives(frame, nodes, scratch, in_a_task)
+        assert {r.node for r in taken.collect()} == expected
+        seen, passed = graph.neighbourhoods(frame, taken.select(F.col("node").alias("claim_id")), scratch)
+        assert passed.count() <= 2 * len(edges) and seen.count() <= 2 * len(edges) + len(expected)
+
+
 def test_rerank(spark):
     edges = spark.createDataFrame([(1, 7, "supports", 1.0), (7, 8, "causes", 10.0), (2, 9, "contradicts", 1.0)], "from_id long, to_id long, type string, strength double")
     ranked = spark.createDataFrame([(i, i) for i in range(1, 11)], "claim_id long, rank int")
