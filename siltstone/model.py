@@ -157,6 +157,24 @@ def kb_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"{sf_dir}/documents.parquet", "event-sizes", lambda: retrieval.event_sizes(kb_events(spark, sf_dir)))
 
 
+def kb_claim_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as kb_postings of claims: event_id is the claim."""
+    def build() -> DataFrame:
+        p = retrieval.postings(claim_texts(spark, sf_dir))
+        return p.repartitionByRange("term", "event_id").sortWithinPartitions("term", "event_id")
+
+    return stored(spark, f"{sf_dir}/documents.parquet", "claim-postings", build)
+
+
+def kb_claim_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: n_docs, mean_size (words of a claim)."""
+    return stored(spark, f"{sf_dir}/documents.parquet", "claim-sizes", lambda: retrieval.event_sizes(claim_texts(spark, sf_dir)))
+
+
+def claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kb_claims(spark, sf_dir).select(F.col("claim_id").alias("event_id"), F.col("text").alias("content"))
+
+
 def kb_verdicts(claims: DataFrame) -> DataFrame:
     """Verdict edges: one in five claims is validated, one in seven refuted, some both."""
     n = F.col("claim_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import scoring
-from siltstone.functions.text import doc_tokens, token_set
+from siltstone.functions.text import intent, token_set
 from siltstone.operators import graph, retrieval
 from siltstone.operators.admission import Admission, admit
 from siltstone.sources.shared import written
@@ -20,13 +20,17 @@ CONTEXT_HOPS, CONTEXT_DECAY, CONTEXT_BOOST, ROUNDS, EVENTS = 2, 0.5, 3.0, 3, 5
 
 @dataclass
 class Store:
-    """The frames that recall reads: postings and their sizes, claims with trust, evidence, and edges."""
+    """The frames that recall reads: postings of events and of claims (event_id is the claim) and their sizes, claims with
+    trust, evidence, edges, and vectors of claims (claim_id, embedding) where there are any."""
 
     postings: DataFrame
     sizes: DataFrame
+    claim_postings: DataFrame
+    claim_sizes: DataFrame
     claims: DataFrame
     evidence: DataFrame
     edges: DataFrame
+    claim_vectors: DataFrame | None = None
 
 
 @dataclass
@@ -35,6 +39,7 @@ class Options:
     min_trust: float = 0.0
     limit: int = 10
     hops: int = 0
+    salient: bool = False
 
 
 def with_hops(edges: DataFrame, found: DataFrame, hops: int | Column, most: int) -> DataFrame:
@@ -51,25 +56,52 @@ def with_hops(edges: DataFrame, found: DataFrame, hops: int | Column, most: int)
     return every
 
 
+def relevance(s: Store, candidates: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, claim_id, relevance of candidates (question_id, claim_id): BM25 over all claims by the best claim of the
+    question, and with vectors of claims and of questions (column vector) the cosine by the best of its candidates; half of
+    each where a question has both, else the one that it has. Null without either."""
+    words = retrieval.bm25_by_index(s.claim_postings, s.claim_sizes, questions.select("question_id", "question")).withColumnRenamed("event_id", "claim_id")
+    tops = words.groupBy("question_id").agg(F.max("score").alias("top"))
+    x = candidates.join(words, ["question_id", "claim_id"], "left").join(tops, "question_id", "left").withColumn("by_words", F.coalesce("score", F.lit(0.0)) / F.col("top")).drop("score")
+    if s.claim_vectors is None or "vector" not in questions.columns:
+        return x.select("question_id", "claim_id", F.col("by_words").alias("relevance"))
+    near = candidates.join(s.claim_vectors, "claim_id").join(questions.select("question_id", "vector"), "question_id")
+    near = written(near.select("question_id", "claim_id", scoring.cosine(F.col("embedding"), F.col("vector")).alias("cosine")), "cosines")
+    x = x.join(near, ["question_id", "claim_id"], "left").join(near.groupBy("question_id").agg(F.max("cosine").alias("most")).where("most > 0"), "question_id", "left")
+    by_vectors = F.coalesce("cosine", F.lit(0.0)) / F.col("most")
+    both = 0.5 * F.col("by_words") + 0.5 * by_vectors
+    return x.select("question_id", "claim_id", F.coalesce(both, "by_words", by_vectors).alias("relevance"))
+
+
 def recall(s: Store, questions: DataFrame, o: Options) -> DataFrame:
     """question_id, claim_id, text, trust, hop, created_at, rank of the admitted claims of each question's best EVENTS events,
-    and of those within o.hops steps: by words in common with the question, then trust, then id; those reached by steps come
-    after. questions: question_id, question, and where it has them limit and hops of its own."""
+    and of the admitted ones within o.hops steps of those. The events' own claims come first: those of the kind that the
+    question asks for, then by `relevance` (with salience if o.salient, and less what inhibits them), then the older, then id;
+    those reached by steps come after, by trust, then id. questions: question_id, question, and where it has them limit, hops
+    and vector of its own."""
     scores = retrieval.bm25_by_index(s.postings, s.sizes, questions)
     top = retrieval.top_k(scores, "question_id", "event_id", EVENTS)
+    gate = Admission(o.now, min_trust=o.min_trust)
     found = top.join(s.evidence, "event_id").select("question_id", "claim_id").distinct()
+    found = written(admit(found.join(s.claims, "claim_id"), gate).select("question_id", "claim_id"), "direct")
     own_hops = "hops" in questions.columns
-    asked = questions.select("question_id", F.array_distinct(doc_tokens(F.col("question"))).alias("words"), F.coalesce(F.col("limit") if "limit" in questions.columns else F.lit(None), F.lit(o.limit)).alias("most"))
+    asked = questions.select("question_id", intent(F.col("question")).alias("wanted"), F.coalesce(F.col("limit") if "limit" in questions.columns else F.lit(None), F.lit(o.limit)).alias("most"))
     most_hops = (questions.agg(F.max("hops")).first()[0] or 0) if own_hops else o.hops
+    ranks = relevance(s, found, questions)
     if most_hops:
         hops = found.join(questions.select("question_id", "hops"), "question_id") if own_hops else found
         found = with_hops(s.edges, hops, F.col("hops") if own_hops else o.hops, most_hops)
     else:
         found = found.withColumn("hop", F.lit(0))
-    x = admit(found.join(s.claims, "claim_id"), Admission(o.now, min_trust=o.min_trust)).join(asked, "question_id")
-    shared = F.size(F.array_intersect(F.array_distinct(doc_tokens(F.col("text"))), F.col("words")))
-    order = Window.partitionBy("question_id").orderBy("hop", F.desc("shared"), F.desc(F.round("trust", 9)), "claim_id")
-    ranked = x.withColumn("shared", F.when(F.col("hop") == 0, shared).otherwise(0)).withColumn("rank", F.row_number().over(order))
+    x = admit(found.join(s.claims, "claim_id"), gate).join(ranks, ["question_id", "claim_id"], "left").join(asked, "question_id")
+    components = F.col("components") if "components" in s.claims.columns else None
+    salience = scoring.explicit_salience(components) if o.salient and components is not None else None
+    score = retrieval.claim_score(F.col("relevance"), salience, scoring.inhibition(components) if components is not None else None)
+    direct = F.col("hop") == 0
+    place = [F.when(direct, (F.col("type") == F.col("wanted")).cast("int")), F.when(direct, F.round(score, 9)), F.when(~direct, F.round("trust", 9))]
+    x = x.withColumns({"fits": F.coalesce(place[0], F.lit(0)), "score": place[1], "far_trust": place[2], "oldest": F.when(direct, F.col("created_at"))})
+    order = Window.partitionBy("question_id").orderBy("hop", F.desc("fits"), F.desc("score"), F.desc("far_trust"), "oldest", "claim_id")
+    ranked = x.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= F.col("most")).select("question_id", "claim_id", "text", "trust", "hop", "created_at", "rank")
 
 

@@ -111,16 +111,19 @@ def hybrid(words: DataFrame, vectors: DataFrame, by: str, item: str) -> DataFram
     return x.select(by, item, score.alias("score")).where("score > 0")
 
 
-def claim_ranking(claims: DataFrame, scores: DataFrame, salience: Column | None = None, inhibition: Column | None = None) -> DataFrame:
-    """All claims with their score, -1 where it is zero or missing so that they sink, and adjustments by salience and
-    inhibition."""
-    s = F.coalesce("score", F.lit(0.0))
-    base = F.when(s > 0, s).otherwise(-1.0)
+def claim_score(score: Column, salience: Column | None = None, inhibition: Column | None = None) -> Column:
+    """-1 where a claim has no score or zero, so that it sinks; any other is adjusted by salience and inhibition."""
+    base = score
     if salience is not None:
         base = base + 0.2 * (salience - 0.5)
     if inhibition is not None:
         base = base - 0.2 * inhibition
-    return claims.join(scores, "claim_id", "left").withColumn("score", base)
+    return F.when(F.coalesce(score, F.lit(0.0)) == 0, -1.0).otherwise(base)
+
+
+def claim_ranking(claims: DataFrame, scores: DataFrame, salience: Column | None = None, inhibition: Column | None = None) -> DataFrame:
+    """All claims with their score as `claim_score` has it."""
+    return claims.join(scores, "claim_id", "left").withColumn("score", claim_score(F.col("score"), salience, inhibition))
 
 
 def within_budget(lines: DataFrame, by: str, order: list[str | Column], max_tokens: int, least_chars: int = 0) -> DataFrame:

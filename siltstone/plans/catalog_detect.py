@@ -3,6 +3,8 @@ with brute force in tests."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -329,7 +331,19 @@ def o233_subject_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _recall_store(spark: SparkSession, sf_dir: str) -> recall.Store:
     s = Store(spark, sf_dir)
-    return recall.Store(model.kb_postings(spark, sf_dir), model.kb_sizes(spark, sf_dir), s.trusted, s.evidence, s.edges)
+    return recall.Store(model.kb_postings(spark, sf_dir), model.kb_sizes(spark, sf_dir), model.kb_claim_postings(spark, sf_dir), model.kb_claim_sizes(spark, sf_dir), s.trusted, s.evidence, s.edges)
+
+
+@query(None)
+def o170_hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims by words and vectors: a claim has the vector of its first event, a question every hundredth vector."""
+    store = _recall_store(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", "embedding")
+    first = store.evidence.groupBy("claim_id").agg(F.min("event_id").alias("vec_id"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 100).alias("question_id"), F.col("embedding").alias("vector"))
+    questions = _questions(spark, sf_dir).join(asked, "question_id", "left")
+    found = recall.recall(replace(store, claim_vectors=first.join(vectors, "vec_id").select("claim_id", "embedding")), questions, recall.Options(now(), hops=1))
+    return found.select("question_id", "claim_id", "hop", "rank", rounded("trust").alias("trust"))
 
 
 @query(None)

@@ -247,7 +247,7 @@ def o166_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hybrid(*_both_signals(spark, sf_dir), "query_id", "item").select("query_id", "item", rounded("score").alias("score"))
 
 
-@query("SELECT from_id AS claim_id, round(CASE WHEN s > 0 THEN s ELSE -1.0 END + 0.2 * (conf - 0.5) - 0.2 * (claim_id % 3) / 10.0, 6) AS score FROM (SELECT claim_id AS from_id, claim_id, confidence AS conf, CASE WHEN claim_id % 2 = 0 THEN (claim_id % 10) / 10.0 ELSE 0 END AS s FROM kb_claims)")
+@query("SELECT from_id AS claim_id, round(CASE WHEN s > 0 THEN s + 0.2 * (conf - 0.5) - 0.2 * (claim_id % 3) / 10.0 ELSE -1.0 END, 6) AS score FROM (SELECT claim_id AS from_id, claim_id, confidence AS conf, CASE WHEN claim_id % 2 = 0 THEN (claim_id % 10) / 10.0 ELSE 0 END AS s FROM kb_claims)")
 def o167_claim_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Store(spark, sf_dir).claims.select("claim_id", "confidence")
     scores = c.where("claim_id % 2 = 0").select("claim_id", (F.col("claim_id") % 10 / 10.0).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,7 +242,40 @@ def kb(spark):
         "created_at": F.to_timestamp("created_at"), "valid_from": F.to_timestamp("created_at"), "valid_to": F.lit(None).cast("timestamp"), "last_verified": F.lit(None).cast("timestamp"), "source_authority": F.lit(0.9), "citation_count": F.lit(10)})
     evidence = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 12)], "claim_id long, event_id long")
     edges = spark.createDataFrame([(1, 2, "contradicts", 1.0), (2, 5, "supports", 1.0), (3, 4, "contradicts", 1.0)], "from_id long, to_id long, type string, strength double")
-    return recall.Store(retrieval.postings(docs), retrieval.event_sizes(docs), claims, evidence, edges)
+    claims = claims.withColumn("type", F.when(F.col("claim_id") == 1, "decision").otherwise("fact"))
+    own = claims.select(F.col("claim_id").alias("event_id"), F.col("text").alias("content"))
+    return recall.Store(retrieval.postings(docs), retrieval.event_sizes(docs), retrieval.postings(own), retrieval.event_sizes(own), claims, evidence, edges)
+
+
+def test_recall_ranking(spark):
+    """Direct claims by intent, then by words and vectors, less inhibition; without any signal by age."""
+    s, at = kb(spark), F.to_timestamp(F.lit("2024-02-01"))
+    docs = spark.createDataFrame([(10, "billing latency rose after deploy billing latency fell after rollback cache ratio is low")], "event_id long, content string")
+    s = replace(s, postings=retrieval.postings(docs), sizes=retrieval.event_sizes(docs), evidence=spark.createDataFrame([(1, 10), (2, 10), (4, 10)], "claim_id long, event_id long"))
+
+    def ranked(store, question, vector=None, **options):
+        q = spark.createDataFrame([(1, question, vector)], "question_id long, question string, vector array<double>")
+        return [r.claim_id for r in recall.recall(store, q, recall.Options(at, **options)).orderBy("rank").collect()]
+
+    words = {1: "billing latency rose after deploy", 2: "billing latency fell after rollback", 4: "cache ratio is low"}
+    assert ranked(s, "billing rollback") == [2, 1, 4]
+    assert ranked(s, "what did we decide on rollback") == [1, 2, 4]
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.6, 0.8]), (4, [1.0, 0.0])], "claim_id long, embedding array<double>")
+    v = replace(s, claim_vectors=vectors)
+    n, size = 5, sum(map(len, (x.split() for x in [*words.values(), "search index is fresh", "billing team owns retries"]))) / 5
+    def bm25(claim, terms):
+        own = claim.split()
+        return sum(math.log((n - df + 0.5) / (df + 0.5) + 1) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(own) / size)) for t, df in terms if t in own)
+    score = {i: bm25(x, [("billing", 3), ("latency", 2), ("low", 1)]) for i, x in words.items()}
+    cos = {1: 0.0, 2: 0.6, 4: 1.0}
+    q = spark.createDataFrame([(1, "billing latency low", [1.0, 0.0])], "question_id long, question string, vector array<double>")
+    found = {r.claim_id: r.relevance for r in recall.relevance(v, spark.createDataFrame([(1, 1), (1, 2), (1, 4)], "question_id long, claim_id long"), q).collect()}
+    assert all(abs(found[i] - (0.5 * score[i] / max(score.values()) + 0.5 * cos[i])) < 1e-9 for i in words)
+    assert ranked(v, "billing latency low", [1.0, 0.0]) == sorted(words, key=lambda i: -found[i])
+    assert ranked(v, "billing latency", None) == [1, 2, 4]
+    held = s.claims.withColumn("components", F.when(F.col("claim_id") == 1, F.create_map(F.lit("inhibition"), F.lit(0.5))).when(F.col("claim_id") == 2, F.create_map(F.lit("salience"), F.lit(0.0))))
+    assert ranked(replace(s, claims=held), "billing latency") == [2, 1, 4] and ranked(replace(s, claims=held.withColumn("components", F.when(F.col("claim_id") == 2, F.col("components")))), "billing latency", salient=True) == [1, 2, 4]
+    assert ranked(replace(s, claims=s.claims.withColumn("status", F.when(F.col("claim_id") == 1, "deprecated").otherwise("active"))), "billing latency", hops=1) == [2, 4, 5, 3]
 
 
 def test_recall_control(spark):
