@@ -10,9 +10,9 @@ from siltstone.functions import scoring, text
 from siltstone.model import now, table
 from siltstone.operators import analytics, evidence, fulltext, lifecycle, recall, relate, retrieval, vector_index
 from siltstone.plans.catalog import BINS_SQL, LESSONS_SQL, TRUST_SQL, Store, query, rounded, seconds
-from siltstone.sources.shared import stored
 from siltstone.plans.catalog_more import BM25_SQL, COS_SQL, _questions
-from siltstone.sources import normalise
+from siltstone.sources import normalise, tail
+from siltstone.sources.shared import scratch_path, stored
 
 # --- files and batches
 
@@ -30,6 +30,35 @@ def o012_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise.new_files(files.select("path", "content"), stored).select("path", "sha256")
 
 
+def _as_files(lines: DataFrame, name: str) -> DataFrame:
+    """Lines (value) written to files of the shared folder, to be read again by the library's own source."""
+    path = scratch_path(lines.sparkSession, name)
+    lines.write.text(path)
+    tail.register(lines.sparkSession)
+    return lines.sparkSession.read.format("tailed_lines").load(path)
+
+
+@query("SELECT md5(o_orderkey::VARCHAR) AS sha, o_orderpriority AS author, epoch(o_orderdate::TIMESTAMP)::BIGINT AS at, 'order ' || o_orderkey AS content FROM orders", False)
+def o011_tailed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of an exported log, with lines that are none."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    line = F.concat_ws("\t", F.md5(key.cast("binary")), F.col("o_orderpriority"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd"), F.concat(F.lit("order "), key))
+    read = _as_files(o.select(F.explode(F.array(line, F.concat(F.lit("merge "), key))).alias("value")), "log")
+    return normalise.commits(read).select("sha", "author", seconds("at"), "content")
+
+
+@query("SELECT o_custkey, CASE WHEN max(o_totalprice) > 300000 OR count(*) > 20 THEN 'failure' ELSE 'success' END AS result FROM orders GROUP BY 1", False)
+def o018_metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of customers as files of lines with labels, with comments, and a threshold for each."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_totalprice").cast("double").alias("greatest"), F.count("*").cast("double").alias("orders"))
+    own = F.concat(F.lit('{customer="'), F.col("o_custkey").cast("string"), F.lit('"} '))
+    lines = F.array(F.lit("# TYPE greatest gauge"), *(F.concat(F.lit(n), own, F.col(n).cast("string")) for n in ("greatest", "orders")))
+    read = tail.metrics(_as_files(o.select(F.explode(lines).alias("value")), "metrics"))
+    x = read.groupBy(F.try_element_at("labels", F.lit("customer")).cast("long").alias("o_custkey")).agg(F.map_from_entries(F.collect_list(F.struct("name", "number"))).alias("metrics"))
+    return x.select("o_custkey", analytics.threshold_verdict(F.col("metrics"), {"greatest": 300_000.0, "orders": 20.0}).alias("result"))
+
+
 @query("SELECT count(*) AS batches, min(n) AS least, max(n) AS most, sum(n)::BIGINT AS records FROM (SELECT (row_number() OVER (ORDER BY claim_id) - 1) // 1000 AS batch, count(*) OVER () AS c, claim_id FROM kb_claims) JOIN (SELECT b AS batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY claim_id) - 1) // 1000 AS b FROM kb_claims) GROUP BY 1) USING (batch) WHERE claim_id IN (SELECT min(claim_id) FROM (SELECT claim_id, (row_number() OVER (ORDER BY claim_id) - 1) // 1000 AS b FROM kb_claims) GROUP BY b)")
 def o023_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims in order, in batches of 1,000 records."""
