@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from siltstone.llm import chat_format, fingerprints, language_id, quality_rules, rule_ensemble, secret_scan, text_stats
@@ -150,6 +153,53 @@ def test_quality_rules(spark, real):
     assert quality_rules.apply_rules(odd, empty, most).count() == 3 and quality_rules.apply_rules(odd.limit(0), empty, most).count() == 0
 
 
+def test_quality_rules_learn_from_all_rows(spark, monkeypatch):
+    """More rows and labels than any bounded sample: every row counts in the leaves, every label in the threshold."""
+    for name in ("TRAIN_ROWS", "LABELLED_ROWS"):
+        monkeypatch.setattr(quality_rules, name, 40)
+    monkeypatch.setattr(quality_rules, "SAMPLE", 16)
+    monkeypatch.setattr(quality_rules, "GOOD_LOST", 0.1)
+    words = ["a", "bee", "Sea", "deed!", "eagle", "f#", "GNU", "horses?"]
+    texts = [" ".join(words[(i * i + i // 7 * j + j * j * j) % 8] + str((i * j) % (i % 29 + 2)) for j in range(i % 5 * 7 + 12)) for i in range(700)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (4, None), (None, texts[9])], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, None if i % 11 == 3 else int(i % 3 > 0)) for i in range(600)] + [(5, 0), (900, 1)], "doc_id long, quality int")
+    forest, most = quality_rules.fit(docs, labels)
+    rows = {(r.doc_id, *(r[c] for c in text_stats.COUNTS)): r for r in text_stats.with_counts(docs).collect()}
+    found = pd.DataFrame([r.asDict() for r in rows.values()])
+    found = found[~quality_rules.base_failed(found)]
+    x = quality_rules.split_features(found)
+    assert len(x) > 200 and forest.size == 16 and len(forest.trees) == quality_rules.TREES
+    for feature, split, left, right, path in forest.trees:
+        at, level, held = 0, {0: 0}, Counter()
+        for at in range(len(feature)):
+            if feature[at] >= 0:
+                level |= {at + left[at]: level[at] + 1, at + right[at]: level[at] + 1}
+        for row in x:
+            at = 0
+            while feature[at] >= 0:
+                at += left[at] if row[feature[at]] < split[at] else right[at]
+            held[at] += 1
+        for at in np.flatnonzero(feature < 0).tolist():
+            assert abs(path[at] - level[at] - quality_rules.path_after(16 * held[at] / len(x))) < 1e-9
+    quality = {}
+    for r in labels.where("quality is not null").collect():
+        quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+    least = {}
+    for key in sorted(k for k in rows if k[0] is not None):
+        least.setdefault(key[0], rows[key])
+    known = pd.DataFrame([least[i].asDict() | {"good": q == 1} for i, q in quality.items() if i in least])
+    known = known[~quality_rules.base_failed(known)]
+    good = np.sort(forest.anomaly(quality_rules.split_features(known[known["good"]])))
+    assert len(good) > 80 and most == good[min(len(good) - 1, math.ceil(0.9 * len(good)))]
+
+
+def test_score_of_a_rank(spark):
+    for values in ([0.5], [0.1, 0.1, 0.1], [(i * i % 97) / 97 for i in range(300)], [0.3, 0.3 + 5e-17, 0.30000000000000004, 1.0]):
+        scores = spark.createDataFrame([(x,) for x in values], "x double")
+        for rank in {0, len(values) // 2, len(values) - 1}:
+            assert quality_rules.at_rank(scores, "x", rank) == sorted(values)[rank]
+
+
 def test_rule_ensemble(spark, real):
     docs, labels = real
     rules, intercept = rule_ensemble.fit(docs, labels)
