@@ -15,18 +15,49 @@ import pyarrow.compute as pc
 SAFE = "[\x21-\x7e\xa1-ᙿ]"
 CUT = re.compile(f"[ ](?={SAFE})")
 #: A space before another character, or a line end that isn't between two characters that are no white space.
-ODD = re.compile(rf" (?!{SAFE})|\n(?!{SAFE})|\s\n|\A[ \n]|\x1f")
-#: A mark at the end of a word is a pre-token of its own; GLUED stands in its piece for the space that it lacks.
-MARK, GLUED = re.compile("(?<=[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([.,])(?=[ \n]|\\Z)"), "\x1f"
+ODD = re.compile(rf" (?!{SAFE})|\n(?!{SAFE})|\s\n|\A[ \n]|[\x1c\x1d]")
+#: A mark at the end of a word is a pre-token of its own; another byte stands in its piece, as it lacks the space.
+GLUED = {"\x1c": ",", "\x1d": "."}
+#: What the bytes of texts in UTF-8 are: white space, letters and marks; RARE ones may be of a character that ODD minds.
+BLANK, LETTER, MARK, RARE = 1, 2, 4, 8
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(32), 127, *range(0xE1, 256)]] = RARE
+KIND[[10, 32]] = BLANK
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[[ord(","), ord(".")]] = MARK
 #: Words that every public vocabulary keeps whole before its merges, and the letter that stands for a space in byte-level ones.
 LETTERS, SPACE = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+"), "\u0120"
-#: Beyond Latin-1, lower case may depend on what stands around; within it, a vocabulary of lower case may as well get it so.
-FAR = re.compile("[^\x00-\xff]")
 #: Bytes of pieces and ids, about, in the younger of a worker's two memos; beyond them it becomes the older one, whose
 #: pieces come back when met. What an entry takes besides, and the longest piece that is kept.
 MEMO, ENTRY, SHORT = 96 << 20, 150, 200
 
 
+def lowered(text: str) -> str:
+    """Beyond Latin-1, lower case may depend on what stands around; within it, a vocabulary of lower case may as well get it so."""
+    try:
+        return text.lower() if text.isascii() or text.encode("latin-1") else text
+    except UnicodeEncodeError:
+        return text
+
+
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts that aren't empty, between line ends; their kinds; where each text begins, and the end."""
+    raw = [x.encode("utf-8", "surrogatepass") for x in texts]
+    data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+    return data, KIND[data], np.cumsum([1, *(len(x) + 1 for x in raw)])
+
+
+def odd_texts(texts: list[str], data: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> set[int]:
+    """The texts of joined() in which ODD is found: by pairs of white space, and by ODD itself in those with a rare byte."""
+    blank = kind == BLANK
+    pairs = np.flatnonzero(blank[1:] & blank[:-1])
+    at = np.searchsorted(starts, pairs, "right") - 1
+    odd = {*np.where(pairs == starts[at + 1] - 1, at + 1, at).tolist()}
+    high = np.flatnonzero(data == 0xC2)
+    rare = np.concatenate([np.flatnonzero(kind == RARE), high[data[high + 1] <= 0xA0]])
+    return odd.union(i for i in np.unique(np.searchsorted(starts, rare, "right") - 1).tolist() if i not in odd and ODD.search(texts[i]))
+
+
 class LibraryEncoder:
     """Ids as the library gives them for the whole text: encode() cuts at safe spaces and encodes each new piece once."""
 
@@ -91,7 +122,7 @@ class LibraryEncoder:
         found = self._words([f" {x}" for x in words]) if words else []
         known = dict(zip(words, found, strict=True)) if found else {}
         rest = [x for x in pieces if x not in known]
-        return known | dict(zip(rest, self._divided([x if x[0] == "\n" else x[1:] if x[0] == GLUED else f" {x}" for x in rest]), strict=True)) if rest else known
+        return known | dict(zip(rest, self._divided([x if x[0] == "\n" else GLUED.get(x) or f" {x}" for x in rest]), strict=True)) if rest else known
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces, from the memo or new."""
@@ -110,13 +141,28 @@ class LibraryEncoder:
             found[i] = fresh[pieces[i]]
         return found
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        """Texts whose every space stands before a safe character and every line end between two others: all are cut at
-        spaces, line ends and marks at words' ends at once, each distinct piece is looked up once, and ids are gathered by piece numbers."""
-        cut = pc.split_pattern(pa.array([MARK.sub(rf" {GLUED}\1", x).replace("\n", " \n") for x in texts], pa.large_string()), " ")
-        codes = pc.dictionary_encode(cut.flatten())
-        offsets = cut.offsets.to_numpy()
-        pieces, number = codes.dictionary.to_pylist(), codes.indices.to_numpy().astype(np.int64)
+    def _whole(self, data: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Texts of joined(), whose every space stands before a safe character and every line end between two others: all
+        are cut at spaces, line ends and marks at words' ends at once, each distinct piece is looked up once, and ids are
+        gathered by piece numbers."""
+        marks = np.flatnonzero(kind == MARK)
+        marks = marks[kind[marks + 1] == BLANK]
+        before = data[marks - 1]
+        marks = marks[(kind[marks - 1] == LETTER) | (data[marks - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)]
+        left_out = data == 32
+        begins = np.zeros(len(data), bool)
+        begins[1:] = left_out[:-1]
+        begins[data == 10] = begins[marks] = begins[starts[:-1]] = True
+        left_out[starts - 1] = True
+        begins[starts - 1] = False
+        data = data.copy()
+        data[marks] = np.where(data[marks] == ord(","), 0x1C, 0x1D)
+        kept = ~left_out
+        content = data[kept]
+        cut = np.append(np.flatnonzero(begins[kept]), len(content)).astype(np.int32)
+        codes = pc.dictionary_encode(pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), pa.py_buffer(content)))
+        offsets = np.searchsorted(np.flatnonzero(begins), starts)
+        pieces, number = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy().astype(np.int64)
         heads = [pieces[i] for i in number[offsets[:-1]].tolist()]
         used = np.ones(len(number), bool)
         used[offsets[:-1]] = False
@@ -126,7 +172,7 @@ class LibraryEncoder:
         place = np.zeros(len(pieces), np.int64)
         place[at] = np.arange(len(at))
         number = place[number]
-        number[offsets[:-1]] = len(at) + np.arange(len(texts))
+        number[offsets[:-1]] = len(at) + np.arange(len(heads))
         raw = [*self._known([pieces[i] for i in at.tolist()]), *self._divided(heads)]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // self.dtype.itemsize
         pool, starts = np.frombuffer(b"".join(raw), self.dtype), np.cumsum(sizes) - sizes
@@ -139,9 +185,15 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, in self.dtype."""
         if self.lowers:
-            texts = [x if FAR.search(x) else x.lower() for x in texts]
-        plain = [i for i, x in enumerate(texts) if x and not ODD.search(x)]
-        out = dict(zip(plain, self._whole([texts[i] for i in plain]), strict=True)) if plain else {}
+            texts = [*map(lowered, texts)]
+        plain, out = [i for i, x in enumerate(texts) if x], {}
+        if plain:
+            parts = joined([texts[i] for i in plain])
+            if odd := odd_texts([texts[i] for i in plain], *parts):
+                plain = [x for i, x in enumerate(plain) if i not in odd]
+                parts = joined([texts[i] for i in plain])
+            if plain:
+                out = dict(zip(plain, self._whole(*parts), strict=True))
         odd = [i for i in range(len(texts)) if i not in out]
         if odd:
             cut = [CUT.split(texts[i]) for i in odd]

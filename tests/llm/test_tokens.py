@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from siltstone.llm import bpe_automaton, packing, token_files
+from siltstone.llm import bpe_automaton, library_tokens, packing, token_files
 from siltstone.sources.shared import scratch_path
 from siltstone.llm.library_tokens import encoder
 
@@ -135,3 +135,31 @@ def test_line_ends_and_letters(path):
     rng = random.Random(9)
     texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", "\n\n", " \n", "\n "]) for _ in range(rng.randint(1, 12))) for _ in range(2500)]
     assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [encode(x) for x in texts]
+
+
+def test_plain_texts_meet_no_pattern(monkeypatch):
+    """Ids of texts in Latin letters are the library's, and no pattern goes over their characters one by one."""
+
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+    texts = ["Das Öl, naïve.\nÉté à la «mer», so it is.", "one", "a.b, c.d.", "\xd7. \xf7, \xe9. \xe9,", "", "x" * 300 + ", end."]
+    for path in (BYTES, WORDS):
+        encode, _ = library(path)
+        expected = [*map(encode, texts)]
+        monkeypatch.setattr(library_tokens, "ODD", Never())
+        assert [np.frombuffer(x, encoder(path).dtype).tolist() for x in encoder(path).encode(texts)] == expected
+        monkeypatch.undo()
+
+
+def test_odd_texts_among_plain_ones():
+    """Every kind of odd text, between plain ones and side by side, in one call."""
+    odd = [
+        " a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n b", "a\n\nb", " ", "\n", "a\tb, c", "a\t\nb", "a \tb", "a\x1cb", "\x1c, a", "\x1d", "a \x1f. b", "a\x1f, b", "a\x7f b", "a \x7f", "a\xa0\nb", "a \xa0b", "a\x85 b",
+        " \nb", "a \nb", "Σ ΑΣ. b", "ἀ. ἀ, x", "“a.” b", "a “b”", "a – b,\nc", "日本 語. x", "a \nb", "🙂 a. 🙂", "a</s> b, </s>", "İ. I, ſ", ".", ",", ". ,", "a ., b", "é,\né.", "A.\n.B",
+    ]
+    texts = [y for i, x in enumerate(odd) for y in ([x] if i % 3 else ["plain, one.", x, "Ä plain\ntwo."])]
+    for path in (BYTES, WORDS):
+        encode, _ = library(path)
+        assert [np.frombuffer(x, encoder(path).dtype).tolist() for x in encoder(path).encode(texts)] == [*map(encode, texts)]
