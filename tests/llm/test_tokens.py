@@ -163,3 +163,13 @@ def test_odd_texts_among_plain_ones():
     for path in (BYTES, WORDS):
         encode, _ = library(path)
         assert [np.frombuffer(x, encoder(path).dtype).tolist() for x in encoder(path).encode(texts)] == [*map(encode, texts)]
+
+
+def test_token_files_of_plain_and_odd_texts(spark):
+    """Ids in the files are the library's, whichever texts stand together in a batch; \x1c and \x1d are bytes that pieces use inside."""
+    encode, _ = library(BYTES)
+    texts = ["plain, one.", "a\x1c, b", " \x1d", "Ä plain\ntwo.", "a.  b,", "", "née.\nété, x."]
+    folder = scratch_path(spark, "plain-odd")
+    shards = token_files.write_token_files(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1), BYTES, folder)
+    found = token_files.read_token_files(shards, folder, with_ids=True).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in found] == [[*encode(x), 2] for x in texts]
