@@ -150,12 +150,16 @@ def appended_set(stored: DataFrame, incoming: DataFrame, key: str, column: str)
 
 
 def last_block(rows: DataFrame, key: str, order: list[str], text: str, limit: int) -> DataFrame:
-    """key, content: the last lines (a row each, its end if it is longer) that fit in a block of so many characters, in
-    order. Rows beyond the limit are dropped before they are gathered, so a key of any size gives at most limit characters."""
-    w = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1)
-    x = rows.select(key, *order, F.right(text, F.lit(limit)).alias("line"), F.coalesce(F.sum(F.char_length(text) + 1).over(w), F.lit(0)).alias("after")).where(F.col("after") < limit)
-    lines = F.array_sort(F.collect_list(F.struct(*order, "line")))
-    return x.groupBy(key).agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("content")).withColumn("content", F.right("content", F.lit(limit)))
+    """key, content: the end, of at most so many characters, of the key's lines joined in order (null last), null if none has a text.
+    Rows of which that end holds neither a character nor the line end are dropped before they are gathered, so a key of any
+    size gives at most about limit characters."""
+    keys = [x for c in order for x in (F.col(c).isNull(), F.col(c))]
+    w = Window.partitionBy(key).orderBy(*(x.desc() for x in keys)).rowsBetween(Window.unboundedPreceding, -1)
+    row = F.struct(*(x.alias(f"k{i}") for i, x in enumerate(keys)), F.right(text, F.lit(limit)).alias("line"))
+    x = rows.select(key, F.when(F.col(text).isNotNull(), row).alias("row"), F.coalesce(F.sum(F.char_length(text) + 1).over(w), F.lit(0)).alias("after"))
+    lines = F.array_sort(F.collect_list("row"))
+    content = F.when(F.size(lines) > 0, F.right(F.array_join(F.transform(lines, lambda r: r["line"]), "\n"), F.lit(limit)))
+    return x.where(F.col("after") <= limit).groupBy(key).agg(content.alias("content"))
 
 
 def observed(expectations: DataFrame, observations: DataFrame) -> DataFrame:
