@@ -26,3 +26,11 @@ def test_memory_blocks_end_at_line_ends(spark, tmp_path):
     rows = [(1, 0, "a", "x" * 30), (1, 1, "a", "y" * 499), (2, 0, "a", "x" * 30), (2, 1, "a", "y" * 500), (3, 0, "a", "x"), (3, 1, "a", "y" * 498), (4, 0, "a", None), (4, 1, "a", None), (5, 0, "a", None), (5, 1, "a", "z"), (6, None, "a", "last"), (6, 7, "a", "first"), (7, 0, "a", ""), (7, 1, "a", "")]
     found = dict(same(spark, tmp_path, "o260_memory_blocks", conversations=(rows, "conv_id long, turn long, role string, text string")))
     assert found[1] == "\n" + "y" * 499 and found[3] == "x\n" + "y" * 498 and found[4] is None and found[6] == "first\nlast"
+
+
+def test_names_whose_stem_is_a_word_too(spark, tmp_path):
+    """Thoned loses its ending and then equals another word of its claim."""
+    said = ["Thoned was here before the thon itself", "then Jamen met a Bociones among bocion again", "today Jamen met Jamen and Ulm and the Passes", "nothing has a name among these words"]
+    documents = [(i, x, "en", "s", len(x)) for i, x in enumerate(said)]
+    found = dict(same(spark, tmp_path, "o118_names", documents=(documents, "doc_id long, text string, lang string, source string, n_chars long")))
+    assert sorted(found.values()) == [1, 2]
