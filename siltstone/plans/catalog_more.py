@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -219,7 +221,7 @@ def _vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COS_SQL} SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM cs WHERE score >= 0.1) WHERE rank <= 10", False)
 def o163_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = retrieval.cosine_scores(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)).where("score >= 0.1")
+    s = retrieval.cosine_scores(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 0.1, 10)
     return retrieval.top_k(s, "query_id", "vec_id", 10).select("query_id", "vec_id", "rank", rounded("score").alias("score"))
 
 
@@ -229,15 +231,17 @@ vectors AS (SELECT query_id // 100 AS query_id, vec_id AS item, score FROM cs WH
 """
 
 
-def _both_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = Store(spark, sf_dir).bm25(_questions(spark, sf_dir)).select(F.col("question_id").alias("query_id"), F.col("event_id").alias("item"), "score")
-    vectors = retrieval.cosine_scores(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir)).where("score > 0")
+def _both_signals(spark: SparkSession, sf_dir: str, best: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """best: only those that may be among so many best of their query."""
+    words = Store(spark, sf_dir).bm25(_questions(spark, sf_dir), best=best).select(F.col("question_id").alias("query_id"), F.col("event_id").alias("item"), "score")
+    # the least double above 0
+    vectors = retrieval.cosine_scores(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), math.ulp(0.0), best)
     return words, vectors.select(F.floor(F.col("query_id") / 100).alias("query_id"), F.col("vec_id").alias("item"), "score")
 
 
 @query(FUSE_SQL + "SELECT query_id, item, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) AS rank FROM words UNION ALL SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item) FROM vectors) WHERE rank <= 32 GROUP BY ALL")
 def o165_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = [retrieval.top_k(x, "query_id", "item", 32) for x in _both_signals(spark, sf_dir)]
+    ranked = [retrieval.top_k(x, "query_id", "item", 32) for x in _both_signals(spark, sf_dir, 32)]
     return retrieval.reciprocal_ranks(ranked, "query_id", "item").select("query_id", "item", rounded("score").alias("score"))
 
 

@@ -192,7 +192,7 @@ def o177_answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each question's answer, with where its claims come from."""
     s = Store(spark, sf_dir)
     q = _questions(spark, sf_dir)
-    store = recall.Store(model.kb_postings(spark, sf_dir), model.kb_sizes(spark, sf_dir), model.kb_claim_postings(spark, sf_dir), model.kb_claim_sizes(spark, sf_dir), s.trusted, s.evidence, s.edges)
+    store = recall.Store(model.kb_index(spark, sf_dir), model.kb_sizes(spark, sf_dir), model.kb_claim_index(spark, sf_dir), model.kb_claim_sizes(spark, sf_dir), s.trusted, s.evidence, s.edges)
     results = recall.recall(store, q, recall.Options(now(), limit=5))
     origins = evidence.origins(s.evidence, s.events.select("event_id", F.when(F.col("event_id") % 7 == 0, "https://registry").alias("pulled_from")))
     return recall.answer_texts(store, results, q, origins)
