@@ -20,7 +20,7 @@ CONTEXT_HOPS, CONTEXT_DECAY, CONTEXT_BOOST, ROUNDS, EVENTS = 2, 0.5, 3.0, 3, 5
 
 @dataclass
 class Store:
-    """The frames that recall reads: postings of events and of claims (event_id is the claim) and their sizes, claims with
+    """The frames that recall reads: postings or word index of events and of claims (event_id is the claim) and their sizes, claims with
     trust, evidence, edges, and vectors of claims (claim_id, embedding) where there are any."""
 
     postings: DataFrame
@@ -60,8 +60,9 @@ def relevance(s: Store, candidates: DataFrame, questions: DataFrame) -> DataFram
     """question_id, claim_id, relevance of candidates (question_id, claim_id): BM25 over all claims by the best claim of the
     question, and with vectors of claims and of questions (column vector) the cosine by the best of its candidates; half of
     each where a question has both, else the one that it has. Null without either."""
-    words = retrieval.bm25_by_index(s.claim_postings, s.claim_sizes, questions.select("question_id", "question")).withColumnRenamed("event_id", "claim_id")
-    tops = words.groupBy("question_id").agg(F.max("score").alias("top"))
+    asked = questions.select("question_id", "question")
+    tops = retrieval.bm25_by_index(s.claim_postings, s.claim_sizes, asked, best=1).groupBy("question_id").agg(F.max("score").alias("top"))
+    words = retrieval.bm25_of_pairs(s.claim_postings, s.claim_sizes, asked, candidates.withColumnRenamed("claim_id", "event_id")).withColumnRenamed("event_id", "claim_id")
     x = candidates.join(words, ["question_id", "claim_id"], "left").join(tops, "question_id", "left").withColumn("by_words", F.coalesce("score", F.lit(0.0)) / F.col("top")).drop("score")
     if s.claim_vectors is None or "vector" not in questions.columns:
         return x.select("question_id", "claim_id", F.col("by_words").alias("relevance"))
@@ -79,7 +80,7 @@ def recall(s: Store, questions: DataFrame, o: Options) -> DataFrame:
     question asks for, then by `relevance` (with salience if o.salient, and less what inhibits them), then the older, then id;
     those reached by steps come after, by trust, then id. questions: question_id, question, and where it has them limit, hops
     and vector of its own."""
-    scores = retrieval.bm25_by_index(s.postings, s.sizes, questions)
+    scores = retrieval.bm25_by_index(s.postings, s.sizes, questions, best=EVENTS)
     top = retrieval.top_k(scores, "question_id", "event_id", EVENTS)
     gate = Admission(o.now, min_trust=o.min_trust)
     found = top.join(s.evidence, "event_id").select("question_id", "claim_id").distinct()

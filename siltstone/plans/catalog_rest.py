@@ -12,7 +12,7 @@ from siltstone.operators import analytics, evidence, fulltext, lifecycle, recall
 from siltstone.plans.catalog import BINS_SQL, LESSONS_SQL, TRUST_SQL, Store, query, rounded, seconds
 from siltstone.plans.catalog_more import BM25_SQL, COS_SQL, _questions
 from siltstone.sources import normalise, tail
-from siltstone.sources.shared import scratch_path, stored
+from siltstone.sources.shared import scratch_path, stored, written
 
 # --- files and batches
 
@@ -193,7 +193,7 @@ def o177_answer_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Store(spark, sf_dir)
     q = _questions(spark, sf_dir)
     store = recall.Store(model.kb_index(spark, sf_dir), model.kb_sizes(spark, sf_dir), model.kb_claim_index(spark, sf_dir), model.kb_claim_sizes(spark, sf_dir), s.trusted, s.evidence, s.edges)
-    results = recall.recall(store, q, recall.Options(now(), limit=5))
+    results = written(recall.recall(store, q, recall.Options(now(), limit=5)), "recalled")
     origins = evidence.origins(s.evidence, s.events.select("event_id", F.when(F.col("event_id") % 7 == 0, "https://registry").alias("pulled_from")))
     return recall.answer_texts(store, results, q, origins)
 
